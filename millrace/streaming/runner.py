@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 
 def stream_table(spark: SparkSession, path: str, schema: str | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the Parquet files under ``path``; the schema is read once if not given."""
+    """A stream of the Parquet files under ``path`` (a folder or one file); the schema is read once if not given."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    # a file source takes a single file only through a pattern
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, timeout: float | None = None) -> DataFrame:
