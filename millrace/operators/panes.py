@@ -1,9 +1,10 @@
 """Overlapping windows from panes.
 
 Rows are aggregated once per pane (a slice of gcd(size, slide)), so the work per row does not
-depend on how many windows overlap. The compact panes are then turned into windows in one of two
+depend on how many windows overlap. The compact panes are then turned into windows in one of three
 ways:
 
+* when few windows overlap, each pane is simply repeated for its windows;
 * totals that can be subtracted exactly (counts, whole numbers, decimals) become an entry and an
   exit mark on the axis of windows, and a running sum between the marks gives every window: two
   rows per pane whatever the overlap;
@@ -26,6 +27,7 @@ from .windows import floor_div
 
 ROWS = "_pane_rows"
 CHUNK_WINDOWS = 4096
+FEW_WINDOWS = 8
 
 
 def pane_aggregate(df: DataFrame, pane: Column, keys: list[str], aggs: list[Agg], name: str) -> DataFrame:
@@ -55,9 +57,13 @@ def windows_from_panes(
     spans = spans.filter("_first <= _last")
     if size == slide == 1:
         return spans.withColumn(window, F.col("_last")).drop("_first", "_last", pane)
+    merges = [F.sum(ROWS).alias(ROWS), *(p.merge() for a in aggs for p in a.partials())]
+    if -(-size // slide) <= FEW_WINDOWS:
+        repeated = spans.withColumn(window, F.explode(F.sequence("_first", "_last")))
+        return repeated.groupBy(*keys, window).agg(*merges)
     if exact:
         return windows_from_marks(spans, keys, partial_names(aggs), -(-size // slide), window)
-    return _from_blocks(panes, keys, pane, aggs, size, slide, window)
+    return _from_blocks(spans, keys, pane, aggs, merges, size, slide, window)
 
 
 def partial_names(aggs: list[Agg]) -> list[str]:
@@ -106,37 +112,32 @@ def windows_from_marks(
 
 
 def _from_blocks(
-    panes: DataFrame, keys: list[str], pane: str, aggs: list[Agg], size: int, slide: int, window: str
+    panes: DataFrame,
+    keys: list[str],
+    pane: str,
+    aggs: list[Agg],
+    merges: list[Column],
+    size: int,
+    slide: int,
+    window: str,
 ) -> DataFrame:
-    merges = [F.sum(ROWS).alias(ROWS), *(p.merge() for a in aggs for p in a.partials())]
     partials = partial_names(aggs)
-    block = max(1, math.isqrt(size))
-    position = F.col(pane)
-    base = floor_div(position, block) * block
-    first, last = floor_div(position - size, slide) + 1, floor_div(position, slide)
-    # windows that hold the whole block: they start at or before it and end at or after its end
+    block = math.isqrt(size)
+    base = floor_div(F.col(pane), block) * block
+    # windows that hold the whole block: they end at or after its end and start at or before it
     whole_first, whole_last = floor_div(base + block - size - 1, slide) + 1, floor_div(base, slide)
+    based = panes.withColumn("_base", base).withColumn("_lo", whole_first).withColumn("_hi", whole_last)
     blocks = (
-        panes.withColumn("_base", base)
-        .groupBy(*keys, "_base")
+        based.filter("_lo <= _hi")
+        .groupBy(*keys, "_lo", "_hi", "_base")
         .agg(*merges)
-        .withColumn("_lo", floor_div(F.col("_base") + block - size - 1, slide) + 1)
-        .withColumn("_hi", floor_div(F.col("_base"), slide))
-        .filter("_lo <= _hi")
         .select(*keys, *partials, F.explode(F.sequence("_lo", "_hi")).alias(window))
     )
 
     def run(lo: Column, hi: Column) -> Column:
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
-    none_whole = whole_first > whole_last
-    edges = panes.select(
-        *keys,
-        *partials,
-        F.explode(
-            F.when(none_whole, run(first, last)).otherwise(
-                F.concat(run(first, whole_first - 1), run(whole_last + 1, last))
-            )
-        ).alias(window),
-    )
+    first, last, low, high = (F.col(c) for c in ("_first", "_last", "_lo", "_hi"))
+    singles = F.when(low > high, run(first, last)).otherwise(F.concat(run(first, low - 1), run(high + 1, last)))
+    edges = based.select(*keys, *partials, F.explode(singles).alias(window))
     return blocks.unionByName(edges).groupBy(*keys, window).agg(*merges)

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Agg
-from .panes import CHUNK_WINDOWS, pane_aggregate, partial_names, windows_from_marks, windows_from_panes
+from .panes import CHUNK_WINDOWS, ROWS, pane_aggregate, partial_names, windows_from_marks, windows_from_panes
 from .windows import WindowSpec, floor_div, interval, time_slot
 
-START, END = "window_start", "window_end"
+START, END, PANE = "window_start", "window_end", "_pane"
 
 
 def window_aggregate(
@@ -58,11 +58,30 @@ def _flat(df: DataFrame, keys: list[str], aggs: list[Agg], window: str = "window
 
 def sliding(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg], ts: str = "ts") -> DataFrame:
     """Overlapping windows of a table, through panes."""
-    panes = pane_aggregate(df, time_slot(ts, spec.pane), keys, aggs, "_pane")
     exact = all(a.invertible(df) for a in aggs)
-    merged = windows_from_panes(
-        panes, keys, "_pane", aggs, spec.size // spec.pane, spec.slide // spec.pane, exact
-    )
+    return windows_of_panes(panes_of(df, spec, keys, aggs, ts), spec, keys, aggs, exact)
+
+
+def panes_of(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg], ts: str = "ts") -> DataFrame:
+    """One row of partial results per pane and key; for a stream, of the panes the watermark has closed.
+
+    A stream of long overlapping windows appends these to a table, and ``windows_of_panes`` answers
+    from that table: the state of the stream holds open panes only.
+    """
+    if not df.isStreaming:
+        return pane_aggregate(df, time_slot(ts, spec.pane), keys, aggs, PANE)
+    folds = [p.fold.alias(p.name) for a in aggs for p in a.partials()]
+    slices = df.groupBy(F.window(ts, interval(spec.pane)), *keys).agg(F.count(F.lit(1)).alias(ROWS), *folds)
+    slot = floor_div(F.unix_micros("window.start"), spec.pane).alias(PANE)
+    return slices.select(*keys, slot, *partial_names(aggs))
+
+
+def windows_of_panes(
+    panes: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg], exact: bool
+) -> DataFrame:
+    """The windows over a table of panes; ``exact`` as in ``windows_from_panes``."""
+    size, slide = spec.size // spec.pane, spec.slide // spec.pane
+    merged = windows_from_panes(panes, keys, PANE, aggs, size, slide, exact)
     return merged.select(*bounds(F.col("window_index") * spec.slide, spec.size), *keys, *(a.finish() for a in aggs))
 
 

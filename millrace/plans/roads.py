@@ -65,7 +65,7 @@ def road_vehicle_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_window_aggregate(vehicles, WindowSpec.rows(1024), _CASCADE_ORDER, SEGMENT, [count()])
 
 
-_STOPS = f"""
+STOPS_SQL = f"""
 WITH r AS (SELECT * FROM {TRAFFIC.sql}),
 seq AS (SELECT *, row_number() OVER v AS i,
     coalesce(speed = 0 AND lag(speed) OVER v = 0 AND lag(position) OVER v = position
@@ -82,14 +82,14 @@ stops AS (SELECT p.vehicle, p.highway, p.position, f.segment, p.first_ts, f.stop
 """
 
 
-@query("road_stopped_vehicles", _STOPS + "SELECT * FROM stops")
+@query("road_stopped_vehicles", STOPS_SQL + "SELECT * FROM stops")
 def road_stopped_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return road.stopped_vehicles(TRAFFIC.frame(spark, sf_dir))
 
 
 # an accident begins where the number of standing vehicles, recounted at every instant, reaches two
 _ACCIDENTS = (
-    _STOPS
+    STOPS_SQL
     + """,
 instants AS (SELECT DISTINCT highway, position, segment, moment FROM (
     SELECT highway, position, segment, stopped_at AS moment FROM stops UNION ALL

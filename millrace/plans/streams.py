@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-
-from ..functions.aggregates import count, sum_of
-from ..operators.time_windows import window_aggregate
-from ..operators.windows import WindowSpec
+from pyspark.sql import functions as F
+
+from ..functions.aggregates import avg_of, count, sum_of
+from ..functions.udf import Aggregate
+from ..operators.joins import join_static, theta_join_time, window_join
+from ..operators.ranking import top_with_ties
+from ..operators.time_windows import panes_of, window_aggregate, windows_of_panes
+from ..operators.windows import MICROS, WindowSpec
 from ..session import shared_path
-from ..streaming.runner import replace_batch, run_batches, run_to_table, stream_table
+from ..streaming.runner import read_batches, replace_batch, run_batches, run_to_table, stream_table
+from ..streaming.state import row_windows_stream, stopped_vehicles_stream
 from . import sqltext as sql
 from .campaign import minutes
 from .registry import query
-from .views import CAMPAIGN, table, table_path
+from .roads import STOPS_SQL
+from .views import ADS, CAMPAIGN, EVENTS, TRAFFIC, View, table, table_path
 
 _HOURS = WindowSpec.tumbling(minutes(60))
 _KEYS = ["campaign_id"]
 
 
-def _stream(spark: SparkSession, path: str) -> DataFrame:
-    return CAMPAIGN.project(stream_table(spark, path))
+def _stream(spark: SparkSession, path: str, view: View = CAMPAIGN) -> DataFrame:
+    return view.project(stream_table(spark, path))
+
+
+def _events(spark: SparkSession, sf_dir: str, view: View = EVENTS, delay: str | None = None) -> DataFrame:
+    stream = _stream(spark, table_path(sf_dir, "events"), view)
+    return stream.withWatermark("ts", delay) if delay else stream
+
+
+def _run(stream: DataFrame) -> DataFrame:
+    spark = stream.sparkSession
+    return run_to_table(stream, shared_path(spark, "results"), shared_path(spark, "checkpoint"))
 
 
 def _closed(windows: str, delay: str, source: str = CAMPAIGN.sql) -> str:
@@ -35,9 +52,8 @@ _COUNTS = "count(*) AS n, " + sql.total("user_id", "total", "BIGINT")
 
 @query("stream_watermark_count", _closed(sql.tumbling(CAMPAIGN.sql, 60, _KEYS, _COUNTS), "'30 minutes'"))
 def stream_watermark_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _stream(spark, table_path(sf_dir, "events")).withWatermark("ts", "30 minutes")
-    windows = window_aggregate(stream, _HOURS, _KEYS, [count(), sum_of("user_id", "total")])
-    return run_to_table(windows, shared_path(spark, "windows"), shared_path(spark, "checkpoint"))
+    stream = _events(spark, sf_dir, CAMPAIGN, "30 minutes")
+    return _run(window_aggregate(stream, _HOURS, _KEYS, [count(), sum_of("user_id", "total")]))
 
 
 def _two_deliveries(spark: SparkSession, sf_dir: str, later: str, delay: str) -> DataFrame:
@@ -83,9 +99,9 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_foreach_batch", f"SELECT event_id, user_id, event_type FROM {CAMPAIGN.sql}")
 def sink_foreach_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "batches")
-    stream = _stream(spark, table_path(sf_dir, "events")).select("event_id", "user_id", "event_type")
+    stream = _events(spark, sf_dir).select("event_id", "user_id", "event_type")
     run_batches(stream, replace_batch(path), shared_path(spark, "checkpoint"))
-    return spark.read.parquet(path).select("event_id", "user_id", "event_type")
+    return read_batches(spark, path)
 
 
 _SLIDING = WindowSpec.sliding(minutes(60), minutes(10))
@@ -97,6 +113,127 @@ _SLIDING = WindowSpec.sliding(minutes(60), minutes(10))
 )
 def stream_sliding_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding windows of a stream from its panes: two chained aggregates."""
-    stream = _stream(spark, table_path(sf_dir, "events")).withWatermark("ts", "10 minutes")
-    windows = window_aggregate(stream, _SLIDING, ["event_code"], [count(), sum_of("user_id", "total")])
-    return run_to_table(windows, shared_path(spark, "windows"), shared_path(spark, "checkpoint"))
+    stream = _events(spark, sf_dir, CAMPAIGN, "10 minutes")
+    return _run(window_aggregate(stream, _SLIDING, ["event_code"], [count(), sum_of("user_id", "total")]))
+
+
+_LONG = WindowSpec.sliding(minutes(3600), minutes(1))
+_OPEN = f"(SELECT max(epoch_us(ts) // 1000) FROM {EVENTS.sql}) - epoch_us(INTERVAL '10 minutes') // 1000"
+
+
+@query(
+    "stream_long_windows",
+    sql.sliding(EVENTS.sql, 3600, 1, [], sql.average("value", "load"), f"(epoch_us(ts) // 60000000 + 1) * 60000 <= {_OPEN}"),
+)
+def stream_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3600/1: the stream appends closed panes to a table, the windows are merged from the table."""
+    aggs = [avg_of("value", "load")]
+    panes = _run(panes_of(_events(spark, sf_dir, delay="10 minutes"), _LONG, [], aggs))
+    return windows_of_panes(panes, _LONG, [], aggs, exact=True)
+
+
+_HOTTEST = sql.sliding(EVENTS.sql, 120, 30, ["user_id"], "count(*) AS n")
+
+
+@query(
+    "stream_hot_items",
+    _closed(
+        "SELECT window_start, window_end, user_id, n FROM (SELECT *, rank() OVER (PARTITION BY window_start ORDER BY n "
+        f"DESC) AS r FROM ({_HOTTEST})) WHERE r = 1",
+        "'30 minutes'",
+    ),
+)
+def stream_hot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The busiest users of each sliding window, ties included, as windows close."""
+    spec = WindowSpec.sliding(minutes(120), minutes(30))
+    counts = window_aggregate(_events(spark, sf_dir, delay="30 minutes"), spec, ["user_id"], [count()])
+    path = shared_path(spark, "hottest")
+    write = replace_batch(path, lambda closed: top_with_ties(closed, "n"))
+    run_batches(counts, write, shared_path(spark, "checkpoint"))
+    return read_batches(spark, path)
+
+
+@query(
+    "stream_session",
+    _closed(
+        "SELECT min(ts) AS window_start, max(ts) + INTERVAL 4 HOUR AS window_end, user_id, count(*) AS n FROM (SELECT *, "
+        "sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER "
+        "(PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 4 HOUR THEN 0 ELSE 1 END AS opens FROM "
+        f"{EVENTS.sql})) GROUP BY user_id, s",
+        "'1 hour'",
+    ),
+)
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = _events(spark, sf_dir, delay="1 hour")
+    return _run(window_aggregate(stream, WindowSpec.session(minutes(240)), ["user_id"], [count()]))
+
+
+def _side(spark: SparkSession, sf_dir: str, prefix: str, kind: str) -> DataFrame:
+    kept = _events(spark, sf_dir).filter(F.col("event_type") == kind)
+    renamed = kept.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("event_id", "ts", "user_id", "value")))
+    return renamed.withWatermark(f"{prefix}_ts", "1 hour")
+
+
+@query(
+    "stream_theta_join",
+    f"SELECT l.event_id AS l_event_id, r.event_id AS r_event_id FROM {EVENTS.sql} l JOIN {EVENTS.sql} r ON r.ts >= l.ts - "
+    "INTERVAL 40 MINUTE AND r.ts <= l.ts + INTERVAL 20 MINUTE AND l.value < r.value WHERE l.event_type = 'purchase' AND "
+    "r.event_type = 'view'",
+)
+def stream_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _side(spark, sf_dir, "l", "purchase"), _side(spark, sf_dir, "r", "view")
+    cheaper = F.col("l_value") < F.col("r_value")
+    pairs = theta_join_time(left, right, cheaper, 2400 * MICROS, 1200 * MICROS, "l_ts", "r_ts")
+    return _run(pairs.select("l_event_id", "r_event_id"))
+
+
+@query(
+    "stream_window_join",
+    f"SELECT l.event_id AS l_event_id, r.event_id AS r_event_id FROM {EVENTS.sql} l JOIN {EVENTS.sql} r ON l.user_id = "
+    "r.user_id AND epoch_us(l.ts) // 43200000000 = epoch_us(r.ts) // 43200000000 WHERE l.event_type = 'purchase' AND "
+    "r.event_type = 'view'",
+)
+def stream_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _side(spark, sf_dir, "l", "purchase"), _side(spark, sf_dir, "r", "view")
+    spec = WindowSpec.tumbling(minutes(12 * 60))
+    return _run(window_join(left, right, spec, [("l_user_id", "r_user_id")], "l_ts", "r_ts").select("l_event_id", "r_event_id"))
+
+
+@query(
+    "stream_static_join",
+    f"SELECT c.event_id, a.campaign_id FROM {CAMPAIGN.sql} c JOIN {ADS.sql} a ON c.ad_id = a.ad_id WHERE event_code = 0",
+)
+def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = _events(spark, sf_dir, CAMPAIGN).filter("event_code = 0").select("event_id", "ad_id")
+    return _run(join_static(stream, ADS.frame(spark, sf_dir), "ad_id").select("event_id", "campaign_id"))
+
+
+@query(
+    "stream_row_windows",
+    "SELECT event_type, i // 100 AS window_index, sum(user_id)::BIGINT AS total, max(user_id) AS high FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) "
+    f"AS rows FROM {EVENTS.sql}) WHERE (i // 100 + 1) * 100 <= rows GROUP BY 1, 2",
+)
+def stream_row_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 100 events of a type."""
+
+    def update(acc: tuple, rows: pd.DataFrame) -> tuple:
+        return (acc[0] + int(rows["user_id"].sum()), max(acc[1], int(rows["user_id"].max())))
+
+    agg = Aggregate(
+        create=lambda: (0, 0),
+        update=update,
+        merge=lambda a, b: (a[0] + b[0], max(a[1], b[1])),
+        finish=lambda a: a,
+        schema="total long, high long",
+    )
+    stream = _events(spark, sf_dir).select("event_type", "ts", "event_id", "user_id")
+    return _run(row_windows_stream(stream, ["event_type"], 100, agg, ["ts", "event_id"]))
+
+
+@query("stream_stopped_vehicles", STOPS_SQL + "SELECT vehicle, highway, position, segment, first_ts, stopped_at FROM stops")
+def stream_stopped_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops as they are detected; a later "cleared" row ends each of them."""
+    found = _run(stopped_vehicles_stream(_events(spark, sf_dir, TRAFFIC)))
+    stops = found.filter("kind = 'stopped'")
+    return stops.select("vehicle", "highway", "position", "segment", "first_ts", "stopped_at")

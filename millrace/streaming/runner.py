@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,10 +44,19 @@ def run_batches(
     """Hand each micro-batch of what is available to ``write(rows, batch_id)``.
 
     A batch may be handed over again after a failure: ``write`` should replace what it wrote for
-    the same id.
+    the same id. The rows are kept for the time of the call, so ``write`` may use them more than
+    once without running the stream's state again.
     """
+
+    def kept(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        try:
+            write(rows, batch)
+        finally:
+            rows.unpersist()
+
     query = (
-        stream.writeStream.foreachBatch(write)
+        stream.writeStream.foreachBatch(kept)
         .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -67,24 +76,35 @@ def _finish(query, timeout: float | None) -> None:
             query.stop()
 
 
-def replace_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``write`` that keeps each batch in its own folder, so that a repeated batch replaces itself."""
+def replace_batch(
+    path: str, transform: Callable[[DataFrame], DataFrame] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """A ``write`` that keeps each batch in its own folder, so that a repeated batch replaces itself.
+
+    ``transform`` is applied to the batch first, for instance ``top_with_ties`` to closed windows.
+    """
 
     def write(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        (transform(rows) if transform else rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return write
 
 
-def peek(df: DataFrame, name: str, **counters) -> DataFrame:
-    """Count rows as they pass (see ``Observation`` or the query's progress); rows are unchanged."""
-    from pyspark.sql import Observation
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches written by ``replace_batch``."""
+    return spark.read.parquet(path).drop("batch")
 
+
+def peek(df: DataFrame, name: str | Observation, **counters: Column) -> DataFrame:
+    """Count rows as they pass; rows are unchanged.
+
+    A stream reports the counts under ``name`` in its progress; a table fills an ``Observation``.
+    """
     measures = [F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in counters.items())]
-    return df.observe(name if df.isStreaming else Observation(name), *measures)
+    return df.observe(name, *measures)
 
 
-def shared_queries(df: DataFrame, predicates: dict[str, "F.Column"], keep: Sequence[str]) -> DataFrame:
+def shared_queries(df: DataFrame, predicates: dict[str, Column], keep: Sequence[str]) -> DataFrame:
     """One pass for many queries: each row is emitted once per query whose predicate it meets.
 
     The result has ``query_id`` and the ``keep`` columns; group by ``query_id`` as well as the keys.

@@ -19,9 +19,10 @@ def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def plain(value):
+    """The value with its type, so that 5 and 5.0 differ; doubles to nine digits."""
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else float(f"{value:.9g}") + 0.0
-    return value
+        value = "nan" if math.isnan(value) else float(f"{value:.9g}") + 0.0
+    return type(value).__name__, value
 
 
 def rows_of(columns, rows):
