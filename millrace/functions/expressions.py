@@ -33,9 +33,13 @@ def project_at(df: DataFrame, positions: Sequence[int]) -> DataFrame:
 
 
 def hash_bucket(value: str | Column, factor: int, offset: int, buckets: int) -> Column:
-    """A linear hash of a whole number into ``buckets`` classes, never negative."""
+    """A linear hash of a whole number into ``buckets`` classes, never negative.
+
+    The value is reduced first, so the product cannot overflow.
+    """
     column = F.col(value) if isinstance(value, str) else value
-    return F.pmod(column * factor + offset, F.lit(buckets))
+    classes = F.lit(buckets)
+    return F.pmod(F.pmod(column, classes) * (factor % buckets) + offset % buckets, classes)
 
 
 def composite_key(*parts: str) -> Column:

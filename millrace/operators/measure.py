@@ -58,7 +58,8 @@ def latency(df: DataFrame, value: str | Column, percentiles: Sequence[int] = PER
     measured = df.select((F.col(value) if isinstance(value, str) else value).alias("_v")).filter("_v IS NOT NULL")
     folded = measured.groupBy("_v").agg(F.count(F.lit(1)).alias("_rows"))
     ranked = running_totals(folded, ["_v"], {"_rank": F.col("_rows")})
-    n = folded.agg(F.sum("_rows")).scalar()
+    ranked = ranked.withColumn("_n", ranked.agg(F.max("_rank")).scalar())
+    n = F.col("_n")
 
     def at_rank(rank: Column) -> Column:
         return F.min(F.when(F.col("_rank") >= rank, F.col("_v")))
@@ -90,8 +91,9 @@ def log_rates(lines: DataFrame, by_query: bool = False) -> DataFrame:
     )
     for name in keys:
         parsed = parsed.filter(F.col(name) != "")
+    # the mean comes first: the total below then needs the same partial sums and shares the shuffle
     means = parsed.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("entries"), (F.sum("_rate").cast("double") / F.count(F.lit(1))).alias("mean_rate")
+        (F.sum("_rate").cast("double") / F.count(F.lit(1))).alias("mean_rate"), F.count(F.lit(1)).alias("entries")
     )
     total = means.agg(F.sum(F.col("mean_rate").cast("decimal(28,6)")).cast("double")).scalar()
     return means.select(*keys, "entries", "mean_rate", total.alias("sum_of_means"))

@@ -54,7 +54,8 @@ def windows_from_panes(
     spans = panes.withColumn("_first", floor_div(F.col(pane) - size, slide) + 1).withColumn(
         "_last", floor_div(F.col(pane), slide)
     )
-    spans = spans.filter("_first <= _last")
+    if slide > size:
+        spans = spans.filter("_first <= _last")
     if size == slide == 1:
         return spans.withColumn(window, F.col("_last")).drop("_first", "_last", pane)
     merges = [F.sum(ROWS).alias(ROWS), *(p.merge() for a in aggs for p in a.partials())]
@@ -127,16 +128,15 @@ def _from_blocks(
     # windows that hold the whole block: they end at or after its end and start at or before it
     whole_first, whole_last = floor_div(base + block - size - 1, slide) + 1, floor_div(base, slide)
     based = panes.withColumn("_base", base).withColumn("_lo", whole_first).withColumn("_hi", whole_last)
-    blocks = (
-        based.filter("_lo <= _hi")
-        .groupBy(*keys, "_lo", "_hi", "_base")
-        .agg(*merges)
-        .select(*keys, *partials, F.explode(F.sequence("_lo", "_hi")).alias(window))
-    )
 
     def run(lo: Column, hi: Column) -> Column:
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
 
+    blocks = (
+        based.groupBy(*keys, "_lo", "_hi", "_base")
+        .agg(*merges)
+        .select(*keys, *partials, F.explode(run(F.col("_lo"), F.col("_hi"))).alias(window))
+    )
     first, last, low, high = (F.col(c) for c in ("_first", "_last", "_lo", "_hi"))
     singles = F.when(low > high, run(first, last)).otherwise(F.concat(run(first, low - 1), run(high + 1, last)))
     edges = based.select(*keys, *partials, F.explode(singles).alias(window))

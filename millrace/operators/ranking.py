@@ -24,6 +24,7 @@ def top_with_ties(results: DataFrame, value: str, within: Sequence[str] = ("wind
     best = results.groupBy(*within).agg(F.max(value).alias(value))
     spread = best.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     rest = [c for c in results.columns if c not in within and c != value]
-    share = F.pmod(F.xxhash64(*rest), F.lit(SHARES)).cast("int") if rest else F.lit(0)
+    # never null, so that no null test on it separates the two uses of ``results`` in the plan
+    share = F.coalesce(F.pmod(F.xxhash64(*rest), F.lit(SHARES)).cast("int"), F.lit(0)) if rest else F.lit(0)
     tagged = results.withColumn("_share", share)
     return tagged.join(spread, [*within, value, "_share"], "left_semi").select(*results.columns)

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import count, sum_of
-from .order import with_chunks, with_row_index
+from ..functions.expressions import int_div
+from .order import running_totals, with_chunks, with_row_index
 from .time_windows import window_aggregate
 from .windows import WindowSpec, floor_div
 
 STOP_REPORTS = 4
 CHUNK_ROWS = 100_000
+_AFTER_ALL = "9999-01-01"
 
 
 def stopped_vehicles(reports: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -67,20 +69,23 @@ def accidents(stops: DataFrame) -> DataFrame:
     """Spans of time in which at least two vehicles stand at one (highway, position).
 
     Stops become +1 and -1 marks and a running count finds the spans, so vehicles at one place are
-    never paired with each other. Stops are few compared with reports: each needs four of them.
+    never paired with each other. The count runs over all places in one order: every place ends at
+    zero, as stops that never end get a mark after all times. That way a place with most of the
+    stops is cut like any other stretch of the order.
     """
     place = ["highway", "position", "segment"]
-    end = F.when(F.col("cleared_at").isNotNull(), F.struct(F.col("cleared_at").alias("at"), F.lit(-1).alias("step")))
+    never = F.lit(_AFTER_ALL).cast("timestamp")
     start = F.struct(F.col("stopped_at").alias("at"), F.lit(1).alias("step"))
-    marks = stops.select(*place, F.inline(F.array_compact(F.array(start, end))))
+    end = F.struct(F.coalesce("cleared_at", never).alias("at"), F.lit(-1).alias("step"))
+    marks = stops.select(*place, F.inline(F.array(start, end)))
     # one mark per instant: who leaves and who arrives at once cancel out
     marks = marks.groupBy(*place, "at").agg(F.sum("step").alias("step")).filter("step != 0")
-    ordered = Window.partitionBy(*place).orderBy("at")
-    standing = F.sum("step").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    counted = marks.withColumn("_now", standing).withColumn("_before", F.col("_now") - F.col("step"))
-    turns = counted.filter((F.col("_now") >= 2) != (F.col("_before") >= 2))
-    spans = turns.withColumn("ended_at", F.lead("at").over(ordered)).filter(F.col("_now") >= 2)
-    return spans.select(*place, F.col("at").alias("started_at"), "ended_at")
+    counted = running_totals(marks, [*place, "at"], {"_now": F.col("step")})
+    turns = counted.filter((F.col("_now") >= 2) != (F.col("_now") - F.col("step") >= 2))
+    # begin and end take turns within every place, so each pair has neighbouring numbers
+    paired = with_row_index(turns, [*place, "at"]).groupBy(*place, int_div("row_index", 2).alias("_pair"))
+    spans = paired.agg(F.min("at").alias("started_at"), F.max("at").alias("_until"))
+    return spans.select(*place, "started_at", F.when(F.col("_until") < never, F.col("_until")).alias("ended_at"))
 
 
 def segment_averages(reports: DataFrame, every: WindowSpec, keys: Sequence[str] = ("highway", "segment")) -> DataFrame:

@@ -69,7 +69,7 @@ def panes_of(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg],
     from that table: the state of the stream holds open panes only.
     """
     if not df.isStreaming:
-        return pane_aggregate(df, time_slot(ts, spec.pane), keys, aggs, PANE)
+        return pane_aggregate(df.filter(F.col(ts).isNotNull()), time_slot(ts, spec.pane), keys, aggs, PANE)
     folds = [p.fold.alias(p.name) for a in aggs for p in a.partials()]
     slices = df.groupBy(F.window(ts, interval(spec.pane)), *keys).agg(F.count(F.lit(1)).alias(ROWS), *folds)
     slot = floor_div(F.unix_micros("window.start"), spec.pane).alias(PANE)
@@ -148,8 +148,8 @@ def shared_windows(
     if not all(a.invertible(df) for a in aggs):
         return _shared_inexact(df, specs, keys, aggs, ts)
     pane = math.gcd(*(n for s in specs.values() for n in (s.size, s.slide)))
-    panes = pane_aggregate(df, time_slot(ts, pane), keys, aggs, "_pane")
-    position = F.col("_pane")
+    panes = pane_aggregate(df.filter(F.col(ts).isNotNull()), time_slot(ts, pane), keys, aggs, PANE)
+    position = F.col(PANE)
     choices = F.array(
         *(
             F.struct(
@@ -176,10 +176,10 @@ def _shared_inexact(
 ) -> DataFrame:
     """As above for min, max and floating sums: shared panes, merged once per definition."""
     pane = math.gcd(*(n for s in specs.values() for n in (s.size, s.slide)))
-    panes = pane_aggregate(df, time_slot(ts, pane), keys, aggs, "_pane")
+    panes = pane_aggregate(df.filter(F.col(ts).isNotNull()), time_slot(ts, pane), keys, aggs, PANE)
     parts = []
     for name, s in specs.items():
-        merged = windows_from_panes(panes, keys, "_pane", aggs, s.size // pane, s.slide // pane, False)
+        merged = windows_from_panes(panes, keys, PANE, aggs, s.size // pane, s.slide // pane, False)
         start = F.col("window_index") * s.slide
         parts.append(
             merged.select(
@@ -207,12 +207,13 @@ def fill_gaps(
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     following = (
         numbered.groupBy(*keys, "_chunk")
-        .agg(F.min("_index").alias("_opens"))
-        .select(*keys, "_chunk", F.lead("_opens").over(by_chunk).alias("_later"))
+        # whole rows, so that both uses of the windows need the same columns and share one shuffle
+        .agg(F.min(F.struct("_index", *windows.columns)).alias("_opens"))
+        .select(*keys, "_chunk", F.lead("_opens._index").over(by_chunk).alias("_later"))
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy("_index")
     linked = numbered.withColumn("_next", F.lead("_index").over(inside)).alias("w")
-    same = F.col("w._chunk") == F.col("f._chunk")
+    same = F.col("w._chunk").eqNullSafe(F.col("f._chunk"))
     for key in keys:
         same &= F.col(f"w.{key}").eqNullSafe(F.col(f"f.{key}"))
     until = F.coalesce(F.col("w._next"), F.col("f._later"), F.col("w._index") + 1) - 1

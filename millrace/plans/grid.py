@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import avg_of, count
-from ..operators.time_windows import window_aggregate
+from ..operators.panes import partial_names
+from ..operators.time_windows import PANE, panes_of, window_aggregate, windows_of_panes
 from ..operators.windows import WindowSpec
 from . import sqltext as sql
 from .campaign import minutes
@@ -51,8 +52,14 @@ def grid_household_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") g ON l.window_start = g.window_start WHERE g.global_load < l.local_load",
 )
 def grid_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plugs whose average lies above the global average of the same window."""
-    grid = GRID.frame(spark, sf_dir)
-    overall = window_aggregate(grid, _LOCAL, [], [avg_of("value", "global_load")]).drop("window_end")
-    local = window_aggregate(grid, _LOCAL, PLUG, [avg_of("value", "local_load"), count()])
-    return local.join(overall, "window_start").filter(F.col("global_load") < F.col("local_load"))
+    """Plugs whose average lies above the global average of the same window.
+
+    The events are read once: the global panes are merged from the panes of the plugs.
+    """
+    local_aggs, global_aggs = [avg_of("value", "local_load"), count()], [avg_of("value", "global_load")]
+    panes = panes_of(GRID.frame(spark, sf_dir), _LOCAL, PLUG, [*local_aggs, *global_aggs])
+    merges = [F.sum(c).alias(c) for c in partial_names(global_aggs)]
+    overall = windows_of_panes(panes.groupBy(PANE).agg(*merges), _LOCAL, [], global_aggs, exact=True)
+    local = windows_of_panes(panes, _LOCAL, PLUG, local_aggs, exact=True)
+    joined = local.join(overall.drop("window_end"), "window_start")
+    return joined.filter(F.col("global_load") < F.col("local_load"))

@@ -24,15 +24,17 @@ class View:
     columns: dict[str, str]
 
     def project(self, df: DataFrame) -> DataFrame:
-        return df.selectExpr(*(f"{expr} AS {name}" for name, expr in self.columns.items()))
+        return df.selectExpr(*self._columns())
+
+    def _columns(self) -> list[str]:
+        return [name if expr == name else f"{expr} AS {name}" for name, expr in self.columns.items()]
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return self.project(table(spark, sf_dir, self.source))
 
     @property
     def sql(self) -> str:
-        columns = ", ".join(f"{expr} AS {name}" for name, expr in self.columns.items())
-        return f"(SELECT {columns} FROM {self.source})"
+        return f"(SELECT {', '.join(self._columns())} FROM {self.source})"
 
 
 _TIME = "CAST(ts AS TIMESTAMP)"
