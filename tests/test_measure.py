@@ -14,11 +14,11 @@ def line(worker, rate, query):
 def test_log_rates(spark):
     lines = [line(0, 10.0, 1), line(0, 20.0, 2), line(3, 5.5, 1), ("Worker: 9 started",), ("",), ("That's all",)]
     df = spark.createDataFrame(lines, "value STRING")
-    assert sorted(map(tuple, log_rates(df).collect())) == [("0", 2, 15.0, 20.5), ("3", 1, 5.5, 20.5)]
+    assert sorted(map(tuple, log_rates(df).collect())) == [("0", 15.0, 2, 20.5), ("3", 5.5, 1, 20.5)]
     assert sorted(map(tuple, log_rates(df, by_query=True).collect())) == [
-        ("0", "1", 1, 10.0, 35.5),
-        ("0", "2", 1, 20.0, 35.5),
-        ("3", "1", 1, 5.5, 35.5),
+        ("0", "1", 10.0, 1, 35.5),
+        ("0", "2", 20.0, 1, 35.5),
+        ("3", "1", 5.5, 1, 35.5),
     ]
 
 
