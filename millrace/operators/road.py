@@ -38,19 +38,16 @@ def stopped_vehicles(reports: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFr
     chunks = with_chunks(indexed, "row_index", chunk_rows, STOP_REPORTS)
     local = Window.partitionBy("vehicle", "_chunk").orderBy("row_index")
 
-    def held(back: int):
-        """The report ``back`` rows ago kept the place of the one before it, both standing."""
-        same = F.lag("speed", back).over(local) == 0
-        same &= F.lag("speed", back + 1).over(local) == 0
-        for c in place:
-            same &= F.lag(c, back).over(local) == F.lag(c, back + 1).over(local)
-        return F.coalesce(same, F.lit(False))
-
-    marked = chunks.select(
-        "*",
-        held(0).alias("_held"),
-        (held(0) & held(1) & held(2) & ~held(3)).alias("_fourth"),
-        F.lag("ts", STOP_REPORTS - 1).over(local).alias("first_ts"),
+    # the report kept the place of the one before it, both standing
+    same = (F.col("speed") == 0) & (F.lag("speed").over(local) == 0)
+    for c in place:
+        same &= F.lag(c).over(local) == F.col(c)
+    held = [F.col("_held"), *(F.lag("_held", back).over(local) for back in range(1, STOP_REPORTS))]
+    fourth = ~F.coalesce(held.pop(), F.lit(False))
+    for earlier in held:
+        fourth &= F.coalesce(earlier, F.lit(False))
+    marked = chunks.withColumn("_held", F.coalesce(same, F.lit(False))).select(
+        "*", fourth.alias("_fourth"), F.lag("ts", STOP_REPORTS - 1).over(local).alias("first_ts")
     )
     kind = F.when(F.col("_fourth"), "stop").when(~F.col("_held"), "move")
     events = marked.filter(~F.col("_halo")).withColumn("_kind", kind).filter(F.col("_kind").isNotNull())
