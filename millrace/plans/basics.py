@@ -133,7 +133,7 @@ def join_selectivity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_selectivity(left, right, cheaper, 2400 * MICROS, 1200 * MICROS, "l_ts", "r_ts")
 
 
-def _row_join_sql(left: str, right: str, left_rows: int, right_rows: int, condition: str) -> str:
+def row_join_sql(left: str, right: str, left_rows: int, right_rows: int, condition: str) -> str:
     upto = "OVER (ORDER BY ts, event_id)"
     both = (
         f"SELECT *, count(*) FILTER (event_type = '{left}') {upto} AS lefts, count(*) FILTER (event_type = '{right}') "
@@ -146,21 +146,21 @@ def _row_join_sql(left: str, right: str, left_rows: int, right_rows: int, condit
     )
 
 
-_ARRIVAL = [("l_ts", "r_ts"), ("l_event_id", "r_event_id")]
+ARRIVAL = [("l_ts", "r_ts"), ("l_event_id", "r_event_id")]
 
 
-@query("join_theta_rows", _row_join_sql("purchase", "click", 6, 9, "l.value > r.value"))
+@query("join_theta_rows", row_join_sql("purchase", "click", 6, 9, "l.value > r.value"))
 def join_theta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _frame(spark, sf_dir, "l", "purchase"), _frame(spark, sf_dir, "r", "click")
     dearer = F.col("l_value") > F.col("r_value")
-    return theta_join_rows(left, right, dearer, 6, 9, _ARRIVAL).select("l_event_id", "r_event_id")
+    return theta_join_rows(left, right, dearer, 6, 9, ARRIVAL).select("l_event_id", "r_event_id")
 
 
-@query("join_equi_rows", _row_join_sql("view", "click", 1024, 1024, "l.user_id = r.user_id"))
+@query("join_equi_rows", row_join_sql("view", "click", 1024, 1024, "l.user_id = r.user_id"))
 def join_equi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _frame(spark, sf_dir, "l", "view"), _frame(spark, sf_dir, "r", "click")
     same = [("l_user_id", "r_user_id")]
-    return theta_join_rows(left, right, F.lit(True), 1024, 1024, _ARRIVAL, on=same).select("l_event_id", "r_event_id")
+    return theta_join_rows(left, right, F.lit(True), 1024, 1024, ARRIVAL, on=same).select("l_event_id", "r_event_id")
 
 
 # aggregates

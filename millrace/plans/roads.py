@@ -88,7 +88,7 @@ def road_stopped_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # an accident begins where the number of standing vehicles, recounted at every instant, reaches two
-_ACCIDENTS = (
+ACCIDENTS_SQL = (
     STOPS_SQL
     + """,
 instants AS (SELECT DISTINCT highway, position, segment, moment FROM (
@@ -105,7 +105,7 @@ accidents AS (SELECT highway, position, segment, moment AS started_at, ended_at
 )
 
 
-@query("road_accidents", _ACCIDENTS + "SELECT * FROM accidents")
+@query("road_accidents", ACCIDENTS_SQL + "SELECT * FROM accidents")
 def road_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return road.accidents(road.stopped_vehicles(TRAFFIC.frame(spark, sf_dir)))
 
@@ -126,7 +126,7 @@ def road_segment_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "road_tolls",
-    _ACCIDENTS
+    ACCIDENTS_SQL
     + f", averages AS ({_averages(TRAFFIC.sql, 300)}) SELECT a.*, CASE WHEN EXISTS (SELECT 1 FROM accidents x WHERE "
     "x.highway = a.highway AND x.segment = a.segment AND x.started_at < a.window_end AND (x.ended_at IS NULL OR "
     "x.ended_at > a.window_start)) THEN 0.0 ELSE CAST(4 * reports * reports AS DOUBLE) END AS toll FROM averages a "

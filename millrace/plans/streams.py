@@ -14,11 +14,13 @@ from ..operators.time_windows import panes_of, window_aggregate, windows_of_pane
 from ..operators.windows import MICROS, WindowSpec
 from ..session import shared_path
 from ..streaming.runner import read_batches, replace_batch, run_batches, run_to_table, stream_table
-from ..streaming.state import row_windows_stream, stopped_vehicles_stream
+from ..streaming.row_join import row_join_batches
+from ..streaming.state import accidents_stream, row_windows_stream, stopped_vehicles_stream
 from . import sqltext as sql
+from .basics import ARRIVAL, row_join_sql
 from .campaign import minutes
 from .registry import query
-from .roads import STOPS_SQL
+from .roads import ACCIDENTS_SQL, STOPS_SQL
 from .views import ADS, CAMPAIGN, EVENTS, TRAFFIC, View, table, table_path
 
 _HOURS = WindowSpec.tumbling(minutes(60))
@@ -237,3 +239,36 @@ def stream_stopped_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _run(stopped_vehicles_stream(_events(spark, sf_dir, TRAFFIC)))
     stops = found.filter("kind = 'stopped'")
     return stops.select("vehicle", "highway", "position", "segment", "first_ts", "stopped_at")
+
+
+@query(
+    "stream_accidents",
+    ACCIDENTS_SQL
+    + "SELECT highway, position, 'started' AS kind, started_at AS at FROM accidents UNION ALL "
+    "SELECT highway, position, 'ended', ended_at FROM accidents WHERE ended_at IS NOT NULL",
+)
+def stream_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream detects stops and appends them to a table; a second one follows that table."""
+    stops_path = shared_path(spark, "stops")
+    stops = run_to_table(
+        stopped_vehicles_stream(_events(spark, sf_dir, TRAFFIC)), stops_path, shared_path(spark, "checkpoint")
+    )
+    follow = spark.readStream.schema(stops.schema).parquet(stops_path)
+    return _run(accidents_stream(follow)).select("highway", "position", "kind", "at")
+
+
+@query("stream_row_join", row_join_sql("purchase", "click", 6, 9, "l.value > r.value"))
+def stream_row_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last rows of either side, carried from batch to batch."""
+
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        parts = []
+        for prefix, kind in (("l", "purchase"), ("r", "click")):
+            kept = rows.filter(F.col("event_type") == kind)
+            parts.append(kept.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("ts", "event_id", "value"))))
+        return parts[0], parts[1]
+
+    path = shared_path(spark, "row-join")
+    write = row_join_batches(path, sides, F.col("l_value") > F.col("r_value"), 6, 9, ARRIVAL)
+    run_batches(_events(spark, sf_dir), write, shared_path(spark, "checkpoint"))
+    return read_batches(spark, f"{path}/pairs").select("l_event_id", "r_event_id")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def stream_table(spark: SparkSession, path: str, schema: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -17,20 +18,19 @@ def stream_table(spark: SparkSession, path: str, schema: str | None = None, file
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
+def start_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start a stream that appends what is available to the Parquet files under ``path``."""
+    writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    return writer.option("checkpointLocation", checkpoint).start(path)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, timeout: float | None = None) -> DataFrame:
     """Process what is available in append mode, then return the table written so far.
 
     The file sink records its batches, so a run that starts again from the checkpoint neither loses
     nor repeats rows.
     """
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
-    _finish(query, timeout)
+    _finish(start_to_table(stream, path, checkpoint), timeout)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
@@ -65,7 +65,7 @@ def run_batches(
     _finish(query, timeout)
 
 
-def _finish(query, timeout: float | None) -> None:
+def _finish(query: StreamingQuery, timeout: float | None) -> None:
     try:
         if timeout is None:
             query.awaitTermination()
@@ -90,6 +90,11 @@ def replace_batch(
     return write
 
 
+def progress_rates(query: StreamingQuery) -> list[tuple[int, int, float]]:
+    """(batch, rows, rows per second) of the recent micro-batches of a running or finished stream."""
+    return [(p.batchId, p.numInputRows, p.processedRowsPerSecond) for p in query.recentProgress]
+
+
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     """All batches written by ``replace_batch``."""
     return spark.read.parquet(path).drop("batch")

@@ -93,3 +93,41 @@ def stopped_vehicles_stream(reports: DataFrame) -> DataFrame:
         "append",
         GroupStateTimeout.NoTimeout,
     )
+
+
+_ACCIDENT_EVENTS = "highway LONG, position LONG, kind STRING, segment LONG, at TIMESTAMP, standing INT"
+
+
+def accidents_stream(stops: DataFrame) -> DataFrame:
+    """Follow the rows of ``stopped_vehicles_stream`` per place and report accidents.
+
+    A "started" row comes when a second vehicle stands at a place, an "ended" row when fewer than
+    two are left. The state of a place is the number of vehicles standing there. At one instant,
+    those who leave and those who arrive count together.
+    """
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (standing,) = state.get if state.exists else (0,)
+        rows = pd.concat(list(batches))
+        leaving = rows["kind"] == "cleared"
+        steps = pd.DataFrame(
+            {
+                "at": rows["cleared_at"].where(leaving, rows["stopped_at"]),
+                "step": leaving.map({True: -1, False: 1}),
+                "segment": rows["segment"],
+            }
+        )
+        out = []
+        for at, group in steps.groupby("at", sort=True):
+            before, standing = standing, standing + int(group["step"].sum())
+            if (before >= 2) != (standing >= 2):
+                kind = "started" if standing >= 2 else "ended"
+                out.append((*key, kind, int(group["segment"].iloc[0]), at, standing))
+        state.update((standing,))
+        frame = pd.DataFrame(out, columns=[part.split()[0] for part in _ACCIDENT_EVENTS.split(", ")])
+        frame["at"] = pd.to_datetime(frame["at"])
+        yield frame
+
+    return stops.groupBy("highway", "position").applyInPandasWithState(
+        advance, _ACCIDENT_EVENTS, "standing INT", "append", GroupStateTimeout.NoTimeout
+    )

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from millrace.functions.aggregates import count, max_of, sum_of
 from millrace.functions.udf import Aggregate
 from millrace.operators.ranking import top_with_ties
-from millrace.operators.road import stopped_vehicles
+from millrace.operators.joins import theta_join_rows
+from millrace.operators.road import accidents, stopped_vehicles
 from millrace.operators.time_windows import window_aggregate
 from millrace.operators.windows import WindowSpec
 from millrace.plans.views import EVENTS, TRAFFIC
 from millrace.streaming.runner import (
-    peek, read_batches, replace_batch, run_batches, run_to_table, shared_queries, stream_table,
+    peek, progress_rates, read_batches, replace_batch, run_batches, run_to_table, shared_queries, start_to_table,
+    stream_table,
 )
-from millrace.streaming.state import row_windows_stream, stopped_vehicles_stream
+from millrace.streaming.row_join import row_join_batches
+from millrace.streaming.state import accidents_stream, row_windows_stream, stopped_vehicles_stream
 
 
 @pytest.fixture
@@ -108,3 +111,56 @@ def test_peek_counts_without_changing_rows(spark):
     seen = Observation("seen")
     assert peek(spark.range(5), seen, even=F.count(F.when(F.col("id") % 2 == 0, 1))).count() == 5
     assert seen.get == {"rows": 5, "even": 3}
+
+
+def test_accidents_stream(spark, tmp_path):
+    """Vehicles 1 and 2 stand together; 3 joins as 1 leaves; the table form finds the same span."""
+    report = "ts LONG, report_id LONG, vehicle LONG, speed LONG, highway LONG, position LONG, segment LONG"
+    stands = {1: (0, 300), 2: (60, 600), 3: (210, 500)}
+    rows = [
+        (t, v * 10_000 + t, v, 0 if a <= t < b else 9, 1, 100 if a <= t < b else 500 + t, 1)
+        for v, (a, b) in stands.items()
+        for t in range(0, 700, 30)
+    ]
+    table = spark.createDataFrame(rows, report).withColumn("ts", F.timestamp_seconds("ts"))
+    found = None
+    for low, high in ((0, 200), (200, 400), (400, 900)):
+        part = table.filter((F.unix_seconds("ts") >= low) & (F.unix_seconds("ts") < high))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        reports = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+        stops = run_to_table(stopped_vehicles_stream(reports), str(tmp_path / "stops"), str(tmp_path / "cp1"))
+        events = spark.readStream.schema(stops.schema).parquet(str(tmp_path / "stops"))
+        found = run_to_table(accidents_stream(events), str(tmp_path / "out"), str(tmp_path / "cp2"))
+    spans = accidents(stopped_vehicles(table))
+    started, ended = (seconds(spans.select(F.col(c).alias("at"))) for c in ("started_at", "ended_at"))
+    assert len(started) == 1
+    assert seconds(found.filter("kind = 'started'").select("at")) == started
+    assert seconds(found.filter("kind = 'ended'").select("at")) == ended
+
+
+def test_row_join_of_streams(spark, sf_dir, tmp_path):
+    def sides(rows):
+        parts = []
+        for prefix, kind in (("l", "purchase"), ("r", "click")):
+            part = rows.filter(F.col("event_type") == kind)
+            parts.append(part.select(*(F.col(c).alias(f"{prefix}_{c}") for c in ("ts", "event_id", "value"))))
+        return tuple(parts)
+
+    dearer, order = F.col("l_value") > F.col("r_value"), [("l_ts", "r_ts"), ("l_event_id", "r_event_id")]
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for low, high in ((0, 300), (300, 305), (305, 10**9)):
+        part = events.filter((F.col("event_id") >= low) & (F.col("event_id") < high))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        write = row_join_batches(str(tmp_path / "out"), sides, dearer, 5, 8, order)
+        run_batches(EVENTS.project(stream_table(spark, str(tmp_path / "in"))), write, str(tmp_path / "cp"))
+    found = read_batches(spark, str(tmp_path / "out" / "pairs"))
+    expected = theta_join_rows(*sides(EVENTS.project(events)), dearer, 5, 8, order)
+    assert seconds(found, "l_event_id", "r_event_id") == seconds(expected, "l_event_id", "r_event_id")
+
+
+def test_rates_of_a_stream(spark, sf_dir, tmp_path):
+    stream = stream_table(spark, f"{sf_dir}/events.parquet").select("event_id")
+    query = start_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert query.awaitTermination(60)
+    rates = progress_rates(query)
+    assert sum(rows for _, rows, _ in rates) == EVENTS.frame(spark, sf_dir).count()
