@@ -95,7 +95,7 @@ def log_rates(lines: DataFrame, by_query: bool = False) -> DataFrame:
     means = parsed.groupBy(*keys).agg(
         (F.sum("_rate").cast("double") / F.count(F.lit(1))).alias("mean_rate"), F.count(F.lit(1)).alias("entries")
     )
-    total = means.agg(F.sum(F.col("mean_rate").cast("decimal(28,6)")).cast("double")).scalar()
+    total = means.agg(F.sum(F.col("mean_rate").cast("decimal(38,9)")).cast("double")).scalar()
     return means.select(*keys, "mean_rate", "entries", total.alias("sum_of_means"))
 
 

@@ -65,7 +65,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log_sql(keys: str) -> str:
     return (
-        f"SELECT *, CAST(sum(mean_rate) OVER () AS DOUBLE) AS sum_of_means FROM (SELECT {keys}, count(*) AS entries, "
+        f"SELECT *, CAST(sum(CAST(mean_rate AS DECIMAL(38,9))) OVER () AS DOUBLE) AS sum_of_means FROM (SELECT {keys}, count(*) AS entries, "
         f"CAST(sum(rate) AS DOUBLE) / count(*) AS mean_rate FROM {_LOGS.sql} WHERE kind <> 'error' GROUP BY ALL)"
     )
 
