@@ -13,7 +13,7 @@ def plan(df, final=False):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-BATCH = sorted(n for n in entry.queries() if not n.startswith(("stream_", "sink_", "src_")))
+BATCH = sorted(n for n in set(entry.queries()) - set(entry.LLM_QUERIES) if not n.startswith(("stream_", "sink_", "src_")))
 
 
 @pytest.mark.parametrize("name", BATCH)
