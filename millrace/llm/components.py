@@ -7,6 +7,7 @@ partial aggregation and of splitting a skewed join. Rounds are cut by tables in
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,17 @@ def components(edges: DataFrame) -> DataFrame:
         if sources.filter("_n > 1").isEmpty() and chained.isEmpty():
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
         stars = stage(_small_star(_large_star(stars)), "stars")
+
+
+def merge_links(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Join the local components of linked positions; ``parent`` leads every position to the first of its component."""
+    while len(left):
+        a, b = parent[left], parent[right]
+        apart = a != b
+        if not apart.any():
+            break
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(parent, further := parent[parent]):
+            parent = further
+    return parent

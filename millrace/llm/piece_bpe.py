@@ -29,8 +29,8 @@ from .common import fresh, small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model format
-CACHED_LENGTH, CACHED_SEGMENTS = 40, 400_000
-CACHED_PAIRS = 500_000
+CACHED_LENGTH, CACHED_SEGMENTS = 40, 300_000
+CACHED_PAIRS = 300_000
 # a run of space marks with what follows it, up to the next mark
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fresh, stage, text_rows
-from .components import components
+from .components import components, merge_links
 
 SEED, WORDS, DISTANCE = 42, 3, 3
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -82,16 +82,7 @@ def chain_survivors(left: np.ndarray, right: np.ndarray, segment: np.ndarray, di
 
 def _forest(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from nodes to the first node of their component, for links given as positions."""
-    parent = np.arange(len(nodes))
-    while len(left):
-        a, b = parent[left], parent[right]
-        apart = a != b
-        if not apart.any():
-            break
-        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(parent, further := parent[parent]):
-            parent = further
+    parent = merge_links(np.arange(len(nodes)), left, right)
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[moved], nodes[parent[moved]]
 
