@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, knn_quality, mixture, piece_bpe, simhash, topk
+from . import cover_tree, knn_quality, mixture, piece_bpe, preference, simhash, topk, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,3 +157,72 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all vectors for every fiftieth id."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+WARC_SQL = """
+WITH known AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+sized AS (SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM known),
+last AS (SELECT *, max(CASE WHEN payload_bytes >= 1000 THEN page_id END) OVER (PARTITION BY payload_digest) AS top FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top AND top IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM last
+"""
+
+
+@query("op2_warc_salvage", WARC_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page from the archives that were written of them."""
+    parts = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(parts, with_payload=False).filter("reason is null")
+    return records.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def _completion_sql(turns: str) -> str:
+    """Text and mask of turns (pair_id, turn, role, text) after the parting."""
+    return f"""
+SELECT pair_id, string_agg(piece, '' ORDER BY turn) AS completion,
+    string_agg(CASE WHEN role = 'assistant' THEN (e - length(text) - 11)::VARCHAR || '-' || e::VARCHAR END, ' ' ORDER BY turn) AS mask
+FROM (SELECT *, sum(length(piece)) OVER (PARTITION BY pair_id ORDER BY turn) AS e
+    FROM (SELECT *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS piece FROM {turns})) GROUP BY pair_id"""
+
+
+PAIR_SQL = f"""
+WITH known AS (SELECT conv_id AS pair_id, turn, min({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}) AS t FROM conversations
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+one AS (SELECT pair_id, turn, t.role AS role, t.text AS text FROM known),
+raw AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+replies AS (SELECT pair_id, max({{'turn': turn, 'text': text}}) AS r FROM raw WHERE role = 'assistant' GROUP BY 1),
+two AS (SELECT pair_id, turn, min({{'role': role, 'text': text}}) AS t FROM (
+    SELECT raw.* FROM raw LEFT JOIN replies USING (pair_id) WHERE coalesce(turn < r.turn, true)
+    UNION ALL SELECT a.pair_id, a.r.turn, 'assistant', b.r.text FROM replies a JOIN replies b ON b.pair_id = a.pair_id + 1) GROUP BY ALL),
+other AS (SELECT pair_id, turn, t.role AS role, t.text AS text FROM two),
+both_sides AS (SELECT pair_id, turn, one.role IS NOT DISTINCT FROM other.role AND one.text IS NOT DISTINCT FROM other.text AS same
+    FROM one FULL JOIN other USING (pair_id, turn)),
+parted AS (SELECT pair_id, min(CASE WHEN NOT same THEN turn END) AS parting FROM both_sides GROUP BY 1),
+prompts AS (SELECT pair_id, count(*) AS prompt_turns,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS prompt
+    FROM one JOIN parted USING (pair_id) WHERE parting IS NULL OR turn < parting GROUP BY 1),
+later_one AS (SELECT one.* FROM one JOIN parted USING (pair_id) WHERE turn >= parting),
+later_two AS (SELECT other.* FROM other JOIN parted USING (pair_id) WHERE turn >= parting),
+c AS ({_completion_sql("later_one")}), r AS ({_completion_sql("later_two")})
+SELECT pair_id, CAST(coalesce(prompt_turns, 0) AS INTEGER) AS prompt_turns, coalesce(prompt, '') AS prompt,
+    coalesce(c.completion, '') AS chosen, coalesce(r.completion, '') AS rejected,
+    coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM parted LEFT JOIN prompts USING (pair_id) LEFT JOIN c USING (pair_id) LEFT JOIN r USING (pair_id)
+"""
+
+
+def _spans(mask: str) -> Column:
+    return F.concat_ws(" ", F.transform(mask, lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string"))))
+
+
+@query("op3_preference_pairs", PAIR_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with the next one's reply; masks as ``from-to`` separated by spaces."""
+    pairs = preference.format_pairs(*preference.reply_pairs(table(spark, sf_dir, "conversations")))
+    return pairs.withColumns({m: _spans(m) for m in ("chosen_mask", "rejected_mask")})
