@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, knn_quality, mixture, piece_bpe, preference, simhash, topk, warc
+from . import (
+    cover_tree,
+    cross_entropy,
+    edit_counts,
+    knn_quality,
+    mixture,
+    piece_bpe,
+    preference,
+    simhash,
+    topk,
+    warc,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,3 +237,30 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with the next one's reply; masks as ``from-to`` separated by spaces."""
     pairs = preference.format_pairs(*preference.reply_pairs(table(spark, sf_dir, "conversations")))
     return pairs.withColumns({m: _spans(m) for m in ("chosen_mask", "rejected_mask")})
+
+
+@query("op1_cross_entropy")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; the target is what the labels call good."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
+    return cross_entropy.score(table(spark, sf_dir, "documents"), good)
+
+
+#: Edits of a document, from its own text: a replacement, an insertion and a deletion at places given by a hash.
+_EDITS = """array(
+    named_struct('at', pmod(xxhash64(doc_id, 1), length(text) + 1), 'deleted', 12L, 'inserted',
+        substring(text, CAST(pmod(xxhash64(doc_id, 2), length(text) + 1) AS INT), 20)),
+    named_struct('at', pmod(xxhash64(doc_id, 3), length(text) + 1), 'deleted', 0L, 'inserted',
+        substring(text, CAST(pmod(xxhash64(doc_id, 4), length(text) + 1) AS INT), 40)),
+    named_struct('at', pmod(xxhash64(doc_id, 5), length(text) + 1), 'deleted', 25L, 'inserted', ''))"""
+
+
+@query("op5_edit_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
+    edited = docs.withColumn("edits", F.expr(_EDITS))
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return edit_counts.count_edited(edited, ranks, public_tokenizers.PATTERN)
