@@ -26,6 +26,7 @@ from .common import small_batches, stage
 
 REVISIT_FROM = 1000  # bytes of payload from which an equal payload is not stored again
 SEGMENT = 8 << 20  # bytes of archive that one task reads
+MOST_TASKS = 20_000  # beyond, a task reads several parts
 READ, HEADERS, BLOCK = 1 << 16, 1 << 16, 1 << 30  # at once; most bytes of headers; most bytes of a block
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
@@ -318,7 +319,9 @@ def read_archives(parts: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield emit(rows)
 
     small_batches(parts.sparkSession)
-    spread = parts.select("path", "start", "end").repartition("path", "start")
+    # a few bytes per row stand for megabytes of archive: a number of its own keeps Spark from merging these partitions
+    tasks = max(1, min(parts.count(), MOST_TASKS))
+    spread = parts.select("path", "start", "end").repartition(tasks, "path", "start")
     return spread.mapInArrow(run, columns)
 
 
