@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stage
 
 WORDS, LONGEST = 20_000, 64  # words of the vocabulary; bytes of its longest word
 BUCKETS = 1 << 18  # counters for pairs of words, shared by pairs of equal hash in both models alike
@@ -39,7 +39,11 @@ class Vocabulary(dict):
 
 
 def vocabulary(docs: DataFrame, text: str = "text", size: int = WORDS) -> list[bytes]:
-    """The most frequent words of all documents, at most ``size``, ties in the order of their bytes."""
+    """The most frequent words of all documents, at most ``size``: those that reach a common count.
+
+    The count is the lowest on a scale of eighths of a doubling that no more than ``size`` words reach, so that
+    neither ties nor a list per partition have to be sorted out on the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -59,8 +63,16 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = WORDS) -> list[b
 
     small_batches(docs.sparkSession)
     counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [bytes(r.word) for r in top.collect()]  # at most size words of at most LONGEST bytes
+    totals = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    steps = stage(totals.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "words")
+    lowest, reached = 1 << 30, 0
+    for row in sorted(steps.groupBy("step").count().collect(), reverse=True):  # some hundred rows at most
+        reached += row["count"]
+        if reached > size:
+            break
+        lowest = row.step
+    chosen = steps.filter(F.col("step") >= lowest).select("word").collect()  # at most size words of at most LONGEST bytes
+    return sorted(bytes(r.word) for r in chosen)
 
 
 def numbers(words: list[bytes], known: Vocabulary) -> np.ndarray:
