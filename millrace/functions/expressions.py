@@ -43,5 +43,10 @@ def hash_bucket(value: str | Column, factor: int, offset: int, buckets: int) ->
 
 
 def composite_key(*parts: str) -> Column:
-    """One text key from several columns; the separator keeps (1, 23) apart from (12, 3)."""
-    return F.concat_ws("-", *(F.col(p).cast("string") for p in parts))
+    """One text key from several columns, different for different values.
+
+    The separator keeps (1, 23) apart from (12, 3); separators and backslashes inside a part are escaped, and a null
+    part is ``\\N``.
+    """
+    escaped = (F.regexp_replace(F.col(p).cast("string"), r"([\\-])", r"\\$1") for p in parts)
+    return F.concat_ws("-", *(F.coalesce(e, F.lit("\\N")) for e in escaped))

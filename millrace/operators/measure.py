@@ -53,7 +53,8 @@ def latency(df: DataFrame, value: str | Column, percentiles: Sequence[int] = PER
     """One row with count, average, minimum, maximum and exact percentiles of a measurement.
 
     Percentile p lies at rank ``p * (n + 1) / 100`` between two neighbours. Equal measurements are
-    folded first; ranks come from running totals over the distinct values.
+    folded first; ranks come from running totals over the distinct values. The mean adds the measurements in
+    their own type.
     """
     measured = df.select((F.col(value) if isinstance(value, str) else value).alias("_v")).filter("_v IS NOT NULL")
     folded = measured.groupBy("_v").agg(F.count(F.lit(1)).alias("_rows"))
@@ -72,7 +73,8 @@ def latency(df: DataFrame, value: str | Column, percentiles: Sequence[int] = PER
         part = F.when((position < 1) | (position >= n), 0.0).otherwise(position - F.floor(position))
         bounds += [at_rank(low).alias(f"_lo{p}"), at_rank(high).alias(f"_hi{p}"), F.first(part).alias(f"_at{p}")]
         results.append((F.col(f"_lo{p}") + F.col(f"_at{p}") * (F.col(f"_hi{p}") - F.col(f"_lo{p}"))).alias(f"p{p}"))
-    total = F.sum(F.col("_v").cast("decimal(18,4)") * F.col("_rows")).cast("double")
+    # in the type of the input: decimals and whole numbers add up exactly in any order
+    total = F.sum(F.col("_v") * F.col("_rows")).cast("double")
     summary = ranked.agg(
         F.sum("_rows").alias("n"), total.alias("_total"), F.min("_v").alias("low"), F.max("_v").alias("high"), *bounds
     )
@@ -82,13 +84,14 @@ def latency(df: DataFrame, value: str | Column, percentiles: Sequence[int] = PER
 def log_rates(lines: DataFrame, by_query: bool = False) -> DataFrame:
     """Mean rate per worker (and query) of throughput log lines, and the sum of the means.
 
-    ``lines`` has a ``value`` column, one log line each; other lines are ignored.
+    ``lines`` has a ``value`` column, one log line each; other lines are ignored, and so are rates that are no
+    number, which ``malformed_rates`` lists. Rates are added as decimals with twelve places.
     """
     keys = {"worker": WORKER_PATTERN} | ({"query": QUERY_PATTERN} if by_query else {})
     parsed = lines.filter(F.col("value").rlike(RATE_PATTERN)).select(
         *(F.regexp_extract("value", pattern, 1).alias(name) for name, pattern in keys.items()),
-        F.regexp_extract("value", RATE_PATTERN, 1).cast("decimal(20,4)").alias("_rate"),
-    )
+        F.regexp_extract("value", RATE_PATTERN, 1).try_cast("decimal(38,12)").alias("_rate"),
+    ).filter("_rate IS NOT NULL")
     for name in keys:
         parsed = parsed.filter(F.col(name) != "")
     # the mean comes first: the total below then needs the same partial sums and shares the shuffle
@@ -99,6 +102,12 @@ def log_rates(lines: DataFrame, by_query: bool = False) -> DataFrame:
     return means.select(*keys, "mean_rate", "entries", total.alias("sum_of_means"))
 
 
+def malformed_rates(lines: DataFrame) -> DataFrame:
+    """The throughput log lines whose rate is no number."""
+    rate = F.regexp_extract("value", RATE_PATTERN, 1).try_cast("decimal(38,12)")
+    return lines.filter(F.col("value").rlike(RATE_PATTERN) & rate.isNull())
+
+
 def profile_columns(
     df: DataFrame, columns: Sequence[str], order_by: Sequence[str], chunk_rows: int = 100_000
 ) -> DataFrame:

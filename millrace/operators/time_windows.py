@@ -217,18 +217,15 @@ def fill_gaps(
     for key in keys:
         same &= F.col(f"w.{key}").eqNullSafe(F.col(f"f.{key}"))
     until = F.coalesce(F.col("w._next"), F.col("f._later"), F.col("w._index") + 1) - 1
+    # chunk by chunk, so that no array is longer than a chunk or than the number of chunks of a gap
+    chunks = F.sequence(floor_div(F.col("w._index"), CHUNK_WINDOWS), floor_div(until, CHUNK_WINDOWS))
     spread = linked.join(following.alias("f"), same).select(
-        *(F.col(f"w.{c}") for c in [*windows.columns, "_index"]), F.explode(F.sequence("w._index", until)).alias("_slot")
+        *(F.col(f"w.{c}") for c in [*windows.columns, "_index"]), until.alias("_until"), F.explode(chunks).alias("_part")
     )
+    first = F.greatest(F.col("_index"), F.col("_part") * CHUNK_WINDOWS)
+    last = F.least(F.col("_until"), F.col("_part") * CHUNK_WINDOWS + (CHUNK_WINDOWS - 1))
+    spread = spread.select(*windows.columns, "_index", F.explode(F.sequence(first, last)).alias("_slot"))
     own = F.col("_slot") == F.col("_index")
     rest = [c for c in windows.columns if c not in (START, END, *keys)]
     filled = [F.when(own, F.col(c)).otherwise(F.lit(0) if c in zero else F.lit(None)).alias(c) for c in rest]
     return spread.select(*bounds(F.col("_slot") * spec.slide, spec.size), *keys, *filled)
-
-
-def union_by_time(parts: Sequence[DataFrame]) -> DataFrame:
-    """Merge streams of results with the same columns into one (rows are kept as they are)."""
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

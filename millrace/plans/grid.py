@@ -35,10 +35,10 @@ def grid_plug_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_aggregate(GRID.frame(spark, sf_dir), _LOCAL, PLUG, [avg_of("value", "load")])
 
 
-@query("grid_household_filtered", sql.sliding(GRID.sql, 360 * 60, 60, PLUG, _AVG, "household = 3"))
+@query("grid_household_filtered", sql.sliding(GRID.sql, 3600 * 60, 60, PLUG, _AVG, "household = 3"))
 def grid_household_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One household, the long window scaled down tenfold to 360/1."""
-    spec = WindowSpec.sliding(minutes(360 * 60), minutes(60))
+    """The load of one household over 3600/1."""
+    spec = WindowSpec.sliding(minutes(3600 * 60), minutes(60))
     kept = GRID.frame(spark, sf_dir).filter("household = 3")
     return window_aggregate(kept, spec, PLUG, [avg_of("value", "load")])
 

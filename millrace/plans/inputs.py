@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from ..sources import frames, text
-from ..sources.binary import decode_fixed_width
+from ..sources.binary import decode_fixed_width, rejected_fixed_width
 from ..sources.sinks import append_result
 from .registry import query
 from .views import EVENTS, View, table
@@ -154,11 +154,30 @@ def _uuid_sql(expr: str) -> str:
     "ip FROM events",
 )
 def src_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = EVENTS.frame(spark, sf_dir)
+    return decode_fixed_width(fixed_records(EVENTS.frame(spark, sf_dir)).select("value"))
+
+
+@query(
+    "src_fixed_width_rejects",
+    "SELECT event_id, CASE event_id % 10 WHEN 3 THEN 'no value' ELSE 'wrong length' END AS problem FROM events "
+    "WHERE event_id % 10 IN (3, 4, 5)",
+)
+def src_fixed_width_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of which some are missing, a byte too short or a byte too long."""
+    records = fixed_records(EVENTS.frame(spark, sf_dir)).withColumn(
+        "value",
+        F.expr("CASE event_id % 10 WHEN 3 THEN NULL WHEN 4 THEN substring(value, 1, 77) WHEN 5 THEN concat(value, X'00') "
+               "ELSE value END"),
+    )
+    return rejected_fixed_width(records).select("event_id", "problem")
+
+
+def fixed_records(events: DataFrame) -> DataFrame:
+    """Events as 78-byte records beside their ids."""
     parts = [_id_hex(expr) for expr in _FIELDS.values()]
     parts += [_text_hex("concat('banner', CAST(event_id % 3 AS STRING))"), _text_hex("event_type")]
     parts += [_little_endian("lpad(hex(unix_millis(ts)), 16, '0')", 8), _little_endian("lpad(hex(event_id), 8, '0')", 4)]
-    return decode_fixed_width(events.selectExpr(f"unhex(concat({', '.join(parts)})) AS value"))
+    return events.selectExpr("event_id", f"unhex(concat({', '.join(parts)})) AS value")
 
 
 _FRAME_FIELDS = {

@@ -41,7 +41,7 @@ def _percentile(p: int) -> str:
     f"AS list FROM {EVENTS.sql})",
 )
 def metric_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measure.latency(EVENTS.frame(spark, sf_dir).selectExpr("CAST(value AS DOUBLE) AS value"), "value")
+    return measure.latency(EVENTS.frame(spark, sf_dir).select("value"), "value")
 
 
 # the log lines are written out from the events: a third kind of line carries no rate

@@ -17,7 +17,7 @@ from .registry import query
 from .views import ROAD, TRAFFIC
 
 # one time unit of the road queries is ten days of the line items
-UNIT = 10 * sql.DAY
+UNIT = sql.DAY
 FEET_PER_SEGMENT = 5280
 SEGMENT = ["highway", "direction", "segment"]
 _ROAD = f"(SELECT *, position // {FEET_PER_SEGMENT} AS segment FROM {ROAD.sql})"
@@ -30,23 +30,23 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "road_slow_segments",
     "SELECT * FROM ("
-    + sql.sliding(_ROAD, 30 * UNIT, UNIT, SEGMENT, sql.average("speed", "avg_speed"))
+    + sql.sliding(_ROAD, 300 * UNIT, UNIT, SEGMENT, sql.average("speed", "avg_speed"))
     + ") WHERE avg_speed < 40",
 )
 def road_slow_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """300/1 scaled down tenfold: average speed per segment, only the slow ones."""
-    spec = WindowSpec.sliding(minutes(30 * UNIT), minutes(UNIT))
+    """Average speed per segment over 300/1, only the slow ones."""
+    spec = WindowSpec.sliding(minutes(300 * UNIT), minutes(UNIT))
     slow = F.col("avg_speed") < 40
     return window_aggregate(segmented(spark, sf_dir), spec, SEGMENT, [avg_of("speed", "avg_speed")], having=slow)
 
 
-_VEHICLES = sql.sliding(_ROAD, 3 * UNIT, UNIT, ["vehicle", *SEGMENT], "count(*) AS n")
+_VEHICLES = sql.sliding(_ROAD, 30 * UNIT, UNIT, ["vehicle", *SEGMENT], "count(*) AS n")
 
 
 @query("road_vehicle_segments", _VEHICLES)
 def road_vehicle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """30/1 scaled down tenfold: reports per vehicle and segment."""
-    spec = WindowSpec.sliding(minutes(3 * UNIT), minutes(UNIT))
+    """Reports per vehicle and segment over 30/1."""
+    spec = WindowSpec.sliding(minutes(30 * UNIT), minutes(UNIT))
     return window_aggregate(segmented(spark, sf_dir), spec, ["vehicle", *SEGMENT], [count()])
 
 
@@ -119,9 +119,9 @@ def _averages(source: str, width: int) -> str:
     )
 
 
-@query("road_segment_avg", _averages(_ROAD, 3 * UNIT))
+@query("road_segment_avg", _averages(_ROAD, 30 * UNIT))
 def road_segment_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return road.segment_averages(segmented(spark, sf_dir), WindowSpec.tumbling(minutes(3 * UNIT)))
+    return road.segment_averages(segmented(spark, sf_dir), WindowSpec.tumbling(minutes(30 * UNIT)))
 
 
 @query(

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RECORD_BYTES = 78
-SCHEMA = (
-    "user_id STRING, page_id STRING, campaign_id STRING, ad_type STRING, event_type STRING, "
-    "current_ms BIGINT, ip BIGINT"
-)
 
 
 def read_fixed_width(spark: SparkSession, path: str, type_first: bool = False) -> DataFrame:
@@ -21,31 +14,44 @@ def read_fixed_width(spark: SparkSession, path: str, type_first: bool = False) -
     return decode_fixed_width(spark.createDataFrame(records, "value BINARY"), type_first=type_first)
 
 
+def fixed_width_problem(value: str = "value") -> Column:
+    """Why a record cannot be decoded, or null when it can."""
+    return F.when(F.col(value).isNull(), "no value").when(F.octet_length(value) != RECORD_BYTES, "wrong length")
+
+
+def _little_endian(digits: Column, start: int, size: int) -> Column:
+    """The hexadecimal digits of a little-endian number, highest first."""
+    return F.concat(*(F.substring(digits, 2 * (start + i) + 1, 2) for i in reversed(range(size))))
+
+
 def decode_fixed_width(records: DataFrame, value: str = "value", type_first: bool = False) -> DataFrame:
-    """Decode a column of 78-byte little-endian records.
+    """Decode a column of 78-byte little-endian records; others are left to ``rejected_fixed_width``.
 
     Layout: three 16-byte ids (two 8-byte halves each), two 9-byte texts, a 64-bit time and a
     32-bit address. The texts are ad type, event type, or the other way round with ``type_first``.
     """
-    texts = ["event_type", "ad_type"] if type_first else ["ad_type", "event_type"]
-    layout = np.dtype(
-        [("user_id", "V16"), ("page_id", "V16"), ("campaign_id", "V16")]
-        + [(name, "S9") for name in texts]
-        + [("current_ms", "<i8"), ("ip", "<u4")]
+    digits = F.lower(F.hex(value))
+
+    def uuid(start: int) -> Column:
+        whole = F.concat(_little_endian(digits, start, 8), _little_endian(digits, start + 8, 8))
+        return F.concat_ws("-", *(F.substring(whole, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+    def text(start: int) -> Column:
+        decoded = F.decode(F.substring(value, start + 1, 9), "ISO-8859-1")
+        return F.replace(F.replace(decoded, F.lit("\0"), F.lit("")), F.lit(" "), F.lit(""))
+
+    first, second = (text(57), text(48)) if type_first else (text(48), text(57))
+    return records.filter(fixed_width_problem(value).isNull()).select(
+        uuid(0).alias("user_id"),
+        uuid(16).alias("page_id"),
+        uuid(32).alias("campaign_id"),
+        first.alias("ad_type"),
+        second.alias("event_type"),
+        F.conv(_little_endian(digits, 66, 8), 16, -10).cast("long").alias("current_ms"),
+        F.conv(_little_endian(digits, 74, 4), 16, 10).cast("long").alias("ip"),
     )
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = np.frombuffer(b"".join(map(bytes, batch[value])), dtype=layout)
-            out = {}
-            for name in ("user_id", "page_id", "campaign_id"):
-                halves = np.frombuffer(rows[name].tobytes(), dtype="<u8").reshape(-1, 2)
-                hexes = (f"{high:016x}{low:016x}" for high, low in halves.tolist())
-                out[name] = [f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}" for h in hexes]
-            for name in ("ad_type", "event_type"):
-                out[name] = [t.decode("latin-1").replace("\0", "").replace(" ", "") for t in rows[name]]
-            out["current_ms"] = rows["current_ms"].astype("int64")
-            out["ip"] = rows["ip"].astype("int64")
-            yield pd.DataFrame(out)
-
-    return records.select(value).mapInPandas(decode, SCHEMA)
+
+def rejected_fixed_width(records: DataFrame, value: str = "value") -> DataFrame:
+    """The records that cannot be decoded, unchanged, with the reason."""
+    return records.withColumn("problem", fixed_width_problem(value)).filter(F.col("problem").isNotNull())

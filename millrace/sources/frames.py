@@ -62,7 +62,8 @@ def frame_problem(layout: Layout, value: str = "value") -> Column:
     magic = F.hex(F.substring(value, 1, 4))
     items = F.conv(F.hex(F.substring(value, 5, 4)), 16, 10).cast("long")
     return (
-        F.when(F.octet_length(value) != FRAME_BYTES, "wrong length")
+        F.when(F.col(value).isNull(), "no value")
+        .when(F.octet_length(value) != FRAME_BYTES, "wrong length")
         .when(magic != f"{layout.magic:08X}", "wrong magic")
         .when(items > layout.capacity, "count over capacity")
     )

@@ -14,8 +14,11 @@ def stream_table(spark: SparkSession, path: str, schema: str | None = None, file
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # a file source takes a single file only through a pattern
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    path = path.rstrip("/")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        path = f"{path[:-1]}[{path[-1]}]"  # a file source takes a single file only through a pattern
+    return reader.parquet(path)
 
 
 def start_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

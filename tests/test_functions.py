@@ -41,3 +41,12 @@ def test_scalar_and_flat_map(spark):
         return pd.concat([rows, rows])
 
     assert udf.flat_map(spark.range(3), twice, "id long").count() == 6
+
+
+def test_composite_keys_do_not_collide(spark):
+    from millrace.functions.expressions import composite_key
+
+    rows = [("a-b", "c"), ("a", "b-c"), (None, "1"), ("1", None), ("\\N", "1"), ("a\\", "b"), ("a", "\\b")]
+    keys = spark.createDataFrame(rows, "a string, b string").select(composite_key("a", "b").alias("k")).collect()
+    assert len({r.k for r in keys}) == len(rows)
+    assert spark.createDataFrame([(1, 23)], "a int, b int").select(composite_key("a", "b")).first()[0] == "1-23"

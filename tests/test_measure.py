@@ -54,3 +54,16 @@ def test_throughput_starts_with_the_second_run(at):
     got = throughput(at(rows, "ts LONG, id LONG, worker LONG"), 4, "worker", ["ts", "id"])
     # worker 7 sends everything at once: its run takes no time and has no rate
     assert seconds(got) == [(0, 2, 8000, 0.5), (1, 2, 8000, 0.5), (7, 2, 0, None)]
+
+
+def test_small_large_and_malformed_measurements_keep_their_digits(spark):
+    from millrace.operators import measure
+
+    small = measure.latency(spark.createDataFrame([(0.00001,), (0.00003,)], "v double"), "v").first()
+    assert abs(small["mean"] - 0.00002) < 1e-15
+    assert measure.latency(spark.createDataFrame([(2e14,), (4e14,)], "v double"), "v").first()["mean"] == 3e14
+    line = "INFO Worker: 1 During the last 1000 ms, we received 5 elements. That's {} elements/second/core. Query 2"
+    lines = spark.createDataFrame([(line.format(r),) for r in ("1000.00006", "1.2.3")], "value string")
+    row = measure.log_rates(lines).first()
+    assert row.mean_rate == 1000.00006 and row.entries == 1
+    assert measure.malformed_rates(lines).count() == 1

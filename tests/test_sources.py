@@ -100,3 +100,36 @@ def test_sinks(spark, tmp_path):
         append_result(spark.range(n), path)
     assert seconds(spark.read.schema("id LONG").csv(path)) == [(0,), (0,), (1,)]
     drop_result(spark.range(3))
+
+
+def test_fixed_width_length_checks_and_files(spark, tmp_path):
+    from millrace.sources.binary import decode_fixed_width, read_fixed_width, rejected_fixed_width
+
+    good = bytes(range(48)) + b"mail\0\0\0\0\0" + b"view     " + (-5).to_bytes(8, "little", signed=True) + b"\xff" * 4
+    rows = [(good,), (good[:77],), (good + b"x",), (None,)]
+    records = spark.createDataFrame(rows, "value binary")
+    (row,) = decode_fixed_width(records).collect()
+    assert row.user_id == "07060504-0302-0100-0f0e-0d0c0b0a0908"
+    assert (row.ad_type, row.event_type, row.current_ms, row.ip) == ("mail", "view", -5, 2**32 - 1)
+    assert decode_fixed_width(records, type_first=True).first().ad_type == "view"
+    found = sorted(r.problem for r in rejected_fixed_width(records).collect())
+    assert found == ["no value", "wrong length", "wrong length"]
+    (tmp_path / "records").write_bytes(good * 3)
+    assert read_fixed_width(spark, str(tmp_path / "records")).collect() == [row] * 3
+
+
+def test_null_frames_are_rejected(spark):
+    from millrace.sources import frames
+
+    table = spark.createDataFrame([(None,), (b"x",)], "value binary")
+    assert frames.decode_frames(table, frames.CAMPAIGN).count() == 0
+    assert {r.problem for r in frames.rejected_frames(table, frames.CAMPAIGN).collect()} == {"no value", "wrong length"}
+
+
+def test_streams_read_partitioned_folders(spark, tmp_path):
+    from millrace.streaming.runner import run_to_table, stream_table
+
+    spark.range(10).selectExpr("id", "id % 2 AS day").write.partitionBy("day").parquet(str(tmp_path / "in"))
+    for k, path in enumerate((f"{tmp_path}/in", f"{tmp_path}/in/")):
+        read = run_to_table(stream_table(spark, path), f"{tmp_path}/out{k}", f"{tmp_path}/check{k}")
+        assert sorted((r.id, r.day) for r in read.collect()) == [(i, i % 2) for i in range(10)]

@@ -156,3 +156,13 @@ def test_window_definitions_are_checked():
         WindowSpec("tuples", 1, 1)
     spec = WindowSpec.sliding(60, 25)
     assert (spec.pane, spec.ratio, spec.is_tumbling) == (5_000_000, 3, False)
+
+
+def test_very_long_gap_is_counted(spark):
+    from millrace.operators.time_windows import fill_gaps
+    from millrace.operators.windows import WindowSpec
+
+    windows = spark.sql("SELECT timestamp_seconds(s) AS window_start, timestamp_seconds(s + 1) AS window_end, 1L AS n "
+                        "FROM VALUES (0L), (20000000L) AS t(s)")
+    filled = fill_gaps(windows, WindowSpec.tumbling(1))
+    assert filled.count() == 20_000_001
