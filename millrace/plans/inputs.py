@@ -235,6 +235,76 @@ def src_frames_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.rejected_frames(campaign_frames(spark, sf_dir), frames.CAMPAIGN).select("frame", "problem")
 
 
+_AUCTION_FIELDS = {
+    "auction_id": "event_id",
+    "person_id": "user_id",
+    "flag": "CAST(event_id % 2 AS TINYINT)",
+    "item_id": "CAST(event_id % 1000 AS INT)",
+    "start": "unix_millis(ts)",
+    "end": "unix_millis(ts) + 3600000",
+    "price": "CAST(user_id % 500 AS INT)",
+    "name": "event_type",
+    "description": "concat(event_type, ' by user ', CAST(user_id AS STRING))",
+    "ts": "unix_millis(ts)",
+}
+_BID_FIELDS = {
+    "bidder_id": "user_id",
+    "auction_id": "event_id % 100",
+    "price": "CAST(value AS DOUBLE)",
+    "ts": "unix_millis(ts)",
+}
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, fields: dict[str, str], layout: frames.Layout) -> DataFrame:
+    """Events as records of a layout, packed into frames, written and decoded again."""
+    records = EVENTS.frame(spark, sf_dir).selectExpr(*(f"{e} AS `{n}`" for n, e in fields.items()))
+    path = shared_path(spark, "frames")
+    frames.encode_frames(records, layout).write.parquet(path)
+    return frames.decode_frames(spark.read.schema("value BINARY").parquet(path), layout)
+
+
+def _fields_sql(fields: dict[str, str]) -> str:
+    def duck(expr: str) -> str:
+        return expr.replace("unix_millis(ts)", "epoch_us(ts) // 1000").replace("STRING", "VARCHAR")
+
+    return "SELECT " + ", ".join(f'{duck(e)} AS "{n}"' for n, e in fields.items()) + f" FROM {EVENTS.sql}"
+
+
+@query("src_frames_auction", _fields_sql(_AUCTION_FIELDS))
+def src_frames_auction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, _AUCTION_FIELDS, frames.AUCTION)
+
+
+@query("src_frames_bid", _fields_sql(_BID_FIELDS))
+def src_frames_bid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, _BID_FIELDS, frames.BID)
+
+
+_ROAD_ROWS = View(
+    "events",
+    {
+        "ts": "event_id * 2",
+        "vehicle": "CAST(user_id AS INT)",
+        "speed": "CAST(value AS DECIMAL(18,2))",
+        "highway": "CAST(user_id % 3 AS INT)",
+        "lane": "CAST(event_id % 4 AS INT)",
+        "direction": "CAST(event_id % 2 AS INT)",
+        "position": "CAST(event_id % 528000 AS INT)",
+    },
+)
+
+
+@query(
+    "src_road_text",
+    "SELECT ts, vehicle, speed::FLOAT::DOUBLE AS speed, highway, lane, direction, position "
+    f"FROM {_ROAD_ROWS.sql}",
+)
+def src_road_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The space-separated road layout."""
+    rows = text.read_delimited(spark, _lines(spark, _ROAD_ROWS.frame(spark, sf_dir), " "), text.ROAD)
+    return rows.withColumn("speed", F.col("speed").cast("double"))
+
+
 @query("sink_append", f"SELECT event_id, user_id, event_type FROM {EVENTS.sql}")
 def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two results appended to one set of files and read back."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the text layouts, in the order of a line.
 CLUSTER = (
     "ts BIGINT, job_id BIGINT, task_id BIGINT, machine_id BIGINT, event_type INT, user_id INT, category INT, "
     "priority INT, cpu FLOAT, ram FLOAT, disk FLOAT, constraints INT"

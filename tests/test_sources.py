@@ -133,3 +133,23 @@ def test_streams_read_partitioned_folders(spark, tmp_path):
     for k, path in enumerate((f"{tmp_path}/in", f"{tmp_path}/in/")):
         read = run_to_table(stream_table(spark, path), f"{tmp_path}/out{k}", f"{tmp_path}/check{k}")
         assert sorted((r.id, r.day) for r in read.collect()) == [(i, i % 2) for i in range(10)]
+
+
+def test_encoded_frames_decode_to_the_same_rows(spark):
+    rows = spark.range(0, 700, 1, 3).selectExpr(
+        "id + (1L << 60) AS bidder_id", "IF(id % 7 = 0, NULL, -id) AS auction_id", "id / 3 AS price", "id AS ts"
+    )
+    packed = frames.encode_frames(rows, frames.BID)
+    assert packed.count() == 3  # 255 records fit, a task has 233 or 234
+    back = frames.decode_frames(packed, frames.BID)
+    assert seconds(back) == seconds(rows.fillna(0))
+    assert frames.decode_frames(frames.encode_frames(rows.coalesce(1), frames.BID), frames.BID).count() == 700
+    assert frames.encode_frames(rows.filter("id < 0"), frames.BID).count() == 0
+
+
+def test_encoded_texts_keep_whole_characters(spark):
+    row = (1, 2, 1, 3, 4, 5, 6, "a" + "\u00e9" * 10, None, 7)
+    (back,) = frames.decode_frames(
+        frames.encode_frames(spark.createDataFrame([row], frames.AUCTION.schema), frames.AUCTION), frames.AUCTION
+    ).collect()
+    assert (back.name, back.description) == ("a" + "\u00e9" * 9, "")
