@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import TypeVar
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import avg_of, count, sum_of
+from ..functions.aggregates import Agg, avg_of, count, max_of, sum_of
 from ..functions.udf import Aggregate
 from ..operators.joins import join_static, theta_join_time, window_join
 from ..operators.ranking import top_with_ties
-from ..operators.time_windows import panes_of, window_aggregate, windows_of_panes
+from ..operators.time_windows import panes_of, window_aggregate
 from ..operators.windows import MICROS, WindowSpec
 from ..session import shared_path
-from ..streaming.runner import read_batches, replace_batch, run_batches, run_to_table, stream_table
 from ..streaming.row_join import row_join_batches
+from ..streaming.row_windows import row_window_batches
+from ..streaming.runner import read_batches, replace_batch, run_batches, run_to_table, shared_queries, stream_table
+from ..streaming.sliding import sliding_batches
 from ..streaming.state import accidents_stream, row_windows_stream, stopped_vehicles_stream
 from . import sqltext as sql
 from .basics import ARRIVAL, row_join_sql
@@ -23,6 +29,8 @@ from .registry import query
 from .roads import ACCIDENTS_SQL, STOPS_SQL
 from .views import ADS, CAMPAIGN, EVENTS, TRAFFIC, View, table, table_path
 
+Out = TypeVar("Out")
+
 _HOURS = WindowSpec.tumbling(minutes(60))
 _KEYS = ["campaign_id"]
 
@@ -58,20 +66,51 @@ def stream_watermark_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(window_aggregate(stream, _HOURS, _KEYS, [count(), sum_of("user_id", "total")]))
 
 
+def _delivered(spark: SparkSession, sf_dir: str, parts: Sequence[str], run: Callable[[str], Out]) -> Out:
+    """Deliver the events part by part, running the stream over the inbox after each from its checkpoint."""
+    events, inbox = table(spark, sf_dir, "events"), shared_path(spark, "inbox")
+    for part in parts:
+        events.filter(part).write.mode("append").parquet(inbox)
+        out = run(inbox)
+    return out
+
+
+#: Three spans of days, so that state is carried from batch to batch.
+_SPANS = (
+    "ts < TIMESTAMP_NTZ '2024-01-10 12:00:00'",
+    "ts >= TIMESTAMP_NTZ '2024-01-10 12:00:00' AND ts < TIMESTAMP_NTZ '2024-01-20 06:30:00'",
+    "ts >= TIMESTAMP_NTZ '2024-01-20 06:30:00'",
+)
+
+
+def _in_spans(spark: SparkSession, sf_dir: str, view: View, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table that ``build`` of the stream has appended after all spans."""
+    out, checkpoint = shared_path(spark, "results"), shared_path(spark, "checkpoint")
+    return _delivered(
+        spark, sf_dir, _SPANS, lambda inbox: run_to_table(build(_stream(spark, inbox, view)), out, checkpoint)
+    )
+
+
+def _batches_in_spans(
+    spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None],
+    path: str,
+) -> DataFrame:
+    """The batches under ``path`` once ``write`` has had those of all spans."""
+    checkpoint = shared_path(spark, "checkpoint")
+    _delivered(spark, sf_dir, _SPANS, lambda inbox: run_batches(build(_stream(spark, inbox, EVENTS)), write, checkpoint))
+    return read_batches(spark, path)
+
+
 def _two_deliveries(spark: SparkSession, sf_dir: str, later: str, delay: str) -> DataFrame:
     """Run, stop, deliver the rows that meet ``later``, and run again from the checkpoint."""
-    events = table(spark, sf_dir, "events")
-    inbox, out, checkpoint = (shared_path(spark, name) for name in ("inbox", "windows", "checkpoint"))
+    out, checkpoint = shared_path(spark, "windows"), shared_path(spark, "checkpoint")
 
-    def run() -> DataFrame:
+    def run(inbox: str) -> DataFrame:
         stream = _stream(spark, inbox).withWatermark("ts", delay)
         windows = window_aggregate(stream, _HOURS, _KEYS, [count(), sum_of("user_id", "total")])
         return run_to_table(windows, out, checkpoint)
 
-    events.filter(f"NOT ({later})").write.mode("append").parquet(inbox)
-    run()
-    events.filter(later).write.mode("append").parquet(inbox)
-    return run()
+    return _delivered(spark, sf_dir, (f"NOT ({later})", later), run)
 
 
 _LATE = "event_id % 10 = 0"
@@ -119,19 +158,44 @@ def stream_sliding_panes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(window_aggregate(stream, _SLIDING, ["event_code"], [count(), sum_of("user_id", "total")]))
 
 
-_LONG = WindowSpec.sliding(minutes(3600), minutes(1))
-_OPEN = f"(SELECT max(epoch_us(ts) // 1000) FROM {EVENTS.sql}) - epoch_us(INTERVAL '10 minutes') // 1000"
+def _answered(windows: str, pane: int, delay: str) -> str:
+    """The windows that end no later than the last pane (in minutes) with rows that the final watermark has closed."""
+    width = pane * sql.MINUTE
+    end = f"(epoch_us(ts) // {width} + 1) * {width}"
+    mark = f"(SELECT max(epoch_us(ts) // 1000) FROM {EVENTS.sql}) - epoch_us(INTERVAL {delay}) // 1000"
+    return (
+        f"SELECT * FROM ({windows}) WHERE epoch_us(window_end) <= (SELECT max({end}) FROM {EVENTS.sql} "
+        f"WHERE {end} // 1000 <= {mark})"
+    )
+
+
+def _sliding(spark: SparkSession, sf_dir: str, spec: WindowSpec, keys: list[str], aggs: list[Agg], exact: bool) -> DataFrame:
+    path = shared_path(spark, "sliding")
+    write = sliding_batches(path, spec, keys, aggs, exact)
+    panes = lambda stream: panes_of(stream.withWatermark("ts", "10 minutes"), spec, keys, aggs)
+    return _batches_in_spans(spark, sf_dir, panes, write, f"{path}/windows")
 
 
 @query(
     "stream_long_windows",
-    sql.sliding(EVENTS.sql, 3600, 1, [], sql.average("value", "load"), f"(epoch_us(ts) // 60000000 + 1) * 60000 <= {_OPEN}"),
+    _answered(sql.sliding(EVENTS.sql, 3600, 1, [], sql.average("value", "load")), 1, "'10 minutes'"),
 )
 def stream_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3600/1: the stream appends closed panes to a table, the windows are merged from the table."""
-    aggs = [avg_of("value", "load")]
-    panes = _run(panes_of(_events(spark, sf_dir, delay="10 minutes"), _LONG, [], aggs))
-    return windows_of_panes(panes, _LONG, [], aggs, exact=True)
+    """3600/1: windows are answered as they close, from the panes that open windows can reach."""
+    spec = WindowSpec.sliding(minutes(3600), minutes(1))
+    return _sliding(spark, sf_dir, spec, [], [avg_of("value", "load")], exact=True)
+
+
+@query(
+    "stream_keyed_long_windows",
+    _answered(
+        sql.sliding(EVENTS.sql, 3000, 10, ["event_type"], "max(value)::DOUBLE AS high, count(*) AS n"), 10, "'10 minutes'"
+    ),
+)
+def stream_keyed_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300/1 per key, of an aggregate that cannot be subtracted."""
+    spec = WindowSpec.sliding(minutes(3000), minutes(10))
+    return _sliding(spark, sf_dir, spec, ["event_type"], [max_of("value", "high"), count()], exact=False)
 
 
 _HOTTEST = sql.sliding(EVENTS.sql, 120, 30, ["user_id"], "count(*) AS n")
@@ -148,11 +212,11 @@ _HOTTEST = sql.sliding(EVENTS.sql, 120, 30, ["user_id"], "count(*) AS n")
 def stream_hot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The busiest users of each sliding window, ties included, as windows close."""
     spec = WindowSpec.sliding(minutes(120), minutes(30))
-    counts = window_aggregate(_events(spark, sf_dir, delay="30 minutes"), spec, ["user_id"], [count()])
+    counts = lambda stream: window_aggregate(
+        stream.withWatermark("ts", "30 minutes"), spec, ["user_id"], [count()]
+    )
     path = shared_path(spark, "hottest")
-    write = replace_batch(path, lambda closed: top_with_ties(closed, "n"))
-    run_batches(counts, write, shared_path(spark, "checkpoint"))
-    return read_batches(spark, path)
+    return _batches_in_spans(spark, sf_dir, counts, replace_batch(path, lambda closed: top_with_ties(closed, "n")), path)
 
 
 @query(
@@ -217,28 +281,45 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"AS rows FROM {EVENTS.sql}) WHERE (i // 100 + 1) * 100 <= rows GROUP BY 1, 2",
 )
 def stream_row_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 100 events of a type."""
+    """Every 100 events of a type, from built-in aggregates."""
+    path = shared_path(spark, "row-windows")
+    aggs = [sum_of("user_id", "total"), max_of("user_id", "high")]
+    write = row_window_batches(path, 100, ["event_type"], aggs, ["ts", "event_id"])
+    return _batches_in_spans(spark, sf_dir, lambda stream: stream, write, f"{path}/windows")
+
+
+@query(
+    "stream_row_windows_udaf",
+    "SELECT event_type, i // 40 AS window_index, max(user_id) - min(user_id) AS spread FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS rows FROM "
+    f"{EVENTS.sql}) WHERE (i // 40 + 1) * 40 <= rows GROUP BY 1, 2",
+)
+def stream_row_windows_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 40 events of a type, from an aggregate of the user's own."""
 
     def update(acc: tuple, rows: pd.DataFrame) -> tuple:
-        return (acc[0] + int(rows["user_id"].sum()), max(acc[1], int(rows["user_id"].max())))
-
-    agg = Aggregate(
-        create=lambda: (0, 0),
-        update=update,
-        merge=lambda a, b: (a[0] + b[0], max(a[1], b[1])),
-        finish=lambda a: a,
-        schema="total long, high long",
+        return merge(acc, (int(rows["user_id"].min()), int(rows["user_id"].max())))
+
+    def merge(a: tuple, b: tuple) -> tuple:
+        return (min(a[0], b[0]), max(a[1], b[1])) if a and b else a or b
+
+    agg = Aggregate(create=tuple, update=update, merge=merge, finish=lambda a: (a[1] - a[0],), schema="spread long")
+    columns = ["event_type", "ts", "event_id", "user_id"]
+    windows = lambda stream: row_windows_stream(
+        stream.select(*columns), ["event_type"], 40, agg, ["ts", "event_id"]
     )
-    stream = _events(spark, sf_dir).select("event_type", "ts", "event_id", "user_id")
-    return _run(row_windows_stream(stream, ["event_type"], 100, agg, ["ts", "event_id"]))
+    return _in_spans(spark, sf_dir, EVENTS, windows)
 
 
-@query("stream_stopped_vehicles", STOPS_SQL + "SELECT vehicle, highway, position, segment, first_ts, stopped_at FROM stops")
+@query(
+    "stream_stopped_vehicles",
+    STOPS_SQL + "SELECT 'stopped' AS kind, vehicle, highway, position, segment, first_ts, stopped_at, NULL::TIMESTAMP AS "
+    "cleared_at FROM stops UNION ALL SELECT 'cleared', vehicle, highway, position, segment, first_ts, stopped_at, cleared_at "
+    "FROM stops WHERE cleared_at IS NOT NULL",
+)
 def stream_stopped_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stops as they are detected; a later "cleared" row ends each of them."""
-    found = _run(stopped_vehicles_stream(_events(spark, sf_dir, TRAFFIC)))
-    stops = found.filter("kind = 'stopped'")
-    return stops.select("vehicle", "highway", "position", "segment", "first_ts", "stopped_at")
+    """Stops as they are detected, and as the vehicles move on."""
+    return _in_spans(spark, sf_dir, TRAFFIC, stopped_vehicles_stream)
 
 
 @query(
@@ -249,12 +330,45 @@ def stream_stopped_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream detects stops and appends them to a table; a second one follows that table."""
-    stops_path = shared_path(spark, "stops")
-    stops = run_to_table(
-        stopped_vehicles_stream(_events(spark, sf_dir, TRAFFIC)), stops_path, shared_path(spark, "checkpoint")
-    )
-    follow = spark.readStream.schema(stops.schema).parquet(stops_path)
-    return _run(accidents_stream(follow)).select("highway", "position", "kind", "at")
+    stops_path, first = shared_path(spark, "stops"), shared_path(spark, "checkpoint")
+    out, second = shared_path(spark, "results"), shared_path(spark, "checkpoint")
+
+    def run(inbox: str) -> DataFrame:
+        stops = run_to_table(stopped_vehicles_stream(_stream(spark, inbox, TRAFFIC)), stops_path, first)
+        follow = spark.readStream.schema(stops.schema).parquet(stops_path)
+        return run_to_table(accidents_stream(follow), out, second)
+
+    return _delivered(spark, sf_dir, _SPANS, run).select("highway", "position", "kind", "at")
+
+
+_QUERIES = {"q0": "event_code = 2", "q1": "event_code = 0", "q2": "event_code >= 1"}
+
+
+@query(
+    "stream_multi_query",
+    _closed(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS query_id, * FROM ({sql.tumbling(CAMPAIGN.sql, 60, _KEYS, 'count(*) AS n', test)})"
+            for name, test in _QUERIES.items()
+        ),
+        "'30 minutes'",
+    ),
+)
+def stream_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three windowed queries over one stream and one state, each with a sink of its own."""
+    predicates = {name: F.expr(test) for name, test in _QUERIES.items()}
+    path = shared_path(spark, "queries")
+    rows = shared_queries(_events(spark, sf_dir, CAMPAIGN, "30 minutes"), predicates, ["ts", *_KEYS])
+    windows = window_aggregate(rows, _HOURS, ["query_id", *_KEYS], [count()])
+    sinks = {name: replace_batch(f"{path}/{name}") for name in predicates}
+
+    def write(closed: DataFrame, batch: int) -> None:
+        for name, sink in sinks.items():
+            sink(closed.filter(F.col("query_id") == name), batch)
+
+    run_batches(windows, write, shared_path(spark, "checkpoint"))
+    parts = [read_batches(spark, f"{path}/{name}") for name in predicates]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("stream_row_join", row_join_sql("purchase", "click", 6, 9, "l.value > r.value"))
@@ -270,5 +384,5 @@ def stream_row_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_path(spark, "row-join")
     write = row_join_batches(path, sides, F.col("l_value") > F.col("r_value"), 6, 9, ARRIVAL)
-    run_batches(_events(spark, sf_dir), write, shared_path(spark, "checkpoint"))
-    return read_batches(spark, f"{path}/pairs").select("l_event_id", "r_event_id")
+    pairs = _batches_in_spans(spark, sf_dir, lambda stream: stream, write, f"{path}/pairs")
+    return pairs.select("l_event_id", "r_event_id")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import theta_join_rows
+from .runner import forget_batch
 
 
 def row_join_batches(
@@ -42,6 +43,8 @@ def row_join_batches(
         ):
             last = side.orderBy(*(F.desc(c) for c in orders)).limit(kept)
             last.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+            if batch > 1:
+                forget_batch(rows.sparkSession, f"{path}/{name}", batch - 2)
 
     return write
 

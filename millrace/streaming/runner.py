@@ -93,6 +93,12 @@ def replace_batch(
     return write
 
 
+def forget_batch(spark: SparkSession, path: str, batch: int) -> None:
+    """Remove what a batch has left under ``path`` for its successor, once the successor's successor runs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def progress_rates(query: StreamingQuery) -> list[tuple[int, int, float]]:
     """(batch, rows, rows per second) of the recent micro-batches of a running or finished stream."""
     return [(p.batchId, p.numInputRows, p.processedRowsPerSecond) for p in query.recentProgress]

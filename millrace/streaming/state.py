@@ -1,7 +1,7 @@
 """Operators whose streaming form keeps state per key: row windows and stopped vehicles.
 
 Rows of a key are put in order inside a micro-batch; across batches the stream must arrive in
-order. The state of a key is one small record.
+order. The state of a key is one small record; a vehicle that moves and a place that is empty have none.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -57,30 +58,47 @@ _STOP_EVENTS = (
 def stopped_vehicles_stream(reports: DataFrame) -> DataFrame:
     """Emit a "stopped" row with a vehicle's fourth standing report and a "cleared" row when it moves on."""
     needed = STOP_REPORTS
+    names = [part.split()[0] for part in _STOP_EVENTS.split(", ")]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # the current run of standing reports: length, place, first and fourth time
-        length, highway, position, segment, first, stopped = state.get if state.exists else (0, 0, 0, 0, None, None)
-        out = []
+        # the run of standing reports that is open: length, place, segment, first and fourth time
+        length, *open_run = state.get if state.exists else (0, 0, 0, 0, None, None)
+        highway, position, segment, first, stopped = open_run
         rows = pd.concat(list(batches)).sort_values(["ts", "report_id"])
-        columns = (rows[c] for c in ("ts", "speed", "highway", "position", "segment"))
-        for ts, speed, road, place, part in zip(*columns):
-            stays = length > 0 and speed == 0 and (road, place) == (highway, position)
-            if not stays:
-                if length >= needed:
-                    out.append((*key, "cleared", highway, position, segment, first, stopped, ts))
-                length, highway, position, first, stopped = 0, road, place, ts, None
-            if speed == 0:
-                length += 1
-            if length == needed and stopped is None:
-                segment, stopped = part, ts
-                out.append((*key, "stopped", highway, position, segment, first, stopped, None))
-        state.update((length, highway, position, segment, first, stopped))
-        names = [part.split()[0] for part in _STOP_EVENTS.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        for name in ("first_ts", "stopped_at", "cleared_at"):
-            frame[name] = pd.to_datetime(frame[name])
-        yield frame
+        ts, road, place, part = (rows[c].to_numpy() for c in ("ts", "highway", "position", "segment"))
+        stands, at = (rows["speed"] == 0).to_numpy(), np.arange(len(rows))
+
+        def before(values: np.ndarray, carried) -> np.ndarray:
+            return np.concatenate([np.array([carried], dtype=values.dtype), values[:-1]])
+
+        same = (road == before(road, highway)) & (place == before(place, position))
+        goes_on = stands & before(stands, length > 0) & same
+        start = np.maximum.accumulate(np.where(goes_on, -1, at))  # -1: the run that was open
+        nth = np.where(stands, at - start + np.where(start < 0, length, 1), 0)
+        since = np.where(start < 0, np.datetime64(first or 0, "ns"), ts[start].astype("datetime64[ns]"))
+        found = np.flatnonzero(nth == needed)
+        # a run's stop is the latest one found so far; -1: that of the run that was open
+        stop = np.maximum.accumulate(np.where(nth == needed, at, -1))
+        stop_ts = np.where(stop < 0, np.datetime64(stopped or 0, "ns"), ts[stop].astype("datetime64[ns]"))
+        stop_part = np.where(stop < 0, segment, part[stop])
+        left = np.flatnonzero(~goes_on & (before(nth, length) >= needed))
+        last = left - 1  # -1 where the first report ends the run that was open
+        ended = [np.where(last < 0, carried, values[last]) for values, carried in (
+            (road, highway), (place, position), (stop_part, segment), (since, np.datetime64(first or 0, "ns")),
+            (stop_ts, np.datetime64(stopped or 0, "ns")))]
+        arrived = [road[found], place[found], part[found], since[found], stop_ts[found]]
+        no_time = np.full(len(found), np.datetime64("NaT", "ns"))
+        parts = [("stopped", *arrived, no_time), ("cleared", *ended, ts[left].astype("datetime64[ns]"))]
+        frames = [pd.DataFrame(dict(zip(names[1:], values, strict=True)), index=range(len(values[1]))) for values in parts]
+        out = pd.concat(frames, ignore_index=True)
+        out.insert(0, names[0], key[0])
+        if nth[-1] > 0:
+            standing = nth[-1] >= needed
+            times = (pd.Timestamp(since[-1]), pd.Timestamp(stop_ts[-1]) if standing else None)
+            state.update((int(nth[-1]), int(road[-1]), int(place[-1]), int(stop_part[-1]) if standing else 0, *times))
+        elif state.exists:
+            state.remove()  # a vehicle on the move needs no memory
+        yield out
 
     kept = reports.selectExpr(
         "CAST(vehicle AS LONG) AS vehicle", "ts", "report_id", "CAST(speed AS DOUBLE) AS speed",
@@ -123,7 +141,10 @@ def accidents_stream(stops: DataFrame) -> DataFrame:
             if (before >= 2) != (standing >= 2):
                 kind = "started" if standing >= 2 else "ended"
                 out.append((*key, kind, int(group["segment"].iloc[0]), at, standing))
-        state.update((standing,))
+        if standing:
+            state.update((standing,))
+        elif state.exists:
+            state.remove()  # nobody stands there any more
         frame = pd.DataFrame(out, columns=[part.split()[0] for part in _ACCIDENT_EVENTS.split(", ")])
         frame["at"] = pd.to_datetime(frame["at"])
         yield frame
