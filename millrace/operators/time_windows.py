@@ -109,7 +109,8 @@ def sessions(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg],
     """Session windows of a table.
 
     Two rows in one slot of the gap's length always belong to one session, so rows are first
-    folded into slots; only slots are ordered per key. A session ends one gap after its last row.
+    folded into slots. Slots are linked inside chunks of slots, and across chunks by one row per chunk, so even a single
+    key is spread over many tasks. A session ends one gap after its last row.
     """
     slots = (
         df.filter(F.col(ts).isNotNull())
@@ -120,10 +121,25 @@ def sessions(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg],
             *(p.fold.alias(p.name) for a in aggs for p in a.partials()),
         )
     )
-    ordered = Window.partitionBy(*keys).orderBy("_slot")
-    opens = F.coalesce(F.col("_from") - F.lag("_to").over(ordered) > spec.gap, F.lit(True))
-    numbered = slots.withColumn("_opens", opens).withColumn(
-        "_session", F.sum(F.col("_opens").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    slots = slots.withColumn("_chunk", floor_div(F.col("_slot"), CHUNK_WINDOWS))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy("_slot")
+    # the first slot of a chunk is decided with the chunk before it
+    opens = F.coalesce((F.col("_from") - F.lag("_to").over(inside) > spec.gap).cast("long"), F.lit(0))
+    linked = slots.withColumn("_opens", opens)
+    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    chunks = linked.groupBy(*keys, "_chunk").agg(
+        F.min("_from").alias("_first"), F.max("_to").alias("_last"), F.sum("_opens").alias("_inner")
+    )
+    new = F.coalesce((F.col("_first") - F.lag("_last").over(by_chunk) > spec.gap).cast("long"), F.lit(1))
+    chunks = chunks.withColumn("_new", new)
+    earlier = F.coalesce(F.sum(F.col("_inner") + F.col("_new")).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = chunks.select(*keys, "_chunk", (earlier + F.col("_new")).alias("_start")).alias("c")
+    same = F.col("s._chunk") == F.col("c._chunk")
+    for key in keys:
+        same &= F.col(f"s.{key}").eqNullSafe(F.col(f"c.{key}"))
+    so_far = F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = linked.withColumn("_so_far", so_far).alias("s").join(starts, same).select(
+        "s.*", (F.col("c._start") + F.col("s._so_far")).alias("_session")
     )
     merged = numbered.groupBy(*keys, "_session").agg(
         F.min("_from").alias("_from"), F.max("_to").alias("_to"), *(p.merge() for a in aggs for p in a.partials())

@@ -17,7 +17,10 @@ from millrace.streaming.runner import (
     peek, progress_rates, read_batches, replace_batch, run_batches, run_to_table, shared_queries, start_to_table,
     stream_table,
 )
+from millrace.operators.time_windows import panes_of
 from millrace.streaming.row_join import row_join_batches
+from millrace.streaming.row_windows import row_window_batches
+from millrace.streaming.sliding import sliding_batches
 from millrace.streaming.state import accidents_stream, row_windows_stream, stopped_vehicles_stream
 
 
@@ -164,3 +167,53 @@ def test_rates_of_a_stream(spark, sf_dir, tmp_path):
     assert query.awaitTermination(60)
     rates = progress_rates(query)
     assert sum(rows for _, rows, _ in rates) == EVENTS.frame(spark, sf_dir).count()
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_long_windows_are_answered_once_and_closed(spark, tmp_path, exact):
+    """Batches of panes with a quiet time, an empty batch and a batch that is handed over twice."""
+    spec, path = WindowSpec.sliding(20, 2), str(tmp_path / "out")
+    aggs = [count(), sum_of("v", "total")]
+    rows = [(t, k, t) for t in (0, 1, 3, 8, 19, 21, 22, 40, 90, 91, 99) for k in ("a", None) if t % 3 or k]
+    table = spark.createDataFrame(rows, "t LONG, k STRING, v LONG").withColumn("ts", F.timestamp_seconds("t"))
+    write = sliding_batches(path, spec, ["k"], aggs, exact)
+    for batch, (low, high) in enumerate(((0, 0), (0, 4), (4, 20), (20, 20), (20, 92), (92, 100))):
+        part = table.filter((F.col("t") >= low) & (F.col("t") < high))
+        for _ in range(1 + (batch == 4)):
+            write(panes_of(part, spec, ["k"], aggs), batch)
+    found = read_batches(spark, f"{path}/windows")
+    expected = window_aggregate(table, spec, ["k"], aggs).filter(F.unix_seconds("window_end") <= 100)
+    assert seconds(found, *expected.columns) == seconds(expected)
+    assert sorted(p.name for p in (tmp_path / "out" / "panes").iterdir()) == ["batch=4", "batch=5"]
+
+
+def test_row_windows_by_batch(spark, tmp_path):
+    path, aggs = str(tmp_path / "out"), [count(), sum_of("v", "total"), max_of("v", "high")]
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 7 else "rare", i * i % 23) for i in range(200)]
+    table = spark.createDataFrame(rows, "i LONG, k STRING, v LONG")
+    write = row_window_batches(path, 8, ["k"], aggs, ["i"])
+    for batch, (low, high) in enumerate(((0, 3), (3, 3), (3, 90), (90, 91), (91, 200))):
+        for _ in range(1 + (batch == 2)):
+            write(table.filter((F.col("i") >= low) & (F.col("i") < high)), batch)
+    found = seconds(read_batches(spark, f"{path}/windows"), "k", "window_index", "n", "total", "high")
+    expected = []
+    for key in ("hot", "rare", None):
+        values = [v for _, k, v in rows if k == key]
+        for w in range(len(values) // 8):
+            part = values[8 * w : 8 * w + 8]
+            expected.append((key, w, 8, sum(part), max(part)))
+    assert found == sorted(expected, key=repr)
+
+
+def test_state_goes_when_vehicles_move_on(spark, tmp_path):
+    report = "ts LONG, report_id LONG, vehicle LONG, speed LONG, highway LONG, position LONG, segment LONG"
+    inbox, kept = str(tmp_path / "in"), []
+    for start, speed in ((0, 0), (1000, 9)):
+        rows = [(start + 30 * i, start + i * 10 + v, v, speed, 1, 100 if speed == 0 else 500 + i, 1) for i in range(5) for v in range(9)]
+        part = spark.createDataFrame(rows, report).withColumn("ts", F.timestamp_seconds("ts"))
+        part.coalesce(1).write.mode("append").parquet(inbox)
+        stream = stopped_vehicles_stream(spark.readStream.schema(part.schema).parquet(inbox))
+        query = start_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination(60)
+        kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
+    assert kept == [9, 0]

@@ -166,3 +166,15 @@ def test_very_long_gap_is_counted(spark):
                         "FROM VALUES (0L), (20000000L) AS t(s)")
     filled = fill_gaps(windows, WindowSpec.tumbling(1))
     assert filled.count() == 20_000_001
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_sessions_cross_chunks(at, monkeypatch, chunk):
+    monkeypatch.setattr("millrace.operators.time_windows.CHUNK_WINDOWS", chunk)
+    times = [0, 4, 9, 14, 30, 40, 51, 52, 53, 200, 210, 219, 500]
+    df = at([(t, k, 1) for t in times for k in ("a", None)], EVENTS)
+    got = seconds(window_aggregate(df, WindowSpec.session(10), ["k"], [count()]), "window_start", "window_end", "k", "n")
+    spans = [(0.0, 24.0, 4), (30.0, 50.0, 2), (51.0, 63.0, 3), (200.0, 229.0, 3), (500.0, 510.0, 1)]
+    assert got == sorted([(a, b, k, n) for a, b, n in spans for k in ("a", None)], key=repr)
+    whole = seconds(window_aggregate(df, WindowSpec.session(10), [], [count()]))
+    assert whole == sorted([(a, b, 2 * n) for a, b, n in spans], key=repr)
