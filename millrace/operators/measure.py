@@ -59,7 +59,7 @@ def latency(df: DataFrame, value: str | Column, percentiles: Sequence[int] = PER
     measured = df.select((F.col(value) if isinstance(value, str) else value).alias("_v")).filter("_v IS NOT NULL")
     folded = measured.groupBy("_v").agg(F.count(F.lit(1)).alias("_rows"))
     ranked = running_totals(folded, ["_v"], {"_rank": F.col("_rows")})
-    ranked = ranked.withColumn("_n", ranked.agg(F.max("_rank")).scalar())
+    ranked = ranked.withColumn("_n", folded.agg(F.sum("_rows")).scalar())
     n = F.col("_n")
 
     def at_rank(rank: Column) -> Column:

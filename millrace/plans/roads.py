@@ -124,14 +124,16 @@ def road_segment_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return road.segment_averages(segmented(spark, sf_dir), WindowSpec.tumbling(minutes(30 * UNIT)))
 
 
-@query(
-    "road_tolls",
+TOLLS_SQL = (
     ACCIDENTS_SQL
     + f", averages AS ({_averages(TRAFFIC.sql, 300)}) SELECT a.*, CASE WHEN EXISTS (SELECT 1 FROM accidents x WHERE "
     "x.highway = a.highway AND x.segment = a.segment AND x.started_at < a.window_end AND (x.ended_at IS NULL OR "
     "x.ended_at > a.window_start)) THEN 0.0 ELSE CAST(4 * reports * reports AS DOUBLE) END AS toll FROM averages a "
-    "WHERE avg_speed > 40",
+    "WHERE avg_speed > 40"
 )
+
+
+@query("road_tolls", TOLLS_SQL)
 def road_tolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of tolls at every 300 minutes."""
     return road.tolls(TRAFFIC.frame(spark, sf_dir), WindowSpec.tumbling(minutes(300)))

@@ -22,11 +22,12 @@ from ..streaming.row_windows import row_window_batches
 from ..streaming.runner import read_batches, replace_batch, run_batches, run_to_table, shared_queries, stream_table
 from ..streaming.sliding import sliding_batches
 from ..streaming.state import accidents_stream, row_windows_stream, stopped_vehicles_stream
+from ..streaming.tolls import accident_spans, toll_batches
 from . import sqltext as sql
 from .basics import ARRIVAL, row_join_sql
 from .campaign import minutes
 from .registry import query
-from .roads import ACCIDENTS_SQL, STOPS_SQL
+from .roads import ACCIDENTS_SQL, STOPS_SQL, TOLLS_SQL
 from .views import ADS, CAMPAIGN, EVENTS, TRAFFIC, View, table, table_path
 
 Out = TypeVar("Out")
@@ -341,6 +342,26 @@ def stream_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delivered(spark, sf_dir, _SPANS, run).select("highway", "position", "kind", "at")
 
 
+@query("stream_road_tolls", _closed(TOLLS_SQL, "'10 minutes'", TRAFFIC.sql))
+def stream_road_tolls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of tolls as every 300 minutes close: stops, accidents and sums follow one another in three streams."""
+    stops_path, events_path, path = (shared_path(spark, n) for n in ("stops", "accidents", "tolls"))
+    first, second, third = (shared_path(spark, "checkpoint") for _ in range(3))
+    every = WindowSpec.tumbling(minutes(300))
+    write = toll_batches(path, every, lambda: accident_spans(spark.read.parquet(events_path)))
+
+    def run(inbox: str) -> DataFrame:
+        stops = run_to_table(stopped_vehicles_stream(_stream(spark, inbox, TRAFFIC)), stops_path, first)
+        follow = spark.readStream.schema(stops.schema).parquet(stops_path)
+        run_to_table(accidents_stream(follow), events_path, second)
+        reports = _stream(spark, inbox, TRAFFIC).withWatermark("ts", "10 minutes")
+        sums = [count("_rows"), sum_of("speed", "_total")]
+        run_batches(window_aggregate(reports, every, ["highway", "segment"], sums), write, third)
+        return read_batches(spark, f"{path}/tolls")
+
+    return _delivered(spark, sf_dir, _SPANS, run)
+
+
 _QUERIES = {"q0": "event_code = 2", "q1": "event_code = 0", "q2": "event_code >= 1"}
 
 

@@ -98,7 +98,8 @@ def stopped_vehicles_stream(reports: DataFrame) -> DataFrame:
             state.update((int(nth[-1]), int(road[-1]), int(place[-1]), int(stop_part[-1]) if standing else 0, *times))
         elif state.exists:
             state.remove()  # a vehicle on the move needs no memory
-        yield out
+        if len(out):
+            yield out
 
     kept = reports.selectExpr(
         "CAST(vehicle AS LONG) AS vehicle", "ts", "report_id", "CAST(speed AS DOUBLE) AS speed",
@@ -147,7 +148,8 @@ def accidents_stream(stops: DataFrame) -> DataFrame:
             state.remove()  # nobody stands there any more
         frame = pd.DataFrame(out, columns=[part.split()[0] for part in _ACCIDENT_EVENTS.split(", ")])
         frame["at"] = pd.to_datetime(frame["at"])
-        yield frame
+        if out:
+            yield frame
 
     return stops.groupBy("highway", "position").applyInPandasWithState(
         advance, _ACCIDENT_EVENTS, "standing INT", "append", GroupStateTimeout.NoTimeout
