@@ -1,10 +1,12 @@
 """Cross-entropy difference of documents under two matched n-gram models.
 
 A target model (documents of a chosen set) and a background model (all documents) are bigram models with the same
-vocabulary, the same interpolation and the same hashed table for pairs of words. The vocabulary is that of the most frequent
-words of the whole corpus; all others are one unknown word. Every document of the corpus is counted; what is
-broadcast has a size set by ``WORDS`` and ``BUCKETS`` alone. A document's score is the mean over its tokens of
-target loss minus background loss: the lower, the more it resembles the target.
+vocabulary and the same interpolation. The vocabulary is that of the most frequent words of the whole corpus; all others
+are one unknown word. Every pair of neighbouring words of every document is counted by itself, in a table that grows
+with the corpus. Only the counts of words and of the most frequent pairs are broadcast, at most ``WORDS`` and ``HELD_PAIRS``
+of them; all other pairs of a document meet their counts in a join, whose keys cannot be hot, as frequent pairs
+never get there. A document's score is the mean over its tokens of target loss minus background loss: the lower, the
+more it resembles the target.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stage
 
 WORDS, LONGEST = 20_000, 64  # words of the vocabulary; bytes of its longest word
-BUCKETS = 1 << 18  # counters for pairs of words, shared by pairs of equal hash in both models alike
+HELD_PAIRS = 1 << 18  # most frequent pairs whose counts are broadcast
 PAIR_WEIGHT, PRIOR = 0.6, 0.5  # of the pair's share in a probability; added to every word's count
 HELD = 200_000  # distinct words a task holds before it hands on their counts
+FOLDED = 1 << 22  # counted places a task holds before it folds them
 UNKNOWN, START = 0, 1  # words of the vocabulary follow from 2 on
 
 
@@ -63,82 +67,76 @@ def vocabulary(docs: DataFrame, text: str = "text", size: int = WORDS) -> list[b
 
     small_batches(docs.sparkSession)
     counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "word binary, n long")
-    totals = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    steps = stage(totals.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "words")
+    totals = stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # at most size words of at most LONGEST bytes
+    chosen = totals.filter(count_step("n") >= lowest_step(totals, "n", size)).select("word").collect()
+    return sorted(bytes(r.word) for r in chosen)
+
+
+def count_step(n: str) -> Column:
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
+def lowest_step(counts: DataFrame, n: str, size: int) -> int:
+    """The lowest step of counts that no more than ``size`` rows reach."""
     lowest, reached = 1 << 30, 0
-    for row in sorted(steps.groupBy("step").count().collect(), reverse=True):  # some hundred rows at most
+    for row in sorted(counts.groupBy(count_step(n).alias("step")).count().collect(), reverse=True):  # some hundred rows
         reached += row["count"]
         if reached > size:
             break
         lowest = row.step
-    chosen = steps.filter(F.col("step") >= lowest).select("word").collect()  # at most size words of at most LONGEST bytes
-    return sorted(bytes(r.word) for r in chosen)
+    return lowest
 
 
 def numbers(words: list[bytes], known: Vocabulary) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def buckets(ids: np.ndarray) -> np.ndarray:
-    """The counter of every word with the one before it."""
-    before = np.concatenate([[START], ids[:-1]]).astype(np.uint64)
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+def pairs(ids: np.ndarray, first: int) -> np.ndarray:
+    """The place of every word together with the one before it; places below ``first`` are those of words."""
+    return first + np.concatenate([[START], ids[:-1]]) * first + ids
 
 
-def count_model(marked: DataFrame, words: list[bytes]) -> np.ndarray:
-    """Counts of ``marked(text, target)`` as an array of two rows (target, all) by words and pair counters.
+def count_model(marked: DataFrame, words: list[bytes]) -> DataFrame:
+    """``(place, target, every)``: how often words and pairs come in the target documents and in all.
 
-    Every task adds up its documents and hands on the counters it has used; the sums reach the driver, which is
-    ``2 + WORDS + BUCKETS`` rows at most.
+    ``marked`` has ``text`` and ``target``. Tasks fold what they have counted before they hand it on.
     """
-    first, total = 2 + len(words), 2 + len(words) + BUCKETS
+    first = 2 + len(words)
     known = marked.sparkSession.sparkContext.broadcast(words)
 
+    def folded(places: list[np.ndarray], targets: list[bool]) -> pa.RecordBatch:
+        found, which, every = np.unique(np.concatenate(places), return_inverse=True, return_counts=True)
+        chosen = np.repeat(np.array(targets, dtype=float), [len(p) for p in places])
+        target = np.bincount(which, weights=chosen, minlength=len(found)).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(found), pa.array(target), pa.array(every.astype(np.int64))], names=["place", "target", "every"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = Vocabulary({w: i for i, w in enumerate(known.value, 2)})
-        counts = np.zeros((2, total), dtype=np.int64)
+        places, targets, held = [], [], 0
         for batch in batches:
             for value, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = tokens(value)
-                if not found:
+                if not (found := tokens(value)):
                     continue
                 ids = numbers(found, numbered)
-                places = np.concatenate([ids, [START], first + buckets(ids)])
-                np.add.at(counts[1], places, 1)
-                if target:
-                    np.add.at(counts[0], places, 1)
-        used = np.flatnonzero(counts[1])
-        arrays = [pa.array(used), pa.array(counts[0, used]), pa.array(counts[1, used])]
-        yield pa.RecordBatch.from_arrays(arrays, names=["place", "target", "every"])
+                places.append(np.concatenate([ids, [START], pairs(ids, first)]))
+                targets.append(target)
+                held += len(places[-1])
+                if held > FOLDED:
+                    yield folded(places, targets)
+                    places, targets, held = [], [], 0
+        if places:
+            yield folded(places, targets)
 
     small_batches(marked.sparkSession)
-    summed = (
-        marked.select("text", "target")
-        .mapInArrow(run, "place long, target long, every long")
-        .groupBy("place")
-        .agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
-    )
-    model = np.zeros((2, total), dtype=np.int64)
-    found = summed.toArrow()
-    for row, name in enumerate(("target", "every")):
-        model[row, found["place"].to_numpy()] = found[name].to_numpy()
-    return model
+    counted = marked.select("text", "target").mapInArrow(run, "place long, target long, every long")
+    sums = counted.groupBy("place").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
+    return stage(sums, "counts")
 
 
-def losses(ids: np.ndarray, model: np.ndarray, words: int) -> tuple[float, float]:
-    """Mean losses per token under the target and the background model."""
-    first = 2 + words
-    before, pairs = np.concatenate([[START], ids[:-1]]), first + buckets(ids)
-    found = []
-    for counts in model:
-        single = (counts[ids] + PRIOR) / (counts[:first].sum() - counts[START] + PRIOR * (words + 1))
-        share = np.minimum(counts[pairs] / np.maximum(counts[before], 1), 1.0)
-        found.append(float(-np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * single).mean()))
-    return found[0], found[1]
-
-
-def score(docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str = "text", held_pairs: int = HELD_PAIRS) -> DataFrame:
     """``(id, n_tokens, target_loss, background_loss, score)`` for every row of ``docs``.
 
     ``target_ids`` has a column ``id`` with the ids of the target documents; repeated and null ids there add nothing. A
@@ -146,31 +144,91 @@ def score(docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str
     """
     narrow = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     words = vocabulary(narrow)
+    first = 2 + len(words)
     chosen = target_ids.select(F.col("id").cast("long").alias("chosen")).filter("chosen is not null").distinct()
     # the ids grow with the labels: the same sort-merge plan at every size, which splits skewed ids
     marked = narrow.join(chosen.hint("merge"), F.col("id") == F.col("chosen"), "left").select(
         "text", F.col("chosen").isNotNull().alias("target")
     )
+    counts = count_model(marked, words)
+    singles = counts.filter(F.col("place") < first)  # a row per word of the vocabulary
+    coupled = counts.filter(F.col("place") >= first)
+    frequent = count_step("every") >= lowest_step(coupled, "every", held_pairs)
+    partly = _partly_scored(narrow, words, singles, coupled.filter(frequent))
+    rare = partly.select("key", F.explode(F.arrays_zip("rare", "times")).alias("_")).select(
+        "key", F.col("_.rare").alias("place"), F.col("_.times").alias("times")
+    )
+    sums = _rare_losses(rare, coupled.filter(~frequent), singles, first)
+    total = [(F.col(n) + F.coalesce(f"rare_{n}", F.lit(0.0))) / F.col("n_tokens") for n in ("target", "background")]
+    whole = partly.drop("rare", "times").join(sums.hint("merge"), "key", "left").select(
+        F.col("id").alias(id), "n_tokens", *(F.when(F.col("n_tokens") > 0, c).alias(f"{n}_loss")
+        for c, n in zip(total, ("target", "background"), strict=True)),
+    )
+    return whole.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def _partly_scored(docs: DataFrame, words: list[bytes], singles: DataFrame, frequent: DataFrame) -> DataFrame:
+    """A row per document with the summed losses of its frequent pairs and the places of its rare ones.
+
+    ``singles`` and ``frequent`` have at most as many rows as there are words and held pairs.
+    """
+    first = 2 + len(words)
+    known, held = singles.toArrow(), frequent.orderBy("place").toArrow()
+    alone = np.zeros((2, first))
+    for row, name in enumerate(("target", "every")):
+        alone[row, known["place"].to_numpy()] = known[name].to_numpy()
+    chance = (alone + PRIOR) / (alone.sum(axis=1) - alone[:, START] + PRIOR * (first - 1))[:, None]
+    together = np.stack([held["target"].to_numpy(), held["every"].to_numpy()]).astype(float)
     context = docs.sparkSession.sparkContext
-    known, model = context.broadcast(words), context.broadcast(count_model(marked, words))
+    shared = context.broadcast((words, alone, chance, held["place"].to_numpy(), together))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered, size = Vocabulary({w: i for i, w in enumerate(known.value, 2)}), len(known.value)
+        words, alone, chance, places, together = shared.value
+        numbered = Vocabulary({w: i for i, w in enumerate(words, 2)})
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for value in batch.column(1).to_pylist():
-                found = tokens(value)
-                if found:
-                    target, background = losses(numbers(found, numbered), model.value, size)
-                    rows.append((len(found), target, background, target - background))
-                else:
-                    rows.append((0, None, None, None))
+                ids = numbers(tokens(value), numbered)
+                both = pairs(ids, first) if len(ids) else ids
+                at = np.searchsorted(places, both)
+                hit = at < len(places)
+                hit[hit] = places[at[hit]] == both[hit]
+                at, word, before = at[hit], ids[hit], (both[hit] - first) // first
+                share = np.minimum(together[:, at] / np.maximum(alone[:, before], 1), 1.0)
+                loss = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * chance[:, word]).sum(axis=1)
+                rare, times = np.unique(both[~hit], return_counts=True)
+                rows.append((key, len(ids), float(loss[0]), float(loss[1]), rare, times))
+                key += 1
             if rows:
-                kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *arrays], names=["id", "n_tokens", "target_loss", "background_loss", "score"]
-                )
+                names = ["id", "key", "n_tokens", "target", "background", "rare", "times"]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
-    scored = narrow.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, score double")
-    return scored.withColumnRenamed("id", id)
+    small_batches(docs.sparkSession)
+    columns = "id long, key long, n_tokens long, target double, background double, rare array<long>, times array<long>"
+    return stage(docs.mapInArrow(run, columns), "partly")
+
+
+def _rare_losses(rare: DataFrame, coupled: DataFrame, singles: DataFrame, first: int) -> DataFrame:
+    """``(key, rare_target, rare_background)``: the summed losses of rare pairs ``(key, place, times)``."""
+    models = {"target": "target", "background": "every"}
+    size = singles.filter(F.col("place") != START).agg(*(F.sum(c).alias(f"_all_{n}") for n, c in models.items())).first()
+
+    def counts_of(name: str) -> DataFrame:  # a row per word of the vocabulary
+        kept = (F.col(c).cast("double").alias(f"_{name}_{n}") for n, c in models.items())
+        return F.broadcast(singles.select(F.col("place").alias(f"_{name}"), *kept))
+
+    pair = F.col("place") - first
+    met = rare.join(coupled.hint("merge"), "place").select(
+        "key", "times", "target", "every", F.call_function("div", pair, F.lit(first)).cast("long").alias("_before"),
+        F.pmod(pair, F.lit(first)).cast("long").alias("_word"),
+    )
+    met = met.join(counts_of("before"), "_before").join(counts_of("word"), "_word")
+    sums = []
+    for name, column in models.items():
+        share = F.least(F.col(column) / F.greatest(F.col(f"_before_{name}"), F.lit(1.0)), F.lit(1.0))
+        chance = (F.col(f"_word_{name}") + PRIOR) / ((size[f"_all_{name}"] or 0) + PRIOR * (first - 1))
+        sums.append(F.sum(-F.ln(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * chance) * F.col("times")).alias(f"rare_{name}"))
+    return met.groupBy("key").agg(*sums)

@@ -1,6 +1,9 @@
 """Operators on texts against brute force, libraries and small hand-made tables."""
 
+import collections
+import math
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -269,3 +272,37 @@ def test_cross_entropy_difference(spark, docs):
     assert cross_entropy.score(table.limit(0), target).count() == 0
     words = cross_entropy.vocabulary(table, size=3)
     assert len(words) <= 3
+
+
+@pytest.mark.parametrize("held", [0, 3, 1 << 18])
+def test_cross_entropy_matches_brute_force(spark, docs, held):
+    """Whether a pair's counts are broadcast or joined, the losses are those of the whole models."""
+    target = spark.createDataFrame([(1,), (5,)], "id long")
+    table = docs.select("doc_id", "text").collect()
+    words = [[w for w in re.split("[\x20\x09-\x0d]+", (r.text or "")) if w] for r in table]
+    words = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in ws] for ws in words]
+    models = []
+    for kept in ({1, 5}, None):
+        single, pair, total = collections.Counter(), collections.Counter(), 0
+        for r, ws in zip(table, words, strict=True):
+            if kept is None or r.doc_id in kept:
+                single.update(ws)
+                single.update([None] if ws else [])
+                pair.update(zip([None, *ws], ws, strict=False))
+                total += len(ws)
+        models.append((single, pair, total))
+    size = len({w for ws in words for w in ws}) + 1
+    expected = []
+    for r, ws in zip(table, words, strict=True):
+        losses = []
+        for single, pair, total in models:
+            chance = [(single[w] + 0.5) / (total + 0.5 * size) for w in ws]
+            share = [min(pair[b, w] / max(single[b], 1), 1) for b, w in zip([None, *ws], ws, strict=False)]
+            losses.append(-sum(math.log(0.6 * s + 0.4 * c) for s, c in zip(share, chance, strict=True)) / (len(ws) or 1))
+        expected.append((str(r.doc_id), len(ws), *((round(x, 9) for x in losses) if ws else (None, None))))
+    scored = cross_entropy.score(docs, target, held_pairs=held).collect()
+    found = [
+        (str(r.doc_id), r.n_tokens, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss)))
+        for r in scored
+    ]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
