@@ -151,16 +151,19 @@ def mix(
     leaves = sized.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
     budgets = stage(leaf_budgets(leaves, weights, share, max_epochs, levels), "budgets")
     cuts = stage(leaf_cuts(sized, budgets, seed, levels), "cuts")
-    renamed = cuts.select(*(F.col(n).alias(f"_cut_{n}") for n in levels), "full", "cut_hash", "cut_id")
+    columns = [*levels, "full", "cut_hash", "cut_id"]
+    names = fresh(docs, *(f"_{c}" for c in columns))
+    renamed = cuts.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)))
     same = reduce(
         lambda a, b: a & b,
-        (F.coalesce(c.cast("string"), F.lit("")) == F.col(f"_cut_{n}") for c, n in zip(leaf, levels, strict=True)),
+        (F.coalesce(c.cast("string"), F.lit("")) == F.col(n) for c, n in zip(leaf, names, strict=False)),
     )
-    place = epoch_hash(seed, F.col("full"), F.col(f"`{id}`"))
+    full, cut_hash, cut_id = (F.col(n) for n in names[len(levels) :])
+    place = epoch_hash(seed, full, F.col(f"`{id}`"))
     own = F.coalesce(F.col(f"`{id}`"), F.lit(-(2**63)))
-    at_cut = (place == F.col("cut_hash")) & (own <= F.coalesce(F.col("cut_id"), F.lit(-(2**63))))
-    partly = F.coalesce((place < F.col("cut_hash")) | at_cut, F.lit(False))
-    times = F.col("full") + partly.cast("long")
+    at_cut = (place == cut_hash) & (own <= F.coalesce(cut_id, F.lit(-(2**63))))
+    partly = F.coalesce((place < cut_hash) | at_cut, F.lit(False))
+    times = full + partly.cast("long")
     kept = [F.col(f"`{c}`") for c in docs.columns]
     return (
         docs.join(renamed, same)

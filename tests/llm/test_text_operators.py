@@ -204,6 +204,17 @@ def test_mixture_keeps_odd_rows_whole(spark, docs):
     assert mixture.mix(docs.limit(0), F.lit("all"), weights).count() == 0
 
 
+def test_mixture_keeps_columns_named_like_its_own(spark, docs):
+    own = ["full", "cut_hash", "cut_id", "_domain", "_FULL", "domain", "hash", "prefix", "budget", "tokens", "id"]
+    more = docs.withColumns({name: F.lit(name) for name in own})
+    weights = spark.createDataFrame([("lang", "en", 2)], "level string, name string, weight long")
+    mixed = mixture.mix(more, F.lit("all"), weights, (1, 1), 2)
+    assert all(r[name] == name for r in mixed.collect() for name in own)
+    assert sorted(map(str, mixed.select(*docs.columns).collect())) == sorted(
+        map(str, mixture.mix(docs, F.lit("all"), weights, (1, 1), 2).select(*docs.columns).collect())
+    )
+
+
 def test_preference_pairs(spark):
     schema = "pair_id long, turn long, role string, text string, extra int"
     chosen = spark.createDataFrame(
