@@ -54,8 +54,13 @@ def with_row_index(
     )
 
 
-def running_totals(df: DataFrame, order_by: Sequence[str], totals: dict[str, Column]) -> DataFrame:
-    """Add inclusive running sums of ``totals`` along ``order_by`` over the whole table."""
+def running_totals(
+    df: DataFrame, order_by: Sequence[str], totals: dict[str, Column], keep_place: bool = False
+) -> DataFrame:
+    """Add inclusive running sums of ``totals`` along ``order_by`` over the whole table.
+
+    ``keep_place`` also keeps where a row lies in the order, as ``PART`` and ``AT``; see ``following``.
+    """
     placed = _place(df.select("*", *(c.alias(f"_t_{n}") for n, c in totals.items())), order_by)
     parts = placed.groupBy(PART).agg(*(F.sum(f"_t_{n}").alias(f"_s_{n}") for n in totals))
     before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
@@ -64,10 +69,21 @@ def running_totals(df: DataFrame, order_by: Sequence[str], totals: dict[str, Col
     inside = Window.partitionBy(PART).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *(F.sum(f"_t_{n}").over(inside).alias(f"_l_{n}") for n in totals))
     return local.join(F.broadcast(offsets), PART).select(
-        *df.columns, *((F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in totals)
+        *df.columns, *((PART, AT) if keep_place else ()), *((F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in totals)
     )
 
 
+def following(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the ``value`` of the next row as ``name``, for rows that kept their place; drops the place."""
+    inside = Window.partitionBy(PART).orderBy(AT)
+    # one row per partition: the first value of the next partition that has rows
+    firsts = rows.groupBy(PART).agg(F.min_by(value, AT).alias("_first"))
+    later = firsts.select(PART, F.lead("_first").over(Window.orderBy(PART)).alias("_later"))
+    own = rows.withColumn(name, F.lead(value).over(inside)).withColumn("_more", F.lead(F.lit(True)).over(inside))
+    chosen = F.when(F.col("_more"), F.col(name)).otherwise(F.col("_later"))
+    return own.join(F.broadcast(later), PART).withColumn(name, chosen).drop(PART, AT, "_more", "_later")
+
+
 def with_chunks(indexed: DataFrame, index: str, length: int, halo: int) -> DataFrame:
     """Cut numbered rows into chunks that can be processed apart.
 

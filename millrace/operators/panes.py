@@ -28,6 +28,7 @@ from .windows import floor_div
 ROWS = "_pane_rows"
 CHUNK_WINDOWS = 4096
 FEW_WINDOWS = 8
+BLOCK_WINDOWS = 16
 
 
 def pane_aggregate(df: DataFrame, pane: Column, keys: list[str], aggs: list[Agg], name: str) -> DataFrame:
@@ -78,7 +79,42 @@ def windows_from_marks(
 
     ``totals[0]`` counts rows and tells empty windows from filled ones.
     """
-    length = max(CHUNK_WINDOWS, 4 * overlap)
+    return _each_window(_levels(spans, keys, totals, chunk_length(overlap)), window)
+
+
+def highest_from_marks(spans: DataFrame, keys: list[str], totals: list[str], overlap: int, window: str) -> DataFrame:
+    """As ``windows_from_marks``, but only windows and keys whose row count can be the highest of all keys.
+
+    The axis is cut into blocks of windows. A key that has rows in every window of a block has at least its lowest count
+    there in each of them, so the best of these lowest counts is a bound below which nothing in the block can win.
+    The bounds are found before windows are listed one by one; there is one per block, whatever the number of keys.
+    """
+    length = -(-chunk_length(overlap) // BLOCK_WINDOWS) * BLOCK_WINDOWS  # no block lies in two chunks
+    levels = _levels(spans, keys, totals, length)
+    block = floor_div(F.col("_at"), BLOCK_WINDOWS), floor_div(F.col("_until") - 1, BLOCK_WINDOWS)
+    cut = levels.withColumn("_block", F.explode(F.sequence(*block)))
+    pieces = cut.withColumn("_at", F.greatest("_at", F.col("_block") * BLOCK_WINDOWS)).withColumn(
+        "_until", F.least("_until", (F.col("_block") + 1) * BLOCK_WINDOWS)
+    )
+    per_key = pieces.groupBy(*keys, "_chunk", "_block").agg(
+        F.sum(F.col("_until") - F.col("_at")).alias("_covered"), F.min(totals[0]).alias("_low")
+    )
+    bounds = per_key.filter(F.col("_covered") == BLOCK_WINDOWS).groupBy("_block").agg(F.max("_low").alias("_bound"))
+    able = pieces.join(bounds, "_block", "left").filter(F.col(totals[0]) >= F.coalesce("_bound", F.lit(0)))
+    return _each_window(able.drop("_block", "_bound"), window)
+
+
+def chunk_length(overlap: int) -> int:
+    return max(CHUNK_WINDOWS, 4 * overlap)
+
+
+def _each_window(levels: DataFrame, window: str) -> DataFrame:
+    listed = levels.withColumn(window, F.explode(F.sequence("_at", F.col("_until") - 1)))
+    return listed.drop("_at", "_until", "_chunk")
+
+
+def _levels(spans: DataFrame, keys: list[str], totals: list[str], length: int) -> DataFrame:
+    """Stretches ``_at`` … ``_until`` of windows with the same totals, cut at chunks of ``length`` windows."""
     chunks = spans.withColumn(
         "_chunk",
         F.explode(F.sequence(floor_div(F.col("_first"), length), floor_div(F.col("_last"), length))),
@@ -105,11 +141,12 @@ def windows_from_marks(
     running = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     levels = marks.select(
         *keys,
+        "_chunk",
         "_at",
         *(F.sum(t).over(running).alias(t) for t in totals),
         F.lead("_at").over(ordered).alias("_until"),
-    ).filter((F.col(totals[0]) > 0) & (F.col("_until") > F.col("_at")))
-    return levels.withColumn(window, F.explode(F.sequence("_at", F.col("_until") - 1))).drop("_at", "_until")
+    )
+    return levels.filter((F.col(totals[0]) > 0) & (F.col("_until") > F.col("_at")))
 
 
 def _from_blocks(

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import count, sum_of
-from ..functions.expressions import int_div
-from .order import running_totals, with_chunks, with_row_index
+from .order import following, running_totals, with_chunks, with_row_index
 from .time_windows import window_aggregate
 from .windows import WindowSpec, floor_div
 
@@ -77,12 +76,11 @@ def accidents(stops: DataFrame) -> DataFrame:
     marks = stops.select(*place, F.inline(F.array(start, end)))
     # one mark per instant: who leaves and who arrives at once cancel out
     marks = marks.groupBy(*place, "at").agg(F.sum("step").alias("step")).filter("step != 0")
-    counted = running_totals(marks, [*place, "at"], {"_now": F.col("step")})
+    counted = running_totals(marks, [*place, "at"], {"_now": F.col("step")}, keep_place=True)
     turns = counted.filter((F.col("_now") >= 2) != (F.col("_now") - F.col("step") >= 2))
-    # begin and end take turns within every place, so each pair has neighbouring numbers
-    paired = with_row_index(turns, [*place, "at"]).groupBy(*place, int_div("row_index", 2).alias("_pair"))
-    spans = paired.agg(F.min("at").alias("started_at"), F.max("at").alias("_until"))
-    return spans.select(*place, "started_at", F.when(F.col("_until") < never, F.col("_until")).alias("ended_at"))
+    # begin and end take turns within every place, so the row after a begin is its end
+    spans = following(turns, "at", "_until").filter(F.col("_now") >= 2)
+    return spans.select(*place, F.col("at").alias("started_at"), F.when(F.col("_until") < never, F.col("_until")).alias("ended_at"))
 
 
 def segment_averages(reports: DataFrame, every: WindowSpec, keys: Sequence[str] = ("highway", "segment")) -> DataFrame:

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import count
 from ..functions.expressions import one_of, project_at
 from ..operators.joins import window_join
-from ..operators.ranking import top_with_ties
-from ..operators.time_windows import window_aggregate
+from ..operators.ranking import most_frequent
 from ..operators.windows import WindowSpec
 from . import sqltext as sql
 from .campaign import minutes
@@ -39,8 +37,7 @@ def auction_q2_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auction_q5_hot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """60/1 count per auction, the most bid-on ones of each window."""
     spec = WindowSpec.sliding(minutes(60 * sql.DAY), minutes(sql.DAY))
-    hottest = lambda counts: top_with_ties(counts, "n")
-    return window_aggregate(BIDS.frame(spark, sf_dir), spec, ["auction"], [count()], post=hottest)
+    return most_frequent(BIDS.frame(spark, sf_dir), spec, ["auction"])
 
 
 _PERSONS = (

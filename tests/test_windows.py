@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions.aggregates import avg_of, count, max_of, min_of, sum_of, weighted_avg_of
-from millrace.operators.ranking import top_with_ties
+from millrace.operators.ranking import most_frequent, top_with_ties
 from millrace.operators.row_windows import row_window_aggregate
 from millrace.operators.time_windows import fill_gaps, shared_windows, window_aggregate
 from millrace.operators.windows import WindowSpec
@@ -140,6 +140,23 @@ def test_top_keeps_ties(at):
     assert seconds(top, "window_start", "k", "n") == [(0.0, "a", 2), (0.0, "b", 2), (10.0, "c", 1)]
 
 
+@pytest.mark.parametrize("size, slide", [(60, 1), (100, 3), (40, 1), (10, 5)])
+def test_most_frequent_keys_with_ties(at, size, slide):
+    """Hot keys that come and go, a key with a gap, keys that tie, and times before 1970."""
+    rows = [(t, "hot" if t < 300 else "late", 1) for t in range(-50, 700, 2) if not 380 < t < 500]
+    rows += [(t, name, 1) for t in range(-40, 900, 30) for name in ("tie", "eit")] + [(5, None, 1)] * 40
+    df = at(rows, EVENTS)
+    spec = WindowSpec.sliding(size, slide)
+    expected = window_aggregate(df, spec, ["k"], [count()], post=lambda w: top_with_ties(w, "n"))
+    assert seconds(most_frequent(df, spec, ["k"])) == seconds(expected)
+    counts = {at: len(values) for at, values in brute(rows, size, slide).items()}
+    best = {}
+    for (start, _), n in counts.items():
+        best[start] = max(best.get(start, 0), n)
+    found = {(r[0], r[1]): r[2] for r in seconds(expected, "window_start", "k", "n")}
+    assert found == {(float(s), k): n for (s, k), n in counts.items() if n == best[s]}
+
+
 def test_row_windows_number_before_the_filter(at):
     df = at([(i, "a", i) for i in range(25)], EVENTS)
     aggs = [count(), sum_of("v", "total")]
