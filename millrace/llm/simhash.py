@@ -3,10 +3,11 @@
 Texts with equal fingerprints are one node, so copies never meet in pairs. Candidates follow the pigeonring
 principle: with the 64 bits in a ring of four segments and a budget of three bits, two linked fingerprints have
 a segment from which every chain of 1, 2, 3 and 4 consecutive segments stays within its share of the budget,
-that is 0, 1, 2 and 3 bits. The first segment of the chain is the key on which fingerprints meet; longer
-chains prune in the order of their length, and only what is left is compared in full. Fingerprints that share a
-key are compared in tiles of bounded size, spread over tasks, and a tile returns a spanning forest of its
-links instead of all of them.
+that is 0, 1, 2 and 3 bits. The chain of two segments is the key on which fingerprints meet: 32 bits that differ in none
+or in one of the second segment. Of two fingerprints that differ there in one bit, one has it set, so each goes to its own
+key and to the keys with one of the second segment's bits cleared. Longer chains prune in the order of their length, and
+only what is left is compared in full. Fingerprints that share a key are compared in tiles of bounded size, spread over
+tasks, and a tile returns a spanning forest of its links instead of all of them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, fresh, stage, text_rows
@@ -102,7 +103,7 @@ def _compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(block)]]))
         fps = block[:, 2].view(np.uint64)
-        segment = block[:, 0] >> SEGMENT_BITS
+        segment = block[:, 0] >> 2 * SEGMENT_BITS
         links: list[np.ndarray] = []
         small = sizes <= 64
         # row i of a small run meets the next 1, 2, ... rows of its run
@@ -153,15 +154,28 @@ def _rows_survive(fps: np.ndarray, left: np.ndarray, right: np.ndarray, segment:
     return np.stack([left, right])
 
 
+def _keys() -> Column:
+    """The keys of ``fp``: number, bits and following bits of each segment, the latter also with one set bit cleared."""
+    low = (1 << SEGMENT_BITS) - 1
+
+    def of(i: int) -> Column:
+        own = F.shiftrightunsigned("fp", i * SEGMENT_BITS).bitwiseAND(low)
+        after = F.shiftrightunsigned("fp", (i + 1) % SEGMENTS * SEGMENT_BITS).bitwiseAND(low)
+        key = F.lit(i << 2 * SEGMENT_BITS).cast("long") + F.shiftleft(own, SEGMENT_BITS) + after
+        bits = F.array(*(F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)))
+        cleared = F.transform(F.filter(bits, lambda b: after.bitwiseAND(b) != 0), lambda b: key - b)
+        return F.concat(F.array(key), cleared)
+
+    return F.concat(*(of(i) for i in range(SEGMENTS)))
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` that connect just what the links between the fingerprints ``fp`` connect.
 
-    ``distinct`` has each fingerprint once. Every fingerprint goes to its four segment keys. A key with more
-    than ``TILE`` fingerprints is dealt into shares by a hash; each pair of shares is a tile of its own.
+    ``distinct`` has each fingerprint once. Every fingerprint goes to its keys, about 36 of them. A key with more than
+    ``TILE`` fingerprints is dealt into shares by a hash; each pair of shares is a tile of its own.
     """
-    segment = lambda i: F.shiftrightunsigned("fp", i * SEGMENT_BITS).bitwiseAND((1 << SEGMENT_BITS) - 1)
-    keys = F.array(*((F.lit(i << SEGMENT_BITS) + segment(i)).cast("long") for i in range(SEGMENTS)))
-    keyed = distinct.select("fp", F.explode(keys).alias("key"))
+    keyed = distinct.select("fp", F.explode(_keys()).alias("key"))
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > TILE)
     dealt = keyed.join(full, "key", "left")
     shares = F.coalesce(F.ceil(F.col("rows") / TILE).cast("long"), F.lit(1).cast("long"))
@@ -177,7 +191,10 @@ def links(distinct: DataFrame) -> DataFrame:
         .select("key", F.explode(tiles).alias("tile"), "fp")
     )
     sorted_rows = placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp")
-    return sorted_rows.mapInArrow(_compare_tiles, "a long, b long").filter("a <> b")
+    # a tile holds at most about two shares; most keys have one fingerprint only
+    company = F.count(F.lit(1)).over(Window.partitionBy("key", "tile"))
+    met = sorted_rows.withColumn("company", company).filter("company > 1").drop("company")
+    return met.mapInArrow(_compare_tiles, "a long, b long").filter("a <> b")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:

@@ -156,6 +156,22 @@ def test_hot_keys_are_compared_in_tiles(spark, monkeypatch):
     assert len(found) == len(prints) - 1 and len({r.component for r in found}) == 1
 
 
+def test_every_pair_within_three_bits_is_linked(spark):
+    """Pairs of all shapes: one to four flipped bits anywhere, each pair far from all others."""
+    random.seed(11)
+    linked, apart = [], []
+    for flips in (1, 2, 3, 4):
+        for _ in range(400):
+            one = random.getrandbits(64)
+            other = one
+            for b in random.sample(range(64), flips):
+                other ^= 1 << b
+            (linked if flips <= 3 else apart).append((one, other))
+    signed = [(p - (1 << 64) if p >> 63 else p,) for pair in linked + apart for p in pair]
+    found = {frozenset((r.a % (1 << 64), r.b % (1 << 64))) for r in simhash.links(spark.createDataFrame(signed, "fp long")).collect()}
+    assert found == {frozenset(pair) for pair in linked}
+
+
 def test_quality_votes(spark, docs):
     random.seed(2)
     good = [(i, " ".join(random.choice(["river", "stone", "walks", "under"]) for _ in range(30))) for i in range(20, 120)]
