@@ -1,11 +1,11 @@
 """Cross-entropy difference of documents under two matched n-gram models.
 
 A target model (documents of a chosen set) and a background model (all documents) are bigram models with the same
-vocabulary and the same interpolation. The vocabulary is that of the most frequent words of the whole corpus; all others
-are one unknown word. Every pair of neighbouring words of every document is counted by itself, in a table that grows
-with the corpus. Only the counts of words and of the most frequent pairs are broadcast, at most ``WORDS`` and ``HELD_PAIRS``
-of them; all other pairs of a document meet their counts in a join, whose keys cannot be hot, as frequent pairs
-never get there. A document's score is the mean over its tokens of target loss minus background loss: the lower, the
+vocabulary, which is every word of the corpus, and the same interpolation. Every word and every pair of neighbouring words
+of every document is counted by itself, under 64-bit hashes, in a table that grows with the corpus. Only the counts of the
+most frequent words and the losses of the most frequent pairs are broadcast, at most ``WORDS`` and ``HELD_PAIRS`` of them; all
+other pairs meet the counts of their words, and the pairs of a document their losses, in joins whose keys cannot be
+hot, as frequent words and pairs never get there. A document's score is the mean over its tokens of target loss minus background loss: the lower, the
 more it resembles the target.
 """
 
@@ -16,18 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stage
 
-WORDS, LONGEST = 20_000, 64  # words of the vocabulary; bytes of its longest word
-HELD_PAIRS = 1 << 18  # most frequent pairs whose counts are broadcast
+WORDS, LONGEST = 20_000, 64  # most frequent words whose counts are broadcast; bytes of the longest word of a word list
+HELD_PAIRS = 1 << 18  # most frequent pairs whose losses are broadcast
 PAIR_WEIGHT, PRIOR = 0.6, 0.5  # of the pair's share in a probability; added to every word's count
 HELD = 200_000  # distinct words a task holds before it hands on their counts
 FOLDED = 1 << 22  # counted places a task holds before it folds them
-UNKNOWN, START = 0, 1  # words of the vocabulary follow from 2 on
+NONE, START = 0, 1  # in place of the hash of a word: no word, the begin of a document
+TURN = 17  # bits by which the second hash of a pair is turned
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -35,13 +37,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-class Vocabulary(dict):
-    """Numbers of words; a missing word is the unknown one."""
-
-    def __missing__(self, word: bytes) -> int:
-        return UNKNOWN
-
-
 def vocabulary(docs: DataFrame, text: str = "text", size: int = WORDS) -> list[bytes]:
     """The most frequent words of all documents, at most ``size``: those that reach a common count.
 
@@ -88,77 +83,102 @@ def lowest_step(counts: DataFrame, n: str, size: int) -> int:
     return lowest
 
 
-def numbers(words: list[bytes], known: Vocabulary) -> np.ndarray:
+class Hashes(dict):
+    """Signed 64-bit hashes of words, each computed once while it is held; ``NONE`` and ``START`` are no word's."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        found = self[word] = int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True)
+        return found
+
+
+def numbers(words: list[bytes], known: Hashes) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def pairs(ids: np.ndarray, first: int) -> np.ndarray:
-    """The place of every word together with the one before it; places below ``first`` are those of words."""
-    return first + np.concatenate([[START], ids[:-1]]) * first + ids
+def places(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One key for every pair of hashes; that of a word alone (before ``NONE``) is its hash."""
+    bits = word.view(np.uint64)
+    turned = (bits << np.uint64(TURN)) | (bits >> np.uint64(64 - TURN))
+    return before ^ turned.view(np.int64)
+
 
+def place(before: str, word: str) -> Column:
+    """As ``places``."""
+    turned = F.shiftleft(word, TURN).bitwiseOR(F.shiftrightunsigned(word, 64 - TURN))
+    return F.col(before).bitwiseXOR(turned)
 
-def count_model(marked: DataFrame, words: list[bytes]) -> DataFrame:
-    """``(place, target, every)``: how often words and pairs come in the target documents and in all.
 
+def count_model(marked: DataFrame) -> DataFrame:
+    """``(before, word, target, every)``: how often pairs come in the target documents and in all.
+
+    Rows whose ``word`` is ``NONE`` count ``before`` as a word by itself, and ``START`` once per document that has words.
     ``marked`` has ``text`` and ``target``. Tasks fold what they have counted before they hand it on.
     """
-    first = 2 + len(words)
-    known = marked.sparkSession.sparkContext.broadcast(words)
 
-    def folded(places: list[np.ndarray], targets: list[bool]) -> pa.RecordBatch:
-        found, which, every = np.unique(np.concatenate(places), return_inverse=True, return_counts=True)
-        chosen = np.repeat(np.array(targets, dtype=float), [len(p) for p in places])
-        target = np.bincount(which, weights=chosen, minlength=len(found)).astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(found), pa.array(target), pa.array(every.astype(np.int64))], names=["place", "target", "every"]
+    def folded(held: list[np.ndarray], targets: list[bool]) -> pa.RecordBatch:
+        # a document's words alone and START alone, then START with the first word and every word with the next one
+        before = np.concatenate([np.concatenate([ids, [START], [START], ids[:-1]]) for ids in held])
+        word = np.concatenate([np.concatenate([np.full(len(ids) + 1, NONE), ids]) for ids in held])
+        found, at, which, every = np.unique(
+            places(before, word), return_index=True, return_inverse=True, return_counts=True
         )
+        chosen = np.repeat(np.array(targets, dtype=float), [2 * len(ids) + 1 for ids in held])
+        target = np.bincount(which, weights=chosen, minlength=len(found)).astype(np.int64)
+        arrays = [pa.array(x) for x in (before[at], word[at], target, every.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=["before", "word", "target", "every"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = Vocabulary({w: i for i, w in enumerate(known.value, 2)})
-        places, targets, held = [], [], 0
+        known, held, targets, count = Hashes(), [], [], 0
         for batch in batches:
             for value, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not (found := tokens(value)):
                     continue
-                ids = numbers(found, numbered)
-                places.append(np.concatenate([ids, [START], pairs(ids, first)]))
+                held.append(numbers(found, known))
                 targets.append(target)
-                held += len(places[-1])
-                if held > FOLDED:
-                    yield folded(places, targets)
-                    places, targets, held = [], [], 0
-        if places:
-            yield folded(places, targets)
+                count += 2 * len(found) + 1
+                if count > FOLDED:
+                    yield folded(held, targets)
+                    held, targets, count = [], [], 0
+        if held:
+            yield folded(held, targets)
 
     small_batches(marked.sparkSession)
-    counted = marked.select("text", "target").mapInArrow(run, "place long, target long, every long")
-    sums = counted.groupBy("place").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
+    counted = marked.select("text", "target").mapInArrow(run, "before long, word long, target long, every long")
+    sums = counted.groupBy("before", "word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
     return stage(sums, "counts")
 
 
-def score(docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str = "text", held_pairs: int = HELD_PAIRS) -> DataFrame:
+def score(
+    docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str = "text", held_pairs: int = HELD_PAIRS,
+    held_words: int = WORDS,
+) -> DataFrame:
     """``(id, n_tokens, target_loss, background_loss, score)`` for every row of ``docs``.
 
     ``target_ids`` has a column ``id`` with the ids of the target documents; repeated and null ids there add nothing. A
     text without words has null losses and a null score; repeated rows count and score as often as they come.
+    ``held_pairs`` and ``held_words`` bound what is broadcast and change no result.
     """
     narrow = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    words = vocabulary(narrow)
-    first = 2 + len(words)
     chosen = target_ids.select(F.col("id").cast("long").alias("chosen")).filter("chosen is not null").distinct()
     # the ids grow with the labels: the same sort-merge plan at every size, which splits skewed ids
     marked = narrow.join(chosen.hint("merge"), F.col("id") == F.col("chosen"), "left").select(
         "text", F.col("chosen").isNotNull().alias("target")
     )
-    counts = count_model(marked, words)
-    singles = counts.filter(F.col("place") < first)  # a row per word of the vocabulary
-    coupled = counts.filter(F.col("place") >= first)
+    counts = count_model(marked)
+    singles = counts.filter(F.col("word") == NONE).drop("word")
+    coupled = counts.filter(F.col("word") != NONE)
+    common = count_step("every") >= lowest_step(singles, "every", held_words)
     frequent = count_step("every") >= lowest_step(coupled, "every", held_pairs)
-    partly = _partly_scored(narrow, words, singles, coupled.filter(frequent))
+    partly = _partly_scored(narrow, pair_losses(coupled.filter(frequent), singles, common))
     rare = partly.select("key", F.explode(F.arrays_zip("rare", "times")).alias("_")).select(
         "key", F.col("_.rare").alias("place"), F.col("_.times").alias("times")
     )
-    sums = _rare_losses(rare, coupled.filter(~frequent), singles, first)
+    met = rare.join(pair_losses(coupled.filter(~frequent), singles, common).hint("merge"), "place")
+    sums = met.groupBy("key").agg(
+        *(F.sum(F.col(n) * F.col("times")).alias(f"rare_{n}") for n in ("target", "background"))
+    )
     total = [(F.col(n) + F.coalesce(f"rare_{n}", F.lit(0.0))) / F.col("n_tokens") for n in ("target", "background")]
     whole = partly.drop("rare", "times").join(sums.hint("merge"), "key", "left").select(
         F.col("id").alias(id), "n_tokens", *(F.when(F.col("n_tokens") > 0, c).alias(f"{n}_loss")
@@ -167,36 +187,53 @@ def score(docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str
     return whole.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
-def _partly_scored(docs: DataFrame, words: list[bytes], singles: DataFrame, frequent: DataFrame) -> DataFrame:
+def _with_counts(pairs: DataFrame, name: str, singles: DataFrame, common: Column) -> DataFrame:
+    """Add the counts of the word in column ``name``: those of common words are broadcast, the others joined.
+
+    A word that is not common has at most as many pairs as it comes itself, so the join has no hot keys.
+    """
+    columns = [F.col("before").alias(name), *(F.col(c).cast("double").alias(f"{name}_{c}") for c in ("target", "every"))]
+    held = F.broadcast(singles.filter(common).select(*columns))
+    others = singles.filter(~common).select(*columns)
+    rest = pairs.join(held.select(name), name, "left_anti")
+    return pairs.join(held, name).unionByName(rest.join(others.hint("merge"), name))
+
+
+def pair_losses(pairs: DataFrame, singles: DataFrame, common: Column) -> DataFrame:
+    """``(place, target, background)``: the loss of every pair under both models."""
+    models = {"target": "target", "background": "every"}
+    words = singles.filter(F.col("before") != START)
+    size = words.agg(F.count(F.lit(1)).alias("words"), *(F.sum(c).alias(n) for n, c in models.items())).first()
+    counted = _with_counts(_with_counts(pairs, "before", singles, common), "word", singles, common)
+    losses = []
+    for name, column in models.items():
+        share = F.least(F.col(column) / F.greatest(F.col(f"before_{column}"), F.lit(1.0)), F.lit(1.0))
+        chance = (F.col(f"word_{column}") + PRIOR) / ((size[name] or 0) + PRIOR * (size["words"] + 1))
+        losses.append((-F.ln(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * chance)).alias(name))
+    return counted.select(place("before", "word").alias("place"), *losses)
+
+
+def _partly_scored(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     """A row per document with the summed losses of its frequent pairs and the places of its rare ones.
 
-    ``singles`` and ``frequent`` have at most as many rows as there are words and held pairs.
+    ``frequent`` has at most as many rows as there are held pairs.
     """
-    first = 2 + len(words)
-    known, held = singles.toArrow(), frequent.orderBy("place").toArrow()
-    alone = np.zeros((2, first))
-    for row, name in enumerate(("target", "every")):
-        alone[row, known["place"].to_numpy()] = known[name].to_numpy()
-    chance = (alone + PRIOR) / (alone.sum(axis=1) - alone[:, START] + PRIOR * (first - 1))[:, None]
-    together = np.stack([held["target"].to_numpy(), held["every"].to_numpy()]).astype(float)
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((words, alone, chance, held["place"].to_numpy(), together))
+    held = frequent.orderBy("place").toArrow()
+    losses = np.stack([held["target"].to_numpy(), held["background"].to_numpy()])
+    shared = docs.sparkSession.sparkContext.broadcast((held["place"].to_numpy(), losses))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, alone, chance, places, together = shared.value
-        numbered = Vocabulary({w: i for i, w in enumerate(words, 2)})
+        (kept, losses), known = shared.value, Hashes()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for value in batch.column(1).to_pylist():
-                ids = numbers(tokens(value), numbered)
-                both = pairs(ids, first) if len(ids) else ids
-                at = np.searchsorted(places, both)
-                hit = at < len(places)
-                hit[hit] = places[at[hit]] == both[hit]
-                at, word, before = at[hit], ids[hit], (both[hit] - first) // first
-                share = np.minimum(together[:, at] / np.maximum(alone[:, before], 1), 1.0)
-                loss = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * chance[:, word]).sum(axis=1)
+                ids = numbers(tokens(value), known)
+                both = places(np.concatenate([[START], ids[:-1]]), ids) if len(ids) else ids
+                at = np.searchsorted(kept, both)
+                hit = at < len(kept)
+                hit[hit] = kept[at[hit]] == both[hit]
+                loss = losses[:, at[hit]].sum(axis=1)
                 rare, times = np.unique(both[~hit], return_counts=True)
                 rows.append((key, len(ids), float(loss[0]), float(loss[1]), rare, times))
                 key += 1
@@ -209,26 +246,3 @@ def _partly_scored(docs: DataFrame, words: list[bytes], singles: DataFrame, freq
     small_batches(docs.sparkSession)
     columns = "id long, key long, n_tokens long, target double, background double, rare array<long>, times array<long>"
     return stage(docs.mapInArrow(run, columns), "partly")
-
-
-def _rare_losses(rare: DataFrame, coupled: DataFrame, singles: DataFrame, first: int) -> DataFrame:
-    """``(key, rare_target, rare_background)``: the summed losses of rare pairs ``(key, place, times)``."""
-    models = {"target": "target", "background": "every"}
-    size = singles.filter(F.col("place") != START).agg(*(F.sum(c).alias(f"_all_{n}") for n, c in models.items())).first()
-
-    def counts_of(name: str) -> DataFrame:  # a row per word of the vocabulary
-        kept = (F.col(c).cast("double").alias(f"_{name}_{n}") for n, c in models.items())
-        return F.broadcast(singles.select(F.col("place").alias(f"_{name}"), *kept))
-
-    pair = F.col("place") - first
-    met = rare.join(coupled.hint("merge"), "place").select(
-        "key", "times", "target", "every", F.call_function("div", pair, F.lit(first)).cast("long").alias("_before"),
-        F.pmod(pair, F.lit(first)).cast("long").alias("_word"),
-    )
-    met = met.join(counts_of("before"), "_before").join(counts_of("word"), "_word")
-    sums = []
-    for name, column in models.items():
-        share = F.least(F.col(column) / F.greatest(F.col(f"_before_{name}"), F.lit(1.0)), F.lit(1.0))
-        chance = (F.col(f"_word_{name}") + PRIOR) / ((size[f"_all_{name}"] or 0) + PRIOR * (first - 1))
-        sums.append(F.sum(-F.ln(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * chance) * F.col("times")).alias(f"rare_{name}"))
-    return met.groupBy("key").agg(*sums)

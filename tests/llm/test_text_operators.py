@@ -333,3 +333,29 @@ def test_cross_entropy_matches_brute_force(spark, docs, held):
         for r in scored
     ]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("held", [0, 3, 20_000])
+def test_cross_entropy_counts_words_beyond_the_held_ones(spark, held):
+    """More words than are broadcast, most of them once and one very long: each has counts of its own."""
+    rows = [(i, f"shared words w{i} x{i % 7}") for i in range(20_500)] + [(20_500, "y" * 100 + " shared")]
+    target = spark.createDataFrame([(i,) for i in range(0, 20_500, 7)], "id long")
+    scored = cross_entropy.score(spark.createDataFrame(rows, "doc_id long, text string"), target, held_words=held)
+    found = {r.doc_id: r for r in scored.filter("doc_id in (7, 8, 20500)").collect()}
+    models = []
+    for kept in (lambda i: i % 7 == 0 and i < 20_500, lambda i: True):
+        single, pair = collections.Counter(), collections.Counter()
+        for i, text in rows:
+            if kept(i):
+                ws = text.split()
+                single.update([None, *ws])
+                pair.update(zip([None, *ws], ws, strict=False))
+        models.append((single, pair, sum(single.values()) - single[None]))
+    size = len(models[1][0])  # all words and the unseen one, as None stands for the begin
+    for i, r in found.items():
+        ws = rows[i][1].split()
+        for (single, pair, total), got in zip(models, (r.target_loss, r.background_loss), strict=True):
+            chance = [(single[w] + 0.5) / (total + 0.5 * size) for w in ws]
+            share = [min(pair[b, w] / max(single[b], 1), 1) for b, w in zip([None, *ws], ws, strict=False)]
+            expected = -sum(math.log(0.6 * s + 0.4 * c) for s, c in zip(share, chance, strict=True)) / len(ws)
+            assert got == pytest.approx(expected, abs=1e-9)
