@@ -7,6 +7,7 @@ or version line that passes all of them, goes on from there, and logs the bytes
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -72,19 +73,34 @@ def page_record(page: int | None, url: str | None, payload: bytes, digest: str,
     return encode_record(headers, http.encode() + (payload if first is None else b""))
 
 
-def _headers(raw: bytes) -> dict[str, str]:
+def _headers(raw: bytes, strict: bool = True) -> dict[str, str]:
+    """Names and values of header lines; a line that begins with a blank goes on with the one before.
+
+    A line without a colon is damage (``strict``), or is left out: servers send such lines, and a sound record holds them.
+    """
     found = {}
-    for line in raw.split(b"\r\n"):
+    for line in re.sub(rb"\r\n[ \t]+", b" ", raw).split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon:
+        if colon:
+            found[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        elif strict:
             raise Damaged("header line without a colon")
-        found[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     return found
 
 
+def _hexadecimal(value: str) -> str:
+    """A sha1 digest in hexadecimal, also if it was announced in base32; anything else as it is, in small letters."""
+    if re.fullmatch(r"[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return value.lower()
+
+
 def _digest_holds(announced: str | None, data: bytes) -> bool:
+    """Whether a sha1 digest of the length of hexadecimal or base32 digits is that of ``data``; others cannot be checked."""
     kind, _, value = (announced or "").partition(":")
-    return kind.lower() != "sha1" or value.lower() == hashlib.sha1(data).hexdigest()
+    if kind.strip().lower() != "sha1" or len(value.strip()) not in (32, 40):
+        return True
+    return _hexadecimal(value.strip()) == hashlib.sha1(data).hexdigest()
 
 
 def decode_record(read: Callable[[int, int], bytes]) -> tuple[Record, int]:
@@ -112,7 +128,7 @@ def decode_record(read: Callable[[int, int], bytes]) -> tuple[Record, int]:
     if headers.get("content-type", "").startswith("application/http"):
         head, split, payload = block.partition(b"\r\n\r\n")
         if split:
-            record.http = _headers(head.partition(b"\r\n")[2]) if b"\r\n" in head else {}
+            record.http = _headers(head.partition(b"\r\n")[2], strict=False) if b"\r\n" in head else {}
             if headers.get("warc-type") == "response":
                 record.payload = payload
                 if not _digest_holds(headers.get("warc-payload-digest"), payload):
@@ -329,9 +345,10 @@ def _shown(record: Record | None, with_payload: bool) -> tuple:
     if record is None:
         return (None,) * 7
     h = record.headers
-    digest = h.get("warc-payload-digest", "").partition(":")[2].lower() or None
+    kind, _, digest = h.get("warc-payload-digest", "").partition(":")
+    digest = (_hexadecimal(digest.strip()) if kind.strip().lower() == "sha1" else digest.lower()) or None
     size = len(record.payload) if record.payload is not None else record.http.get("content-length", "")
-    size = int(size) if str(size).isdigit() else None
+    size = int(size) if re.fullmatch("[0-9]{1,18}", str(size)) else None
     payload = record.payload if with_payload else None
     return h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-type"), h.get("warc-refers-to"), digest, size, payload
 

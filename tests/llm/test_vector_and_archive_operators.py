@@ -1,5 +1,6 @@
 """Operators on vectors and archives against brute force and damaged bytes."""
 
+import base64
 import hashlib
 import os
 import random
@@ -148,3 +149,28 @@ def test_archives_round_trip_with_odd_pages(spark):
     with open(path, "r+b") as file:  # the end of an archive gets lost
         file.truncate(os.path.getsize(path) - 20)
     assert warc.read_archives(parts).filter("reason is not null").count() >= 1
+
+
+def test_salvage_of_archives_by_other_writers():
+    """Digests in base32, in an unknown encoding or of another kind; folded lines; captured headers of any form."""
+    payload = b"<html>page</html>" * 50
+
+    def record(number, encode, http=b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"):
+        block = http + payload
+        lines = [
+            b"WARC/1.0", b"WARC-Type: response", b"WARC-Record-ID:\r\n  <urn:page:%d>" % number,
+            b"Content-Type: application/http; msgtype=response", b"WARC-Block-Digest: " + encode(block),
+            b"WARC-Payload-Digest: " + encode(payload), b"Content-Length: %d" % len(block), b"", b"",
+        ]
+        return b"\r\n".join(lines) + block + b"\r\n\r\n"
+
+    base32 = lambda b: b"sha1:" + base64.b32encode(hashlib.sha1(b).digest())
+    other = [lambda b: b"sha1:" + base64.b64encode(hashlib.sha1(b).digest()), lambda b: b"md5:00", lambda b: b"sha1:"]
+    odd = [b"HTTP/1.1 200 OK\r\nno colon\r\n folded\r\nContent-Length: \xc2\xb2\r\n\r\n", b"HTTP/1.1 200 OK\r\n\r\n"]
+    whole = [record(i, e) for i, e in enumerate([base32, *other])] + [record(4 + i, base32, h) for i, h in enumerate(odd)]
+    assert read(b"".join(whole)) == (list(range(6)), [])
+    span = warc.Span(pa.BufferReader(b"".join(whole)), 0, sum(map(len, whole)))
+    shown = [warc._shown(r, True) for _, _, r, _ in warc.salvage(span)]
+    assert shown[0][4] == hashlib.sha1(payload).hexdigest() and all(s[-2:] == (len(payload), payload) for s in shown)
+    wrong = record(1, lambda b: base32(b + b"x"))
+    assert read(whole[0] + wrong + whole[2])[0] == [0, 2]
