@@ -185,7 +185,8 @@ FROM last
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page from the archives that were written of them."""
     parts = warc.write_archives(table(spark, sf_dir, "pages"))
-    records = warc.read_archives(parts, with_payload=False).filter("reason is null")
+    gap = F.raise_error(F.concat(F.lit("a page is missing, archive damaged: "), F.col("reason"))).cast("boolean")
+    records = warc.read_archives(parts, with_payload=False).filter(F.when(F.col("reason").isNull(), True).otherwise(gap))
     return records.select(
         warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_of(F.col("refers_to")).alias("refers_to"),

@@ -28,7 +28,8 @@ from .common import small_batches, stage
 REVISIT_FROM = 1000  # bytes of payload from which an equal payload is not stored again
 SEGMENT = 8 << 20  # bytes of archive that one task reads
 MOST_TASKS = 20_000  # beyond, a task reads several parts
-READ, HEADERS, BLOCK = 1 << 16, 1 << 16, 1 << 30  # at once; most bytes of headers; most bytes of a block
+READ, UNPACKED = 1 << 16, 1 << 20  # bytes at once, of a file and of what a member unpacks to
+BLOCK = 1 << 30  # bytes of the longest block that is held; longer ones are checked as they pass
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 
@@ -40,8 +41,9 @@ class Damaged(Exception):
 @dataclass
 class Record:
     headers: dict[str, str]
-    block: bytes
+    block: bytes | None  # null where it is too long to be held, as its payload is
     payload: bytes | None = None
+    payload_bytes: int | None = None
     http: dict[str, str] = field(default_factory=dict)
 
 
@@ -95,45 +97,103 @@ def _hexadecimal(value: str) -> str:
     return value.lower()
 
 
-def _digest_holds(announced: str | None, data: bytes) -> bool:
-    """Whether a sha1 digest of the length of hexadecimal or base32 digits is that of ``data``; others cannot be checked."""
+def _digest_holds(announced: str | None, found: str) -> bool:
+    """Whether a sha1 digest of the length of hexadecimal or base32 digits is the one found; others cannot be checked."""
     kind, _, value = (announced or "").partition(":")
     if kind.strip().lower() != "sha1" or len(value.strip()) not in (32, 40):
         return True
-    return _hexadecimal(value.strip()) == hashlib.sha1(data).hexdigest()
+    return _hexadecimal(value.strip()) == found
 
 
-def decode_record(read: Callable[[int, int], bytes]) -> tuple[Record, int]:
-    """The record at position 0 of ``read(start, size)`` and its length, or ``Damaged``."""
-    head = read(0, READ)
-    if not re.match(rb"WARC/1\.\d\r\n", head):
+class Flow:
+    """Bytes that come in chunks and are taken from the front; ``total`` is how many there are, where that is known."""
+
+    def __init__(self, chunks: Iterator[bytes], total: int | None = None) -> None:
+        self.chunks, self.total, self.held, self.taken = chunks, total, bytearray(), 0
+
+    def fill(self, size: int) -> bool:
+        """Hold at least ``size`` bytes, if so many come."""
+        while len(self.held) < size:
+            if not (chunk := next(self.chunks, b"")):
+                return False
+            self.held += chunk
+        return True
+
+    def take(self, size: int) -> bytes:
+        self.fill(size)
+        part = bytes(self.held[:size])
+        del self.held[:size]
+        self.taken += len(part)
+        return part
+
+
+def _head(flow: Flow) -> bytes:
+    """Header lines of a record up to the blank line, however far it is; lines are checked as they come."""
+    flow.fill(10)
+    if not re.match(rb"WARC/1\.\d\r\n", flow.held):
         raise Damaged("no version line")
-    end = head.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damaged("headers without an end")
-    headers = _headers(head[10:end])
+    searched, checked = 0, 10
+    while (end := flow.held.find(b"\r\n\r\n", searched)) < 0:
+        searched, last = max(len(flow.held) - 3, 0), flow.held.rfind(b"\r\n")
+        if last > checked:
+            if any(b":" not in line and line[:1] not in b" \t" for line in flow.held[checked:last].split(b"\r\n")):
+                raise Damaged("header line without a colon")
+            checked = last + 2
+        if not flow.fill(len(flow.held) + 1):
+            raise Damaged("headers without an end")
+    return flow.take(end + 4)[10:end]
+
+
+def decode_record(flow: Flow) -> Record:
+    """The record at the front of ``flow``, which is taken from it, or ``Damaged``."""
+    headers = _headers(_head(flow))
     length = headers.get("content-length", "")
-    if not re.fullmatch(r"\d{1,12}", length) or int(length) > BLOCK:
+    if not re.fullmatch(r"\d{1,18}", length):
         raise Damaged("no usable length")
-    start, size = end + 4, int(length)
-    body = read(start, size + 4)
-    if len(body) < size + 4:
+    left = size = int(length)
+    if flow.total is not None and flow.taken + size + 4 > flow.total:
+        raise Damaged("cut short")
+    looking = headers.get("content-type", "").startswith("application/http")
+    parts, front, split, payload_bytes = [], bytearray(), False, 0
+    whole, of_payload = hashlib.sha1(), hashlib.sha1()
+    while left:
+        part = flow.take(min(left, UNPACKED))
+        if not part:
+            raise Damaged("cut short")
+        left -= len(part)
+        whole.update(part)
+        if size <= BLOCK:
+            parts.append(part)
+        if looking:  # the captured headers, up to their blank line
+            searched = max(len(front) - 3, 0)
+            front += part
+            at = front.find(b"\r\n\r\n", searched)
+            if at < 0:
+                if len(front) > BLOCK:  # no captured headers: nothing but the block's digest can be checked
+                    looking, front = False, bytearray()
+                continue
+            looking, split, part = False, True, bytes(front[at + 4 :])
+            del front[at:]
+        if split:
+            of_payload.update(part)
+            payload_bytes += len(part)
+    end = flow.take(4)
+    if len(end) < 4:
         raise Damaged("cut short")
-    block = body[:size]
-    if body[size:] != b"\r\n\r\n":
+    if end != b"\r\n\r\n":
         raise Damaged("block and length disagree")
-    if not _digest_holds(headers.get("warc-block-digest"), block):
+    if not _digest_holds(headers.get("warc-block-digest"), whole.hexdigest()):
         raise Damaged("block digest differs")
+    block = b"".join(parts) if size <= BLOCK else None
     record = Record(headers, block)
-    if headers.get("content-type", "").startswith("application/http"):
-        head, split, payload = block.partition(b"\r\n\r\n")
-        if split:
-            record.http = _headers(head.partition(b"\r\n")[2], strict=False) if b"\r\n" in head else {}
-            if headers.get("warc-type") == "response":
-                record.payload = payload
-                if not _digest_holds(headers.get("warc-payload-digest"), payload):
-                    raise Damaged("payload digest differs")
-    return record, start + size + 4
+    if split:
+        record.http = _headers(front.partition(b"\r\n")[2], strict=False)
+        if headers.get("warc-type") == "response":
+            record.payload = None if block is None else block[len(front) + 4 :]
+            record.payload_bytes = payload_bytes
+            if not _digest_holds(headers.get("warc-payload-digest"), of_payload.hexdigest()):
+                raise Damaged("payload digest differs")
+    return record
 
 
 # -- an archive or a part of one ---------------------------------------------------------------------
@@ -168,33 +228,42 @@ class Span:
         return self.end
 
 
-def _member(span: Span, start: int) -> tuple[bytes, int]:
-    """The contents of the gzip member at ``start`` and its end."""
-    inflate, parts, at, total = zlib.decompressobj(31), [], start, 0
+def _plain(span: Span, at: int) -> Iterator[bytes]:
+    while part := span.read(at, READ):
+        yield part
+        at += len(part)
+
+
+def _member(span: Span, at: int, ends: list[int]) -> Iterator[bytes]:
+    """The contents of the gzip member at ``at``, in chunks of bounded size; its end is added to ``ends``."""
+    inflate = zlib.decompressobj(31)
     while not inflate.eof:
         part = span.read(at, READ)
         if not part:
             raise Damaged("member cut short")
-        try:
-            parts.append(inflate.decompress(part))
-        except zlib.error as error:
-            raise Damaged("member does not unpack") from error
-        total += len(parts[-1])
-        if total > BLOCK + HEADERS:
-            raise Damaged("member too large")
         at += len(part)
-    return b"".join(parts), at - len(inflate.unused_data)
+        while part and not inflate.eof:
+            try:
+                chunk = inflate.decompress(part, UNPACKED)
+            except zlib.error as error:
+                raise Damaged("member does not unpack") from error
+            part = inflate.unconsumed_tail
+            if chunk:
+                yield chunk
+    ends.append(at - len(inflate.unused_data))
 
 
 def _record_at(span: Span, start: int) -> tuple[Record, int]:
     if span.read(start, 3) == MAGIC:
-        data, end = _member(span, start)
-        record, length = decode_record(lambda at, size: data[at : at + size])
-        if length != len(data):
+        ends: list[int] = []
+        flow = Flow(_member(span, start, ends))
+        record = decode_record(flow)
+        if flow.fill(1):
             raise Damaged("more than a record in a member")
-        return record, end
-    record, length = decode_record(lambda at, size: span.read(start + at, size))
-    return record, start + length
+        return record, ends[0]
+    flow = Flow(_plain(span, start), span.end - start)
+    record = decode_record(flow)
+    return record, start + flow.taken
 
 
 def _candidates(span: Span, start: int) -> Iterator[int]:
@@ -304,7 +373,8 @@ def read_archives(parts: DataFrame, with_payload: bool = True) -> DataFrame:
 
     Columns: ``path``, ``offset``, ``length``, ``reason`` (of a gap; null for records), ``record_id``, ``url``,
     ``record_type``, ``refers_to``, ``payload_digest`` and ``payload_bytes`` (both of the full payload, also for revisits),
-    ``payload``. A part must start where a record starts; archives may be compressed by member or plain.
+    ``payload``. A part must start where a record starts; archives may be compressed by member or plain. A block of any length
+    is checked; of one above ``BLOCK`` the payload is not returned, as a row could not hold it: ``payload_bytes`` is greater then.
     """
     columns = (
         "path string, offset long, length long, reason string, record_id string, url string, record_type string, "
@@ -347,7 +417,7 @@ def _shown(record: Record | None, with_payload: bool) -> tuple:
     h = record.headers
     kind, _, digest = h.get("warc-payload-digest", "").partition(":")
     digest = (_hexadecimal(digest.strip()) if kind.strip().lower() == "sha1" else digest.lower()) or None
-    size = len(record.payload) if record.payload is not None else record.http.get("content-length", "")
+    size = record.http.get("content-length", "") if record.payload_bytes is None else record.payload_bytes
     size = int(size) if re.fullmatch("[0-9]{1,18}", str(size)) else None
     payload = record.payload if with_payload else None
     return h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-type"), h.get("warc-refers-to"), digest, size, payload

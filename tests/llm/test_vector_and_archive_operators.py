@@ -174,3 +174,42 @@ def test_salvage_of_archives_by_other_writers():
     assert shown[0][4] == hashlib.sha1(payload).hexdigest() and all(s[-2:] == (len(payload), payload) for s in shown)
     wrong = record(1, lambda b: base32(b + b"x"))
     assert read(whole[0] + wrong + whole[2])[0] == [0, 2]
+
+
+@pytest.mark.parametrize("pack", [packed, bytes])
+def test_salvage_reads_long_headers_and_blocks(pack, monkeypatch):
+    page = b"<html>text</html>" * 300_000
+    digest = hashlib.sha1(page).hexdigest()
+    url = "http://x/" + "漢" * 30_000
+    parts = [pack(warc.page_record(i, u, page, digest, None)) for i, u in enumerate(["u", url, "u"])]
+    whole = b"".join(parts)
+    assert read(whole) == ([0, 1, 2], [])
+    monkeypatch.setattr(warc, "BLOCK", 1 << 20)  # a block that is too long to be held is checked all the same
+    assert read(whole) == ([0, 1, 2], [])
+    found = [r for _, _, r, _ in warc.salvage(warc.Span(pa.BufferReader(whole), 0, len(whole)))]
+    assert all(r.payload is None and warc._shown(r, True)[4:6] == (digest, len(page)) for r in found)
+    broken = bytearray(whole)
+    broken[len(parts[0]) + len(parts[1]) - 200] ^= 1
+    ids, gaps = read(bytes(broken))
+    assert ids == [0, 2] and [g[:2] for g in gaps] == [(len(parts[0]), len(parts[1]))]
+
+
+def test_query_fails_on_a_gap_in_its_own_archives(spark, tmp_path, monkeypatch):
+    from millrace.llm.queries import QUERIES
+
+    pages = spark.createDataFrame([(1, "http://x/" + "漢" * 30_000, "page")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.page_id for r in QUERIES["op2_warc_salvage"](spark, str(tmp_path)).collect()] == [1]
+    write = warc.write_archives
+
+    def damaged(pages):
+        parts = write(pages)
+        for row in parts.collect():
+            with open(row.path.removeprefix("file:"), "r+b") as file:
+                file.seek((row.start + row.end) // 2)
+                file.write(b"damage")
+        return parts
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with pytest.raises(Exception, match="a page is missing"):
+        QUERIES["op2_warc_salvage"](spark, str(tmp_path)).count()
