@@ -1,7 +1,7 @@
 """Near-duplicate vectors by a dual traversal of cover trees.
 
-Vectors of a label, brought to length one, are dealt into blocks of bounded size, and every pair of blocks of a label is a
-tile. Each block has a cover tree: levels with halving radii, each with the centres of the one above among its own, and
+Vectors of a label with equally many components, brought to length one, are dealt into blocks of bounded size, and every
+pair of blocks of a label and a number of components is a tile. Each block has a cover tree: levels with halving radii, each with the centres of the one above among its own, and
 every vector within the radius of a centre. Two trees are walked together from the top: a pair of nodes is left
 when the distance of its centres exceeds the sum of both covering radii by more than the threshold's distance; what
 remains at the lowest level is compared exactly by cosine. A tile returns how many links each vector has and a spanning
@@ -130,33 +130,33 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, n_links, component_id, kept)`` with one row per row of ``vectors``.
 
-    Rows are compared when their labels are equal and not null. Vectors that are null, empty, zero, of another length
-    than the table's longest, or with null or non-finite components link with nothing. Every row counts for itself: repeated
+    Rows are compared when their labels are equal and not null and their vectors have equally many components. Vectors that
+    are null, empty, zero, or with null or non-finite components link with nothing. Every row counts for itself: repeated
     rows are linked like any others. ``component_id`` is the smallest id that links lead to, a null id last.
     """
     rows = numbered(vectors, id, vector, label)
-    width = rows.agg(F.max(F.size("vector")).alias("width")).first().width or 0
-    sizes = rows.filter("label is not null").groupBy("label").agg(
+    sizes = rows.filter("label is not null and width is not null").groupBy("label", "width").agg(
         F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")
     )
-    placed = rows.join(sizes, "label").withColumn("block", share_of(F.col("row"), F.col("blocks")))
-    blocks = stage(packed(placed, "label", "blocks", "block"), "blocks")
+    placed = rows.join(sizes, ["label", "width"]).withColumn("block", share_of(F.col("row"), F.col("blocks")))
+    blocks = stage(packed(placed, "label", "width", "blocks", "block"), "blocks")
     low = blocks.select(
-        "label", F.col("block").alias("low"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("high"), "members"
-    )
+        "label", "width", F.col("block").alias("low"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("high"),
+        "members",
+    )
     high = blocks.select(
-        "label", F.explode(F.expr("sequence(0L, block)")).alias("low"), F.col("block").alias("high"),
+        "label", "width", F.explode(F.expr("sequence(0L, block)")).alias("low"), F.col("block").alias("high"),
         F.col("members").alias("others"),
-    )
-    tiles = low.join(high, ["label", "low", "high"]).select(
-        "members", "others", (F.col("low") == F.col("high")).alias("same")
+    )
+    tiles = low.join(high, ["label", "width", "low", "high"]).select(
+        "members", "others", (F.col("low") == F.col("high")).alias("same"), "width"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for members, others, same in zip(*(batch.column(i) for i in range(3)), strict=True):
-                rows, left = _units(members, width)
-                more, right = (rows, left) if same.as_py() else _units(others, width)
+            for members, others, same, width in zip(*(batch.column(i) for i in range(4)), strict=True):
+                rows, left = _units(members, width.as_py())
+                more, right = (rows, left) if same.as_py() else _units(others, width.as_py())
                 if not len(rows) or not len(more):
                     continue
                 shift = 0 if same.as_py() else len(rows)

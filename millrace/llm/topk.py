@@ -1,8 +1,8 @@
 """Exact search of the largest integer inner products, tile by tile.
 
 Vectors are packed into shards, queries into blocks, both of bounded size. A tile is one matrix product of a query
-block and a shard; it selects the best few per query, and these lists are merged in a tree of bounded fan-in. Every query
-meets every shard once: queries are a stated set and come in blocks, never row by row.
+block and a shard; it selects the best few per query, and these lists are merged in a tree of bounded fan-in. Vectors with
+equally many components share blocks and shards, and every query meets every shard of its own number of components once: queries are a stated set and come in blocks, never row by row.
 """
 
 from __future__ import annotations
@@ -58,27 +58,30 @@ def top_k(
     """``(query_id, rank, vec_id, score)``: the best ``k`` other rows for every row where ``is_query`` holds.
 
     Components become floor(scale * x). ``is_query`` is a condition on ``vec_id``. A row never finds itself, but repeated
-    rows find each other. Rows whose vector is null, empty, of another length than the table's longest, or with
-    a null or non-finite component neither search nor are found, and neither are rows with a null id. Ties go to the
+    rows find each other. Only vectors with as many components as the query's are found. Rows whose vector is null, empty, or
+    with a null or non-finite component neither search nor are found, and neither are rows with a null id. Ties go to the
     smaller id; scores beyond a long are kept at its end.
     """
-    rows = numbered(vectors, id, vector).filter("vec_id is not null")
-    shape = rows.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width")).first()
-    asked = rows.filter(is_query)
-    width, shards = max(shape.width or 0, 0), blocks_for(shape.rows, SHARD)
-    query_blocks = blocks_for(asked.count(), QUERIES)
-    shelf = packed(rows.withColumn("shard", share_of(F.col("row"), F.lit(shards))), "shard")
-    asking = packed(asked.withColumn("part", share_of(F.col("row"), F.lit(query_blocks))), "part").select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
-        F.col("members").alias("asked"),
+    rows = numbered(vectors, id, vector).filter("vec_id is not null and width is not null")
+    sizes = rows.groupBy("width").agg(
+        F.ceil(F.count(F.lit(1)) / SHARD).cast("long").alias("shards"),
+        F.ceil(F.count(F.when(is_query, True)) / QUERIES).cast("long").alias("parts"),
     )
-    tiles = asking.join(shelf, "shard").select("shard", "asked", "members")
+    shards = sizes.agg(F.max("shards")).first()[0] or 1
+    # n different widths take n * n / 2 components at least, so this table is small at any size
+    sized = rows.join(F.broadcast(sizes), "width")
+    shelf = packed(sized.withColumn("shard", share_of(F.col("row"), F.col("shards"))), "width", "shard")
+    asked = sized.filter(is_query).withColumn("part", share_of(F.col("row"), F.col("parts")))
+    asking = packed(asked, "width", "shards", "part").select(
+        "width", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("members").alias("asked")
+    )
+    tiles = asking.join(shelf, ["width", "shard"]).select("shard", "asked", "members", "width")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, asked, members in zip(*(batch.column(i) for i in range(3)), strict=True):
-                query_rows, query_ids, queries = unpack(asked, width)
-                rows, ids, candidates = unpack(members, width)
+            for shard, asked, members, width in zip(*(batch.column(i) for i in range(4)), strict=True):
+                query_rows, query_ids, queries = unpack(asked, width.as_py())
+                rows, ids, candidates = unpack(members, width.as_py())
                 if not len(query_rows) or not len(rows):
                     continue
                 scores = products(np.floor(scale * queries), np.floor(scale * candidates))

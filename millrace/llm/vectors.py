@@ -11,7 +11,11 @@ from .common import stage
 
 
 def numbered(vectors: DataFrame, id: str, vector: str, label: str | None = None) -> DataFrame:
-    """``(row, vec_id, label, vector)``, written once so that ``row`` stays what it is."""
+    """``(row, vec_id, label, vector, width)``, written once so that ``row`` stays what it is.
+
+    ``width`` is the length of a vector that can take part, and null for all others: null and empty ones, and those
+    that hold a null or a value that is not finite.
+    """
     labelled = F.col(f"`{label}`") if label else F.lit(None).cast("int")
     narrow = vectors.select(
         F.monotonically_increasing_id().alias("row"),
@@ -21,7 +25,8 @@ def numbered(vectors: DataFrame, id: str, vector: str, label: str | None = None)
         if dict(vectors.dtypes)[vector] != "array<float>"
         else F.col(f"`{vector}`").alias("vector"),
     )
-    return stage(narrow, "vectors")
+    finite = F.forall("vector", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+    return stage(narrow.withColumn("width", F.when((F.size("vector") > 0) & finite, F.size("vector"))), "vectors")
 
 
 def share_of(row: Column, shares: Column) -> Column:

@@ -213,3 +213,26 @@ def test_query_fails_on_a_gap_in_its_own_archives(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "write_archives", damaged)
     with pytest.raises(Exception, match="a page is missing"):
         QUERIES["op2_warc_salvage"](spark, str(tmp_path)).count()
+
+
+@pytest.fixture(scope="module")
+def mixed_widths(spark):
+    """Two widths that take part, and longer vectors that may not."""
+    rows = [
+        (0, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.0, 0.0], 1), (3, [1.0, 0.01, 0.0], 1), (4, [1.0, 0.0], 2),
+        (5, [1.0] * 4 + [None], 1), (6, [NAN] * 6, 1), (7, [1.0] * 7, None), (None, [1.0] * 8, 1),
+    ]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_vector_groups_of_mixed_widths(mixed_widths):
+    found = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_duplicates(mixed_widths).collect()}
+    linked = {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2)}
+    assert found == linked | {i: (0, i) for i in (4, 5, 6, 7)} | {None: (0, None)}
+
+
+def test_top_k_of_mixed_widths(mixed_widths, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 2)
+    rows = topk.top_k(mixed_widths, F.col("vec_id") % 2 == 0, scale=100.0).collect()
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows)
+    assert found == [(0, 1, 1, 10_000), (0, 2, 4, 10_000), (2, 1, 3, 10_000), (4, 1, 0, 10_000), (4, 2, 1, 10_000)]
