@@ -49,18 +49,28 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, digest: bool = False
+) -> DataFrame:
     """``(id, fp)`` with one row per row of ``docs``; ``fp`` holds the 64 bits as a signed long.
 
-    Null texts have no words. Null and repeated ids are kept.
+    Null texts have no words. Null and repeated ids are kept. ``digest`` adds a column with ``text_digest``.
     """
 
     def handle(batch: pa.RecordBatch):
         found = np.array([fingerprint(t, words) for t in text_rows(batch, "text")], dtype=np.uint64)
-        yield {"id": batch.column("id"), "fp": pa.array(found.view(np.int64))}
+        own = {"digest": batch.column("digest")} if digest else {}
+        yield {"id": batch.column("id"), "fp": pa.array(found.view(np.int64)), **own}
 
     narrow = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return arrow_map(narrow, handle, "id long, fp long")
+    if digest:
+        narrow = narrow.withColumn("digest", text_digest("text"))
+    return arrow_map(narrow, handle, "id long, fp long" + ", digest long" * digest)
+
+
+def text_digest(text: str) -> Column:
+    """Tells different texts of one id apart, a null text from an empty one too."""
+    return F.xxhash64(F.col(f"`{text}`").cast("string"))
 
 
 def chain_survivors(left: np.ndarray, right: np.ndarray, segment: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
@@ -197,6 +207,14 @@ def links(distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_compare_tiles, "a long, b long").filter("a <> b")
 
 
+def _placed(prints: DataFrame, first: Column) -> DataFrame:
+    """``(fp, first, group)``: the least ``first`` of every fingerprint, and the group that links put it in."""
+    nodes = stage(prints.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    groups = components(links(nodes.select("fp")))
+    joined = nodes.join(groups, nodes["fp"] == groups["node"], "left")
+    return stage(joined.select("fp", "first", F.coalesce("component", "fp").alias("group")), "groups")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``(id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -206,15 +224,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     has a null ``component_id`` only when it has no other id. Repeated rows stay.
     """
     prints = stage(fingerprints(docs, id, text, words), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "nodes")
-    groups = components(links(nodes.select("fp")))
-    placed = stage(
-        nodes.join(groups, nodes["fp"] == groups["node"], "left").select(
-            "fp", "first_id", F.coalesce("component", "fp").alias("group")
-        ),
-        "groups",
-    )
-    least = placed.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    placed = _placed(prints, F.col("id"))
+    least = placed.groupBy("group").agg(F.min("first").alias("component_id"))
     named = placed.join(least, "group").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select(F.col("id").alias(id), shown, "component_id")
@@ -223,11 +234,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group is kept, with their columns unchanged.
 
-    The document with the smallest id stays; of repeated rows with that id, one. Rows without an id stay,
-    as nothing tells them apart from others.
+    The document with the smallest id stays; where several texts of a group have that id, the one with the least digest.
+    An id that is repeated with texts of several groups can stay once in each. Rows with the same id and text are
+    one document, of which one row stays. Rows without an id stay, as nothing tells them apart from others.
     """
-    (kept,) = fresh(docs, "kept_id")
-    found = near_duplicates(docs.select(F.col(f"`{id}`"), F.col(f"`{text}`")), id, text)
-    first = found.filter(F.col(id) == F.col("component_id")).select(F.col(id).alias(kept))
-    stay = docs.join(first, F.col(f"`{id}`") == F.col(kept), "left_semi").dropDuplicates([id])
+    kept, kept_digest, own = fresh(docs, "kept_id", "kept_digest", "own_digest")
+    prints = stage(fingerprints(docs, id, text, digest=True), "fingerprints")
+    placed = _placed(prints, F.when(F.col("id").isNotNull(), F.struct("id", "digest")))
+    first = placed.groupBy("group").agg(F.min("first").alias("first")).filter("first is not null").select(
+        F.col("first.id").alias(kept), F.col("first.digest").alias(kept_digest)
+    )
+    same = (F.col(f"`{id}`") == F.col(kept)) & (F.col(own) == F.col(kept_digest))
+    stay = docs.withColumn(own, text_digest(text)).join(first, same, "left_semi").dropDuplicates([id, own]).drop(own)
     return stay.unionByName(docs.filter(F.col(f"`{id}`").isNull()))

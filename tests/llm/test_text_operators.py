@@ -359,3 +359,17 @@ def test_cross_entropy_counts_words_beyond_the_held_ones(spark, held):
             share = [min(pair[b, w] / max(single[b], 1), 1) for b, w in zip([None, *ws], ws, strict=False)]
             expected = -sum(math.log(0.6 * s + 0.4 * c) for s, c in zip(share, chance, strict=True)) / len(ws)
             assert got == pytest.approx(expected, abs=1e-9)
+
+
+def test_repeated_ids_with_different_texts_are_documents_of_their_own(spark):
+    random.seed(13)
+    one, two, three, four = (" ".join(random.choice("abcdefgh") * 3 for _ in range(40)) for _ in range(4))
+    rows = [(1, one), (7, one), (7, two), (7, two), (8, two), (5, three), (5, four), (5, None), (6, ""), (None, one)]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame([(*r, "own") for r in order], "doc_id long, text string, kept_digest string")
+        kept = simhash.keep_first(table)
+        assert kept.columns == table.columns
+        found = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+        assert found == sorted([(0, one), (1, one), (7, two), (5, three), (5, four), (5, "")])
+    cased = spark.createDataFrame([(3, one), (3, one.upper()), (4, one)], "doc_id long, text string")
+    assert len(simhash.keep_first(cased).collect()) == 1  # different texts of one id in one group
