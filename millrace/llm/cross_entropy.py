@@ -2,247 +2,268 @@
 
 A target model (documents of a chosen set) and a background model (all documents) are bigram models with the same
 vocabulary, which is every word of the corpus, and the same interpolation. Every word and every pair of neighbouring words
-of every document is counted by itself, under 64-bit hashes, in a table that grows with the corpus. Only the counts of the
-most frequent words and the losses of the most frequent pairs are broadcast, at most ``WORDS`` and ``HELD_PAIRS`` of them; all
-other pairs meet the counts of their words, and the pairs of a document their losses, in joins whose keys cannot be
-hot, as frequent words and pairs never get there. A document's score is the mean over its tokens of target loss minus background loss: the lower, the
-more it resembles the target.
+of every document is counted by itself, under 64-bit hashes, so what is counted grows with the corpus.
+
+Documents are packed into blocks of bounded size, written once. A block asks for its different words and pairs with its own
+counts, one row per bucket of the hash range; a bucket adds up what all blocks ask for and answers every block with
+the totals in the order of its question, so answers need no keys. With these totals a block scores its own documents. A word
+or pair comes at most once in a block's question, so none is hot, and nothing is broadcast. A document's score is
+the mean over its tokens of target loss minus background loss: the lower, the more it resembles the target.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import stage
 
-WORDS, LONGEST = 20_000, 64  # most frequent words whose counts are broadcast; bytes of the longest word of a word list
-HELD_PAIRS = 1 << 18  # most frequent pairs whose losses are broadcast
+BLOCK, BLOCK_ROWS = 24 << 20, 1 << 16  # UTF-8 bytes and documents of a block; a longer document is a block of its own
+BUCKET = 8 << 20  # bytes of text for which there is a bucket: about a million words and pairs asked for
 PAIR_WEIGHT, PRIOR = 0.6, 0.5  # of the pair's share in a probability; added to every word's count
-HELD = 200_000  # distinct words a task holds before it hands on their counts
-FOLDED = 1 << 22  # counted places a task holds before it folds them
-NONE, START = 0, 1  # in place of the hash of a word: no word, the begin of a document
+HELD = 200_000  # words whose hashes a task holds
+START = 1  # in place of the hash of a word: the begin of a document
 TURN = 17  # bits by which the second hash of a pair is turned
+WORD, PAIR = 0, 1  # kinds of what is counted
+NOBODY = -1  # in place of a block: the sums of a bucket
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: bytes) -> list[bytes]:
     """Words between ASCII white space, A-Z lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return text.lower().split()
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = WORDS) -> list[bytes]:
-    """The most frequent words of all documents, at most ``size``: those that reach a common count.
+class Hashes(dict):
+    """64-bit hashes of words, each computed once while it is held."""
 
-    The count is the lowest on a scale of eighths of a doubling that no more than ``size`` words reach, so that
-    neither ties nor a list per partition have to be sorted out on the driver.
-    """
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for every pair of hashes."""
+    return before ^ ((word << np.uint64(TURN)) | (word >> np.uint64(64 - TURN)))
+
+
+# -- blocks -----------------------------------------------------------------------------------------
+
+
+def _packed(texts: list[bytes]) -> bytes:
+    lengths = np.array([len(texts), *map(len, texts)], dtype=np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(texts))
+
+
+def _unpacked(block: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    count = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
+    ends = 8 * (count + 1) + np.cumsum(np.frombuffer(raw, dtype=np.int64, count=count + 1)[1:])
+    starts = [8 * (count + 1), *ends[:-1].tolist()]
+    return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=False)]
+
+
+def blocks_of(docs: DataFrame, id: str, text: str, size: int = BLOCK) -> DataFrame:
+    """``(block, ids, texts, bytes)``, written once: the documents of a task in blocks of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        number, ids, texts, held = TaskContext.get().partitionId() << 33, [], [], 0
 
-        def hand_on() -> pa.RecordBatch:
-            known = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
-            arrays = [pa.array([w for w, _ in known], pa.binary()), pa.array([n for _, n in known], pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, names=["word", "n"])
+        def block() -> pa.RecordBatch:
+            arrays = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([_packed(texts)], pa.binary())]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([held])], names=["block", "ids", "texts", "bytes"])
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                counts.update(tokens(value))
-                if len(counts) > HELD:
-                    yield hand_on()
-                    counts.clear()
-        yield hand_on()
+            for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                encoded = (value or "").encode("utf-8", "surrogatepass")
+                if ids and (held + len(encoded) > size or len(ids) >= BLOCK_ROWS):
+                    yield block()
+                    number, ids, texts, held = number + 1, [], [], 0
+                ids.append(own)
+                texts.append(encoded)
+                held += len(encoded)
+        if ids:
+            yield block()
 
-    small_batches(docs.sparkSession)
-    counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "word binary, n long")
-    totals = stage(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # at most size words of at most LONGEST bytes
-    chosen = totals.filter(count_step("n") >= lowest_step(totals, "n", size)).select("word").collect()
-    return sorted(bytes(r.word) for r in chosen)
+    narrow = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return stage(narrow.mapInArrow(run, "block long, ids array<long>, texts binary, bytes long"), "blocks")
 
 
-def count_step(n: str) -> Column:
-    return F.floor(F.log2(n) * 8).cast("int")
+@dataclass
+class Counted:
+    """Different words (the begin of a document first) and pairs of a block in the order of their hashes."""
 
+    sizes: np.ndarray  # words of each document
+    words: np.ndarray
+    word_at: np.ndarray  # for every token the place of its word
+    pairs: np.ndarray
+    pair_at: np.ndarray  # for every token the place of its pair with the word before
+    first: np.ndarray  # for every pair a token where it comes
+    starts: np.ndarray  # tokens that begin a document
 
-def lowest_step(counts: DataFrame, n: str, size: int) -> int:
-    """The lowest step of counts that no more than ``size`` rows reach."""
-    lowest, reached = 1 << 30, 0
-    for row in sorted(counts.groupBy(count_step(n).alias("step")).count().collect(), reverse=True):  # some hundred rows
-        reached += row["count"]
-        if reached > size:
-            break
-        lowest = row.step
-    return lowest
+    def before(self) -> np.ndarray:
+        """For every pair the place of its first word."""
+        place = np.concatenate([[0], self.word_at[self.first - 1]])[1:] if len(self.first) else self.first
+        return np.where(self.starts[self.first], 0, place)
 
+    def counts(self, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word and each pair comes in the marked documents."""
+        weight = np.repeat(documents.astype(float), self.sizes)
+        words = np.bincount(self.word_at, weight, len(self.words)).astype(np.int64)
+        words[0] = int((documents & (self.sizes > 0)).sum())
+        return words, np.bincount(self.pair_at, weight, len(self.pairs)).astype(np.int64)
 
-class Hashes(dict):
-    """Signed 64-bit hashes of words, each computed once while it is held; ``NONE`` and ``START`` are no word's."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        found = self[word] = int.from_bytes(xxhash.xxh64_digest(word), "big", signed=True)
-        return found
+def counted(block: bytes) -> Counted:
+    known, held, sizes = Hashes(), [], []
+    for text in _unpacked(block):
+        found = tokens(text)
+        sizes.append(len(found))
+        held.append(np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found)))
+    every = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
+    size = np.array(sizes, dtype=np.int64)
+    starts = np.zeros(len(every) + 1, dtype=bool)
+    starts[np.cumsum(size) - size] = True
+    starts = starts[: len(every)]
+    before = np.concatenate([np.array([START], dtype=np.uint64), every[:-1]])[: len(every)]
+    before[starts] = START
+    words, word_at = np.unique(np.concatenate([np.array([START], dtype=np.uint64), every]), return_inverse=True)
+    both, first, pair_at = np.unique(pairs(before, every), return_index=True, return_inverse=True)
+    return Counted(size, words, word_at[1:], both, pair_at, first, starts)
 
 
-def numbers(words: list[bytes], known: Hashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+# -- questions and answers ------------------------------------------------------------------------------
 
 
-def places(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One key for every pair of hashes; that of a word alone (before ``NONE``) is its hash."""
-    bits = word.view(np.uint64)
-    turned = (bits << np.uint64(TURN)) | (bits >> np.uint64(64 - TURN))
-    return before ^ turned.view(np.int64)
+def _thin(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, the high ones of all together, as they are mostly zero."""
+    columns = np.ascontiguousarray(numbers.astype(np.uint64).view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(columns.tobytes())
 
 
-def place(before: str, word: str) -> Column:
-    """As ``places``."""
-    turned = F.shiftleft(word, TURN).bitwiseOR(F.shiftrightunsigned(word, 64 - TURN))
-    return F.col(before).bitwiseXOR(turned)
+def _thick(raw: bytes) -> np.ndarray:
+    columns = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(columns.T).view(np.uint64).ravel()
 
 
-def count_model(marked: DataFrame) -> DataFrame:
-    """``(before, word, target, every)``: how often pairs come in the target documents and in all.
+def _edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets of sorted hashes begin and end."""
+    of = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
 
-    Rows whose ``word`` is ``NONE`` count ``before`` as a word by itself, and ``START`` once per document that has words.
-    ``marked`` has ``text`` and ``target``. Tasks fold what they have counted before they hand it on.
-    """
 
-    def folded(held: list[np.ndarray], targets: list[bool]) -> pa.RecordBatch:
-        # a document's words alone and START alone, then START with the first word and every word with the next one
-        before = np.concatenate([np.concatenate([ids, [START], [START], ids[:-1]]) for ids in held])
-        word = np.concatenate([np.concatenate([np.full(len(ids) + 1, NONE), ids]) for ids in held])
-        found, at, which, every = np.unique(
-            places(before, word), return_index=True, return_inverse=True, return_counts=True
-        )
-        chosen = np.repeat(np.array(targets, dtype=float), [2 * len(ids) + 1 for ids in held])
-        target = np.bincount(which, weights=chosen, minlength=len(found)).astype(np.int64)
-        arrays = [pa.array(x) for x in (before[at], word[at], target, every.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(arrays, names=["before", "word", "target", "every"])
+def _questions(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``(block, kind, bucket, hashes, target, every)``; a bucket without a word or pair of a block has no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, targets, count = Hashes(), [], [], 0
         for batch in batches:
-            for value, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not (found := tokens(value)):
-                    continue
-                held.append(numbers(found, known))
-                targets.append(target)
-                count += 2 * len(found) + 1
-                if count > FOLDED:
-                    yield folded(held, targets)
-                    held, targets, count = [], [], 0
-        if held:
-            yield folded(held, targets)
-
-    small_batches(marked.sparkSession)
-    counted = marked.select("text", "target").mapInArrow(run, "before long, word long, target long, every long")
-    sums = counted.groupBy("before", "word").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
-    return stage(sums, "counts")
+            for block, texts, marks in zip(*(batch.column(i) for i in range(3)), strict=True):
+                own = counted(texts.as_py())
+                chosen = np.zeros(len(own.sizes), dtype=bool)
+                chosen[np.array(marks.as_py() or [], dtype=np.int64)] = True
+                target, every = own.counts(chosen), own.counts(np.ones_like(chosen))
+                for kind, hashes in ((WORD, own.words), (PAIR, own.pairs)):
+                    edges = _edges(hashes, buckets)
+                    rows = [
+                        (bucket, _thin(np.diff(hashes[a:b], prepend=np.uint64(0))), _thin(target[kind][a:b]), _thin(every[kind][a:b]))
+                        for bucket, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+                        if a < b
+                    ]
+                    if rows:
+                        bucket, *parts = zip(*rows, strict=True)
+                        same = [np.full(len(rows), x, dtype=t) for x, t in ((block.as_py(), np.int64), (kind, np.int32))]
+                        arrays = [pa.array(x) for x in same] + [pa.array(bucket, pa.int32())]
+                        arrays += [pa.array(x, pa.binary()) for x in parts]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["block", "kind", "bucket", "hashes", "target", "every"])
+
+    columns = "block long, kind int, bucket int, hashes binary, target binary, every binary"
+    return blocks.select("block", "texts", "marks").mapInArrow(run, columns)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """The totals of a bucket for every block that asked, and for ``NOBODY`` its number of words and the sum of their counts."""
+    asked = [np.cumsum(_thick(x), dtype=np.uint64) for x in table["hashes"].to_pylist()]
+    hashes, at = np.unique(np.concatenate(asked), return_inverse=True)
+    totals = [
+        np.bincount(at, np.concatenate([_thick(x) for x in table[name].to_pylist()]).astype(float), len(hashes)).astype(np.int64)
+        for name in ("target", "every")
+    ]
+    ends = np.cumsum([len(a) for a in asked])
+    parts = [[_thin(t[x]) for x in np.split(at, ends[:-1])] for t in totals]
+    count = len(asked)
+    start = (hashes == START) & (table["kind"][0].as_py() == WORD)
+    sums = [int((~start).sum()), *(int(t[m].sum()) for m in (~start, start) for t in totals)]
+    return pa.table({
+        "block": pa.array([*table["block"].to_pylist(), NOBODY], pa.int64()),
+        "kind": pa.array([table["kind"][0].as_py()] * (count + 1), pa.int32()),
+        "bucket": pa.array([table["bucket"][0].as_py()] * (count + 1), pa.int32()),
+        "target": pa.array([*parts[0], None], pa.binary()),
+        "every": pa.array([*parts[1], None], pa.binary()),
+        "sums": pa.array([None] * count + [sums], pa.list_(pa.int64())),
+    })
 
 
 def score(
-    docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str = "text", held_pairs: int = HELD_PAIRS,
-    held_words: int = WORDS,
-) -> DataFrame:
+    docs: DataFrame, target_ids: DataFrame, id: str = "doc_id", text: str = "text", block: int = BLOCK, bucket: int = BUCKET
+) -> DataFrame:
     """``(id, n_tokens, target_loss, background_loss, score)`` for every row of ``docs``.
 
     ``target_ids`` has a column ``id`` with the ids of the target documents; repeated and null ids there add nothing. A
-    text without words has null losses and a null score; repeated rows count and score as often as they come.
-    ``held_pairs`` and ``held_words`` bound what is broadcast and change no result.
+    text without words, as a null or an empty one, has null losses and a null score; repeated rows count and score as often as
+    they come. A text of any length is scored whole, in a block of its own if need be. Other columns of ``docs`` are not
+    read, whatever their names. ``block`` and ``bucket`` bound what a task holds and change no result.
     """
-    narrow = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    chosen = target_ids.select(F.col("id").cast("long").alias("chosen")).filter("chosen is not null").distinct()
-    # the ids grow with the labels: the same sort-merge plan at every size, which splits skewed ids
-    marked = narrow.join(chosen.hint("merge"), F.col("id") == F.col("chosen"), "left").select(
-        "text", F.col("chosen").isNotNull().alias("target")
-    )
-    counts = count_model(marked)
-    singles = counts.filter(F.col("word") == NONE).drop("word")
-    coupled = counts.filter(F.col("word") != NONE)
-    common = count_step("every") >= lowest_step(singles, "every", held_words)
-    frequent = count_step("every") >= lowest_step(coupled, "every", held_pairs)
-    partly = _partly_scored(narrow, pair_losses(coupled.filter(frequent), singles, common))
-    rare = partly.select("key", F.explode(F.arrays_zip("rare", "times")).alias("_")).select(
-        "key", F.col("_.rare").alias("place"), F.col("_.times").alias("times")
-    )
-    met = rare.join(pair_losses(coupled.filter(~frequent), singles, common).hint("merge"), "place")
-    sums = met.groupBy("key").agg(
-        *(F.sum(F.col(n) * F.col("times")).alias(f"rare_{n}") for n in ("target", "background"))
+    blocks = blocks_of(docs, id, text, block)
+    chosen = target_ids.select(F.col("id").cast("long").alias("id")).filter("id is not null").distinct()
+    # ids grow with the labels: a sort-merge plan at every size, which splits an id that comes very often
+    marks = (
+        blocks.select("block", F.posexplode("ids").alias("place", "id"))
+        .join(chosen.hint("merge"), "id", "left_semi")
+        .groupBy("block")
+        .agg(F.collect_list("place").alias("marks"))  # places of a block, so at most BLOCK_ROWS
     )
-    total = [(F.col(n) + F.coalesce(f"rare_{n}", F.lit(0.0))) / F.col("n_tokens") for n in ("target", "background")]
-    whole = partly.drop("rare", "times").join(sums.hint("merge"), "key", "left").select(
-        F.col("id").alias(id), "n_tokens", *(F.when(F.col("n_tokens") > 0, c).alias(f"{n}_loss")
-        for c, n in zip(total, ("target", "background"), strict=True)),
-    )
-    return whole.withColumn("score", F.col("target_loss") - F.col("background_loss"))
-
-
-def _with_counts(pairs: DataFrame, name: str, singles: DataFrame, common: Column) -> DataFrame:
-    """Add the counts of the word in column ``name``: those of common words are broadcast, the others joined.
-
-    A word that is not common has at most as many pairs as it comes itself, so the join has no hot keys.
-    """
-    columns = [F.col("before").alias(name), *(F.col(c).cast("double").alias(f"{name}_{c}") for c in ("target", "every"))]
-    held = F.broadcast(singles.filter(common).select(*columns))
-    others = singles.filter(~common).select(*columns)
-    rest = pairs.join(held.select(name), name, "left_anti")
-    return pairs.join(held, name).unionByName(rest.join(others.hint("merge"), name))
-
-
-def pair_losses(pairs: DataFrame, singles: DataFrame, common: Column) -> DataFrame:
-    """``(place, target, background)``: the loss of every pair under both models."""
-    models = {"target": "target", "background": "every"}
-    words = singles.filter(F.col("before") != START)
-    size = words.agg(F.count(F.lit(1)).alias("words"), *(F.sum(c).alias(n) for n, c in models.items())).first()
-    counted = _with_counts(_with_counts(pairs, "before", singles, common), "word", singles, common)
-    losses = []
-    for name, column in models.items():
-        share = F.least(F.col(column) / F.greatest(F.col(f"before_{column}"), F.lit(1.0)), F.lit(1.0))
-        chance = (F.col(f"word_{column}") + PRIOR) / ((size[name] or 0) + PRIOR * (size["words"] + 1))
-        losses.append((-F.ln(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * chance)).alias(name))
-    return counted.select(place("before", "word").alias("place"), *losses)
-
-
-def _partly_scored(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """A row per document with the summed losses of its frequent pairs and the places of its rare ones.
-
-    ``frequent`` has at most as many rows as there are held pairs.
-    """
-    held = frequent.orderBy("place").toArrow()
-    losses = np.stack([held["target"].to_numpy(), held["background"].to_numpy()])
-    shared = docs.sparkSession.sparkContext.broadcast((held["place"].to_numpy(), losses))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (kept, losses), known = shared.value, Hashes()
-        key = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows = []
-            for value in batch.column(1).to_pylist():
-                ids = numbers(tokens(value), known)
-                both = places(np.concatenate([[START], ids[:-1]]), ids) if len(ids) else ids
-                at = np.searchsorted(kept, both)
-                hit = at < len(kept)
-                hit[hit] = kept[at[hit]] == both[hit]
-                loss = losses[:, at[hit]].sum(axis=1)
-                rare, times = np.unique(both[~hit], return_counts=True)
-                rows.append((key, len(ids), float(loss[0]), float(loss[1]), rare, times))
-                key += 1
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                names = ["id", "key", "n_tokens", "target", "background", "rare", "times"]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
-
-    small_batches(docs.sparkSession)
-    columns = "id long, key long, n_tokens long, target double, background double, rare array<long>, times array<long>"
-    return stage(docs.mapInArrow(run, columns), "partly")
+    buckets = int((blocks.agg(F.sum("bytes")).first()[0] or 0) // bucket) + 1
+    questions = _questions(blocks.join(marks.hint("merge"), "block", "left"), buckets)
+    columns = "block long, kind int, bucket int, target binary, every binary, sums array<long>"
+    answers = stage(questions.groupBy("kind", "bucket").applyInArrow(_answer, columns), "answers")
+    sums = answers.filter((F.col("block") == NOBODY) & (F.col("kind") == WORD))
+    total = sums.agg(*(F.sum(F.col("sums")[i]).alias(str(i)) for i in range(5))).first()
+    words, *size = (x or 0 for x in total)
+
+    def losses(own: Counted, totals: list[list[np.ndarray]]) -> Iterator[np.ndarray]:
+        """For both models the loss of every document's tokens together."""
+        before, word, of = own.before(), own.word_at[own.first], np.repeat(np.arange(len(own.sizes)), own.sizes)
+        for model in range(2):
+            word_counts, pair_counts = totals[WORD][model].copy(), totals[PAIR][model]
+            word_counts[0] = size[2 + model]
+            share = np.minimum(pair_counts / np.maximum(word_counts[before], 1), 1)
+            chance = (word_counts[word] + PRIOR) / (size[model] + PRIOR * (words + 1))
+            loss = -np.log(PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * chance)
+            yield np.bincount(of, loss[own.pair_at], len(own.sizes))
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = counted(left["texts"][0].as_py())
+        rows = sorted(zip(*(right[c].to_pylist() for c in ("kind", "bucket", "target", "every")), strict=True))
+        none = [np.zeros(0)]
+        totals = [
+            [np.concatenate([_thick(r[2 + model]) for r in rows if r[0] == kind] or none).astype(float) for model in range(2)]
+            for kind in (WORD, PAIR)
+        ]
+        some = own.sizes > 0
+        sums = [pa.array(x / np.maximum(own.sizes, 1), mask=~some) for x in losses(own, totals)]
+        both = pa.array(sums[0].to_numpy(zero_copy_only=False) - sums[1].to_numpy(zero_copy_only=False), mask=~some)
+        return pa.table([left["ids"][0].values, pa.array(own.sizes), *sums, both], names=names)
+
+    names = [id, "n_tokens", "target_loss", "background_loss", "score"]
+    asked = answers.filter(F.col("block") != NOBODY).select("block", "kind", "bucket", "target", "every")
+    pairs = blocks.select("block", "ids", "texts").groupBy("block").cogroup(asked.groupBy("block"))
+    return pairs.applyInArrow(scored, f"`{id}` long, n_tokens long, target_loss double, background_loss double, score double")

@@ -297,13 +297,11 @@ def test_cross_entropy_difference(spark, docs):
     assert scored[25].score < 0 < scored[60].score  # also for documents that are not of the target themselves
     assert scored[3].score is None and scored[3].n_tokens == 0
     assert cross_entropy.score(table.limit(0), target).count() == 0
-    words = cross_entropy.vocabulary(table, size=3)
-    assert len(words) <= 3
 
 
-@pytest.mark.parametrize("held", [0, 3, 1 << 18])
-def test_cross_entropy_matches_brute_force(spark, docs, held):
-    """Whether a pair's counts are broadcast or joined, the losses are those of the whole models."""
+@pytest.mark.parametrize("block, bucket", [(1, 1 << 12), (200_000, 1 << 20), (cross_entropy.BLOCK, cross_entropy.BUCKET)])
+def test_cross_entropy_matches_brute_force(spark, docs, block, bucket):
+    """Whether a document is a block of its own or all share one, the losses are those of the whole models."""
     target = spark.createDataFrame([(1,), (5,)], "id long")
     table = docs.select("doc_id", "text").collect()
     words = [[w for w in re.split("[\x20\x09-\x0d]+", (r.text or "")) if w] for r in table]
@@ -327,7 +325,7 @@ def test_cross_entropy_matches_brute_force(spark, docs, held):
             share = [min(pair[b, w] / max(single[b], 1), 1) for b, w in zip([None, *ws], ws, strict=False)]
             losses.append(-sum(math.log(0.6 * s + 0.4 * c) for s, c in zip(share, chance, strict=True)) / (len(ws) or 1))
         expected.append((str(r.doc_id), len(ws), *((round(x, 9) for x in losses) if ws else (None, None))))
-    scored = cross_entropy.score(docs, target, held_pairs=held).collect()
+    scored = cross_entropy.score(docs, target, block=block, bucket=bucket).collect()
     found = [
         (str(r.doc_id), r.n_tokens, *(x if x is None else round(x, 9) for x in (r.target_loss, r.background_loss)))
         for r in scored
@@ -335,12 +333,12 @@ def test_cross_entropy_matches_brute_force(spark, docs, held):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
-@pytest.mark.parametrize("held", [0, 3, 20_000])
-def test_cross_entropy_counts_words_beyond_the_held_ones(spark, held):
-    """More words than are broadcast, most of them once and one very long: each has counts of its own."""
+@pytest.mark.parametrize("block, bucket", [(1000, 20_000), (100_000, 1000), (cross_entropy.BLOCK, cross_entropy.BUCKET)])
+def test_cross_entropy_counts_every_word(spark, block, bucket):
+    """Many words over several blocks, most of them once and one very long: each has counts of its own."""
     rows = [(i, f"shared words w{i} x{i % 7}") for i in range(20_500)] + [(20_500, "y" * 100 + " shared")]
     target = spark.createDataFrame([(i,) for i in range(0, 20_500, 7)], "id long")
-    scored = cross_entropy.score(spark.createDataFrame(rows, "doc_id long, text string"), target, held_words=held)
+    scored = cross_entropy.score(spark.createDataFrame(rows, "doc_id long, text string"), target, block=block, bucket=bucket)
     found = {r.doc_id: r for r in scored.filter("doc_id in (7, 8, 20500)").collect()}
     models = []
     for kept in (lambda i: i % 7 == 0 and i < 20_500, lambda i: True):
@@ -361,6 +359,19 @@ def test_cross_entropy_counts_words_beyond_the_held_ones(spark, held):
             assert got == pytest.approx(expected, abs=1e-9)
 
 
+def test_cross_entropy_of_words_that_all_come_once(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5))) for i in range(40)]
+    target = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for r in cross_entropy.score(table, target, block=100, bucket=50).collect():
+        expected = []
+        for inside, starts, total in ((r.doc_id < 10, 10, 50), (True, 40, 200)):
+            chance = (inside + 0.5) / (total + 0.5 * 201)
+            losses = [-math.log(0.6 * s + 0.4 * chance) for s in (inside / starts, *[float(inside)] * 4)]
+            expected.append(sum(losses) / 5)
+        assert (r.target_loss, r.background_loss) == pytest.approx(expected, abs=1e-9)
+
+
 def test_repeated_ids_with_different_texts_are_documents_of_their_own(spark):
     random.seed(13)
     one, two, three, four = (" ".join(random.choice("abcdefgh") * 3 for _ in range(40)) for _ in range(4))
