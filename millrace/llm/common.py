@@ -1,4 +1,8 @@
-"""What the operators share: reading tables, staging, and Arrow batches of bounded size."""
+"""What the operators share: reading tables, staging, and functions on Arrow batches.
+
+Rows here hold whole texts or blocks of vectors. Spark bounds an Arrow batch by bytes as well as by rows
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB), so no operator changes a setting of the session.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,13 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.views import table
 from ..session import stage
 
-__all__ = ["stage", "table", "text_rows", "arrow_map", "small_batches", "fresh", "float_matrix"]
-
-BATCH_ROWS = 256  # rows per Arrow batch where a row holds a whole text or a block of vectors
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session: long texts in batches of 10,000 rows do not fit a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    current = int(spark.conf.get(name))
-    if current <= 0 or current > rows:
-        spark.conf.set(name, str(rows))
-
+__all__ = ["stage", "table", "text_rows", "arrow_map", "fresh", "float_matrix"]
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names that no column of ``df`` has, whatever the case: helper columns must not clash with the user's."""
@@ -56,7 +49,6 @@ def arrow_map(
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

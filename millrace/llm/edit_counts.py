@@ -18,7 +18,6 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 LEAF = 32  # pre-tokens in a leaf when a tree is built; a leaf of eight times as many makes it build again
 CONTEXT = 3  # characters behind a pre-token on which its end can depend: a contraction, or white space before a word
@@ -188,7 +187,6 @@ def count_edited(
                     [batch.column(0), *numbers], names=["id", "n_tokens_before", "n_tokens", "n_edits", "counted_again"]
                 )
 
-    small_batches(docs.sparkSession)
     result = narrow.mapInArrow(
         run, "id long, n_tokens_before long, n_tokens long, n_edits long, counted_again long"
     )

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, small_batches, text_rows
+from .common import arrow_map, fresh, text_rows
 
 BUCKETS, RANK, NEIGHBOURS, SHARPNESS = 4096, 64, 31, 4
 TERMS = BUCKETS + 1  # the last term stands for repeated words
@@ -61,7 +61,6 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
             [pa.array(np.arange(TERMS + 1)), pa.array(found)], names=["term", "docs"]
         )
 
-    small_batches(docs.sparkSession)
     counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "term long, docs long")
     totals = np.zeros(TERMS + 1, dtype=np.int64)
     for row in counted.groupBy("term").agg(F.sum("docs").alias("docs")).collect():  # TERMS + 1 rows
@@ -185,7 +184,6 @@ def score(
             arrays += [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=outs)
 
-    small_batches(docs.sparkSession)
     return source.mapInArrow(run, schema)
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches
+from .common import fresh
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model format
@@ -288,5 +288,4 @@ def _with_tokens(docs: DataFrame, model_path: str, text: str, digests: bool) ->
             arrays += [pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    small_batches(docs.sparkSession)
     return source.mapInArrow(run, schema)

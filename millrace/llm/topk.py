@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, small_batches
+from .common import blocks_for
 from .vectors import numbered, packed, share_of, unpack
 
 SHARD, QUERIES, FAN_IN = 4096, 512, 16
@@ -101,7 +101,6 @@ def top_k(
                         names=["query_row", "query_id", "shard", "row", "vec_id", "score"],
                     )
 
-    small_batches(vectors.sparkSession, 1)  # a row is a tile
     lists = tiles.mapInArrow(run, "query_row long, query_id long, shard long, row long, vec_id long, score long")
     while True:
         lists = lists.withColumn("shard", F.expr(f"shard div {FAN_IN}"))
