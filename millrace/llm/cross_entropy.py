@@ -61,7 +61,9 @@ def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def _packed(texts: list[bytes]) -> bytes:
     lengths = np.array([len(texts), *map(len, texts)], dtype=np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(texts))
+    # copies far apart in a block are found too
+    how = zstandard.ZstdCompressionParameters.from_level(6, enable_ldm=True, window_log=25)
+    return zstandard.ZstdCompressor(compression_params=how).compress(lengths.tobytes() + b"".join(texts))
 
 
 def _unpacked(block: bytes) -> list[bytes]:
@@ -112,32 +114,44 @@ class Counted:
 
     def before(self) -> np.ndarray:
         """For every pair the place of its first word."""
-        place = np.concatenate([[0], self.word_at[self.first - 1]])[1:] if len(self.first) else self.first
-        return np.where(self.starts[self.first], 0, place)
+        return np.where(self.starts[self.first], 0, self.word_at[self.first - 1])
 
     def counts(self, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each word and each pair comes in the marked documents."""
-        weight = np.repeat(documents.astype(float), self.sizes)
-        words = np.bincount(self.word_at, weight, len(self.words)).astype(np.int64)
+        chosen = np.repeat(documents, self.sizes)
+        words = np.bincount(self.word_at[chosen], minlength=len(self.words))
         words[0] = int((documents & (self.sizes > 0)).sum())
-        return words, np.bincount(self.pair_at, weight, len(self.pairs)).astype(np.int64)
+        return words, np.bincount(self.pair_at[chosen], minlength=len(self.pairs))
+
+
+def _different(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes in order, for each a place where it comes, and for every place the number of its hash."""
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    new = np.ones(len(hashes), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    number = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    at = np.empty(len(hashes), dtype=np.int32)
+    at[order] = number
+    return ordered[new], order[new], at
 
 
 def counted(block: bytes) -> Counted:
-    known, held, sizes = Hashes(), [], []
-    for text in _unpacked(block):
-        found = tokens(text)
-        sizes.append(len(found))
-        held.append(np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found)))
-    every = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
-    size = np.array(sizes, dtype=np.int64)
-    starts = np.zeros(len(every) + 1, dtype=bool)
-    starts[np.cumsum(size) - size] = True
-    starts = starts[: len(every)]
-    before = np.concatenate([np.array([START], dtype=np.uint64), every[:-1]])[: len(every)]
+    known, texts = Hashes(), _unpacked(block)
+    size = np.array([len(tokens(text)) for text in texts], dtype=np.int64)
+    hashes = np.empty(int(size.sum()) + 1, dtype=np.uint64)  # the begin in front of all
+    hashes[0], filled = START, 1
+    for text, own in zip(texts, size.tolist(), strict=True):
+        hashes[filled : filled + own] = np.fromiter(map(known.__getitem__, tokens(text)), dtype=np.uint64, count=own)
+        filled += own
+    texts.clear()
+    starts = np.zeros(len(hashes), dtype=bool)
+    starts[np.cumsum(size) - size] = True  # of a text without words it is the next one's begin, or the end
+    starts = starts[:-1]
+    words, _, word_at = _different(hashes)
+    before = hashes[:-1].copy()
     before[starts] = START
-    words, word_at = np.unique(np.concatenate([np.array([START], dtype=np.uint64), every]), return_inverse=True)
-    both, first, pair_at = np.unique(pairs(before, every), return_index=True, return_inverse=True)
+    both, first, pair_at = _different(pairs(before, hashes[1:]))
     return Counted(size, words, word_at[1:], both, pair_at, first, starts)
 
 
