@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-BLOCK, BLOCK_ROWS = 24 << 20, 1 << 16  # UTF-8 bytes and documents of a block; a longer document is a block of its own
+BLOCK, BLOCK_ROWS = 12 << 20, 1 << 16  # UTF-8 bytes and documents of a block; a longer document is a block of its own
 BUCKET = 8 << 20  # bytes of text for which there is a bucket: about a million words and pairs asked for
 PAIR_WEIGHT, PRIOR = 0.6, 0.5  # of the pair's share in a probability; added to every word's count
 HELD = 200_000  # words whose hashes a task holds
