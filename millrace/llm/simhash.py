@@ -105,6 +105,7 @@ def _compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     thousand runs of three rows cost no more than one run of a thousand.
     """
     held: list[np.ndarray] = []
+    rows_held = 0
 
     def flush(block: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(block) < 2:
@@ -141,12 +142,13 @@ def _compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         block = np.stack([np.asarray(batch.column(i).to_numpy()).astype(np.int64) for i in range(3)], axis=1)
         held.append(block)
-        if sum(map(len, held)) >= 1 << 15:
+        rows_held += len(block)
+        if rows_held >= 1 << 15:
             joined = np.concatenate(held)
             earlier = np.flatnonzero((joined[:, :2] != joined[-1, :2]).any(axis=1))
             cut = int(earlier[-1]) + 1 if len(earlier) else 0  # the last run may go on
             yield from flush(joined[:cut])
-            held = [joined[cut:]]
+            held, rows_held = [joined[cut:]], len(joined) - cut
     if held:
         yield from flush(np.concatenate(held))
 

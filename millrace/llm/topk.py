@@ -7,7 +7,9 @@ equally many components share blocks and shards, and every query meets every sha
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +23,33 @@ SHARD, QUERIES, FAN_IN = 4096, 512, 16
 EXACT = 2.0**53
 
 
+def whole(vectors: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x): doubles, or Python's numbers in an array of objects where a product is beyond the doubles."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(scale * vectors)
+    beyond = ~np.isfinite(scaled)
+    if beyond.any():
+        scaled = scaled.astype(object)
+        scaled[beyond] = [math.floor(Fraction(scale) * Fraction(x)) for x in vectors[beyond].tolist()]
+    return scaled
+
+
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers given as doubles, exact at any size.
+    """Inner products of whole numbers, exact at any size and kept within a long.
 
-    Doubles hold them exactly below 2**53; larger ones are computed with Python's numbers and kept within a long.
+    Rows of small components are multiplied as doubles, which hold their products exactly; only pairs with another row are
+    computed with Python's numbers.
     """
-    largest = np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) * max(queries.shape[1], 1)
-    if largest < EXACT:
-        return (queries @ candidates.T).astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
-    exact = whole(queries) @ whole(candidates).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    small = (EXACT / max(queries.shape[1], 1)) ** 0.5 - 1
+    few_q, few_c = (np.abs(x).max(axis=1, initial=0) <= small for x in (queries, candidates))
+    few_q, few_c = few_q.astype(bool), few_c.astype(bool)
+    found = np.zeros((len(queries), len(candidates)), dtype=np.int64)
+    found[np.ix_(few_q, few_c)] = queries[few_q].astype(float) @ candidates[few_c].astype(float).T
+    for q, c in ((~few_q, np.ones_like(few_c)), (few_q, ~few_c)):
+        if q.any() and c.any():
+            exact = np.frompyfunc(int, 1, 1)(queries[q]) @ np.frompyfunc(int, 1, 1)(candidates[c]).T
+            found[np.ix_(q, c)] = np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return found
 
 
 def best(scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
@@ -84,7 +102,7 @@ def top_k(
                 rows, ids, candidates = unpack(members, width.as_py())
                 if not len(query_rows) or not len(rows):
                     continue
-                scores = products(np.floor(scale * queries), np.floor(scale * candidates))
+                scores = products(whole(queries, scale), whole(candidates, scale))
                 numbers = ids.astype(np.int64)
                 found = list(best(scores, query_rows[:, None] != rows[None, :], numbers, k))
                 q, c = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else ([], [])

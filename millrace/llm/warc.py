@@ -31,6 +31,8 @@ MOST_TASKS = 20_000  # beyond, a task reads several parts
 READ, UNPACKED = 1 << 16, 1 << 20  # bytes at once, of a file and of what a member unpacks to
 BLOCK = 1 << 30  # bytes of the longest block that is held; longer ones are checked as they pass
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+MANDATORY = {"warc-record-id": "no record id", "warc-type": "no record type", "warc-date": "no date"}  # and the length
+REPEATABLE = ("warc-concurrent-to",)  # the one name that a record may have more than once
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 
 
@@ -41,9 +43,9 @@ class Damaged(Exception):
 @dataclass
 class Record:
     headers: dict[str, str]
-    block: bytes | None  # null where it is too long to be held, as its payload is
-    payload: bytes | None = None
+    payload: bytes | None = None  # null where it is not asked for, or too long to be held
     payload_bytes: int | None = None
+    checked: bool = False  # whether the block was compared with a digest
     http: dict[str, str] = field(default_factory=dict)
 
 
@@ -78,15 +80,22 @@ def page_record(page: int | None, url: str | None, payload: bytes, digest: str,
 def _headers(raw: bytes, strict: bool = True) -> dict[str, str]:
     """Names and values of header lines; a line that begins with a blank goes on with the one before.
 
-    A line without a colon is damage (``strict``), or is left out: servers send such lines, and a sound record holds them.
+    A line without a colon and a name that comes twice are damage (``strict``). Servers send both, and a sound record holds
+    what they sent: there such a line is left out, and values of one name are joined.
     """
-    found = {}
+    found: dict[str, str] = {}
     for line in re.sub(rb"\r\n[ \t]+", b" ", raw).split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if colon:
-            found[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
-        elif strict:
-            raise Damaged("header line without a colon")
+        key, text = (x.decode("utf-8", "replace").strip() for x in (name.lower(), value))
+        if not colon:
+            if strict:
+                raise Damaged("header line without a colon")
+        elif key not in found:
+            found[key] = text
+        elif strict and key not in REPEATABLE:
+            raise Damaged("header named twice")
+        else:
+            found[key] += ", " + text
     return found
 
 
@@ -97,12 +106,14 @@ def _hexadecimal(value: str) -> str:
     return value.lower()
 
 
-def _digest_holds(announced: str | None, found: str) -> bool:
-    """Whether a sha1 digest of the length of hexadecimal or base32 digits is the one found; others cannot be checked."""
+def _check_digest(announced: str | None, found: str, what: str) -> bool:
+    """Compare a sha1 digest of the length of hexadecimal or base32 digits; others cannot be checked: false."""
     kind, _, value = (announced or "").partition(":")
     if kind.strip().lower() != "sha1" or len(value.strip()) not in (32, 40):
-        return True
-    return _hexadecimal(value.strip()) == found
+        return False
+    if _hexadecimal(value.strip()) != found:
+        raise Damaged(f"{what} digest differs")
+    return True
 
 
 class Flow:
@@ -144,17 +155,22 @@ def _head(flow: Flow) -> bytes:
     return flow.take(end + 4)[10:end]
 
 
-def decode_record(flow: Flow) -> Record:
-    """The record at the front of ``flow``, which is taken from it, or ``Damaged``."""
+def decode_record(flow: Flow, keep: bool = True) -> Record:
+    """The record at the front of ``flow``, which is taken from it, or ``Damaged``; ``keep`` holds its payload."""
     headers = _headers(_head(flow))
     length = headers.get("content-length", "")
     if not re.fullmatch(r"\d{1,18}", length):
         raise Damaged("no usable length")
+    for name, reason in MANDATORY.items():
+        if not headers.get(name):
+            raise Damaged(reason)
     left = size = int(length)
     if flow.total is not None and flow.taken + size + 4 > flow.total:
         raise Damaged("cut short")
     looking = headers.get("content-type", "").startswith("application/http")
+    response = headers["warc-type"] == "response"
     parts, front, split, payload_bytes = [], bytearray(), False, 0
+    keep = keep and response and size <= BLOCK
     whole, of_payload = hashlib.sha1(), hashlib.sha1()
     while left:
         part = flow.take(min(left, UNPACKED))
@@ -162,8 +178,6 @@ def decode_record(flow: Flow) -> Record:
             raise Damaged("cut short")
         left -= len(part)
         whole.update(part)
-        if size <= BLOCK:
-            parts.append(part)
         if looking:  # the captured headers, up to their blank line
             searched = max(len(front) - 3, 0)
             front += part
@@ -177,22 +191,20 @@ def decode_record(flow: Flow) -> Record:
         if split:
             of_payload.update(part)
             payload_bytes += len(part)
+            if keep:
+                parts.append(part)
     end = flow.take(4)
     if len(end) < 4:
         raise Damaged("cut short")
     if end != b"\r\n\r\n":
         raise Damaged("block and length disagree")
-    if not _digest_holds(headers.get("warc-block-digest"), whole.hexdigest()):
-        raise Damaged("block digest differs")
-    block = b"".join(parts) if size <= BLOCK else None
-    record = Record(headers, block)
+    record = Record(headers, checked=_check_digest(headers.get("warc-block-digest"), whole.hexdigest(), "block"))
     if split:
         record.http = _headers(front.partition(b"\r\n")[2], strict=False)
-        if headers.get("warc-type") == "response":
-            record.payload = None if block is None else block[len(front) + 4 :]
+        if response:
+            record.payload = b"".join(parts) if keep else None
             record.payload_bytes = payload_bytes
-            if not _digest_holds(headers.get("warc-payload-digest"), of_payload.hexdigest()):
-                raise Damaged("payload digest differs")
+            record.checked |= _check_digest(headers.get("warc-payload-digest"), of_payload.hexdigest(), "payload")
     return record
 
 
@@ -253,16 +265,16 @@ def _member(span: Span, at: int, ends: list[int]) -> Iterator[bytes]:
     ends.append(at - len(inflate.unused_data))
 
 
-def _record_at(span: Span, start: int) -> tuple[Record, int]:
+def _record_at(span: Span, start: int, keep: bool) -> tuple[Record, int]:
     if span.read(start, 3) == MAGIC:
         ends: list[int] = []
         flow = Flow(_member(span, start, ends))
-        record = decode_record(flow)
+        record = decode_record(flow, keep)
         if flow.fill(1):
             raise Damaged("more than a record in a member")
         return record, ends[0]
     flow = Flow(_plain(span, start), span.end - start)
-    record = decode_record(flow)
+    record = decode_record(flow, keep)
     return record, start + flow.taken
 
 
@@ -278,17 +290,20 @@ def _candidates(span: Span, start: int) -> Iterator[int]:
             line = span.find(VERSION, line + 1)
 
 
-def salvage(span: Span) -> Iterator[tuple[int, int, Record | None, str | None]]:
-    """``(offset, length, record, None)`` for records, ``(offset, length, None, reason)`` for quarantined gaps."""
+def salvage(span: Span, keep: bool = True) -> Iterator[tuple[int, int, Record | None, str | None]]:
+    """``(offset, length, record, None)`` for records, ``(offset, length, None, reason)`` for quarantined gaps.
+
+    Payloads are held only if ``keep`` is set; they are checked all the same.
+    """
     at = span.start
     while at < span.end:
         try:
-            record, end = _record_at(span, at)
+            record, end = _record_at(span, at, keep)
         except Damaged as damage:
             resumed = span.end
             for place in _candidates(span, at + 1):
                 try:
-                    record, end = _record_at(span, place)
+                    record, end = _record_at(span, place, keep)
                 except Damaged:
                     continue
                 resumed = place
@@ -372,15 +387,17 @@ def read_archives(parts: DataFrame, with_payload: bool = True) -> DataFrame:
 
     Columns: ``path``, ``offset``, ``length``, ``reason`` (of a gap; null for records), ``record_id``, ``url``,
     ``record_type``, ``refers_to``, ``payload_digest`` and ``payload_bytes`` (both of the full payload, also for revisits),
-    ``payload``. A part must start where a record starts; archives may be compressed by member or plain. A block of any length
+    ``checked`` (false for a record that announces no digest which can be compared, so that damage of its block can pass in
+    a plain archive), ``payload``. A record without an id, type, date or length is damaged. A part must start where a record starts; archives may be compressed by member or plain. A block of any length
     is checked; of one above ``BLOCK`` the payload is not returned, as a row could not hold it: ``payload_bytes`` is greater then.
     """
     columns = (
         "path string, offset long, length long, reason string, record_id string, url string, record_type string, "
-        "refers_to string, payload_digest string, payload_bytes long, payload binary"
+        "refers_to string, payload_digest string, payload_bytes long, checked boolean, payload binary"
     )
     names = [c.split()[0] for c in columns.split(", ")]
-    kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in columns.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = [types[c.split()[1]] for c in columns.split(", ")]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         data = zip(*rows, strict=True)
@@ -394,8 +411,8 @@ def read_archives(parts: DataFrame, with_payload: bool = True) -> DataFrame:
                 with system.open_input_file(place) as file:
                     span = Span(file, start or 0, file.size() if end is None else end)
                     missing = [] if end is None or end <= span.end else [(span.end, end - span.end, None, "file cut short")]
-                    for offset, length, record, reason in chain(salvage(span), missing):
-                        rows.append((path, offset, length, reason, *_shown(record, with_payload)))
+                    for offset, length, record, reason in chain(salvage(span, with_payload), missing):
+                        rows.append((path, offset, length, reason, *_shown(record)))
                         held += len(rows[-1][-1] or b"")
                         if len(rows) >= 1000 or held > SEGMENT:
                             yield emit(rows)
@@ -409,16 +426,16 @@ def read_archives(parts: DataFrame, with_payload: bool = True) -> DataFrame:
     return spread.mapInArrow(run, columns)
 
 
-def _shown(record: Record | None, with_payload: bool) -> tuple:
+def _shown(record: Record | None) -> tuple:
     if record is None:
-        return (None,) * 7
+        return (None,) * 8
     h = record.headers
     kind, _, digest = h.get("warc-payload-digest", "").partition(":")
     digest = (_hexadecimal(digest.strip()) if kind.strip().lower() == "sha1" else digest.lower()) or None
     size = record.http.get("content-length", "") if record.payload_bytes is None else record.payload_bytes
     size = int(size) if re.fullmatch("[0-9]{1,18}", str(size)) else None
-    payload = record.payload if with_payload else None
-    return h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-type"), h.get("warc-refers-to"), digest, size, payload
+    names = (h.get(n) for n in ("warc-record-id", "warc-target-uri", "warc-type", "warc-refers-to"))
+    return *names, digest, size, record.checked, record.payload
 
 
 def page_of(record_id: Column) -> Column:
