@@ -13,6 +13,7 @@ from . import (
     edit_counts,
     knn_quality,
     mixture,
+    phrases,
     piece_bpe,
     preference,
     simhash,
@@ -265,3 +266,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = docs.withColumn("edits", F.expr(_EDITS))
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return edit_counts.count_edited(edited, ranks, public_tokenizers.PATTERN)
+
+
+PHRASE_SQL = f"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+cut_texts AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM cut_texts),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, ws, k, unnest(range(1, CAST(len(ws) AS BIGINT) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3]) AS k))),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {phrases.SUPPORT}),
+cuts AS (SELECT lang, phrase, a, c, array_to_string(ws[1:c], ' ') AS head, array_to_string(ws[c + 1:], ' ') AS tail
+    FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, c, h.a AS l, t.a AS r,
+    (CAST(1000000 AS HUGEINT) * cuts.a * cuts.a) // (CAST(h.a AS HUGEINT) * t.a) AS score
+    FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS phrase, max(a) AS a
+    FROM f, (SELECT unnest([1, 2]) AS i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer.a IS NULL OR 100 * longer.a < 50 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+@query("op11_phrase_collocations", PHRASE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
