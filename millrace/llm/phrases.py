@@ -26,10 +26,11 @@ from .common import stage
 LONGEST, SUPPORT, TOP = 3, 10, 2000  # words of a phrase, occurrences of a candidate, phrases shown of a language
 CONTAINED = (50, 100)  # a candidate goes if a longer one around it has this share of its occurrences
 SCALE = 1_000_000
-SHARDS = 4  # the support of a shard is SUPPORT / SHARDS, rounded up
+SHARDS = 3  # the support of a shard is SUPPORT / SHARDS, rounded up
 BITS = 1 << 27  # of the map of a level, whatever the input: 16 MB
 KEY = np.uint64((1 << 40) - 1)  # bits of a key under which phrases are counted in a shard; the lowest are its place in the map
-CHUNK = 1 << 21  # words a task holds before it hands on what it counted
+CHUNK, STEP = 1 << 21, 1 << 18  # words a task holds before it hands on what it counted; words whose keys are made at once
+LANGUAGES = 1000  # languages a task holds at once
 LANES = 16  # tasks that rank the phrases of one language before one ranks the best of all
 UNKNOWN = "und"
 BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
@@ -64,40 +65,48 @@ class Chunk:
         found = pieces(text)
         self.sizes += map(len, found)
         count = sum(map(len, found))
-        self.parts.append(np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=count))
+        self.parts.append(np.fromiter(map(self.known.__getitem__, chain.from_iterable(found)), dtype=np.int32, count=count))
         self.shards.append((shard, count))
         self.words += count
 
     def close(self) -> None:
-        self.at = np.concatenate(self.parts) if self.parts else np.zeros(0, dtype=np.int64)
+        self.at = np.concatenate(self.parts)
+        self.parts.clear()
         sizes = np.array(self.sizes, dtype=np.int64)
-        ends = np.cumsum(sizes)
-        self.left = np.repeat(ends, sizes) - np.arange(len(self.at))  # words from here to the end of the piece
+        # words from here to the end of the piece
+        self.left = np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) - np.arange(len(self.at), dtype=np.int32)
         salt = xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"))
         self.names = list(self.known)
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.names), dtype=np.uint64, count=len(self.names))
         self.salts = np.array([xxhash.xxh64_intdigest(bytes([s]), salt) for s in range(SHARDS)], dtype=np.uint64)
-        shards, counts = (np.array(x, dtype=np.int64) for x in zip(*self.shards, strict=True)) if self.shards else ([], [])
-        self.shard = np.repeat(shards, counts).astype(np.int64)
+        shards, counts = (np.array(x) for x in zip(*self.shards, strict=True))
+        self.shard = np.repeat(shards.astype(np.int8), counts)
 
     def keys(self, begins: np.ndarray, length: int, shard: np.ndarray) -> np.ndarray:
         """One number for each phrase of ``length`` words that begins at a place, in a shard and a language."""
-        mixed = self.salts[shard].copy()
+        mixed = self.salts[shard]
         for i in range(length):
             word, turn = self.hashes[self.at[begins + i]], TURNS[i % len(TURNS)]
-            mixed ^= (word << np.uint64(turn)) | (word >> np.uint64((64 - turn) % 64)) if turn else word
+            mixed ^= (word << np.uint64(turn)) | (word >> np.uint64(64 - turn)) if turn else word
         mixed *= np.uint64(0x9E3779B97F4A7C15)
-        return mixed ^ (mixed >> np.uint64(29))
-
-    def begins(self, length: int, maps: list[np.ndarray], shard: np.ndarray) -> np.ndarray:
-        """Places of phrases of ``length`` words whose shorter parts are all in the ``maps`` of their lengths."""
-        places = np.flatnonzero(self.left >= length)
-        for shorter in range(1, min(length, len(maps) + 1)):
-            known = maps[shorter - 1]
-            for shift in range(length - shorter + 1):
-                at = places + shift
-                places = places[_has(known, self.keys(at, shorter, shard[at]))]
-        return places
+        mixed ^= mixed >> np.uint64(29)
+        return mixed
+
+    def tally(self, length: int, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and numbers of the phrases of ``length`` words whose parts are all in the ``maps`` of their lengths."""
+        held = [np.zeros(0, dtype=np.uint64)]
+        for start in range(0, len(self.at), STEP):
+            places = start + np.flatnonzero(self.left[start : start + STEP] >= length)
+            for shorter, known in enumerate(maps[: length - 1], 1):
+                for shift in range(length - shorter + 1):
+                    at = places + shift
+                    places = places[_has(known, self.keys(at, shorter, self.shard[at]))]
+            held.append(self.keys(places, length, self.shard[places]))
+        keys = np.concatenate(held)
+        held.clear()
+        keys.sort()
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+        return keys[edges], np.diff(edges, append=len(keys))
 
     def tell(self, place: int, length: int) -> str:
         return b" ".join(self.names[w] for w in self.at[place : place + length]).decode("utf-8", "surrogatepass")
@@ -117,18 +126,20 @@ def _chunked(batches: Iterable[pa.RecordBatch], handle: Callable[[Chunk], Iterat
     held: dict[str, Chunk] = {}
     words = 0
     for batch in batches:
-        for lang, text, shard in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for lang, text, shard in zip(*(map(pa.Scalar.as_py, batch.column(i)) for i in range(3)), strict=True):
             if (own := held.get(lang)) is None:
                 own = held[lang] = Chunk(lang)
             before = own.words
             own.add(text, shard)
             words += own.words - before
-            if words > CHUNK or len(held) > 1000:
-                for one in held.values():
+            if words > CHUNK or len(held) > LANGUAGES:
+                while held:
+                    one = held.popitem()[1]
                     one.close()
                     yield from handle(one)
-                held, words = {}, 0
-    for one in held.values():
+                words = 0
+    while held:
+        one = held.popitem()[1]
         one.close()
         yield from handle(one)
 
@@ -140,9 +151,8 @@ def _frequent_in_shards(docs: DataFrame, length: int, maps: list, support: int)
         known = [m.value for m in maps]
 
         def handle(own: Chunk) -> Iterator[pa.RecordBatch]:
-            places = own.begins(length, known, own.shard)
-            if len(places):
-                found, counts = np.unique(own.keys(places, length, own.shard[places]), return_counts=True)
+            found, counts = own.tally(length, known)
+            if len(found):
                 arrays = [pa.array((found & KEY).astype(np.int64)), pa.array(counts.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "n"])
 
@@ -185,7 +195,7 @@ def count_frequent(docs: DataFrame, id: str, lang: str, text: str, support: int
             for length in range(1, longest + 1):
                 # numbers that tell the phrases of this chunk apart exactly
                 if length > 1:
-                    _, ids = np.unique(ids[:-1] * len(one.names) + one.at[length - 1 :], return_inverse=True)
+                    _, ids = np.unique(ids[:-1].astype(np.int64) * len(one.names) + one.at[length - 1 :], return_inverse=True)
                 places = np.flatnonzero(one.left[: len(ids)] >= length)
                 _, first, counts = np.unique(ids[places], return_index=True, return_counts=True)
                 first = places[first]
