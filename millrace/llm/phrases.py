@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -126,7 +127,7 @@ def _chunked(batches: Iterable[pa.RecordBatch], handle: Callable[[Chunk], Iterat
     held: dict[str, Chunk] = {}
     words = 0
     for batch in batches:
-        for lang, text, shard in zip(*(map(pa.Scalar.as_py, batch.column(i)) for i in range(3)), strict=True):
+        for lang, text, shard in zip(*(map(methodcaller("as_py"), batch.column(i)) for i in range(3)), strict=True):
             if (own := held.get(lang)) is None:
                 own = held[lang] = Chunk(lang)
             before = own.words
