@@ -18,6 +18,7 @@ from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,10 @@ CONTAINED = (50, 100)  # a candidate goes if a longer one around it has this sha
 SCALE = 1_000_000
 SHARDS = 3  # the support of a shard is SUPPORT / SHARDS, rounded up
 BITS = 1 << 27  # of the map of a level, whatever the input: 16 MB
-KEY = np.uint64((1 << 40) - 1)  # bits of a key under which phrases are counted in a shard; the lowest are its place in the map
+KEY_BITS = 40  # of a key under which phrases are counted in a shard; the lowest are its place in the map
+KEY = np.uint64((1 << KEY_BITS) - 1)
+#: What tells the shards apart in the map: each turns other bits of a place.
+SHIFTS = np.array([xxhash.xxh64_intdigest(bytes([s])) % BITS for s in range(SHARDS)], dtype=np.uint64)
 CHUNK, STEP = 1 << 21, 1 << 18  # words a task holds before it hands on what it counted; words whose keys are made at once
 LANGUAGES = 1000  # languages a task holds at once
 LANES = 16  # tasks that rank the phrases of one language before one ranks the best of all
@@ -77,48 +81,64 @@ class Chunk:
         # words from here to the end of the piece
         self.left = np.repeat(np.cumsum(sizes, dtype=np.int32), sizes) - np.arange(len(self.at), dtype=np.int32)
         salt = xxhash.xxh64_intdigest(self.lang.encode("utf-8", "surrogatepass"))
-        self.names = list(self.known)
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.names), dtype=np.uint64, count=len(self.names))
-        self.salts = np.array([xxhash.xxh64_intdigest(bytes([s]), salt) for s in range(SHARDS)], dtype=np.uint64)
+        names = list(self.known)
+        self.known.clear()
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(n, salt) for n in names), dtype=np.uint64, count=len(names))
+        self.names = pa.array([n.decode("utf-8", "surrogatepass") for n in names], pa.string())
         shards, counts = (np.array(x) for x in zip(*self.shards, strict=True))
         self.shard = np.repeat(shards.astype(np.int8), counts)
 
-    def keys(self, begins: np.ndarray, length: int, shard: np.ndarray) -> np.ndarray:
-        """One number for each phrase of ``length`` words that begins at a place, in a shard and a language."""
-        mixed = self.salts[shard]
-        for i in range(length):
+    def keys(self, begins: np.ndarray, length: int) -> np.ndarray:
+        """One number for each phrase of ``length`` words that begins at a place, in this language."""
+        mixed = self.hashes[self.at[begins]]
+        for i in range(1, length):
             word, turn = self.hashes[self.at[begins + i]], TURNS[i % len(TURNS)]
             mixed ^= (word << np.uint64(turn)) | (word >> np.uint64(64 - turn)) if turn else word
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
         return mixed
 
+    def begins(self, length: int) -> Iterator[np.ndarray]:
+        """Places of all phrases of ``length`` words, in portions."""
+        for start in range(0, len(self.at), STEP):
+            yield start + np.flatnonzero(self.left[start : start + STEP] >= length)
+
     def tally(self, length: int, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and numbers of the phrases of ``length`` words whose parts are all in the ``maps`` of their lengths."""
+        """Keys by shard and numbers of the phrases of ``length`` words whose parts are all frequent in the shard."""
         held = [np.zeros(0, dtype=np.uint64)]
-        for start in range(0, len(self.at), STEP):
-            places = start + np.flatnonzero(self.left[start : start + STEP] >= length)
+        for places in self.begins(length):
             for shorter, known in enumerate(maps[: length - 1], 1):
                 for shift in range(length - shorter + 1):
                     at = places + shift
-                    places = places[_has(known, self.keys(at, shorter, self.shard[at]))]
-            held.append(self.keys(places, length, self.shard[places]))
+                    places = places[_has(known, self.keys(at, shorter), SHIFTS[self.shard[at]])]
+            shard = self.shard[places]
+            held.append(((self.keys(places, length) & KEY) ^ SHIFTS[shard]) | (shard.astype(np.uint64) << np.uint64(KEY_BITS)))
         keys = np.concatenate(held)
         held.clear()
         keys.sort()
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
         return keys[edges], np.diff(edges, append=len(keys))
 
-    def tell(self, place: int, length: int) -> str:
-        return b" ".join(self.names[w] for w in self.at[place : place + length]).decode("utf-8", "surrogatepass")
-
-
-def _positions(keys: np.ndarray) -> np.ndarray:
-    return keys & np.uint64(BITS - 1)
-
-
-def _has(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _positions(keys)
+    def phrases(self, length: int, known: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Phrases of ``length`` words that some shard has often, with how often they come here, told apart by their words."""
+        held = [np.zeros(0, dtype=np.int64)]
+        for places in self.begins(length):
+            keys = self.keys(places, length)
+            held.append(places[np.logical_or.reduce([_has(known, keys, shift) for shift in SHIFTS])])
+        places = np.concatenate(held)
+        code = self.at[places].astype(np.int64)
+        for i in range(1, length):
+            if int(code.max(initial=0)) >= (1 << 62) // max(len(self.names), 1):
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * len(self.names) + self.at[places + i]
+        _, first, counts = np.unique(code, return_index=True, return_counts=True)
+        first = places[first]
+        words = [self.names.take(pa.array(self.at[first + i])) for i in range(length)]
+        return pc.binary_join_element_wise(*words, " ") if length > 1 else words[0], counts
+
+
+def _has(known: np.ndarray, keys: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    at = (keys ^ shift) & np.uint64(BITS - 1)
     return (known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -154,7 +174,7 @@ def _frequent_in_shards(docs: DataFrame, length: int, maps: list, support: int)
         def handle(own: Chunk) -> Iterator[pa.RecordBatch]:
             found, counts = own.tally(length, known)
             if len(found):
-                arrays = [pa.array((found & KEY).astype(np.int64)), pa.array(counts.astype(np.int32))]
+                arrays = [pa.array(found.astype(np.int64)), pa.array(counts.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "n"])
 
         yield from _chunked(batches, handle)
@@ -191,24 +211,13 @@ def count_frequent(docs: DataFrame, id: str, lang: str, text: str, support: int
         known = [m.value for m in maps]
 
         def handle(one: Chunk) -> Iterator[pa.RecordBatch]:
-            rows = [("", 0, one.words)]
-            ids = one.at
+            yield rows(one.lang, 0, pa.array([""]), np.array([one.words]))
             for length in range(1, longest + 1):
-                # numbers that tell the phrases of this chunk apart exactly
-                if length > 1:
-                    _, ids = np.unique(ids[:-1].astype(np.int64) * len(one.names) + one.at[length - 1 :], return_inverse=True)
-                places = np.flatnonzero(one.left[: len(ids)] >= length)
-                _, first, counts = np.unique(ids[places], return_index=True, return_counts=True)
-                first = places[first]
-                some = np.zeros(len(first), dtype=bool)
-                for shard in range(SHARDS):  # frequent in any shard, wherever this one lies
-                    some |= _has(known[length - 1], one.keys(first, length, np.full(len(first), shard)))
-                rows += [(one.tell(p, length), length, n) for p, n in zip(first[some].tolist(), counts[some].tolist(), strict=True)]
-            phrase, words, n = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([one.lang] * len(rows)), pa.array(words, pa.int32()), pa.array(phrase, pa.string()), pa.array(n, pa.int64())],
-                names=["lang", "words", "phrase", "n"],
-            )
+                yield rows(one.lang, length, *one.phrases(length, known[length - 1]))
+
+        def rows(lang: str, words: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            same = [pa.repeat(pa.scalar(x, t), len(n)) for x, t in ((lang, pa.string()), (words, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*same, phrase, pa.array(n, pa.int64())], names=["lang", "words", "phrase", "n"])
 
         yield from _chunked(batches, handle)
 
