@@ -2,8 +2,9 @@
 
 A phrase that comes often enough in all documents reaches its share of that support in one shard at least, whichever way the
 documents are dealt to shards. So each shard is mined completely at the lowered support, level by level: a longer
-phrase is counted only where both phrases it is made of are frequent in the same shard. What is frequent somewhere is then
-counted in all documents, exactly and under its own words.
+phrase is counted only where both phrases it is made of are frequent in the same shard. Where a phrase was not counted it is
+infrequent, so the counts of all shards bound how often it comes at most, and what cannot reach the support goes. What is
+frequent somewhere is then counted in all documents, exactly and under its own words.
 
 What is frequent in a shard is kept as a bit map of fixed size that tasks test against. Two phrases with the same bit
 make the test pass more often, never less, and the final counts decide: the size of the map bears on speed, not on results.
@@ -36,7 +37,7 @@ KEY = np.uint64((1 << KEY_BITS) - 1)
 SHIFTS = np.array([xxhash.xxh64_intdigest(bytes([s])) % BITS for s in range(SHARDS)], dtype=np.uint64)
 CHUNK, STEP = 1 << 21, 1 << 18  # words a task holds before it hands on what it counted; words whose keys are made at once
 LANGUAGES = 1000  # languages a task holds at once
-LANES = 16  # tasks that rank the phrases of one language before one ranks the best of all
+LANES, FAN_IN = 64, 4  # tasks that rank the phrases of one language; how many of their lists one task merges
 UNKNOWN = "und"
 BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"\n" * 10)
 TURNS = (0, 17, 34, 51, 5, 22, 39, 56)  # bits by which the hash of the first, second, … word of a phrase is turned
@@ -103,21 +104,22 @@ class Chunk:
         for start in range(0, len(self.at), STEP):
             yield start + np.flatnonzero(self.left[start : start + STEP] >= length)
 
-    def tally(self, length: int, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Keys by shard and numbers of the phrases of ``length`` words whose parts are all frequent in the shard."""
+    def tally(self, length: int, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, shards and numbers of the phrases of ``length`` words whose parts are all frequent in the shard."""
         held = [np.zeros(0, dtype=np.uint64)]
         for places in self.begins(length):
             for shorter, known in enumerate(maps[: length - 1], 1):
                 for shift in range(length - shorter + 1):
                     at = places + shift
                     places = places[_has(known, self.keys(at, shorter), SHIFTS[self.shard[at]])]
-            shard = self.shard[places]
-            held.append(((self.keys(places, length) & KEY) ^ SHIFTS[shard]) | (shard.astype(np.uint64) << np.uint64(KEY_BITS)))
+            shard = self.shard[places].astype(np.uint64)
+            held.append((self.keys(places, length) & KEY) | (shard << np.uint64(KEY_BITS)))
         keys = np.concatenate(held)
         held.clear()
         keys.sort()
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
-        return keys[edges], np.diff(edges, append=len(keys))
+        own = keys[edges]
+        return own & KEY, own >> np.uint64(KEY_BITS), np.diff(edges, append=len(keys))
 
     def phrases(self, length: int, known: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """Phrases of ``length`` words that some shard has often, with how often they come here, told apart by their words."""
@@ -166,23 +168,35 @@ def _chunked(batches: Iterable[pa.RecordBatch], handle: Callable[[Chunk], Iterat
 
 
 def _frequent_in_shards(docs: DataFrame, length: int, maps: list, support: int) -> np.ndarray:
-    """The bit map of all phrases of ``length`` words that some shard has ``support`` times; shards are told apart."""
+    """The bit map, by shards, of the phrases of ``length`` words that a shard has often and that can reach ``support``."""
+    local = math.ceil(support / SHARDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [m.value for m in maps]
 
         def handle(own: Chunk) -> Iterator[pa.RecordBatch]:
-            found, counts = own.tally(length, known)
+            found, shard, counts = own.tally(length, known)
             if len(found):
-                arrays = [pa.array(found.astype(np.int64)), pa.array(counts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "n"])
+                arrays = [pa.array(x.astype(t)) for x, t in ((found, np.int64), (shard, np.int8), (counts, np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "shard", "n"])
 
         yield from _chunked(batches, handle)
 
-    counted = docs.mapInArrow(run, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
-    position = F.col("key").bitwiseAND(BITS - 1) + 1  # Spark's buckets count from position one
-    rows = counted.groupBy(F.bitmap_bucket_number(position).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")
+    shards = [f"s{s}" for s in range(SHARDS)]
+    counted = docs.mapInArrow(run, "key long, shard byte, n int").groupBy("key").agg(
+        *(F.sum(F.when(F.col("shard") == s, F.col("n"))).alias(name) for s, name in enumerate(shards))
+    )
+    # all words are counted; of longer phrases a shard without a count has less than its support
+    most = F.lit(0 if length == 1 else local - 1)
+    able = counted.filter(sum(F.coalesce(name, most) for name in shards) >= support)
+    frequent = F.filter(
+        F.array(*(F.when(F.col(name) >= local, F.lit(int(SHIFTS[s]))) for s, name in enumerate(shards))), lambda x: x.isNotNull()
+    )
+    place = able.select(F.explode(frequent).alias("shift"), "key").select(
+        (F.col("key").bitwiseXOR(F.col("shift")).bitwiseAND(BITS - 1) + 1).alias("place")  # Spark's buckets count from one
+    )
+    rows = place.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
     )
     whole = np.zeros(BITS // 8, dtype=np.uint8)
     for row in rows.toLocalIterator():  # BITS / 32768 buckets of 4 KB at most, whatever the input
@@ -197,7 +211,6 @@ def count_frequent(docs: DataFrame, id: str, lang: str, text: str, support: int
     A row with ``words`` 0 counts all words of a language.
     """
     spark = docs.sparkSession
-    local = math.ceil(support / SHARDS)
     own = F.pmod(F.xxhash64(F.col(f"`{id}`"), F.col(f"`{text}`")), F.lit(SHARDS)).cast("int")  # copies under other ids part
     narrow = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
@@ -205,7 +218,7 @@ def count_frequent(docs: DataFrame, id: str, lang: str, text: str, support: int
     )
     maps: list = []
     for length in range(1, longest + 1):
-        maps.append(spark.sparkContext.broadcast(_frequent_in_shards(narrow, length, maps, local)))
+        maps.append(spark.sparkContext.broadcast(_frequent_in_shards(narrow, length, maps, support)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [m.value for m in maps]
@@ -251,16 +264,6 @@ def collocations(
     total = counted.filter("words = 0").select("lang", F.col("n").alias("total"))
     candidates = counted.filter("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))
     words = F.split("phrase", " ")
-    cuts = candidates.select(
-        "lang", "phrase", "a", F.explode(F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: _parts(words, k))).alias("c")
-    ).select("lang", "phrase", "a", "c.*")
-    known = counted.filter("words > 0")
-    heads = known.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l"))
-    tails = known.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r"))
-    met = cuts.join(heads.hint("merge"), ["lang", "head"]).join(tails.hint("merge"), ["lang", "tail"])
-    a, l, r = (F.col(c).cast("decimal(18,0)") for c in "alr")  # noqa: E741
-    scored = met.withColumn("score", F.call_function("div", F.lit(SCALE).cast("decimal(7,0)") * a * a, l * r))
-    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
 
     def inner(size: Column) -> Column:
         return F.transform(
@@ -274,13 +277,27 @@ def collocations(
         .agg(F.max("a").alias("around"))
     )
     share, whole = CONTAINED
-    kept = best.join(around.hint("merge"), ["lang", "phrase"], "left").filter(
+    alone = candidates.join(around.hint("merge"), ["lang", "phrase"], "left").filter(
         F.coalesce(F.col("around") * whole < F.col("a") * share, F.lit(True))
     )
-    rows = kept.select("lang", "phrase", "a", "c.l", "c.r", "c.score", F.pmod(F.xxhash64("phrase"), F.lit(LANES)).alias("lane"))
+    cuts = alone.select(
+        "lang", "phrase", "a", F.explode(F.transform(F.sequence(F.lit(1), F.col("words") - 1), lambda k: _parts(words, k))).alias("c")
+    ).select("lang", "phrase", "a", "c.*")
+    known = counted.filter("words > 0")
+    heads = known.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l"))
+    tails = known.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r"))
+    met = cuts.join(heads.hint("merge"), ["lang", "head"]).join(tails.hint("merge"), ["lang", "tail"])
+    a, l, r = (F.col(c).cast("decimal(18,0)") for c in "alr")  # noqa: E741
+    scored = met.withColumn("score", F.call_function("div", F.lit(SCALE).cast("decimal(7,0)") * a * a, l * r))
+    best = scored.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
+
+    rows = best.select("lang", "phrase", "a", "c.l", "c.r", "c.score", F.pmod(F.xxhash64("phrase"), F.lit(LANES)).alias("lane"))
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    for keys in (("lang", "lane"), ("lang",)):
-        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= top)
+    lanes = LANES
+    while lanes:
+        place = Window.partitionBy("lang", F.expr(f"lane % {lanes}")).orderBy(*order)
+        rows = rows.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top)
+        lanes //= FAN_IN
     return rows.join(total, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"),
         F.col("score").cast("long").alias("score"),
