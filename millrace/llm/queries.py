@@ -15,6 +15,7 @@ from . import (
     mixture,
     phrases,
     piece_bpe,
+    prefix_trie,
     preference,
     simhash,
     topk,
@@ -295,3 +296,37 @@ SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranke
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best collocations of every language."""
     return phrases.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
+_TURN = "md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+TRIE_SQL = f"""
+WITH turns AS (SELECT conv_id, {_TURN} AS m, strlen(coalesce(text, '')) AS b,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {_TURN}) AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(m ORDER BY i) AS ms, list(b ORDER BY i) AS bs FROM turns GROUP BY conv_id),
+bits AS (SELECT list(v ORDER BY byte) AS t FROM (SELECT byte, list_reduce(list_prepend(byte, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(byte))),
+firsts AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 9 AS h FROM own, bits),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.ms, [])[1:h], o.ms[h + 1:]) AS ms, list_concat(coalesce(b.bs, [])[1:h], o.bs[h + 1:]) AS bs
+    FROM own o JOIN firsts USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+steps AS (SELECT conv_id, d, len(ms) AS n, coalesce(array_to_string(ms[1:d], ''), '') AS k, bs[d] AS b
+    FROM (SELECT *, unnest(range(0, CAST(len(ms) AS BIGINT) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(max(b), 0) AS b,
+    sha256(coalesce(string_agg(CASE WHEN d = n THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+    FROM steps GROUP BY k, d),
+children AS (SELECT substr(k, 1, 32 * (d - 1)) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+known AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (k)),
+sums AS (SELECT substr(k, 1, 32 * above) AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, d + 1)) AS above FROM known) GROUP BY 1)
+SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM known c JOIN sums USING (k) LEFT JOIN known p ON c.d > 0 AND p.k = substr(c.k, 1, 32 * (c.d - 1))
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All prefixes of conversations that begin as the first of their five does."""
+    conv = F.col("conv_id")
+    first = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), first, conv - conv % 5)
