@@ -11,6 +11,7 @@ from . import (
     cover_tree,
     cross_entropy,
     edit_counts,
+    hash_forest,
     knn_quality,
     mixture,
     phrases,
@@ -330,3 +331,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv_id")
     first = F.crc32(conv.cast("string").cast("binary")) % 9
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), first, conv - conv % 5)
+
+
+@query("op13_hash_forest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of all vectors that a forest finds for every twentieth id."""
+    return hash_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
