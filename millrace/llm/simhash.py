@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, stage, text_rows
+from .common import arrow_map, stage, text_rows
 from .components import components, merge_links
 
 SEED, WORDS, DISTANCE = 42, 3, 3
@@ -188,25 +188,32 @@ def links(distinct: DataFrame) -> DataFrame:
     ``TILE`` fingerprints is dealt into shares by a hash; each pair of shares is a tile of its own.
     """
     keyed = distinct.select("fp", F.explode(_keys()).alias("key"))
+    return in_tiles(keyed, "fp").mapInArrow(_compare_tiles, "a long, b long").filter("a <> b")
+
+
+def in_tiles(keyed: DataFrame, node: str, *others: str) -> DataFrame:
+    """``(key, tile, node, others)`` in order inside each partition: rows that share a key, without keys of one row.
+
+    A key with more than ``TILE`` rows is dealt into shares by a hash of the node; each pair of shares is a tile.
+    """
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > TILE)
     dealt = keyed.join(full, "key", "left")
     shares = F.coalesce(F.ceil(F.col("rows") / TILE).cast("long"), F.lit(1).cast("long"))
-    own = F.pmod(F.xxhash64("fp"), F.col("shares"))
+    own = F.pmod(F.xxhash64(node), F.col("shares"))
     # tile (i, j), i <= j, holds shares i and j
     tiles = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("shares") - 1),
         lambda other: F.least(F.col("own"), other) * F.col("shares") + F.greatest(F.col("own"), other),
     )
     placed = (
-        dealt.select("fp", "key", shares.alias("shares"))
+        dealt.select(node, *others, "key", shares.alias("shares"))
         .withColumn("own", own)
-        .select("key", F.explode(tiles).alias("tile"), "fp")
+        .select("key", F.explode(tiles).alias("tile"), node, *others)
     )
-    sorted_rows = placed.repartition("key", "tile").sortWithinPartitions("key", "tile", "fp")
-    # a tile holds at most about two shares; most keys have one fingerprint only
+    sorted_rows = placed.repartition("key", "tile").sortWithinPartitions("key", "tile", node)
+    # a tile holds at most about two shares; most keys have one row only
     company = F.count(F.lit(1)).over(Window.partitionBy("key", "tile"))
-    met = sorted_rows.withColumn("company", company).filter("company > 1").drop("company")
-    return met.mapInArrow(_compare_tiles, "a long, b long").filter("a <> b")
+    return sorted_rows.withColumn("company", company).filter("company > 1").drop("company")
 
 
 def _placed(prints: DataFrame, first: Column) -> DataFrame:
@@ -231,21 +238,3 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     named = placed.join(least, "group").select("fp", "component_id")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(named, "fp").select(F.col("id").alias(id), shown, "component_id")
-
-
-def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group is kept, with their columns unchanged.
-
-    The document with the smallest id stays; where several texts of a group have that id, the one with the least digest.
-    An id that is repeated with texts of several groups can stay once in each. Rows with the same id and text are
-    one document, of which one row stays. Rows without an id stay, as nothing tells them apart from others.
-    """
-    kept, kept_digest, own = fresh(docs, "kept_id", "kept_digest", "own_digest")
-    prints = stage(fingerprints(docs, id, text, digest=True), "fingerprints")
-    placed = _placed(prints, F.when(F.col("id").isNotNull(), F.struct("id", "digest")))
-    first = placed.groupBy("group").agg(F.min("first").alias("first")).filter("first is not null").select(
-        F.col("first.id").alias(kept), F.col("first.digest").alias(kept_digest)
-    )
-    same = (F.col(f"`{id}`") == F.col(kept)) & (F.col(own) == F.col(kept_digest))
-    stay = docs.withColumn(own, text_digest(text)).join(first, same, "left_semi").dropDuplicates([id, own]).drop(own)
-    return stay.unionByName(docs.filter(F.col(f"`{id}`").isNull()))

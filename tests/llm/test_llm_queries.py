@@ -28,7 +28,7 @@ def test_query(spark, sf_dir, duck, name):
 
 
 def test_pipeline(spark, sf_dir, duck):
-    from millrace.llm import simhash
+    from millrace.llm import near_copies
     from millrace.llm.queries import mixed
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -39,8 +39,8 @@ def test_pipeline(spark, sf_dir, duck):
     ids = [sorted(r.doc_id for r in s.select("doc_id").collect()) for s in stages]
     scored = QUERIES["op9_quality_votes"](spark, sf_dir)
     assert ids[1] == sorted(r.doc_id for r in scored.filter("predicted = 1").collect())
-    groups = simhash.near_duplicates(stages[1]).collect()
-    assert ids[2] == sorted({r.component_id for r in groups}) and len(ids[2]) < len(ids[1])
+    found = near_copies.groups(stages[1]).groupBy("group").agg({"first": "min"}).collect()
+    assert ids[2] == sorted(r[1] for r in found) and len(ids[2]) < len(ids[1])
     assert ids[3] == sorted(r.doc_id for r in mixed(stages[2]).collect())
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in stages[4].collect():

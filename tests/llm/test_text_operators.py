@@ -18,6 +18,7 @@ from millrace.llm import (  # noqa: E402
     edit_counts,
     knn_quality,
     mixture,
+    near_copies,
     piece_bpe,
     preference,
     simhash,
@@ -142,9 +143,6 @@ def test_fingerprints_and_groups(spark, docs):
             root = find(int(r.fingerprint, 16))
             least[root] = min(least.get(root, r.doc_id), r.doc_id)
     assert all(r.component_id == least.get(find(int(r.fingerprint, 16))) for r in rows)
-    kept = simhash.keep_first(table).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(least.values()))
-    assert sum(r.doc_id is None for r in kept) == 1
 
 
 def test_hot_keys_are_compared_in_tiles(spark, monkeypatch):
@@ -378,9 +376,95 @@ def test_repeated_ids_with_different_texts_are_documents_of_their_own(spark):
     rows = [(1, one), (7, one), (7, two), (7, two), (8, two), (5, three), (5, four), (5, None), (6, ""), (None, one)]
     for order in (rows, rows[::-1]):
         table = spark.createDataFrame([(*r, "own") for r in order], "doc_id long, text string, kept_digest string")
-        kept = simhash.keep_first(table)
+        kept = near_copies.keep_first(table)
         assert kept.columns == table.columns
         found = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
         assert found == sorted([(0, one), (1, one), (7, two), (5, three), (5, four), (5, "")])
     cased = spark.createDataFrame([(3, one), (3, one.upper()), (4, one)], "doc_id long, text string")
-    assert len(simhash.keep_first(cased).collect()) == 1  # different texts of one id in one group
+    assert len(near_copies.keep_first(cased).collect()) == 1  # different texts of one id in one group
+
+
+def brute_links(texts):
+    """Pairs of different texts with a similarity of 0.8, by the rarest shingles, which one of them must share."""
+    sets = []
+    for t in texts:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        words = [w for w in re.split("[\x20\x09-\x0d]+", words) if w]
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    often = collections.Counter(s for x in sets for s in x)
+    index, links = collections.defaultdict(list), set()
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        rare = sorted(sets[i], key=lambda s: (often[s], s))[: len(sets[i]) - math.ceil(0.8 * len(sets[i])) + 1]
+        for j in {j for s in rare for j in index[s]}:
+            shared = len(sets[i] & sets[j])
+            if shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                links.add((j, i))
+        for s in rare:
+            index[s].append(i)
+    return links
+
+
+def test_near_copies_on_given_tables(spark, sf_dir):
+    """Nine in ten texts with a near copy are grouped with one, and texts grouped are near copies or linked by some."""
+    table = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.1/documents.parquet")
+    digests = table.filter("text is not null").select(simhash.text_digest("text").alias("node"), "text").distinct().collect()
+    links = brute_links([r.text for r in digests])
+    group = {r.node: r.group for r in near_copies.groups(table).collect()}
+    of = [group[r.node] for r in digests]
+    assert links and sum(of[a] == of[b] for a, b in links) >= 0.9 * len(links)
+    linked = collections.defaultdict(set)
+    for a, b in links:
+        linked[a].add(b)
+        linked[b].add(a)
+    by_group = collections.defaultdict(set)
+    for i, g in enumerate(of):
+        by_group[g].add(i)
+    for members in by_group.values():
+        reached, todo = set(), [min(members)]
+        while todo:
+            i = todo.pop()
+            if i not in reached:
+                reached.add(i)
+                todo += linked[i]
+        assert members <= reached or not any(digests[i].text.strip() for i in members)
+
+
+def test_a_crowd_of_near_copies_and_strangers(spark):
+    """Hundreds of near copies of one text are one group; texts that share a long passage are not."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, passage = [word() for _ in range(200)], [word() for _ in range(60)]
+    texts = []
+    for i in range(300):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"changed{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join([word() for _ in range(150)] + passage) for _ in range(100)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in near_copies.keep_first(table).collect())
+    assert kept == [0, *range(300, 400)]
+
+
+def test_one_of_each_group_of_near_copies_stays(spark, docs):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randrange(60))) for _ in range(60)]
+    near = [(100 + i, rng.choice(texts) + rng.choice(["", "", " tail", " other end"])) for i in range(400)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    given = table.distinct().collect()
+    parent = list(range(len(given)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    empty = [i for i, r in enumerate(given) if not (r.text or "").strip()]
+    for a, b in [*brute_links([r.text for r in given]), *zip(empty, empty[1:], strict=False)]:
+        parent[find(a)] = find(b)
+    least = {}
+    for i, r in enumerate(given):
+        if r.doc_id is not None:
+            least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    kept = near_copies.keep_first(table).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(least.values())
+    assert sum(r.doc_id is None for r in kept) == 1
