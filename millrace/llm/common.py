@@ -17,7 +17,17 @@ from pyspark.sql import functions as F
 from ..plans.views import table
 from ..session import stage
 
-__all__ = ["stage", "table", "text_rows", "arrow_map", "fresh", "float_matrix"]
+__all__ = ["stage", "table", "text_rows", "arrow_map", "portions", "fresh", "float_matrix"]
+
+PORTION = 256  # rows that a task turns into Python values at once
+
+
+def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, without a copy: an Arrow batch may hold 10,000 texts."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names that no column of ``df`` has, whatever the case: helper columns must not clash with the user's."""
@@ -39,9 +49,7 @@ def arrow_map(
     types = [_arrow_type(f.split()[1]) for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in portions(batches):
             for columns in handle(batch):
                 arrays = [
                     c if isinstance(c := columns[n], pa.Array) else pa.array(c, type=t)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import portions, stage
 
 BLOCK, BLOCK_ROWS = 12 << 20, 1 << 16  # UTF-8 bytes and documents of a block; a longer document is a block of its own
 BUCKET = 8 << 20  # bytes of text for which there is a bucket: about a million words and pairs asked for
@@ -84,7 +84,7 @@ def blocks_of(docs: DataFrame, id: str, text: str, size: int = BLOCK) -> DataFra
             arrays = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([_packed(texts)], pa.binary())]
             return pa.RecordBatch.from_arrays([*arrays, pa.array([held])], names=["block", "ids", "texts", "bytes"])
 
-        for batch in batches:
+        for batch in portions(batches):
             for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 encoded = (value or "").encode("utf-8", "surrogatepass")
                 if ids and (held + len(encoded) > size or len(ids) >= BLOCK_ROWS):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, text_rows
+from .common import arrow_map, fresh, portions, text_rows
 
 BUCKETS, RANK, NEIGHBOURS, SHARPNESS = 4096, 64, 31, 4
 TERMS = BUCKETS + 1  # the last term stands for repeated words
@@ -52,7 +52,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, rows = np.zeros(TERMS + 1, dtype=np.int64), 0
-        for batch in batches:
+        for batch in portions(batches):
             for value in text_rows(batch, "text"):
                 found[:TERMS] += term_counts(value) > 0
             rows += batch.num_rows
@@ -175,7 +175,7 @@ def score(
     outs = [source.columns[i] for i in places] + names[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             if not batch.num_rows:
                 continue
             counts = np.stack([term_counts(t or "") for t in batch.column(place).to_pylist()])

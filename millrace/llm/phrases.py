@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
-from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import portions, stage
 
 LONGEST, SUPPORT, TOP = 3, 10, 2000  # words of a phrase, occurrences of a candidate, phrases shown of a language
 CONTAINED = (50, 100)  # a candidate goes if a longer one around it has this share of its occurrences
@@ -148,8 +147,8 @@ def _chunked(batches: Iterable[pa.RecordBatch], handle: Callable[[Chunk], Iterat
     """Hand on what ``handle`` makes of the documents of a task, gathered by language in chunks of bounded size."""
     held: dict[str, Chunk] = {}
     words = 0
-    for batch in batches:
-        for lang, text, shard in zip(*(map(methodcaller("as_py"), batch.column(i)) for i in range(3)), strict=True):
+    for batch in portions(batches):
+        for lang, text, shard in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if (own := held.get(lang)) is None:
                 own = held[lang] = Chunk(lang)
             before = own.words

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, portions
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model format
@@ -271,7 +271,7 @@ def _with_tokens(docs: DataFrame, model_path: str, text: str, digests: bool) ->
 
     def run(batches):
         model = load(model_path)
-        for batch in batches:
+        for batch in portions(batches):
             counts, first, second = [], [], []
             for value in batch.column(place).to_pylist():
                 ids = model.encode_text(value)

@@ -22,7 +22,7 @@ from . import (
     topk,
     warc,
 )
-from .common import table
+from .common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,24 +250,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy.score(table(spark, sf_dir, "documents"), good)
 
 
-#: Edits of a document, from its own text: a replacement, an insertion and a deletion at places given by a hash.
-_EDITS = """array(
-    named_struct('at', pmod(xxhash64(doc_id, 1), length(text) + 1), 'deleted', 12L, 'inserted',
-        substring(text, CAST(pmod(xxhash64(doc_id, 2), length(text) + 1) AS INT), 20)),
-    named_struct('at', pmod(xxhash64(doc_id, 3), length(text) + 1), 'deleted', 0L, 'inserted',
-        substring(text, CAST(pmod(xxhash64(doc_id, 4), length(text) + 1) AS INT), 40)),
-    named_struct('at', pmod(xxhash64(doc_id, 5), length(text) + 1), 'deleted', 25L, 'inserted', ''))"""
+def _edits(first: int) -> Column:
+    """A replacement, an insertion and a deletion at places given by hashes, from the text itself."""
+    place = lambda n: f"pmod(xxhash64(doc_id, {first + n}), length(text) + 1)"
+    part = lambda n, size: f"substring(text, CAST({place(n)} AS INT), {size})"
+    return F.expr(f"""array(
+    named_struct('at', {place(1)}, 'deleted', 12L, 'inserted', {part(2, 20)}),
+    named_struct('at', {place(3)}, 'deleted', 0L, 'inserted', {part(4, 40)}),
+    named_struct('at', {place(5)}, 'deleted', 25L, 'inserted', ''))""")
 
 
 @query("op5_edit_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents before and after three edits each."""
+    """Token counts of all documents before and after two batches of three edits; the second starts from the kept trees."""
     import public_tokenizers
 
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
-    edited = docs.withColumn("edits", F.expr(_EDITS))
-    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return edit_counts.count_edited(edited, ranks, public_tokenizers.PATTERN)
+    planted = stage(edit_counts.plant(docs.withColumn("edits", _edits(0)), ranks, pattern, edits="edits"), "trees")
+    earlier = [F.col(c).alias(f"first_{c}") for c in edit_counts.COUNTED]
+    again = planted.select("doc_id", "text", *edit_counts.KEPT, *earlier, _edits(10).alias("edits"))
+    counted = edit_counts.apply_edits(again, ranks, pattern)
+    return counted.select(
+        "doc_id", F.col("first_n_tokens_before").alias("n_tokens_before"), "first_n_tokens", "n_tokens",
+        (F.col("first_n_edits") + F.col("n_edits")).alias("n_edits"), "first_counted_again", "counted_again",
+        F.length("text").cast("long").alias("n_chars"),
+    )
 
 
 PHRASE_SQL = f"""

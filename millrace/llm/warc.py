@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from .common import stage
+from .common import portions, stage
 
 REVISIT_FROM = 1000  # bytes of payload from which an equal payload is not stored again
 SEGMENT = 8 << 20  # bytes of archive that one task reads
@@ -358,7 +358,7 @@ def write_archives(pages: DataFrame, id: str = "page_id", url: str = "url", html
         system, place = fs.FileSystem.from_uri(folder)
         path, stream, at, started = f"{place}/{uuid.uuid4().hex}.warc.gz", None, 0, 0
         parts = []
-        for batch in batches:
+        for batch in portions(batches):
             for page, link, payload, digest, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if stream is None:
                     system.create_dir(place, recursive=True)
@@ -404,7 +404,7 @@ def read_archives(parts: DataFrame, with_payload: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(data, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 system, place = fs.FileSystem.from_uri(path)
                 rows, held = [], 0

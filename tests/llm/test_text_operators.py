@@ -285,6 +285,40 @@ def test_edit_table(docs):
         assert (r.n_tokens_before, r.n_tokens) == tuple(len(counts.encoding.encode_ordinary(t)) for t in (before, after))
 
 
+def test_kept_trees_take_later_edits(spark, docs, tmp_path):
+    """Three batches on trees that are written in between, against whole counts; later ones count few characters again."""
+    ranks, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(4)
+    counts = edit_counts.counter(ranks, public_tokenizers.PATTERN)
+    text = "many words of a text that's going on, and on. " * 300
+    table = docs.select("doc_id", "text", "score").unionByName(spark.createDataFrame([(70, text, "s"), (71, text, "t")], "doc_id long, text string, score string"))
+    table = table.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    trees = edit_counts.plant(table, ranks, public_tokenizers.PATTERN)
+    for number in range(3):
+        trees.write.parquet(f"{tmp_path}/{number}")
+        kept = spark.read.parquet(f"{tmp_path}/{number}")
+        batch = [(i, [(rng.randrange(len(t) + 1), rng.randrange(9), rng.choice(["", " x y", "'ll", "a" * 90])) for _ in range(3)]) for i, t in texts.items() if i != 71]
+        for i, edits in batch:
+            for at, deleted, inserted in edits:
+                at = min(at, len(texts[i]))
+                texts[i] = texts[i][:at] + inserted + texts[i][at + deleted :]
+        given = spark.createDataFrame(batch, "doc_id long, edits array<struct<at:long,deleted:long,inserted:string>>")
+        trees = edit_counts.apply_edits(edit_counts.with_edits(kept, given), ranks, public_tokenizers.PATTERN)
+        for r in trees.collect():
+            assert r.text == texts[r.doc_id] and r.n_tokens == len(counts.encoding.encode_ordinary(r.text)) == r.tokens[1]
+            assert r.n_edits == (0 if r.doc_id == 71 else 3) and r.counted_again <= (0 if r.doc_id == 71 else 3 * len(r.text) + 900)
+            assert r.doc_id != 70 or r.counted_again < len(r.text) / 10
+    assert set(trees.columns) == {"doc_id", "text", "score", *edit_counts.KEPT, *edit_counts.COUNTED}
+
+
+def test_context_of_patterns():
+    assert edit_counts.context_of(public_tokenizers.PATTERN) >= 3
+    assert edit_counts.context_of(r"\s+(?!\S)|[^\s]+") >= 1
+    for bad in (r"(?<=a)b|.", r"\bword", r"a$", r"x(?=ab)|.", r"(a)\1"):
+        with pytest.raises(ValueError):
+            edit_counts.context_of(bad)
+
+
 def test_cross_entropy_difference(spark, docs):
     rows = [(i, "red green blue " * 5) for i in range(10, 30)] + [(i, "cat dog cow " * 5) for i in range(30, 70)]
     table = docs.select("doc_id", "text", "lang").unionByName(
