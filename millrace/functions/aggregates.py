@@ -6,6 +6,7 @@ A window over panes needs every aggregate twice: once per pane and once over the
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +24,12 @@ class Partial:
     fold: Column
     additive: bool
 
+    def combine(self, value: Column) -> Column:
+        fold = F.sum if self.additive else (F.min if self.name.endswith("min") else F.max)
+        return fold(value)
+
     def merge(self) -> Column:
-        combine = F.sum if self.additive else (F.min if self.name.endswith("min") else F.max)
-        return combine(F.col(self.name)).alias(self.name)
+        return self.combine(F.col(self.name)).alias(self.name)
 
 
 def _column(value: str | Column) -> Column:
@@ -61,18 +65,23 @@ class Agg:
             Partial(f"{prefix}_rows", F.count(value), True),
         ]
 
-    def finish(self) -> Column:
-        """The result over merged partial columns."""
+    def finish(self, columns: Mapping[str, str] | None = None) -> Column:
+        """The result over merged partial columns; ``columns`` says where partials lie that have other names."""
         prefix = f"_{self.name}"
+
+        def merged(partial: str) -> Column:
+            name = f"{prefix}_{partial}"
+            return F.col(columns[name] if columns else name)
+
         if self.kind == "count":
-            out = F.col(f"{prefix}_rows")
+            out = merged("rows")
         elif self.kind in ("min", "max"):
-            out = F.col(f"{prefix}_{self.kind}")
+            out = merged(self.kind)
         elif self.kind == "sum":
-            out = F.when(F.col(f"{prefix}_rows") > 0, F.col(f"{prefix}_total"))
+            out = F.when(merged("rows") > 0, merged("total"))
         else:
-            below = F.col(f"{prefix}_weight" if self.kind == "weighted_avg" else f"{prefix}_rows")
-            out = F.when(below != 0, F.col(f"{prefix}_total").cast("double") / below.cast("double"))
+            below = merged("weight" if self.kind == "weighted_avg" else "rows")
+            out = F.when(below != 0, merged("total").cast("double") / below.cast("double"))
         return out.alias(self.name)
 
     def direct(self) -> Column:

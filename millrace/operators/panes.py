@@ -8,8 +8,9 @@ ways:
 * totals that can be subtracted exactly (counts, whole numbers, decimals) become an entry and an
   exit mark on the axis of windows, and a running sum between the marks gives every window: two
   rows per pane whatever the overlap;
-* other aggregates (min, max, floating sums) are merged from long blocks of panes plus the few
-  single panes at both ends of a window: about the square root of the overlap per pane.
+* other aggregates (min, max, floating sums) are running aggregates inside blocks of one window's
+  length: a window that does not begin with a block is the end of one block and the begin of the next, so it
+  merges two rows, whatever the overlap.
 
 The axis of windows is cut into chunks of bounded length, so no task holds more than one chunk of
 one key, even when there is a single key for all rows.
@@ -17,12 +18,11 @@ one key, even when there is a single key for all rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from ..functions.aggregates import Agg
+from ..functions.aggregates import Agg, Partial
 from .windows import floor_div
 
 ROWS = "_pane_rows"
@@ -65,7 +65,7 @@ def windows_from_panes(
         return repeated.groupBy(*keys, window).agg(*merges)
     if exact:
         return windows_from_marks(spans, keys, partial_names(aggs), -(-size // slide), window)
-    return _from_blocks(spans, keys, pane, aggs, merges, size, slide, window)
+    return windows_from_two_sides(panes, keys, pane, [p for a in aggs for p in a.partials()], size, slide, window)
 
 
 def partial_names(aggs: list[Agg]) -> list[str]:
@@ -149,32 +149,52 @@ def _levels(spans: DataFrame, keys: list[str], totals: list[str], length: int) -
     return levels.filter((F.col(totals[0]) > 0) & (F.col("_until") > F.col("_at")))
 
 
-def _from_blocks(
+def windows_from_two_sides(
     panes: DataFrame,
     keys: list[str],
     pane: str,
-    aggs: list[Agg],
-    merges: list[Column],
-    size: int,
-    slide: int,
+    partials: list[Partial],
+    size: int | Column,
+    slide: int | Column,
     window: str,
+    by: list[str] | None = None,
+    name: Column | None = None,
 ) -> DataFrame:
-    partials = partial_names(aggs)
-    block = math.isqrt(size)
-    base = floor_div(F.col(pane), block) * block
-    # windows that hold the whole block: they end at or after its end and start at or before it
-    whole_first, whole_last = floor_div(base + block - size - 1, slide) + 1, floor_div(base, slide)
-    based = panes.withColumn("_base", base).withColumn("_lo", whole_first).withColumn("_hi", whole_last)
-
-    def run(lo: Column, hi: Column) -> Column:
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-
-    blocks = (
-        based.groupBy(*keys, "_lo", "_hi", "_base")
-        .agg(*merges)
-        .select(*keys, *partials, F.explode(run(F.col("_lo"), F.col("_hi"))).alias(window))
-    )
-    first, last, low, high = (F.col(c) for c in ("_first", "_last", "_lo", "_hi"))
-    singles = F.when(low > high, run(first, last)).otherwise(F.concat(run(first, low - 1), run(high + 1, last)))
-    edges = based.select(*keys, *partials, F.explode(singles).alias(window))
-    return blocks.unionByName(edges).groupBy(*keys, window).agg(*merges)
+    """Windows from running aggregates towards both ends of blocks of ``size`` panes.
+
+    A window begins in one block and ends in the next, so it is a suffix of the one merged with a prefix of the other. The
+    suffix that a window takes is that of the first pane at or after its begin, the prefix that of the last pane before its
+    end; panes without rows are none, so a pane stands for the windows that begin (or end) behind the pane before (or before
+    the next one). A block of a key is sorted in one task: it has at most ``size`` rows. Sizes and slides may be columns that
+    ``keys`` tell apart; ``by`` and ``name`` then say under which keys and which number windows meet.
+    """
+    block = floor_div(F.col(pane), size)
+    here = panes.withColumn("_block", block)
+    inside = Window.partitionBy(*keys, "_block").orderBy(pane)
+    onwards = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin, end = F.col("_block") * size, (F.col("_block") + 1) * size
+    sides = here.select(
+        *keys, "_block", pane, F.coalesce(F.lag(pane).over(inside) + 1, begin).alias("_behind"),
+        F.coalesce(F.lead(pane).over(inside), end - 1).alias("_ahead"),
+        F.struct(*_running(partials, onwards)).alias("_rest"), F.struct(*_running(partials, so_far)).alias("_begun"),
+    )
+
+    def indexes(first: Column, last: Column) -> Column:
+        """Windows that begin at the panes ``first`` to ``last``."""
+        low, high = floor_div(first + slide - 1, slide), floor_div(last, slide)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+
+    # a window that begins with a block is that block: its suffix is whole and it takes no prefix
+    suffixes = F.transform(indexes(F.col("_behind"), F.col(pane)), lambda w: F.struct(w.alias(window), F.col("_rest").alias("_part")))
+    last_begins = F.col("_ahead") - size
+    prefixes = F.transform(indexes(F.col(pane) + 1 - size, last_begins), lambda w: F.struct(w.alias(window), F.col("_begun").alias("_part")))
+    halves = sides.select(*keys, F.inline(F.concat(suffixes, prefixes))).select(*keys, window, "_part.*")
+    if name is not None:
+        halves = halves.withColumn(window, name)
+    return halves.groupBy(*(keys if by is None else by), window).agg(F.sum(ROWS).alias(ROWS), *(p.merge() for p in partials))
+
+
+def _running(partials: list[Partial], frame: WindowSpec) -> list[Column]:
+    """Row counts and partial columns merged over a window frame."""
+    return [F.sum(ROWS).over(frame).alias(ROWS), *(p.combine(F.col(p.name)).over(frame).alias(p.name) for p in partials)]

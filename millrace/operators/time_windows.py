@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Agg
 from .panes import CHUNK_WINDOWS, ROWS, pane_aggregate, partial_names, windows_from_marks, windows_from_panes
+from .window_lattice import own_windows
 from .windows import WindowSpec, floor_div, interval, time_slot
 
 START, END, PANE = "window_start", "window_end", "_pane"
@@ -153,16 +154,22 @@ def sessions(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg],
 
 
 def shared_windows(
-    df: DataFrame, specs: dict[str, WindowSpec], keys: Sequence[str], aggs: Sequence[Agg], ts: str = "ts"
+    df: DataFrame,
+    specs: Mapping[str, WindowSpec | tuple[WindowSpec, Sequence[Agg]]],
+    keys: Sequence[str],
+    aggs: Sequence[Agg] = (),
+    ts: str = "ts",
 ) -> DataFrame:
     """Several time windows over one pass; ``window_id`` names the window a row belongs to.
 
-    The pane is the greatest common divisor of all sizes and slides, and every pane is spread to
-    the windows of every definition at once. Needs aggregates that subtract exactly.
+    A window may come with aggregates of its own, ``(spec, aggs)``, instead of those of all. The pane is the greatest common
+    divisor of all sizes and slides. Where all windows have the same aggregates and these subtract exactly, every pane is spread
+    to all windows at once; otherwise longer windows are answered from shorter ones where they fit, see ``window_lattice``.
     """
     keys, aggs = list(keys), list(aggs)
-    if not all(a.invertible(df) for a in aggs):
-        return _shared_inexact(df, specs, keys, aggs, ts)
+    own = {name: s if isinstance(s, tuple) else (s, aggs) for name, s in specs.items()}
+    if any(isinstance(s, tuple) for s in specs.values()) or not all(a.invertible(df) for a in aggs):
+        return own_windows(df, own, keys, ts)
     pane = math.gcd(*(n for s in specs.values() for n in (s.size, s.slide)))
     panes = pane_aggregate(df.filter(F.col(ts).isNotNull()), time_slot(ts, pane), keys, aggs, PANE)
     position = F.col(PANE)
@@ -187,27 +194,6 @@ def shared_windows(
     return merged.select("window_id", *bounds(start, F.col("_size")), *keys, *(a.finish() for a in aggs))
 
 
-def _shared_inexact(
-    df: DataFrame, specs: dict[str, WindowSpec], keys: list[str], aggs: list[Agg], ts: str
-) -> DataFrame:
-    """As above for min, max and floating sums: shared panes, merged once per definition."""
-    pane = math.gcd(*(n for s in specs.values() for n in (s.size, s.slide)))
-    panes = pane_aggregate(df.filter(F.col(ts).isNotNull()), time_slot(ts, pane), keys, aggs, PANE)
-    parts = []
-    for name, s in specs.items():
-        merged = windows_from_panes(panes, keys, PANE, aggs, s.size // pane, s.slide // pane, False)
-        start = F.col("window_index") * s.slide
-        parts.append(
-            merged.select(
-                F.lit(name).alias("window_id"), *bounds(start, F.lit(s.size)), *keys, *(a.finish() for a in aggs)
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 def fill_gaps(
     windows: DataFrame, spec: WindowSpec, keys: Sequence[str] = (), zero: Sequence[str] = ("n",)
 ) -> DataFrame:

@@ -305,6 +305,48 @@ def win_multi_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_windows(EVENTS.frame(spark, sf_dir), specs, TYPE, [agg.count(), agg.sum_of("value", "total")])
 
 
+_OWN = {
+    "quarter": (15, 15, "max(value)::DOUBLE AS high, count(*) AS n", ("high", "n")),
+    "short": (30, 30, "max(value)::DOUBLE AS high, " + sql.total("value", "total"), ("high", "total")),
+    "hour": (60, 20, "min(value)::DOUBLE AS low", ("low",)),
+    "long": (480, 60, "max(value)::DOUBLE AS high, " + sql.average("value", "mean"), ("high", "mean")),
+    "shift": (720, 360, "count(*) AS n, " + sql.total("value", "total"), ("n", "total")),
+    "day": (sql.DAY, sql.DAY, "min(value)::DOUBLE AS low, max(value)::DOUBLE AS high, count(*) AS n", ("low", "high", "n")),
+    "week": (7 * sql.DAY, sql.DAY, "max(value)::DOUBLE AS high, " + sql.average("value", "mean"), ("high", "mean")),
+}
+_OWN_TYPES = {"n": "BIGINT", "high": "DOUBLE", "total": "DOUBLE", "low": "DOUBLE", "mean": "DOUBLE"}
+
+
+@query(
+    "win_multi_own_aggs",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS window_id, window_start, window_end, event_type, "
+        + ", ".join(c if c in asked else f"CAST(NULL AS {t}) AS {c}" for c, t in _OWN_TYPES.items())
+        + f" FROM ({sql.sliding(EVENTS.sql, size, slide, TYPE, aggs)})"
+        for name, (size, slide, aggs, asked) in _OWN.items()
+    ),
+)
+def win_multi_own_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven windows, each with its own aggregates; longer ones are answered from shorter ones."""
+    every = {
+        "n": agg.count(), "high": agg.max_of("value", "high"), "total": agg.sum_of("value", "total"),
+        "low": agg.min_of("value", "low"), "mean": agg.avg_of("value", "mean"),
+    }
+    windows = {
+        name: (WindowSpec.sliding(minutes(size), minutes(slide)), [every[c] for c in asked])
+        for name, (size, slide, _, asked) in _OWN.items()
+    }
+    return shared_windows(EVENTS.frame(spark, sf_dir), windows, TYPE)
+
+
+@query("win_long_max", sql.sliding(EVENTS.sql, 3600, 1, ["user_id % 3 AS part"], "max(value)::DOUBLE AS high", "user_id < 150").replace("GROUP BY k, user_id % 3 AS part", "GROUP BY k, part"))
+def win_long_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3600/1 of an aggregate that cannot be subtracted: every window is a suffix of a block and a prefix of the next."""
+    events = EVENTS.frame(spark, sf_dir).filter("user_id < 150").withColumn("part", F.col("user_id") % 3)
+    spec = WindowSpec.sliding(minutes(3600), minutes(1))
+    return window_aggregate(events, spec, ["part"], [agg.max_of("value", "high")])
+
+
 @query(
     "win_fill_gaps",
     "SELECT make_timestamp(k * 60000000) AS window_start, make_timestamp((k + 1) * 60000000) AS window_end, "

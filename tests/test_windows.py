@@ -1,3 +1,4 @@
+import re
 from datetime import timedelta
 
 import pytest
@@ -7,9 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions.aggregates import avg_of, count, max_of, min_of, sum_of, weighted_avg_of
+from millrace.operators.panes import ROWS
 from millrace.operators.ranking import most_frequent, top_with_ties
 from millrace.operators.row_windows import row_window_aggregate
 from millrace.operators.time_windows import fill_gaps, shared_windows, window_aggregate
+from millrace.operators.window_lattice import covers
 from millrace.operators.windows import WindowSpec
 
 EVENTS = "ts LONG, k STRING, v LONG"
@@ -195,3 +198,94 @@ def test_sessions_cross_chunks(at, monkeypatch, chunk):
     assert got == sorted([(a, b, k, n) for a, b, n in spans for k in ("a", None)], key=repr)
     whole = seconds(window_aggregate(df, WindowSpec.session(10), [], [count()]))
     assert whole == sorted([(a, b, 2 * n) for a, b, n in spans], key=repr)
+
+
+OWN_AGGS = {
+    "a": (WindowSpec.sliding(10, 10), [max_of("v", "high"), count()]),
+    "b": (WindowSpec.sliding(30, 10), [sum_of("v", "total")]),
+    "c": (WindowSpec.sliding(60, 20), [max_of("v", "high"), avg_of("v", "mean")]),
+    "d": (WindowSpec.sliding(120, 60), [min_of("v", "low"), count()]),
+    "e": (WindowSpec.sliding(20, 20), [avg_of("v", "mean"), count()]),
+    "f": (WindowSpec.sliding(70, 30), [max_of("v", "high")]),
+    "g": (WindowSpec.sliding(10, 25), [count("rows")]),
+    "h": (WindowSpec.sliding(40, 40), [weighted_avg_of("v", "ts_weight", "mean"), min_of("v", "low")]),
+}
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=rows)
+def test_windows_with_their_own_aggregates_equal_the_definition(at, rows):
+    of = {
+        "high": max, "low": min, "n": len, "rows": len, "total": sum, "mean": lambda v: sum(v) / len(v),
+        "weighted": lambda v: sum(x * (x + 6) for x in v) / sum(x + 6 for x in v) if sum(x + 6 for x in v) else None,
+    }
+    expected = []
+    for name, (spec, aggs) in OWN_AGGS.items():
+        for (start, key), values in brute(rows, spec.size // 10**6, spec.slide // 10**6).items():
+            kinds = {a.name: "weighted" if a.kind == "weighted_avg" else a.name for a in aggs}
+            shown = {n: of[kinds[n]](values) if n in kinds else None for n in ("high", "n", "total", "mean", "low", "rows")}
+            expected.append((name, float(start), key, *((None if x is None else float(x)) for x in shown.values())))
+    got = shared_windows(at(rows, EVENTS).withColumn("ts_weight", F.col("v") + 6), OWN_AGGS, ["k"])
+    found = [
+        (r.window_id, float(r.window_start.timestamp()), r.k, *((None if r[n] is None else float(r[n])) for n in ("high", "n", "total", "mean", "low", "rows")))
+        for r in got.collect()
+    ]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_covers_take_the_longest_source_that_fits():
+    day, hour = 86_400, 3_600
+    plan = covers(
+        {
+            "hour": (WindowSpec.tumbling(hour), ["max", "sum"]),
+            "half": (WindowSpec.sliding(day // 2, hour), ["max"]),
+            "day": (WindowSpec.tumbling(day), ["max", "min"]),
+            "week": (WindowSpec.sliding(7 * day, day), ["max", "sum"]),
+            "odd": (WindowSpec.sliding(hour + 60, 60), ["max"]),
+        },
+        60_000_000,
+    )
+    assert plan["half"].sources == {"hour": [ROWS, "max"]} and plan["odd"].sources == {"": [ROWS, "max"]}
+    assert plan["day"].sources == {"half": [ROWS, "max"], "": ["min"]}
+    assert plan["week"].sources == {"day": [ROWS, "max"], "hour": ["sum"]} and plan["week"].level == 4
+
+
+def test_many_windows_share_few_shuffles(spark, at):
+    specs = {f"w{i}": (WindowSpec.sliding(60 * i, 60), [max_of("v", f"m{i % 3}"), sum_of("v", "s")]) for i in range(1, 13)}
+    found = shared_windows(at([(5, "a", 1)], EVENTS), specs, ["k"])
+    assert found.count() == sum(range(1, 13))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    shuffles = found._jdf.queryExecution().sparkPlan().toString().count("Window ") + plan.count("Aggregate ")
+    assert shuffles <= 6 < len(specs) and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+
+
+def test_long_windows_merge_two_rows_each(spark):
+    """Rows that are merged into windows: two a window at most, where blocks would need the root of the overlap per pane."""
+    data = spark.range(20_000).selectExpr("timestamp_seconds(id * 3) AS ts", "CAST(id % 97 AS LONG) AS v")
+    result = window_aggregate(data, WindowSpec.sliding(3600, 1), [], [max_of("v", "high")])
+    got = result.collect()
+    assert len(got) == 3 * 19_999 + 3600
+    values = {r.window_start.timestamp(): r.high for r in got}
+    for start in (-3599, -1, 0, 1, 3599, 3600, 59_996, 59_997):
+        inside = [i % 97 for i in range(20_000) if start <= 3 * i < start + 3600]
+        assert values.get(float(start)) == (max(inside) if inside else None)
+    spread = [int(n) for n in re.findall(r"Generate.*?number of output rows: ([\d,]+)", executed_metrics(result))]
+    assert spread and max(spread) <= 2 * len(got)
+
+
+def executed_metrics(df) -> str:
+    """Output rows of the operators that list windows, after the query has run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name.startswith("Generate") and node.metrics().contains("numOutputRows"):
+            found.append(f"Generate number of output rows: {node.metrics().apply('numOutputRows').value()}")
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return "\n".join(found)
