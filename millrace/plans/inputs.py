@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import shared_path
 from ..sources import frames, text
-from ..sources.binary import decode_fixed_width, rejected_fixed_width
+from ..sources.binary import RECORD_BYTES, decode_fixed_width, read_fixed_width, rejected_fixed_width
 from ..sources.sinks import append_result
-from .registry import query
+from ..sources.units import stream_units, write_units
+from ..streaming.runner import run_to_table
+from .registry import ORACLES, query
 from .views import EVENTS, View, table
 
 
@@ -157,6 +159,14 @@ def src_fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_fixed_width(fixed_records(EVENTS.frame(spark, sf_dir)).select("value"))
 
 
+@query("src_fixed_width_file", ORACLES["src_fixed_width"])
+def src_fixed_width_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records from files that several tasks read."""
+    path = shared_path(spark, "records")
+    write_units(fixed_records(EVENTS.frame(spark, sf_dir)).repartition(3), path)
+    return read_fixed_width(spark, path, split_bytes=RECORD_BYTES * 1000)
+
+
 @query(
     "src_fixed_width_rejects",
     "SELECT event_id, CASE event_id % 10 WHEN 3 THEN 'no value' ELSE 'wrong length' END AS problem FROM events "
@@ -226,6 +236,20 @@ def src_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.decode_frames(campaign_frames(spark, sf_dir), frames.CAMPAIGN)
 
 
+@query("stream_frame_files", ORACLES["src_frames"])
+def stream_frame_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames from files that come in three deliveries; the stream starts again from its checkpoint after each."""
+    sent, inbox = campaign_frames(spark, sf_dir), shared_path(spark, "inbox")
+    out, checkpoint = shared_path(spark, "results"), shared_path(spark, "checkpoint")
+    for delivery in range(3):
+        # a file holds whole frames; those with a wrong magic or count are among them
+        whole = sent.filter(F.col("frame") % 3 == delivery).filter(F.octet_length("value") == frames.FRAME_BYTES)
+        write_units(whole, inbox)
+        stream = stream_units(spark, inbox, frames.FRAME_BYTES, split_bytes=frames.FRAME_BYTES * 10)
+        rows = run_to_table(frames.decode_frames(stream.select("value"), frames.CAMPAIGN), out, checkpoint)
+    return rows
+
+
 @query(
     "src_frames_rejects",
     "SELECT DISTINCT event_id // 92 AS frame, CASE event_id // 92 % 10 WHEN 3 THEN 'wrong magic' WHEN 4 THEN "

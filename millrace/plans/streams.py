@@ -17,9 +17,18 @@ from ..operators.ranking import top_with_ties
 from ..operators.time_windows import panes_of, window_aggregate
 from ..operators.windows import MICROS, WindowSpec
 from ..session import shared_path
+from ..streaming.late import late_stopped_vehicles_stream
 from ..streaming.row_join import row_join_batches
 from ..streaming.row_windows import row_window_batches
-from ..streaming.runner import read_batches, replace_batch, run_batches, run_to_table, shared_queries, stream_table
+from ..streaming.runner import (
+    read_batches,
+    replace_batch,
+    rocksdb_state,
+    run_batches,
+    run_to_table,
+    shared_queries,
+    stream_table,
+)
 from ..streaming.sliding import sliding_batches
 from ..streaming.state import accidents_stream, row_windows_stream, stopped_vehicles_stream
 from ..streaming.tolls import accident_spans, toll_batches
@@ -342,6 +351,59 @@ def stream_accidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delivered(spark, sf_dir, _SPANS, run).select("highway", "position", "kind", "at")
 
 
+#: Hours by which a report comes late, up to a day, and the delay that waits for them.
+_LATENESS, _PATIENCE = "CAST(event_id * 7919 % 1440 AS INT)", "1 day"
+_SHUFFLED = (
+    f"ts + make_interval(0, 0, 0, 0, 0, {_LATENESS}) < TIMESTAMP_NTZ '2024-01-10 12:00:00'",
+    f"ts + make_interval(0, 0, 0, 0, 0, {_LATENESS}) >= TIMESTAMP_NTZ '2024-01-10 12:00:00' AND "
+    f"ts + make_interval(0, 0, 0, 0, 0, {_LATENESS}) < TIMESTAMP_NTZ '2024-01-20 06:30:00'",
+    f"ts + make_interval(0, 0, 0, 0, 0, {_LATENESS}) >= TIMESTAMP_NTZ '2024-01-20 06:30:00'",
+)
+#: The reports that the last watermark has passed.
+_PASSED = (
+    f"(SELECT * FROM {TRAFFIC.sql} WHERE epoch_us(ts) <= "
+    f"((SELECT max(epoch_us(ts) // 1000) FROM events) - epoch_us(INTERVAL '{_PATIENCE}') // 1000) * 1000)"
+)
+
+
+def _late_stops(spark: SparkSession, inbox: str, path: str, checkpoint: str) -> DataFrame:
+    reports = _stream(spark, inbox, TRAFFIC).withWatermark("ts", _PATIENCE)
+    with rocksdb_state(spark):
+        return run_to_table(late_stopped_vehicles_stream(reports), path, checkpoint)
+
+
+@query(
+    "stream_stopped_vehicles_late",
+    STOPS_SQL.replace(TRAFFIC.sql, _PASSED)
+    + "SELECT 'stopped' AS kind, vehicle, highway, position, segment, first_ts, stopped_at, NULL::TIMESTAMP AS "
+    "cleared_at FROM stops UNION ALL SELECT 'cleared', vehicle, highway, position, segment, first_ts, stopped_at, cleared_at "
+    "FROM stops WHERE cleared_at IS NOT NULL",
+)
+def stream_stopped_vehicles_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops from reports that come up to a day late and out of order."""
+    out, checkpoint = shared_path(spark, "results"), shared_path(spark, "checkpoint")
+    return _delivered(spark, sf_dir, _SHUFFLED, lambda inbox: _late_stops(spark, inbox, out, checkpoint))
+
+
+@query(
+    "stream_accidents_late",
+    ACCIDENTS_SQL.replace(TRAFFIC.sql, _PASSED)
+    + "SELECT highway, position, 'started' AS kind, started_at AS at FROM accidents UNION ALL "
+    "SELECT highway, position, 'ended', ended_at FROM accidents WHERE ended_at IS NOT NULL",
+)
+def stream_accidents_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accidents from late reports: stops leave the first stream in the order of the watermark, so a second one can follow them."""
+    stops_path, first = shared_path(spark, "stops"), shared_path(spark, "checkpoint")
+    out, second = shared_path(spark, "results"), shared_path(spark, "checkpoint")
+
+    def run(inbox: str) -> DataFrame:
+        stops = _late_stops(spark, inbox, stops_path, first)
+        follow = spark.readStream.schema(stops.schema).parquet(stops_path)
+        return run_to_table(accidents_stream(follow), out, second)
+
+    return _delivered(spark, sf_dir, _SHUFFLED, run).select("highway", "position", "kind", "at")
+
+
 @query("stream_road_tolls", _closed(TOLLS_SQL, "'10 minutes'", TRAFFIC.sql))
 def stream_road_tolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report of tolls as every 300 minutes close: stops, accidents and sums follow one another in three streams."""

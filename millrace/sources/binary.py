@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .units import SPLIT_BYTES, read_units
+
 RECORD_BYTES = 78
 
 
-def read_fixed_width(spark: SparkSession, path: str, type_first: bool = False) -> DataFrame:
-    """Decode files of 78-byte records; Spark splits the files at record bounds."""
-    records = spark.sparkContext.binaryRecords(path, RECORD_BYTES).map(lambda r: (bytearray(r),))
-    return decode_fixed_width(spark.createDataFrame(records, "value BINARY"), type_first=type_first)
+def read_fixed_width(spark: SparkSession, path: str, type_first: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Decode files of 78-byte records; files are split at record bounds, and a part of a record at their end is left out."""
+    return decode_fixed_width(read_units(spark, path, RECORD_BYTES, split_bytes), type_first=type_first)
 
 
 def fixed_width_problem(value: str = "value") -> Column:

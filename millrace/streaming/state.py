@@ -49,69 +49,74 @@ def row_windows_stream(
     )
 
 
-_STOP_EVENTS = (
+STOP_EVENTS = (
     "vehicle LONG, kind STRING, highway LONG, position LONG, segment LONG, first_ts TIMESTAMP, stopped_at TIMESTAMP, "
     "cleared_at TIMESTAMP"
 )
 
 
+#: The run of standing reports of a vehicle that is open: length, place, segment, first and fourth time.
+STOP_RUN = "length INT, highway LONG, position LONG, segment LONG, first_ts TIMESTAMP, stopped_at TIMESTAMP"
+STOP_COLUMNS = (
+    "CAST(vehicle AS LONG) AS vehicle", "ts", "report_id", "CAST(speed AS DOUBLE) AS speed", "CAST(highway AS LONG) AS highway",
+    "CAST(position AS LONG) AS position", "CAST(segment AS LONG) AS segment",
+)
+
+
+def follow_stops(key: tuple, rows: pd.DataFrame, run: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    """Stops that begin or end with the next ``rows`` of a vehicle, given in order, and the run that is open after them."""
+    needed = STOP_REPORTS
+    names = [part.split()[0] for part in STOP_EVENTS.split(", ")]
+    length, highway, position, segment, first, stopped = run or (0, 0, 0, 0, None, None)
+    ts, road, place, part = (rows[c].to_numpy() for c in ("ts", "highway", "position", "segment"))
+    stands, at = (rows["speed"] == 0).to_numpy(), np.arange(len(rows))
+
+    def before(values: np.ndarray, carried) -> np.ndarray:
+        return np.concatenate([np.array([carried], dtype=values.dtype), values[:-1]])
+
+    same = (road == before(road, highway)) & (place == before(place, position))
+    goes_on = stands & before(stands, length > 0) & same
+    start = np.maximum.accumulate(np.where(goes_on, -1, at))  # -1: the run that was open
+    nth = np.where(stands, at - start + np.where(start < 0, length, 1), 0)
+    since = np.where(start < 0, np.datetime64(first or 0, "ns"), ts[start].astype("datetime64[ns]"))
+    found = np.flatnonzero(nth == needed)
+    # a run's stop is the latest one found so far; -1: that of the run that was open
+    stop = np.maximum.accumulate(np.where(nth == needed, at, -1))
+    stop_ts = np.where(stop < 0, np.datetime64(stopped or 0, "ns"), ts[stop].astype("datetime64[ns]"))
+    stop_part = np.where(stop < 0, segment, part[stop])
+    left = np.flatnonzero(~goes_on & (before(nth, length) >= needed))
+    last = left - 1  # -1 where the first report ends the run that was open
+    ended = [np.where(last < 0, carried, values[last]) for values, carried in (
+        (road, highway), (place, position), (stop_part, segment), (since, np.datetime64(first or 0, "ns")),
+        (stop_ts, np.datetime64(stopped or 0, "ns")))]
+    arrived = [road[found], place[found], part[found], since[found], stop_ts[found]]
+    no_time = np.full(len(found), np.datetime64("NaT", "ns"))
+    parts = [("stopped", *arrived, no_time), ("cleared", *ended, ts[left].astype("datetime64[ns]"))]
+    frames = [pd.DataFrame(dict(zip(names[1:], values, strict=True)), index=range(len(values[1]))) for values in parts]
+    out = pd.concat(frames, ignore_index=True)
+    out.insert(0, names[0], key[0])
+    if nth[-1] == 0:
+        return out, None  # a vehicle on the move needs no memory
+    standing = nth[-1] >= needed
+    times = (pd.Timestamp(since[-1]), pd.Timestamp(stop_ts[-1]) if standing else None)
+    return out, (int(nth[-1]), int(road[-1]), int(place[-1]), int(stop_part[-1]) if standing else 0, *times)
+
+
 def stopped_vehicles_stream(reports: DataFrame) -> DataFrame:
     """Emit a "stopped" row with a vehicle's fourth standing report and a "cleared" row when it moves on."""
-    needed = STOP_REPORTS
-    names = [part.split()[0] for part in _STOP_EVENTS.split(", ")]
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # the run of standing reports that is open: length, place, segment, first and fourth time
-        length, *open_run = state.get if state.exists else (0, 0, 0, 0, None, None)
-        highway, position, segment, first, stopped = open_run
         rows = pd.concat(list(batches)).sort_values(["ts", "report_id"])
-        ts, road, place, part = (rows[c].to_numpy() for c in ("ts", "highway", "position", "segment"))
-        stands, at = (rows["speed"] == 0).to_numpy(), np.arange(len(rows))
-
-        def before(values: np.ndarray, carried) -> np.ndarray:
-            return np.concatenate([np.array([carried], dtype=values.dtype), values[:-1]])
-
-        same = (road == before(road, highway)) & (place == before(place, position))
-        goes_on = stands & before(stands, length > 0) & same
-        start = np.maximum.accumulate(np.where(goes_on, -1, at))  # -1: the run that was open
-        nth = np.where(stands, at - start + np.where(start < 0, length, 1), 0)
-        since = np.where(start < 0, np.datetime64(first or 0, "ns"), ts[start].astype("datetime64[ns]"))
-        found = np.flatnonzero(nth == needed)
-        # a run's stop is the latest one found so far; -1: that of the run that was open
-        stop = np.maximum.accumulate(np.where(nth == needed, at, -1))
-        stop_ts = np.where(stop < 0, np.datetime64(stopped or 0, "ns"), ts[stop].astype("datetime64[ns]"))
-        stop_part = np.where(stop < 0, segment, part[stop])
-        left = np.flatnonzero(~goes_on & (before(nth, length) >= needed))
-        last = left - 1  # -1 where the first report ends the run that was open
-        ended = [np.where(last < 0, carried, values[last]) for values, carried in (
-            (road, highway), (place, position), (stop_part, segment), (since, np.datetime64(first or 0, "ns")),
-            (stop_ts, np.datetime64(stopped or 0, "ns")))]
-        arrived = [road[found], place[found], part[found], since[found], stop_ts[found]]
-        no_time = np.full(len(found), np.datetime64("NaT", "ns"))
-        parts = [("stopped", *arrived, no_time), ("cleared", *ended, ts[left].astype("datetime64[ns]"))]
-        frames = [pd.DataFrame(dict(zip(names[1:], values, strict=True)), index=range(len(values[1]))) for values in parts]
-        out = pd.concat(frames, ignore_index=True)
-        out.insert(0, names[0], key[0])
-        if nth[-1] > 0:
-            standing = nth[-1] >= needed
-            times = (pd.Timestamp(since[-1]), pd.Timestamp(stop_ts[-1]) if standing else None)
-            state.update((int(nth[-1]), int(road[-1]), int(place[-1]), int(stop_part[-1]) if standing else 0, *times))
+        out, run = follow_stops(key, rows, state.get if state.exists else None)
+        if run:
+            state.update(run)
         elif state.exists:
-            state.remove()  # a vehicle on the move needs no memory
+            state.remove()
         if len(out):
             yield out
 
-    kept = reports.selectExpr(
-        "CAST(vehicle AS LONG) AS vehicle", "ts", "report_id", "CAST(speed AS DOUBLE) AS speed",
-        "CAST(highway AS LONG) AS highway", "CAST(position AS LONG) AS position", "CAST(segment AS LONG) AS segment",
-    )
-    return kept.groupBy("vehicle").applyInPandasWithState(
-        advance,
-        _STOP_EVENTS,
-        "length INT, highway LONG, position LONG, segment LONG, first_ts TIMESTAMP, stopped_at TIMESTAMP",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    kept = reports.selectExpr(*STOP_COLUMNS)
+    return kept.groupBy("vehicle").applyInPandasWithState(advance, STOP_EVENTS, STOP_RUN, "append", GroupStateTimeout.NoTimeout)
 
 
 _ACCIDENT_EVENTS = "highway LONG, position LONG, kind STRING, segment LONG, at TIMESTAMP, standing INT"

@@ -153,3 +153,57 @@ def test_encoded_texts_keep_whole_characters(spark):
         frames.encode_frames(spark.createDataFrame([row], frames.AUCTION.schema), frames.AUCTION), frames.AUCTION
     ).collect()
     assert (back.name, back.description) == ("a" + "\u00e9" * 9, "")
+
+
+def test_files_of_units_are_read_by_several_tasks(spark, tmp_path):
+    """Splits lie at whole units; the rest of a file is a unit of its own that decoders reject; hidden files are left out."""
+    from millrace.sources.binary import rejected_fixed_width
+    from millrace.sources.units import read_units
+
+    whole = b"".join(record(i) for i in range(1000))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.bin").write_bytes(whole)
+    (tmp_path / "sub" / "b.bin").write_bytes(whole[: 78 * 10 + 40])
+    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "_hidden").write_bytes(whole)
+    units = read_units(spark, str(tmp_path), RECORD_BYTES, split_bytes=100 * 78 + 5)
+    assert units.rdd.getNumPartitions() == 11
+    rows = units.collect()
+    assert sorted((r.path.rpartition("/")[2], r.offset, bytes(r.value)) for r in rows) == sorted(
+        [("a.bin", 78 * i, record(i)) for i in range(1000)] + [("b.bin", 78 * i, record(i)) for i in range(10)]
+        + [("b.bin", 780, whole[780:820])]
+    )
+    (rejected,) = rejected_fixed_width(units).collect()
+    assert (rejected.problem, rejected.offset) == ("wrong length", 780)
+    assert read_fixed_width(spark, str(tmp_path)).count() == 1010
+    assert read_fixed_width(spark, str(tmp_path / "a.bin")).count() == 1000
+
+
+def test_a_stream_of_files_repeats_nothing(spark, tmp_path):
+    """Files grow and are added between runs; a unit that is not whole yet waits for the next run."""
+    from millrace.sources.units import stream_units
+
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "out", "checkpoint"))
+    (tmp_path / "inbox").mkdir()
+    first, second = tmp_path / "inbox" / "a.bin", tmp_path / "inbox" / "b.bin"
+    seen = []
+    for step in range(3):
+        with open(first, "ab") as file:  # two records and a half each time
+            file.write(b"".join(record(i) for i in range(8))[step * 195 : (step + 1) * 195])
+        if step == 1:
+            second.write_bytes(record(100))
+        units = stream_units(spark, inbox, RECORD_BYTES, split_bytes=RECORD_BYTES)
+        rows = run_to_table(units, out, checkpoint).collect()
+        seen.append(sorted(bytes(r.value) for r in rows))
+    assert seen[0] == sorted(record(i) for i in range(2))
+    assert seen[1] == sorted([record(i) for i in range(5)] + [record(100)])
+    assert seen[2] == sorted([record(i) for i in range(7)] + [record(100)])
+
+
+def test_writing_units_leaves_no_parts(spark, tmp_path):
+    from millrace.sources.units import read_units, write_units
+
+    rows = spark.range(50).selectExpr("CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(lpad(string(id), 6, '0') AS BINARY) END AS value")
+    assert write_units(rows.repartition(4), str(tmp_path / "u")) == 45
+    assert all(n.name.endswith(".bin") for n in (tmp_path / "u").iterdir())
+    assert sorted(bytes(r.value).decode() for r in read_units(spark, str(tmp_path / "u"), 6).collect()) == [f"{i:06d}" for i in range(50) if i % 10]

@@ -217,3 +217,43 @@ def test_state_goes_when_vehicles_move_on(spark, tmp_path):
         query.awaitTermination(60)
         kept.append(query.lastProgress.stateOperators[0].numRowsTotal)
     assert kept == [9, 0]
+
+
+def test_stops_of_late_reports_equal_the_table(spark, tmp_path):
+    """Reports in any order within the delay, over four runs: the stops of the table, and nothing but the last reports in state."""
+    import random
+
+    from millrace.operators.road import stopped_vehicles
+    from millrace.streaming.late import late_stopped_vehicles_stream
+    from millrace.streaming.runner import ROCKSDB, STATE_STORE, rocksdb_state
+
+    rng = random.Random(2)
+    rows = []
+    for number in range(600):
+        vehicle = number % 3
+        stands = (number // 60 + vehicle) % 2 == 0 and rng.random() < 0.9
+        rows.append((number * 10.0 + rng.random(), number, vehicle, 0.0 if stands else 9.5, 1, number // 90 * 5, 2))
+    end = max(r[0] for r in rows)
+    rows += [(10_000.0, 9000 + v, v, 5.0, 1, 0, 0) for v in range(3)]  # everyone moves on, long after
+    rows += [(20_000.0, 9999, 77, 5.0, 1, 0, 0)]  # the watermark passes all others
+    schema = "s DOUBLE, report_id LONG, vehicle LONG, speed DOUBLE, highway LONG, position LONG, segment LONG"
+    table = spark.createDataFrame(rows, schema).withColumn("ts", F.expr("timestamp_micros(CAST(s * 1000000 AS BIGINT))")).drop("s")
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "out", "checkpoint"))
+    sent = {r[1]: min(int((r[0] + rng.random() * 250) // (end / 3)), 2) if r[0] <= end else 3 for r in rows}
+    for delivery in range(4):
+        own = [i for i, d in sent.items() if d == delivery]
+        table.filter(F.col("report_id").isin(own)).repartition(3).write.mode("append").parquet(inbox)
+        before = spark.conf.get(STATE_STORE)
+        with rocksdb_state(spark):
+            stream = spark.readStream.schema(table.schema).parquet(inbox).withWatermark("ts", "300 seconds")
+            found = run_to_table(late_stopped_vehicles_stream(stream), out, checkpoint)
+        assert spark.conf.get(STATE_STORE) == before != ROCKSDB
+    events = {(r.vehicle, r.kind, r.position, r.first_ts, r.stopped_at, r.cleared_at) for r in found.collect()}
+    expected = set()
+    for r in stopped_vehicles(table).collect():
+        expected.add((r.vehicle, "stopped", r.position, r.first_ts, r.stopped_at, None))
+        expected.add((r.vehicle, "cleared", r.position, r.first_ts, r.stopped_at, r.cleared_at))
+    assert events == expected and len(expected) > 10
+    known = spark.read.format("statestore").option("stateVarName", "known").load(checkpoint)
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
+    assert known.count() == 0 and [r.key.vehicle for r in waiting.select("key").distinct().collect()] == [77]
