@@ -71,6 +71,56 @@ def test_vector_groups_with_odd_rows(odd_vectors, monkeypatch):
     assert cover_tree.near_duplicates(odd_vectors.limit(0)).count() == 0
 
 
+def clustered(rng, count, width=16, clusters=12):
+    """Crowds of near vectors far from each other, with hundreds of repeats in one, and strangers."""
+    centres = rng.standard_normal((clusters, width))
+    near = centres[rng.integers(clusters, size=count)] + rng.standard_normal((count, width)) * rng.choice([0.02, 0.08], count)[:, None]
+    return np.concatenate([near, np.repeat(centres[:1], count // 4, 0), rng.standard_normal((count // 10, width))])
+
+
+@pytest.mark.parametrize("block, centres", [(40, 4), (200, 8), (4096, 32)])
+def test_groups_of_clustered_vectors_equal_brute_force(spark, monkeypatch, block, centres):
+    """Links and components through the whole query, and fewer tiles than pairs of blocks."""
+    for name, value in (("BLOCK", block), ("CENTRES", centres), ("SAMPLE", 64)):
+        monkeypatch.setattr(cover_tree, name, value)
+    rng = np.random.default_rng(block)
+    points = clustered(rng, 1200)
+    labels = rng.integers(2, size=len(points))
+    given = [(i, v.tolist(), int(x)) for i, (v, x) in enumerate(zip(points * rng.choice([0.1, 3.0], len(points))[:, None], labels, strict=True))]
+    table = spark.createDataFrame(given, "vec_id long, embedding array<double>, label int").repartition(5)
+    seen = []
+    tiles = cover_tree.tiles_of
+    monkeypatch.setattr(cover_tree, "tiles_of", lambda blocks, pairs: seen.append((blocks.count(), pairs.count())) or tiles(blocks, pairs))
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in cover_tree.near_duplicates(table).collect()}
+    units = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = (units @ units.T >= 0.98) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(near, False)
+    reached = np.arange(len(points))
+    while True:
+        least = np.minimum(reached, np.where(near, reached[None, :], len(points)).min(axis=1))
+        if (least == reached).all():
+            break
+        reached = least
+    assert found == {i: (int(near[i].sum()), int(reached[i]), bool(reached[i] == i)) for i in range(len(points))}
+    ((blocks, pairs),) = seen
+    if block == 40:
+        assert blocks > 30 and pairs < blocks * (blocks / 2 + 1) / 4  # two labels alone would give half of all pairs
+
+
+def test_far_vectors_cost_no_more_than_their_product():
+    rng = np.random.default_rng(8)
+    points = rng.standard_normal((600, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    looked = []
+    original = cover_tree._dots
+    try:
+        cover_tree._dots = lambda *args: looked.append(len(args[2])) or original(*args)
+        assert not list(cover_tree.traverse(points, points, 0.98, True))
+    finally:
+        cover_tree._dots = original
+    assert sum(looked) < 600 * 600 / 8
+
+
 def test_top_k_with_odd_rows(odd_vectors):
     rows = topk.top_k(odd_vectors, F.col("vec_id") % 50 == 0, k=3).collect()
     found = {q: [(r.rank, r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank) if r.query_id == q] for q in (0, 50)}
