@@ -12,6 +12,7 @@ how many links each vector has and a spanning forest of them, so a dense group n
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -215,7 +216,8 @@ def _grown(units: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
     def chosen(table: pa.Table) -> pa.Table:
         sample = np.stack([np.frombuffer(u.as_buffer()) for u in table["unit"]])
-        return pa.table({"node": table["node"][:1], "centres": pa.array([spread_centres(sample).tobytes()], pa.binary())})
+        count = min(CENTRES, max(2, math.ceil(2 * table["n"][0].as_py() / BLOCK)))  # blocks of half the size on the average
+        return pa.table({"node": table["node"][:1], "centres": pa.array([spread_centres(sample, count).tobytes()], pa.binary())})
 
     levels: list[DataFrame] = []
     placed = stage(units, "units")
@@ -224,8 +226,8 @@ def _grown(units: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if full.isEmpty():
             break
         order = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("row"), "row"))
-        sample = placed.join(full.select("node").hint("merge"), "node", "left_semi").withColumn("place", order).filter(F.col("place") <= SAMPLE)
-        centres = sample.select("node", "unit").groupBy("node").applyInArrow(chosen, "node long, centres binary")
+        sample = placed.join(full.hint("merge"), "node").withColumn("place", order).filter(F.col("place") <= SAMPLE)
+        centres = sample.select("node", "n", "unit").groupBy("node").applyInArrow(chosen, "node long, centres binary")
         kind = "row long, unit binary, parent long, at long, apart double, centre binary"
         near = placed.join(centres.hint("merge"), "node", "left").select("row", "node", "unit", "centres").mapInArrow(moved, kind)
         child = F.when(F.col("at").isNull(), F.col("parent")).otherwise(F.xxhash64("parent", "at"))
