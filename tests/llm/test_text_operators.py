@@ -4,8 +4,10 @@ import collections
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -502,3 +504,44 @@ def test_one_of_each_group_of_near_copies_stays(spark, docs):
     kept = near_copies.keep_first(table).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(least.values())
     assert sum(r.doc_id is None for r in kept) == 1
+
+
+def plain_counts(text):
+    """Trigrams of bytes by bucket and repeated words per thousand, one by one."""
+    raw, counts = (text or "").encode(), collections.Counter()
+    for i in range(len(raw) - 2):
+        counts[(int.from_bytes(raw[i : i + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 20] += 1
+    words = raw.split()
+    counts[knn_quality.BUCKETS] = 1000 * sum(a == b for a, b in zip(words, words[1:], strict=False)) // max(len(words), 1)
+    return counts
+
+
+def test_votes_match_brute_force(spark, sf_dir):
+    """Every document of a table, voted on by all cosines with the same sample."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    space = knn_quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = [r for r in labels.filter("quality in (0, 1)").distinct().collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0]
+    sample = sorted({(r.doc_id, int(r.quality)) for r in known if r.doc_id in texts})
+    often = collections.Counter(t for text in texts.values() for t, n in plain_counts(text).items() if n)
+    weights = [math.log((1 + len(texts)) / (1 + often[t])) + 1 for t in range(knn_quality.TERMS)]
+    weights[knn_quality.BUCKETS] *= knn_quality.REPEAT_WEIGHT
+
+    def place(text):
+        row = np.zeros(knn_quality.TERMS)
+        for t, n in plain_counts(text).items():
+            row[t] = math.log(1 + n) * weights[t]
+        row = row / (np.linalg.norm(row) or 1) @ space.axes
+        return row / np.linalg.norm(row) if np.linalg.norm(row) > 1e-9 else row * 0
+
+    assert len(sample) == len(space.labels) <= 2 * knn_quality.PER_CLASS
+    vectors = [(place(texts[i]), q) for i, q in sample]
+    for r in knn_quality.score(docs, labels).collect():
+        own = place(texts[r.doc_id])
+        near = [float(np.dot(own, v)) for v, _ in vectors]
+        limit = sorted(near)[-min(knn_quality.NEIGHBOURS, len(near))]
+        votes = [(max(s, 0) ** knn_quality.SHARPNESS, q) for s, (_, q) in zip(near, vectors, strict=True) if s >= limit - 1e-12]
+        total = sum(v for v, _ in votes)
+        expected = sum(v * q for v, q in votes) / total if total else sum(q for _, q in sample) / len(sample)
+        assert r.score == pytest.approx(expected, abs=1e-9)
+        assert (r.predicted, r.held_out) == (int(r.score >= 0.3), zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
