@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import avg_of, count, max_of, sum_of
 from ..functions.expressions import composite_key, hash_bucket
 from ..operators.joins import join_static
+from ..operators.predicate_index import indexed_queries
 from ..operators.time_windows import window_aggregate
 from ..operators.windows import WindowSpec
 from ..streaming.runner import shared_queries
@@ -119,3 +120,21 @@ def multi_query_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shared_queries(CAMPAIGN.frame(spark, sf_dir), predicates, ["ts", "campaign_id", "user_id"])
     spec = WindowSpec.tumbling(minutes(60))
     return window_aggregate(rows, spec, ["query_id", "campaign_id"], [count(), sum_of("user_id", "sum_user")])
+
+
+_RANGES = """SELECT id AS query_id, CASE WHEN id % 2 = 0 THEN 'user_id' ELSE 'event_id' END AS col,
+    CASE WHEN id % 2 = 0 THEN id * 37 % 500 ELSE id * 7919 % 20000 END AS low,
+    CASE WHEN id % 2 = 0 THEN id * 37 % 500 + id % 50 ELSE id * 7919 % 20000 + id * 3 END AS high FROM range(1000)"""
+
+
+@query(
+    "multi_query_indexed",
+    f"WITH q AS ({_RANGES.replace('range(1000)', 'range(1000) r(id)')}), e AS (SELECT * FROM {CAMPAIGN.sql}), "
+    f"met AS (SELECT query_id, ts FROM q JOIN e ON (col = 'user_id' AND user_id BETWEEN low AND high) OR "
+    f"(col = 'event_id' AND event_id BETWEEN low AND high)) {sql.tumbling('met', sql.DAY, ['query_id'], 'count(*) AS n')}",
+)
+def multi_query_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand queries, each a range of users or of events, counted per day; rows find their queries by equality."""
+    queries = spark.sql(_RANGES).withColumnRenamed("col", "column")
+    rows = indexed_queries(CAMPAIGN.frame(spark, sf_dir), queries, ["user_id", "event_id"], ["ts"])
+    return window_aggregate(rows, WindowSpec.tumbling(minutes(sql.DAY)), ["query_id"], [count()])

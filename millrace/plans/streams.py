@@ -17,10 +17,13 @@ from ..operators.ranking import top_with_ties
 from ..operators.time_windows import panes_of, window_aggregate
 from ..operators.windows import MICROS, WindowSpec
 from ..session import shared_path
+from ..streaming.inspect import open_windows
 from ..streaming.late import late_stopped_vehicles_stream
+from ..streaming.late_rows import corrected, corrections, late_row_batches
 from ..streaming.row_join import row_join_batches
 from ..streaming.row_windows import row_window_batches
 from ..streaming.runner import (
+    new_batches,
     read_batches,
     replace_batch,
     rocksdb_state,
@@ -31,7 +34,7 @@ from ..streaming.runner import (
 )
 from ..streaming.sliding import sliding_batches
 from ..streaming.state import accidents_stream, row_windows_stream, stopped_vehicles_stream
-from ..streaming.tolls import accident_spans, toll_batches
+from ..streaming.tolls import toll_batches
 from . import sqltext as sql
 from .basics import ARRIVAL, row_join_sql
 from .campaign import minutes
@@ -141,6 +144,58 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_deliveries(spark, sf_dir, _LATE, "5 days")
 
 
+_BEHIND = f"{_LATE} AND (epoch_us(ts) // 3600000000 + 1) * 3600000 <= {_MARK}"
+
+
+def _late_and_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Late rows, and the windows that were closed without them, from two streams over the same deliveries."""
+    out, first, path, second = (shared_path(spark, n) for n in ("windows", "checkpoint", "behind", "checkpoint"))
+    aggs, delay = [count(), sum_of("user_id", "total")], 5 * 86_400 * MICROS
+    write = late_row_batches(path, _HOURS, delay)
+
+    def run(inbox: str) -> tuple[DataFrame, DataFrame]:
+        stream = _stream(spark, inbox)
+        run_batches(stream.select("event_id", "ts", "user_id", *_KEYS), write, second)
+        windows = run_to_table(window_aggregate(stream.withWatermark("ts", "5 days"), _HOURS, _KEYS, aggs), out, first)
+        return read_batches(spark, f"{path}/late"), windows
+
+    return _delivered(spark, sf_dir, (f"NOT ({_LATE})", _LATE), run)
+
+
+@query(
+    "stream_late_rows",
+    "SELECT event_id, make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS window_start, "
+    f"make_timestamp((epoch_us(ts) // 3600000000 + 1) * 3600000000) AS window_end, ({_MARK}) * 1000 - epoch_us(ts) AS behind "
+    f"FROM {CAMPAIGN.sql} WHERE {_BEHIND}",
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that a watermark of five days leaves out, with their closed window and how far they are behind."""
+    late, _ = _late_and_windows(spark, sf_dir)
+    return late.select("event_id", "window_start", "window_end", "behind")
+
+
+@query("stream_late_corrected", _closed(sql.tumbling(CAMPAIGN.sql, 60, _KEYS, _COUNTS), "'5 days'"))
+def stream_late_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed windows after the corrections by late rows: those of the whole table."""
+    late, windows = _late_and_windows(spark, sf_dir)
+    changes = corrections(windows, late, _KEYS, [count(), sum_of("user_id", "total")])
+    return corrected(windows, changes, _KEYS)
+
+
+@query(
+    "stream_state_rows",
+    f"SELECT * FROM ({sql.tumbling(CAMPAIGN.sql, 60, _KEYS, _COUNTS)}) WHERE epoch_us(window_end) // 1000 > "
+    f"(SELECT max(epoch_us(ts) // 1000) FROM {CAMPAIGN.sql}) - epoch_us(INTERVAL '2 days') // 1000",
+)
+def stream_state_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that a stopped stream still holds open, read from its checkpoint."""
+    checkpoint = shared_path(spark, "checkpoint")
+    windows = window_aggregate(_events(spark, sf_dir, CAMPAIGN, "2 days"), _HOURS, _KEYS, [count(), sum_of("user_id", "total")])
+    run_to_table(windows, shared_path(spark, "results"), checkpoint)
+    held = open_windows(spark, checkpoint)
+    return held.select("window_start", "window_end", *_KEYS, F.col("count").alias("n"), F.col("sum").alias("total"))
+
+
 @query("stream_restart", _closed(sql.tumbling(CAMPAIGN.sql, 60, _KEYS, _COUNTS), "'2 hours'"))
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stopped half way and started again, the result is that of one run."""
@@ -410,12 +465,12 @@ def stream_road_tolls(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops_path, events_path, path = (shared_path(spark, n) for n in ("stops", "accidents", "tolls"))
     first, second, third = (shared_path(spark, "checkpoint") for _ in range(3))
     every = WindowSpec.tumbling(minutes(300))
-    write = toll_batches(path, every, lambda: accident_spans(spark.read.parquet(events_path)))
+    write = toll_batches(path, every, lambda after: new_batches(spark, events_path, after))
 
     def run(inbox: str) -> DataFrame:
         stops = run_to_table(stopped_vehicles_stream(_stream(spark, inbox, TRAFFIC)), stops_path, first)
         follow = spark.readStream.schema(stops.schema).parquet(stops_path)
-        run_to_table(accidents_stream(follow), events_path, second)
+        run_batches(accidents_stream(follow), replace_batch(events_path), second)
         reports = _stream(spark, inbox, TRAFFIC).withWatermark("ts", "10 minutes")
         sums = [count("_rows"), sum_of("speed", "_total")]
         run_batches(window_aggregate(reports, every, ["highway", "segment"], sums), write, third)

@@ -128,6 +128,16 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch")
 
 
+def new_batches(spark: SparkSession, path: str, after: int) -> tuple[DataFrame | None, int]:
+    """The batches that ``replace_batch`` has written since batch ``after``, and the number of the last one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in system.listStatus(place)] if system.exists(place) else []
+    found = sorted(n for n in (int(x.partition("=")[2]) for x in names if x.startswith("batch=")) if n > after)
+    rows = spark.read.parquet(*(f"{path}/batch={n}" for n in found)) if found else None
+    return rows, max(found, default=after)
+
+
 def peek(df: DataFrame, name: str | Observation, **counters: Column) -> DataFrame:
     """Count rows as they pass; rows are unchanged.
 

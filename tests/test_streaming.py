@@ -257,3 +257,86 @@ def test_stops_of_late_reports_equal_the_table(spark, tmp_path):
     known = spark.read.format("statestore").option("stateVarName", "known").load(checkpoint)
     waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(checkpoint)
     assert known.count() == 0 and [r.key.vehicle for r in waiting.select("key").distinct().collect()] == [77]
+
+
+def test_predicates_by_index_equal_trying_each(spark):
+    import random
+
+    from millrace.operators.predicate_index import dyadic, indexed_queries
+
+    rng = random.Random(1)
+    for _ in range(300):
+        low = rng.randrange(-200, 200)
+        high = low + rng.randrange(-2, 150)
+        covered = [v for level, n in dyadic(low, high) for v in range(n << level, (n + 1) << level)]
+        assert sorted(covered) == list(range(low, high + 1))
+    ranges = [(i, "ab"[i % 2], rng.choice([None, rng.randrange(-50, 50)]), rng.choice([None, rng.randrange(-50, 90)])) for i in range(150)]
+    values = [(i, rng.choice([None, rng.randrange(-60, 100)]), rng.choice([None, rng.randrange(-60, 100), 2**62])) for i in range(120)]
+    queries = spark.createDataFrame(ranges, "query_id long, column string, low long, high long")
+    rows = spark.createDataFrame(values, "id long, a long, b long")
+    found = sorted(tuple(r) for r in indexed_queries(rows, queries, ["a", "b"], ["id"]).collect())
+    expected = sorted(
+        (q, i) for q, column, low, high in ranges for i, a, b in values
+        for v in [a if column == "a" else b]
+        if v is not None and (low is None or low <= v) and (high is None or v <= high)
+    )
+    assert found == expected
+    joins = indexed_queries(rows, queries, ["a", "b"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in joins and "Cartesian" not in joins
+    assert indexed_queries(rows, queries.limit(0), ["a"], ["id"]).count() == 0
+
+
+def test_corrections_retract_and_add(spark, at):
+    from millrace.functions.aggregates import min_of
+    from millrace.streaming.late_rows import corrected, corrections
+
+    stamp = lambda s: f"timestamp_seconds({s})"
+    windows = spark.sql(
+        f"SELECT * FROM VALUES ({stamp(0)}, {stamp(10)}, 'a', 2L, 5L, 11L), ({stamp(0)}, {stamp(10)}, NULL, 1L, 1L, 1L), "
+        f"({stamp(10)}, {stamp(20)}, 'a', 1L, 7L, 7L) AS t(window_start, window_end, k, n, low, total)"
+    )
+    late = spark.sql(
+        f"SELECT * FROM VALUES ({stamp(0)}, {stamp(10)}, 'a', 3L), ({stamp(0)}, {stamp(10)}, 'a', 9L), ({stamp(0)}, {stamp(10)}, NULL, 4L), "
+        f"({stamp(20)}, {stamp(30)}, 'b', 8L) AS t(window_start, window_end, k, v)"
+    )
+    aggs = [count(), min_of("v", "low"), sum_of("v", "total")]
+    changes = corrections(windows, late, ["k"], aggs)
+    assert sorted((r.change, r.k or "", r.n, r.low, r.total) for r in changes.collect()) == [
+        ("add", "", 2, 1, 5), ("add", "a", 4, 3, 23), ("add", "b", 1, 8, 8), ("retract", "", 1, 1, 1), ("retract", "a", 2, 5, 11),
+    ]
+    after = corrected(windows, changes, ["k"])
+    assert sorted((r.k or "", r.n, r.low, r.total) for r in after.collect()) == [("", 2, 1, 5), ("a", 1, 7, 7), ("a", 4, 3, 23), ("b", 1, 8, 8)]
+    assert after.schema.simpleString() == windows.schema.simpleString()
+
+
+def test_tolls_read_each_batch_of_accidents_once(spark, sf_dir, monkeypatch):
+    from millrace.plans import streams
+
+    asked, original = [], streams.new_batches
+
+    def watched(session, path, after):
+        rows, upto = original(session, path, after)
+        asked.append((after, upto))
+        return rows, upto
+
+    monkeypatch.setattr(streams, "new_batches", watched)
+    assert streams.stream_road_tolls(spark, sf_dir).count()
+    assert len(asked) >= 3 and asked[0][0] == -1
+    assert all(later[0] == earlier[1] for earlier, later in zip(asked, asked[1:], strict=False))
+    assert asked[-1][1] >= 2
+
+
+def test_checkpoints_can_be_read(spark, tmp_path):
+    from millrace.streaming.inspect import open_windows, state_changes, state_operators
+
+    inbox, out, checkpoint = (str(tmp_path / n) for n in ("inbox", "out", "checkpoint"))
+    for batch in range(2):
+        rows = spark.range(batch * 30, batch * 30 + 30).selectExpr("timestamp_seconds(id) AS ts", "id % 2 AS k")
+        rows.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema("ts TIMESTAMP, k LONG").parquet(inbox).withWatermark("ts", "5 seconds")
+        run_to_table(window_aggregate(stream, WindowSpec.tumbling(10), ["k"], [count()]), out, checkpoint)
+    held = sorted((r.window_start.timestamp(), r.k, r["count"]) for r in open_windows(spark, checkpoint).collect())
+    assert held == [(50.0, 0, 5), (50.0, 1, 5)]
+    assert [r.operatorName for r in state_operators(spark, checkpoint).collect()] == ["stateStoreSave"]
+    changes = state_changes(spark, checkpoint, 0, 1)
+    assert {r.change_type for r in changes.select("change_type").distinct().collect()} == {"update", "delete"}
