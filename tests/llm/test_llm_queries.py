@@ -17,7 +17,10 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, duck, name):
+    settings = dict(spark.conf.getAll)
     df = QUERIES[name](spark, sf_dir)
+    df.count()
+    assert dict(spark.conf.getAll) == settings  # later queries of the session run as before
     if name in ORACLES:
         assert compare.difference(df, duck, ORACLES[name]) is None
     elif name == "op13_hash_forest":  # recall is measured in test_phrases_trie_forest
