@@ -122,6 +122,28 @@ def join_theta_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("l_event_id", "r_event_id")
 
 
+_COARSE = f"SELECT date_trunc('hour', ts) AS ts, CAST(floor(value / 10) AS BIGINT) AS level FROM {EVENTS.sql} WHERE event_type"
+
+
+@query(
+    "join_theta_copies",
+    f"SELECT l.ts AS hour, count(*) AS pairs FROM ({_COARSE} = 'purchase') l JOIN ({_COARSE} = 'view') r ON r.ts >= l.ts - "
+    "INTERVAL 4 HOUR AND r.ts <= l.ts + INTERVAL 2 HOUR AND l.level <= r.level GROUP BY 1",
+)
+def join_theta_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without an id, many of them equal: bins of more than 16 rows are grids of cells."""
+
+    def coarse(prefix: str, kind: str) -> DataFrame:
+        kept = EVENTS.frame(spark, sf_dir).filter(F.col("event_type") == kind)
+        level = F.floor(F.col("value") / 10).cast("long")
+        return kept.select(F.date_trunc("hour", "ts").alias(f"{prefix}_ts"), level.alias(f"{prefix}_level"))
+
+    reach = (4 * 3600 * MICROS, 2 * 3600 * MICROS)
+    fits = F.col("l_level") <= F.col("r_level")
+    pairs = theta_join_time(coarse("l", "purchase"), coarse("r", "view"), fits, *reach, "l_ts", "r_ts", hot_rows=16)
+    return pairs.groupBy(F.col("l_ts").alias("hour")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
 @query(
     "join_selectivity",
     "SELECT probed, matched, 100.0::DOUBLE * matched / probed AS percent FROM (SELECT count(*) AS probed, "

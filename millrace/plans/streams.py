@@ -318,6 +318,20 @@ def stream_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(pairs.select("l_event_id", "r_event_id"))
 
 
+@query(
+    "stream_theta_grid",
+    f"SELECT l.event_id AS l_event_id, r.event_id AS r_event_id FROM {EVENTS.sql} l JOIN {EVENTS.sql} r ON r.ts >= l.ts - "
+    "INTERVAL 40 MINUTE AND r.ts <= l.ts + INTERVAL 20 MINUTE AND l.value < r.value WHERE l.event_type = 'click' AND "
+    "r.event_type = 'view'",
+)
+def stream_theta_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bin of two streams is a grid of cells, so a flooded one is held by several tasks."""
+    left, right = _side(spark, sf_dir, "l", "click"), _side(spark, sf_dir, "r", "view")
+    cheaper = F.col("l_value") < F.col("r_value")
+    pairs = theta_join_time(left, right, cheaper, 2400 * MICROS, 1200 * MICROS, "l_ts", "r_ts", grid=(3, 2))
+    return _run(pairs.select("l_event_id", "r_event_id"))
+
+
 @query(
     "stream_window_join",
     f"SELECT l.event_id AS l_event_id, r.event_id AS r_event_id FROM {EVENTS.sql} l JOIN {EVENTS.sql} r ON l.user_id = "
