@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import Agg, avg_of, count, max_of, sum_of
+from ..functions.aggregates import Agg, avg_of, count, max_of, min_of, sum_of
 from ..functions.udf import Aggregate
 from ..operators.joins import join_static, theta_join_time, window_join
 from ..operators.ranking import top_with_ties
@@ -367,6 +367,22 @@ def stream_row_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches_in_spans(spark, sf_dir, lambda stream: stream, write, f"{path}/windows")
 
 
+@query(
+    "stream_sliding_rows",
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER "
+    f"(PARTITION BY event_type) AS rows FROM {EVENTS.sql}) SELECT event_type, k AS window_index, count(*) AS n, "
+    "sum(user_id)::BIGINT AS total, min(user_id) AS low FROM (SELECT *, unnest(generate_series(greatest((i - 60) // 25 + "
+    "CASE WHEN i < 60 THEN 0 ELSE 1 END, 0), i // 25)) AS k FROM r) WHERE k * 25 <= i AND i < k * 25 + 60 AND k * 25 + 60 <= rows "
+    "GROUP BY 1, 2",
+)
+def stream_sliding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 60 events of a type every 25 of them, from panes of five that batches add to."""
+    path = shared_path(spark, "sliding-rows")
+    aggs = [count(), sum_of("user_id", "total"), min_of("user_id", "low")]
+    write = row_window_batches(path, 60, ["event_type"], aggs, ["ts", "event_id"], slide=25, compact_every=2)
+    return _batches_in_spans(spark, sf_dir, lambda stream: stream, write, f"{path}/windows")
+
+
 @query(
     "stream_row_windows_udaf",
     "SELECT event_type, i // 40 AS window_index, max(user_id) - min(user_id) AS spread FROM (SELECT *, row_number() OVER "

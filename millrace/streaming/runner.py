@@ -112,9 +112,9 @@ def replace_batch(
     return write
 
 
-def forget_batch(spark: SparkSession, path: str, batch: int) -> None:
+def forget_batch(spark: SparkSession, path: str, batch: int, unit: str = "batch") -> None:
     """Remove what a batch has left under ``path`` for its successor, once the successor's successor runs."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{unit}={batch}")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 

@@ -205,6 +205,39 @@ def test_row_windows_by_batch(spark, tmp_path):
     assert found == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("size,slide,every", [(12, 5, 2), (6, 2, 3), (4, 9, 1), (7, 7, 100)])
+def test_sliding_row_windows_by_batch(spark, tmp_path, size, slide, every):
+    """Batches without rows, a batch handed over twice, and keys that rest while panes are merged."""
+    keys = ("hot", "hot", "rare", "hot", None, "hot", "hot")
+    rows = [(i, "early" if i < 20 else keys[i % 7], i * 31 % 17 - 8) for i in range(230)]
+    table, path = spark.createDataFrame(rows, "i LONG, k STRING, v LONG"), str(tmp_path / "out")
+    aggs = [count(), sum_of("v", "total"), max_of("v", "high")]
+    write = row_window_batches(path, size, ["k"], aggs, ["i"], slide=slide, compact_every=every)
+    for batch, (low, high) in enumerate(((0, 25), (25, 25), (25, 90), (90, 91), (91, 140), (140, 230))):
+        for _ in range(1 + (batch in (2, 4))):
+            write(table.filter((F.col("i") >= low) & (F.col("i") < high)), batch)
+    found = seconds(read_batches(spark, f"{path}/windows"), "k", "window_index", "n", "total", "high")
+    expected = []
+    for key in ("early", "hot", "rare", None):
+        values = [v for _, k, v in rows if k == key]
+        for w in range(0, max(len(values) - size, -1) // slide + 1):
+            part = values[w * slide : w * slide + size]
+            expected.append((key, w, size, sum(part), max(part)))
+    assert found == sorted(expected, key=repr)
+
+
+def test_idle_keys_of_row_windows_are_not_written_again(spark, tmp_path):
+    path = str(tmp_path / "out")
+    write = row_window_batches(path, 4, ["k"], [count()], ["i"], compact_every=3)
+    for batch in range(7):
+        keys = range(50) if batch == 0 else [7]
+        write(spark.createDataFrame([(batch * 100 + k, k) for k in keys], "i LONG, k LONG"), batch)
+    assert sorted(p.name for p in (tmp_path / "out" / "open").iterdir()) == ["epoch=1", "epoch=2"]
+    assert spark.read.parquet(f"{path}/open/epoch=1/batch=4").select("k").collect() == [(7,)]
+    base = spark.read.parquet(f"{path}/open/epoch=2/base")
+    assert base.filter("k <> 7").count() == 49 and base.groupBy("k").agg(F.sum("_filled").alias("n")).filter("k = 7").first().n == 6
+
+
 def test_state_goes_when_vehicles_move_on(spark, tmp_path):
     report = "ts LONG, report_id LONG, vehicle LONG, speed LONG, highway LONG, position LONG, segment LONG"
     inbox, kept = str(tmp_path / "in"), []
