@@ -6,18 +6,19 @@ Rows here hold whole texts or blocks of vectors. Spark bounds an Arrow batch by
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.views import table
 from ..session import stage
 
-__all__ = ["stage", "table", "text_rows", "arrow_map", "portions", "fresh", "float_matrix"]
+__all__ = ["stage", "table", "text_rows", "arrow_map", "portions", "fresh", "float_matrix", "let_go"]
 
 PORTION = 256  # rows that a task turns into Python values at once
 
@@ -29,6 +30,16 @@ def portions(batches: Iterator[pa.RecordBatch], rows: int = PORTION) -> Iterator
             yield batch.slice(start, rows)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffles of tables that nobody refers to any more removed now.
+
+    Spark removes them once the driver's collector has found them unused, which it looks for only when the driver's memory
+    fills: the shuffles of several passes over large tables lie on the executors' disks side by side until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Names that no column of ``df`` has, whatever the case: helper columns must not clash with the user's."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import portions, stage
+from .common import let_go, portions, stage
 
 LONGEST, SUPPORT, TOP = 3, 10, 2000  # words of a phrase, occurrences of a candidate, phrases shown of a language
 CONTAINED = (50, 100)  # a candidate goes if a longer one around it has this share of its occurrences
@@ -218,6 +218,7 @@ def count_frequent(docs: DataFrame, id: str, lang: str, text: str, support: int
     maps: list = []
     for length in range(1, longest + 1):
         maps.append(spark.sparkContext.broadcast(_frequent_in_shards(narrow, length, maps, support)))
+        let_go(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [m.value for m in maps]
@@ -235,7 +236,10 @@ def count_frequent(docs: DataFrame, id: str, lang: str, text: str, support: int
 
     counted = narrow.mapInArrow(run, "lang string, words int, phrase string, n long")
     sums = counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return stage(sums.filter((F.col("n") >= support) | (F.col("words") == 0)), "phrases")
+    kept = stage(sums.filter((F.col("n") >= support) | (F.col("words") == 0)), "phrases")
+    del counted, sums
+    let_go(spark)
+    return kept
 
 
 def _parts(words: Column, cut: Column) -> Column:
