@@ -72,7 +72,7 @@ def own_windows(
     for partials in lists.values():
         for p in partials:
             known = ids.setdefault(str(p.fold), f"_p{len(ids)}{'_min' if p.name.endswith('min') else ''}")
-            needed[known] = Partial(known, p.fold, p.additive)
+            needed[known] = Partial(known, p.fold, p.additive, p.sketch)
     pane = math.gcd(*(n for s, _ in windows.values() for n in (s.size, s.slide)))
     plan = covers({n: (s, list(dict.fromkeys(ids[str(p.fold)] for p in lists[n]))) for n, (s, _) in windows.items()}, pane)
     folded = pane_aggregate(df.filter(F.col(ts).isNotNull()), time_slot(ts, pane), keys, [_Whole(needed)], "_pane")

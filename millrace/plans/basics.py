@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
-from ..functions import udf
+from ..functions import table_functions, udf
 from ..functions.expressions import all_of, any_of, int_div, project_at
 from ..operators.joins import join_selectivity, join_static, theta_join_rows, theta_join_time
 from ..operators.panes import pane_aggregate
@@ -447,6 +447,18 @@ def udtf_flatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return udf.flat_map(EVENTS.frame(spark, sf_dir).select("event_id", "user_id"), spread, "event_id long, part long")
 
 
+@query(
+    "udtf_partitioned",
+    "SELECT user_id, any_value(event_type) AS event_type, min(ts) AS began, count(*) AS length FROM (SELECT *, sum(opens) OVER "
+    "(PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY "
+    f"user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS opens FROM {EVENTS.sql})) GROUP BY user_id, run",
+)
+def udtf_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of events of one type of every user."""
+    events = EVENTS.frame(spark, sf_dir).select("user_id", "event_type", "ts", "event_id")
+    return table_functions.run_lengths(events, ["user_id"], "event_type", "ts", ["ts", "event_id"])
+
+
 @query(
     "udaf_merge",
     "SELECT event_type, count(*) AS n, CAST(sum(user_id) AS DOUBLE) / count(*) AS mean, max(user_id) - min(user_id) "

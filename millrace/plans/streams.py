@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import Agg, avg_of, count, max_of, min_of, sum_of
+from ..functions.aggregates import Agg, avg_of, count, max_of, min_of, quantiles_of, rank_error, sum_of
 from ..functions.udf import Aggregate
 from ..operators.joins import join_static, theta_join_time, window_join
+from ..operators.measure import PERCENTILES
 from ..operators.ranking import top_with_ties
 from ..operators.time_windows import panes_of, window_aggregate
 from ..operators.windows import MICROS, WindowSpec
@@ -20,6 +21,7 @@ from ..session import shared_path
 from ..streaming.inspect import open_windows
 from ..streaming.late import late_stopped_vehicles_stream
 from ..streaming.late_rows import corrected, corrections, late_row_batches
+from ..streaming.progress import progress_log
 from ..streaming.row_join import row_join_batches
 from ..streaming.row_windows import row_window_batches
 from ..streaming.runner import (
@@ -263,6 +265,37 @@ def stream_keyed_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sliding(spark, sf_dir, spec, ["event_type"], [max_of("value", "high"), count()], exact=False)
 
 
+_RANKS, _SKETCH = tuple(p / 100 for p in PERCENTILES), 64
+
+
+@query(
+    "stream_latency",
+    f"SELECT w.*, p AS percentile, true AS within FROM ({{}}) w, unnest([{', '.join(map(str, PERCENTILES))}]) u(p)".format(
+        _answered(
+            sql.sliding(EVENTS.sql, 2880, 720, [], "count(*) AS n, min(value)::DOUBLE AS low, max(value)::DOUBLE AS high"),
+            720, "'10 minutes'",
+        )
+    ),
+)
+def stream_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of a measurement as windows of a stream close, and whether their true rank is within the stated error."""
+    spec = WindowSpec.sliding(minutes(2880), minutes(720))
+    aggs = [count(), min_of("value", "low"), max_of("value", "high"), quantiles_of("value", "quantiles", _RANKS, _SKETCH)]
+    windows = _sliding(spark, sf_dir, spec, [], aggs, exact=False)
+    at = F.posexplode("quantiles").alias("i", "found")
+    asked = windows.select("window_start", "window_end", "n", F.col("low").cast("double"), F.col("high").cast("double"), at)
+    rows = EVENTS.frame(spark, sf_dir).select("ts", F.col("value").cast("double").alias("value"))
+    sorted_in = rows.groupBy(F.window("ts", "2880 minutes", "720 minutes").alias("w"), "value").count()
+    counted = asked.join(sorted_in, F.col("window_start") == F.col("w.start")).groupBy(*asked.columns).agg(
+        F.coalesce(F.sum(F.when(F.col("value") < F.col("found"), F.col("count"))), F.lit(0)).alias("below"),
+        F.coalesce(F.sum(F.when(F.col("value") <= F.col("found"), F.col("count"))), F.lit(0)).alias("upto"),
+    )
+    rank, off = F.element_at(F.array(*map(F.lit, _RANKS)), F.col("i") + 1), rank_error(_SKETCH)
+    within = (F.col("below") / F.col("n") <= rank + off) & (F.col("upto") / F.col("n") >= rank - off)
+    percentile = F.element_at(F.array(*map(F.lit, PERCENTILES)), F.col("i") + 1).alias("percentile")
+    return counted.select("window_start", "window_end", "n", "low", "high", percentile, within.alias("within"))
+
+
 _HOTTEST = sql.sliding(EVENTS.sql, 120, 30, ["user_id"], "count(*) AS n")
 
 
@@ -554,3 +587,22 @@ def stream_row_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = row_join_batches(path, sides, F.col("l_value") > F.col("r_value"), 6, 9, ARRIVAL)
     pairs = _batches_in_spans(spark, sf_dir, lambda stream: stream, write, f"{path}/pairs")
     return pairs.select("l_event_id", "r_event_id")
+
+
+_SPAN_ROWS = " UNION ALL ".join(
+    f"SELECT CAST({i} AS BIGINT) AS batch, count(*) AS rows FROM {EVENTS.sql} WHERE {span.replace('TIMESTAMP_NTZ', 'TIMESTAMP')}" for i, span in enumerate(_SPANS)
+)
+
+
+@query("stream_throughput_log", _SPAN_ROWS)
+def stream_throughput_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log that a stream has left of its batches; their rates are kept as well, and differ from run to run."""
+    path = shared_path(spark, "progress")
+    out, checkpoint = shared_path(spark, "results"), shared_path(spark, "checkpoint")
+
+    def run(inbox: str) -> DataFrame:
+        with progress_log(spark, path):
+            run_to_table(_stream(spark, inbox, EVENTS), out, checkpoint)
+        return spark.read.parquet(path)
+
+    return _delivered(spark, sf_dir, _SPANS, run).select("batch", "rows")

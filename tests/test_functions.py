@@ -1,8 +1,12 @@
 import pandas as pd
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from millrace.functions import udf
+from millrace.functions.aggregates import quantiles_of, rank_error
 from millrace.functions.expressions import all_of, any_of, composite_key, hash_bucket, int_div, one_of, project_at
+from millrace.functions.table_functions import register, run_lengths
 
 
 def test_expressions(spark):
@@ -50,3 +54,41 @@ def test_composite_keys_do_not_collide(spark):
     keys = spark.createDataFrame(rows, "a string, b string").select(composite_key("a", "b").alias("k")).collect()
     assert len({r.k for r in keys}) == len(rows)
     assert spark.createDataFrame([(1, 23)], "a int, b int").select(composite_key("a", "b")).first()[0] == "1-23"
+
+
+def test_run_lengths_per_key_whatever_the_types(spark):
+    rows = [("a", 1, 2.5), ("a", 2, 2.5), ("a", 3, None), ("a", 4, None), ("a", 5, 2.5), (None, 1, 1.0), ("b", 9, 1.0), (None, 2, 1.0)]
+    table = spark.createDataFrame(rows, "k STRING, i INT, v DOUBLE").repartition(3)
+    got = run_lengths(table, ["k"], "v", "i", ["i"])
+    assert got.dtypes == [("k", "string"), ("v", "double"), ("began", "int"), ("length", "bigint")]
+    expected = [("a", 2.5, 1, 2), ("a", None, 3, 2), ("a", 2.5, 5, 1), (None, 1.0, 1, 2), ("b", 1.0, 9, 1)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
+    assert run_lengths(table.filter("i < 0"), ["k"], "v", "i", ["i"]).count() == 0
+    with pytest.raises(AnalysisException, match="no column w"):
+        run_lengths(table, ["k"], "w", "i", ["i"])
+
+
+def test_run_lengths_in_sql(spark):
+    register(spark)
+    spark.createDataFrame([(1, i, i // 3) for i in range(9)], "k INT, i INT, v INT").createOrReplaceTempView("steps")
+    sql = "SELECT v, length FROM run_lengths(TABLE(steps) PARTITION BY (k) ORDER BY (i), 'k', 'v', 'i') ORDER BY began"
+    assert spark.sql(sql).collect() == [(0, 3), (1, 3), (2, 3)]
+
+
+def test_quantiles_of_merged_sketches(spark):
+    ranks = (0.0, 0.25, 0.5, 0.99, 1.0)
+    table = spark.range(20_000).selectExpr("id % 40 AS part", "CAST(id * 7919 % 20000 AS INT) AS v", "id % 2 AS k")
+    odd = spark.createDataFrame([(1, None, 5), (2, float("nan"), 5), (3, 8.0, 6)], "part LONG, v DOUBLE, k LONG")
+    agg = quantiles_of("v", "q", ranks, 128)
+    for rows in (table, odd):
+        panes = rows.groupBy("k", "part").agg(*(p.fold.alias(p.name) for p in agg.partials()))
+        merged = panes.groupBy("k").agg(*(p.merge() for p in agg.partials())).select("k", agg.finish())
+        found = {r.k: r.q for r in merged.collect()}
+        if rows is odd:
+            assert found == {5: None, 6: [8.0] * 5}
+            continue
+        for key in (0, 1):
+            values = sorted(r.v for r in table.filter(F.col("k") == key).collect())
+            assert found[key][0] == values[0] and found[key][-1] == values[-1]
+            for rank, value in zip(ranks, found[key]):
+                assert abs(sum(v <= value for v in values) / len(values) - rank) <= rank_error(128)

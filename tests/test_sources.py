@@ -4,7 +4,7 @@ import uuid
 import pytest
 from conftest import seconds
 
-from millrace.sources import frames, text
+from millrace.sources import frames, text, topics
 from millrace.sources.binary import RECORD_BYTES, decode_fixed_width, read_fixed_width
 from millrace.sources.sinks import append_result, drop_result
 from millrace.streaming.runner import run_to_table
@@ -145,6 +145,9 @@ def test_encoded_frames_decode_to_the_same_rows(spark):
     assert seconds(back) == seconds(rows.fillna(0))
     assert frames.decode_frames(frames.encode_frames(rows.coalesce(1), frames.BID), frames.BID).count() == 700
     assert frames.encode_frames(rows.filter("id < 0"), frames.BID).count() == 0
+    sent = topics.messages(rows, frames.BID)
+    assert sent.columns == ["value"] and frames.decode_frames(sent, frames.BID).count() == 700
+    assert topics.messages(rows).dtypes == [("value", "string")]
 
 
 def test_encoded_texts_keep_whole_characters(spark):

@@ -18,6 +18,7 @@ from millrace.streaming.runner import (
     stream_table,
 )
 from millrace.operators.time_windows import panes_of
+from millrace.streaming.progress import ProgressLog, progress_log, throughput_of
 from millrace.streaming.row_join import row_join_batches
 from millrace.streaming.row_windows import row_window_batches
 from millrace.streaming.sliding import sliding_batches
@@ -373,3 +374,24 @@ def test_checkpoints_can_be_read(spark, tmp_path):
     assert [r.operatorName for r in state_operators(spark, checkpoint).collect()] == ["stateStoreSave"]
     changes = state_changes(spark, checkpoint, 0, 1)
     assert {r.change_type for r in changes.select("change_type").distinct().collect()} == {"update", "delete"}
+
+
+def test_progress_log_keeps_more_batches_than_the_query(spark, tmp_path):
+    inbox, path = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.range(0, 1040, numPartitions=104).write.parquet(inbox)
+    with progress_log(spark, path, held=40):
+        stream = stream_table(spark, inbox, files_per_batch=1)
+        query = start_to_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+    log = spark.read.parquet(path)
+    assert sorted(r.batch for r in log.collect()) == list(range(104)) and len(query.recentProgress) <= 100
+    total = throughput_of(log).first()
+    assert (total.batches, total.rows) == (104, 1040) and total.rows_per_second > 0
+
+
+def test_nothing_is_logged_of_streams_outside(spark, tmp_path):
+    spark.range(10).write.parquet(str(tmp_path / "in"))
+    log = ProgressLog(spark, str(tmp_path / "log"))
+    log.wait(1)
+    run_to_table(stream_table(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert not log.rows and not (tmp_path / "log").exists()
