@@ -236,7 +236,11 @@ def with_edits(trees: DataFrame, batch: DataFrame, id: str = "doc_id", edits: st
 def count_edited(
     docs: DataFrame, ranks: str, pattern: str, id: str = "doc_id", text: str = "text", edits: str = "edits"
 ) -> DataFrame:
-    """``(id, n_tokens_before, n_tokens, n_edits, counted_again)`` for every row of ``docs``; ``edits`` as in ``apply_edits``."""
+    """``(id, n_tokens_before, n_tokens, n_edits, counted_again)`` for every row of ``docs``; ``edits`` as in ``apply_edits``.
+
+    Null texts are empty and have no tokens; repeated rows and null ids are counted one by one; a text of any length is held
+    whole by one task. Other columns of ``docs`` are not read, whatever their names; an empty table gives no rows.
+    """
     narrow = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{edits}`").alias("edits"))
     planted = plant(narrow, ranks, pattern, edits="edits")
     return planted.select(F.col("id").alias(id), *COUNTED)

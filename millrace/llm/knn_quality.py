@@ -188,7 +188,12 @@ def score(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns unchanged."""
+    """The rows of ``docs`` that are not rejected, with their columns unchanged, whatever their names.
+
+    A score equal to the threshold stays. Null and empty texts are judged by the score that ``score`` gives them, so all rows
+    stay when nothing is labelled. Repeated rows stay or go together, rows without an id are judged like others, texts are
+    read whole, and an empty table stays empty.
+    """
     (predicted,) = fresh(docs, "predicted")
     scored = score(docs, labels, id, text)
     return scored.filter(F.col(f"`{predicted}`") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

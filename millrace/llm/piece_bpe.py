@@ -250,7 +250,11 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
 
 
 def token_digests(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; ids never leave the task."""
+    """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` in place of the text; ids never leave the task.
+
+    A null or empty text has the end id only. Repeated rows are encoded one by one, texts of any length whole, in segments;
+    other columns stay as they are, and a new column whose name is taken gets an underscore. An empty table stays empty.
+    """
     return _with_tokens(docs, model_path, text, digests=True)
 
 

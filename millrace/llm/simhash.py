@@ -185,7 +185,8 @@ def links(distinct: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` that connect just what the links between the fingerprints ``fp`` connect.
 
     ``distinct`` has each fingerprint once. Every fingerprint goes to its keys, about 36 of them. A key with more than
-    ``TILE`` fingerprints is dealt into shares by a hash; each pair of shares is a tile of its own.
+    ``TILE`` fingerprints is dealt into shares by a hash; each pair of shares is a tile of its own. ``fp`` must not be null, as
+    no text's fingerprint is. A fingerprint without a near one has no edge, and an empty table gives none.
     """
     keyed = distinct.select("fp", F.explode(_keys()).alias("key"))
     return in_tiles(keyed, "fp").mapInArrow(_compare_tiles, "a long, b long").filter("a <> b")

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("millrace.llm")
 import corpus_pipeline  # noqa: E402
-from millrace.llm.queries import QUERIES  # noqa: E402
+from millrace.llm import knn_quality, piece_bpe, simhash  # noqa: E402
+from millrace.llm.queries import QUERIES, piece_model  # noqa: E402
 
 SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
@@ -107,3 +108,19 @@ def test_results_on_odd_rows(spark, folder):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in scores)
     best = {(r.query_id, r.vec_id, r.score) for r in QUERIES["op10_exact_top_k"](spark, path).filter("rank = 1").collect()}
     assert (0, 8, 65536) in best
+
+
+def test_stated_cases_of_single_functions(spark):
+    schema = "doc_id LONG, text STRING, predicted STRING, Score INT, n_tokens STRING"
+    rows = [(1, None, "a", 1, "x"), (2, "", "b", 2, "y"), (None, "some words here", "c", 3, "z"), (3, "some words here", "c", 3, "z")]
+    docs = spark.createDataFrame([*rows, rows[3]], schema)
+    labels = spark.createDataFrame([], "doc_id LONG, quality INT")
+    kept = knn_quality.keep_good(docs, labels)
+    assert kept.schema == docs.schema and sorted(kept.collect(), key=repr) == sorted(docs.collect(), key=repr)
+    assert knn_quality.keep_good(docs.limit(0), labels).count() == 0
+    tokens = piece_bpe.token_digests(docs, piece_model())
+    assert tokens.columns == ["doc_id", "predicted", "Score", "n_tokens", "n_tokens_", "ids_sha256", "decoded_sha256"]
+    found = [(r.doc_id, r.n_tokens_) for r in tokens.collect()]
+    assert sorted(found, key=repr)[:2] == [(1, 1), (2, 1)] and len(found) == 5 and found[2][1] == found[3][1] == found[4][1]
+    for fingerprints in ([], [(0,), (-1,)]):
+        assert simhash.links(spark.createDataFrame(fingerprints, "fp LONG")).count() == 0
