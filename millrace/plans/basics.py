@@ -131,7 +131,7 @@ _COARSE = f"SELECT date_trunc('hour', ts) AS ts, CAST(floor(value / 10) AS BIGIN
     "INTERVAL 4 HOUR AND r.ts <= l.ts + INTERVAL 2 HOUR AND l.level <= r.level GROUP BY 1",
 )
 def join_theta_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows without an id, many of them equal: bins of more than 16 rows are grids of cells."""
+    """Rows without an id, many of them equal: copies meet folded, bins of more than 16 different rows are grids of cells."""
 
     def coarse(prefix: str, kind: str) -> DataFrame:
         kept = EVENTS.frame(spark, sf_dir).filter(F.col("event_type") == kind)
@@ -140,8 +140,8 @@ def join_theta_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     reach = (4 * 3600 * MICROS, 2 * 3600 * MICROS)
     fits = F.col("l_level") <= F.col("r_level")
-    pairs = theta_join_time(coarse("l", "purchase"), coarse("r", "view"), fits, *reach, "l_ts", "r_ts", hot_rows=16)
-    return pairs.groupBy(F.col("l_ts").alias("hour")).agg(F.count(F.lit(1)).alias("pairs"))
+    pairs = theta_join_time(coarse("l", "purchase"), coarse("r", "view"), fits, *reach, "l_ts", "r_ts", hot_rows=16, copies="n")
+    return pairs.groupBy(F.col("l_ts").alias("hour")).agg(F.sum("n").alias("pairs"))
 
 
 @query(
