@@ -96,12 +96,22 @@ def highest_from_marks(spans: DataFrame, keys: list[str], totals: list[str], ove
     pieces = cut.withColumn("_at", F.greatest("_at", F.col("_block") * BLOCK_WINDOWS)).withColumn(
         "_until", F.least("_until", (F.col("_block") + 1) * BLOCK_WINDOWS)
     )
-    per_key = pieces.groupBy(*keys, "_chunk", "_block").agg(
+    # first by single stretches as long as a block, which takes no table of keys and blocks: few pieces are above that bound
+    whole = pieces.filter(F.col("_until") - F.col("_at") == BLOCK_WINDOWS).groupBy("_block").agg(F.max(totals[0]).alias("_bound"))
+    above = _reaching(pieces, whole, totals[0], more=1)
+    per_key = above.groupBy(*keys, "_chunk", "_block").agg(
         F.sum(F.col("_until") - F.col("_at")).alias("_covered"), F.min(totals[0]).alias("_low")
     )
-    bounds = per_key.filter(F.col("_covered") == BLOCK_WINDOWS).groupBy("_block").agg(F.max("_low").alias("_bound"))
-    able = pieces.join(bounds, "_block", "left").filter(F.col(totals[0]) >= F.coalesce("_bound", F.lit(0)))
-    return _each_window(able.drop("_block", "_bound"), window)
+    joint = per_key.filter(F.col("_covered") == BLOCK_WINDOWS).groupBy("_block").agg(F.max("_low").alias("_bound"))
+    bounds = whole.unionByName(joint).groupBy("_block").agg(F.max("_bound").alias("_bound"))
+    able = _reaching(pieces, bounds, totals[0])
+    return _each_window(able.drop("_block"), window)
+
+
+def _reaching(pieces: DataFrame, bounds: DataFrame, count: str, more: int = 0) -> DataFrame:
+    # one row per block: sent to all tasks, as there are few blocks for the many pieces that each would draw to one task
+    known = pieces.join(F.broadcast(bounds), "_block", "left")
+    return known.filter(F.col(count) >= F.coalesce(F.col("_bound") + more, F.lit(0))).drop("_bound")
 
 
 def chunk_length(overlap: int) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import count
-from .panes import FEW_WINDOWS, highest_from_marks, partial_names
+from .panes import FEW_WINDOWS, ROWS, highest_from_marks
 from .time_windows import END, PANE, START, bounds, panes_of, window_aggregate
 from .windows import WindowSpec, floor_div
 
@@ -34,16 +34,17 @@ def most_frequent(df: DataFrame, spec: WindowSpec, keys: Sequence[str], name: st
     Answers as ``window_aggregate`` with ``count`` and ``top_with_ties`` do. Where many windows overlap, keys that cannot
     win are left out before their windows are listed, so the work does not grow with the overlap for most keys.
     """
-    keys, rows = list(keys), count(name)
+    keys = list(keys)
     if spec.measure != "time" or spec.is_session or spec.ratio <= FEW_WINDOWS:
-        return window_aggregate(df, spec, keys, [rows], ts, post=lambda counts: top_with_ties(counts, name))
+        return window_aggregate(df, spec, keys, [count(name)], ts, post=lambda counts: top_with_ties(counts, name))
     size, slide = spec.size // spec.pane, spec.slide // spec.pane
-    spans = panes_of(df, spec, keys, [rows], ts).select(
+    # the rows of a pane are the counts: marks without aggregates of their own are sorted in less memory
+    spans = panes_of(df, spec, keys, [], ts).select(
         *keys,
-        *partial_names([rows]),
+        ROWS,
         (floor_div(F.col(PANE) - size, slide) + 1).alias("_first"),
         floor_div(F.col(PANE), slide).alias("_last"),
     )
-    able = highest_from_marks(spans, keys, partial_names([rows]), -(-size // slide), "window_index")
-    counts = able.select(*bounds(F.col("window_index") * spec.slide, spec.size), *keys, rows.finish())
+    able = highest_from_marks(spans, keys, [ROWS], -(-size // slide), "window_index")
+    counts = able.select(*bounds(F.col("window_index") * spec.slide, spec.size), *keys, F.col(ROWS).alias(name))
     return top_with_ties(counts, name)

@@ -289,3 +289,18 @@ def executed_metrics(df) -> str:
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return "\n".join(found)
+
+
+def test_few_pieces_of_windows_are_gathered_per_key_to_find_who_can_win(at):
+    """Quiet keys and a busy one; what a table of keys and blocks takes is bounded by single stretches first."""
+    rows = [(t, f"q{t % 40}", 1) for t in range(0, 6000, 25)] + [(t, "busy", 1) for t in range(2000, 3000, 7)]
+    got = most_frequent(at(rows, EVENTS), WindowSpec.sliding(600, 10), ["k"])
+    counts = {w: len(v) for w, v in brute(rows, 600, 10).items()}
+    best = {}
+    for (start, _), n in counts.items():
+        best[start] = max(n, best.get(start, 0))
+    expected = sorted((float(s), float(s + 600), k, n) for (s, k), n in counts.items() if n == best[s])
+    assert sorted(seconds(got)) == expected
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    gathered = re.search(r"Aggregate \[[^\]]*_chunk#[^\]]*_block#", plan)
+    assert gathered and "_bound" in plan[gathered.end() :]  # the bounds are among what is below it
