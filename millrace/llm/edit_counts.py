@@ -12,6 +12,8 @@ import base64
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from operator import add
 
 import pyarrow as pa
 import regex
@@ -92,9 +94,15 @@ class CountTree:
     def _build(self, leaves: list[tuple[int, int]]) -> None:
         self.size = 1 << max(len(leaves) - 1, 0).bit_length()
         empty = [0] * (self.size - len(leaves))
-        self.chars, self.tokens = ([0] * self.size + [x[i] for x in leaves] + empty for i in (0, 1))
-        for i in range(self.size - 1, 0, -1):
-            self._sum(i)
+        self.chars, self.tokens = (self._summed([x[i] for x in leaves] + empty) for i in (0, 1))
+
+    @staticmethod
+    def _summed(level: list[int]) -> list[int]:
+        """All nodes from the lowest level up, the unused node 0 first."""
+        levels = [level]
+        while len(level) > 1:
+            levels.append(level := list(map(add, level[::2], level[1::2])))
+        return [0, *chain.from_iterable(reversed(levels))]
 
     def _sum(self, node: int) -> None:
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]

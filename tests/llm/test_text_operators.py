@@ -545,3 +545,14 @@ def test_votes_match_brute_force(spark, sf_dir):
         expected = sum(v * q for v, q in votes) / total if total else sum(q for _, q in sample) / len(sample)
         assert r.score == pytest.approx(expected, abs=1e-9)
         assert (r.predicted, r.held_out) == (int(r.score >= 0.3), zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_trees_are_summed_level_by_level_not_node_by_node(monkeypatch):
+    monkeypatch.setattr(edit_counts.CountTree, "_sum", None)
+    for n in (0, 1, 2, 3, 7, 8, 9):
+        tree = object.__new__(edit_counts.CountTree)
+        tree._build([(i + 1, i % 3) for i in range(n)])
+        assert len(tree.chars) == len(tree.tokens) == 2 * tree.size and tree.chars[0] == tree.tokens[0] == 0
+        assert tree.chars[tree.size :][:n] == list(range(1, n + 1))
+        for sums in (tree.chars, tree.tokens):
+            assert all(sums[i] == sums[2 * i] + sums[2 * i + 1] for i in range(1, tree.size))
