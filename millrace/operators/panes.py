@@ -52,9 +52,7 @@ def windows_from_panes(
     Keeps the partial columns; only windows that hold a row are returned. ``exact`` says that the
     partials are additive and free of rounding.
     """
-    spans = panes.withColumn("_first", floor_div(F.col(pane) - size, slide) + 1).withColumn(
-        "_last", floor_div(F.col(pane), slide)
-    )
+    spans = spans_of_panes(panes, pane, size, slide)
     if slide > size:
         spans = spans.filter("_first <= _last")
     if size == slide == 1:
@@ -68,6 +66,13 @@ def windows_from_panes(
     return windows_from_two_sides(panes, keys, pane, [p for a in aggs for p in a.partials()], size, slide, window)
 
 
+def spans_of_panes(panes: DataFrame, pane: str, size: int, slide: int) -> DataFrame:
+    """Panes with the first and the last window they lie in."""
+    return panes.withColumn("_first", floor_div(F.col(pane) - size, slide) + 1).withColumn(
+        "_last", floor_div(F.col(pane), slide)
+    )
+
+
 def partial_names(aggs: list[Agg]) -> list[str]:
     return [ROWS, *(p.name for a in aggs for p in a.partials())]
 
@@ -79,7 +84,12 @@ def windows_from_marks(
 
     ``totals[0]`` counts rows and tells empty windows from filled ones.
     """
-    return _each_window(_levels(spans, keys, totals, chunk_length(overlap)), window)
+    return _each_window(stretches_from_marks(spans, keys, totals, overlap), window)
+
+
+def stretches_from_marks(spans: DataFrame, keys: list[str], totals: list[str], overlap: int) -> DataFrame:
+    """The same sums before windows are listed one by one, a row for windows ``_at`` … ``_until - 1`` of a key."""
+    return _levels(spans, keys, totals, chunk_length(overlap)).drop("_chunk")
 
 
 def highest_from_marks(spans: DataFrame, keys: list[str], totals: list[str], overlap: int, window: str) -> DataFrame:
@@ -105,7 +115,7 @@ def highest_from_marks(spans: DataFrame, keys: list[str], totals: list[str], ove
     joint = per_key.filter(F.col("_covered") == BLOCK_WINDOWS).groupBy("_block").agg(F.max("_low").alias("_bound"))
     bounds = whole.unionByName(joint).groupBy("_block").agg(F.max("_bound").alias("_bound"))
     able = _reaching(pieces, bounds, totals[0])
-    return _each_window(able.drop("_block"), window)
+    return _each_window(able.drop("_block", "_chunk"), window)
 
 
 def _reaching(pieces: DataFrame, bounds: DataFrame, count: str, more: int = 0) -> DataFrame:
@@ -120,7 +130,7 @@ def chunk_length(overlap: int) -> int:
 
 def _each_window(levels: DataFrame, window: str) -> DataFrame:
     listed = levels.withColumn(window, F.explode(F.sequence("_at", F.col("_until") - 1)))
-    return listed.drop("_at", "_until", "_chunk")
+    return listed.drop("_at", "_until")
 
 
 def _levels(spans: DataFrame, keys: list[str], totals: list[str], length: int) -> DataFrame:
@@ -129,6 +139,8 @@ def _levels(spans: DataFrame, keys: list[str], totals: list[str], length: int) -
         "_chunk",
         F.explode(F.sequence(floor_div(F.col("_first"), length), floor_div(F.col("_last"), length))),
     )
+    # spans are shuffled, not the two marks of each
+    chunks = chunks.repartition(*keys, "_chunk")
     entry = F.greatest(F.col("_first"), F.col("_chunk") * length)
     leave = F.least(F.col("_last") + 1, (F.col("_chunk") + 1) * length)
     marks = chunks.select(

@@ -9,7 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Agg
-from .panes import CHUNK_WINDOWS, ROWS, pane_aggregate, partial_names, windows_from_marks, windows_from_panes
+from .panes import (
+    CHUNK_WINDOWS,
+    ROWS,
+    pane_aggregate,
+    partial_names,
+    spans_of_panes,
+    stretches_from_marks,
+    windows_from_marks,
+    windows_from_panes,
+)
 from .window_lattice import own_windows
 from .windows import WindowSpec, floor_div, interval, time_slot
 
@@ -63,6 +72,23 @@ def sliding(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg], t
     return windows_of_panes(panes_of(df, spec, keys, aggs, ts), spec, keys, aggs, exact)
 
 
+def window_stretches(
+    df: DataFrame, spec: WindowSpec, keys: Sequence[str], aggs: Sequence[Agg], ts: str = "ts"
+) -> DataFrame:
+    """The windows of ``window_aggregate`` before they are listed: one row for consecutive windows of a key with equal results.
+
+    Windows ``_at`` … ``_until - 1`` have them, where window ``i`` begins at ``i`` slides from 1970. Stretches of a key do not
+    overlap. Their number is bounded by twice the panes with rows, however many windows overlap; the aggregates must subtract exactly.
+    """
+    keys, aggs = list(keys), list(aggs)
+    if spec.measure != "time" or spec.is_session or df.isStreaming or not all(a.invertible(df) for a in aggs):
+        raise ValueError("stretches need sliding windows of a table and aggregates that subtract exactly")
+    size, slide = spec.size // spec.pane, spec.slide // spec.pane
+    spans = spans_of_panes(panes_of(df, spec, keys, aggs, ts), PANE, size, slide).filter("_first <= _last")
+    stretches = stretches_from_marks(spans, keys, partial_names(aggs), spec.ratio)
+    return stretches.select("_at", "_until", *keys, *(a.finish() for a in aggs))
+
+
 def panes_of(df: DataFrame, spec: WindowSpec, keys: list[str], aggs: list[Agg], ts: str = "ts") -> DataFrame:
     """One row of partial results per pane and key; for a stream, of the panes the watermark has closed.
 

@@ -9,7 +9,7 @@ from ..functions.aggregates import avg_of, count
 from ..functions.expressions import int_div
 from ..operators import road
 from ..operators.row_windows import row_window_aggregate
-from ..operators.time_windows import window_aggregate
+from ..operators.time_windows import window_aggregate, window_stretches
 from ..operators.windows import WindowSpec
 from . import sqltext as sql
 from .campaign import minutes
@@ -40,17 +40,18 @@ def road_slow_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_aggregate(segmented(spark, sf_dir), spec, SEGMENT, [avg_of("speed", "avg_speed")], having=slow)
 
 
+_THIRTY = WindowSpec.sliding(minutes(30 * UNIT), minutes(UNIT))
 _VEHICLES = sql.sliding(_ROAD, 30 * UNIT, UNIT, ["vehicle", *SEGMENT], "count(*) AS n")
 
 
 @query("road_vehicle_segments", _VEHICLES)
 def road_vehicle_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports per vehicle and segment over 30/1."""
-    spec = WindowSpec.sliding(minutes(30 * UNIT), minutes(UNIT))
-    return window_aggregate(segmented(spark, sf_dir), spec, ["vehicle", *SEGMENT], [count()])
+    return window_aggregate(segmented(spark, sf_dir), _THIRTY, ["vehicle", *SEGMENT], [count()])
 
 
-_CASCADE_ORDER = ["window_start", "vehicle", *SEGMENT]
+_CASCADE_KEYS = ["vehicle", *SEGMENT]
+_CASCADE_ORDER = ["window_start", *_CASCADE_KEYS]
 
 
 @query(
@@ -61,8 +62,8 @@ _CASCADE_ORDER = ["window_start", "vehicle", *SEGMENT]
 )
 def road_vehicle_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vehicles of the query above, counted per segment in every 1024 result rows."""
-    vehicles = road_vehicle_segments(spark, sf_dir)
-    return row_window_aggregate(vehicles, WindowSpec.rows(1024), _CASCADE_ORDER, SEGMENT, [count()])
+    vehicles = window_stretches(segmented(spark, sf_dir), _THIRTY, _CASCADE_KEYS, [count()])
+    return row_window_aggregate(vehicles, WindowSpec.rows(1024), _CASCADE_KEYS, SEGMENT, [count()], stretch=("_at", "_until"))
 
 
 STOPS_SQL = f"""
