@@ -556,3 +556,20 @@ def test_trees_are_summed_level_by_level_not_node_by_node(monkeypatch):
         assert tree.chars[tree.size :][:n] == list(range(1, n + 1))
         for sums in (tree.chars, tree.tokens):
             assert all(sums[i] == sums[2 * i] + sums[2 * i + 1] for i in range(1, tree.size))
+
+
+def test_a_link_whose_ends_have_closer_strangers_is_not_lost(spark):
+    """A text whose fingerprint lies between those of two near copies is closer to both, in every tile, and a copy of neither."""
+    rng = random.Random(35)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    parts = [base[i : i + 8] for i in range(0, 120, 8)]
+    rng.shuffle(parts)
+    phrase = base[:6]
+    texts = [" ".join(t) for t in (base, sum(parts, []) + phrase * rng.randrange(3, 10), base + phrase * 12)]
+    one, two, three = (simhash.fingerprint(t, near_copies.PRINT_WORDS) for t in texts)
+    closer = (one ^ two).bit_count(), (two ^ three).bit_count()
+    assert sum(closer) == (one ^ three).bit_count() <= near_copies.DISTANCE and min(closer) > 0
+    assert brute_links(texts) == {(0, 2)}
+    for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2)):
+        table = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
+        assert sorted(r.doc_id for r in near_copies.keep_first(table).collect()) == [0, 1]
