@@ -2,7 +2,8 @@
 
 Every round replaces edges by edges to smaller neighbours, with two aggregates for minima and joins of
 edges with these minima; no adjacency list is ever built, so a node with a third of all edges is a matter of
-partial aggregation and of splitting a skewed join. Rounds are cut by tables in the shared folder.
+partial aggregation and of splitting a skewed join. Both stars of a round are cut by tables in the shared folder: the small
+star reads its edges twice, and in one plan with the large star it would list those twice over.
 """
 
 from __future__ import annotations
@@ -22,9 +23,8 @@ def _to_least(edges: DataFrame, at: str) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("_node"), F.col("b").alias("_other")).unionByName(
-        edges.select(F.col("b").alias("_node"), F.col("a").alias("_other"))
-    )
+    ways = (F.struct(F.col(x).alias("_node"), F.col(y).alias("_other")) for x, y in ("ab", "ba"))
+    both = edges.select(F.inline(F.array(*ways)))
     linked = _to_least(both, "_node").filter(F.col("_other") > F.col("_node"))
     return linked.select(F.col("_other").alias("a"), F.col("_least").alias("b")).filter("a <> b").distinct()
 
@@ -32,9 +32,15 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("_node"), F.least("a", "b").alias("_other"))
     linked = _to_least(down, "_node")
-    hops = linked.select(F.col("_other").alias("a"), F.col("_least").alias("b"))
-    own = linked.select(F.col("_node").alias("a"), F.col("_least").alias("b"))
-    return hops.unionByName(own).filter("a <> b").distinct()
+    ends = linked.select(F.explode(F.array("_other", "_node")).alias("a"), F.col("_least").alias("b"))
+    return ends.filter("a <> b").distinct()
+
+
+def _chained(stars: DataFrame) -> DataFrame:
+    """Nodes with several edges, or with one besides those that lead to them."""
+    ends = (F.struct(F.col(x).alias("_node"), F.lit(n).cast("long").alias("_n")) for x, n in (("a", 1), ("b", 0)))
+    found = stars.select(F.inline(F.array(*ends))).groupBy("_node").agg(F.sum("_n").alias("_n"), F.min("_n").alias("_least"))
+    return found.filter("_n > 1 or _n > _least")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,11 +57,9 @@ def components(edges: DataFrame) -> DataFrame:
     )
     while True:
         # done when every edge leads from a node of one edge to a node that leads nowhere
-        sources = stars.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-        chained = stars.select(F.col("b").alias("a")).distinct().join(sources, "a", "left_semi")
-        if sources.filter("_n > 1").isEmpty() and chained.isEmpty():
+        if _chained(stars).isEmpty():
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        stars = stage(_small_star(_large_star(stars)), "stars")
+        stars = stage(_small_star(stage(_large_star(stars), "stars")), "stars")
 
 
 def merge_links(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

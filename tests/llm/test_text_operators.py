@@ -25,6 +25,7 @@ from millrace.llm import (  # noqa: E402
     preference,
     simhash,
 )
+from millrace.llm import components as stars  # noqa: E402
 from millrace.llm.components import components  # noqa: E402
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -573,3 +574,49 @@ def test_a_link_whose_ends_have_closer_strangers_is_not_lost(spark):
     for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2)):
         table = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string")
         assert sorted(r.doc_id for r in near_copies.keep_first(table).collect()) == [0, 1]
+
+
+def test_candidates_between_groups_leave_no_task_as_pairs(spark, monkeypatch):
+    """Hundreds of texts whose fingerprints are near and whose shingles are not stay apart, without a row for each two of them."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = []
+    for i in range(400):
+        copy = list(base)
+        for place in rng.sample(range(400), 14):
+            copy[place] = f"changed{i}x{place}"
+        texts.append(" ".join(copy))
+    texts += [f"{texts[0]} end", f"{texts[399]} end"]
+    rows = []
+    written = near_copies.stage
+
+    def counted(df, name):
+        done = written(df, name)
+        rows.append((name, done.count()))
+        return done
+
+    monkeypatch.setattr(near_copies, "stage", counted)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in near_copies.keep_first(table).collect())
+    links = brute_links(texts)
+    group = list(range(len(texts)))
+    for _ in group:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    assert kept == sorted(set(group)) and len(kept) > 350
+    between = dict(rows)["left-out"]
+    assert 0 < between <= len(texts) * len(near_copies.chains(len(texts)))
+
+
+def test_a_round_of_stars_lists_its_edges_once(spark, monkeypatch):
+    plans = []
+    written = stars.stage
+
+    def planned(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(stars, "stage", planned)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in components(edges).collect()} == {0}
+    assert len(plans) > 2 and all(p.count("FileScan parquet") <= 2 for p in plans)
