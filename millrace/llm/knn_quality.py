@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, portions, text_rows
+from .common import PORTION, arrow_map, fresh, portions, text_rows
 
 BUCKETS, RANK, NEIGHBOURS, SHARPNESS = 4096, 64, 31, 4
 TERMS = BUCKETS + 1  # the last term stands for repeated words
@@ -137,8 +137,14 @@ def fit(
     space = Space(weights, np.zeros((TERMS, 0)), np.zeros((0, 0)), np.array([r.label for r in found], dtype=float))
     if found:
         counts = np.stack([np.frombuffer(r.counts, dtype=np.int32) for r in found])
-        space.axes = _axes(space.weighted(counts).astype(np.float32)).astype(np.float64)
-        space.vectors = space.place(counts)
+        found.clear()
+        # the driver holds the sample as counts and as single floats, and doubles of a portion of it only
+        parts = [slice(start, start + PORTION) for start in range(0, len(counts), PORTION)]
+        rows = np.empty(counts.shape, dtype=np.float32)
+        for part in parts:
+            rows[part] = space.weighted(counts[part])
+        space.axes = _axes(rows).astype(np.float64)
+        space.vectors = np.concatenate([space.place(counts[part]) for part in parts])
     return space
 
 

@@ -620,3 +620,18 @@ def test_a_round_of_stars_lists_its_edges_once(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     assert {r.component for r in components(edges).collect()} == {0}
     assert len(plans) > 2 and all(p.count("FileScan parquet") <= 2 for p in plans)
+
+
+def test_a_sample_is_weighted_in_portions(spark, monkeypatch):
+    """The driver holds no doubles of its whole sample of labelled documents, and the space is the same."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(("aa", "bb", "cc", "dd")) + str(i % 9) for _ in range(20))) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, quality int")
+    sizes = []
+    weighted = knn_quality.Space.weighted
+    monkeypatch.setattr(knn_quality.Space, "weighted", lambda self, counts: sizes.append(len(counts)) or weighted(self, counts))
+    space = knn_quality.fit(docs, labels)
+    assert len(space.vectors) == len(space.labels) > 2 * max(sizes) and max(sizes) <= 256
+    monkeypatch.setattr(knn_quality, "PORTION", 5000)
+    whole = knn_quality.fit(docs, labels)
+    assert np.array_equal(space.axes, whole.axes) and np.allclose(space.vectors, whole.vectors, rtol=0, atol=1e-12)
