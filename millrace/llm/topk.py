@@ -3,6 +3,8 @@
 Vectors are packed into shards, queries into blocks, both of bounded size. A tile is one matrix product of a query
 block and a shard; it selects the best few per query, and these lists are merged in a tree of bounded fan-in. Vectors with
 equally many components share blocks and shards, and every query meets every shard of its own number of components once: queries are a stated set and come in blocks, never row by row.
+Of many shards, up to ``FAN_IN`` neighbours are a column: a block of queries is shipped once to a column, not to each of
+its shards, and one list per query leaves it.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from .common import blocks_for
 from .vectors import numbered, packed, share_of, unpack
 
 SHARD, QUERIES, FAN_IN = 4096, 512, 16
+SPREAD = 64  # columns that there are before any has more than one shard
 EXACT = 2.0**53
 
 
@@ -70,6 +73,20 @@ def _falling(scores: np.ndarray) -> np.ndarray:
     return np.bitwise_not(scores)  # reverses the order without overflow
 
 
+def _best_of(held: list[tuple[np.ndarray, ...]], column: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of every query among lists ``(query_row, query_id, row, vec_id, score)``."""
+    if not held:
+        return
+    query_row, query_id, row, vec_id, score = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((row, vec_id, _falling(score), query_row))
+    own = query_row[order]
+    places = np.arange(len(own))
+    first = np.maximum.accumulate(np.where(np.append(True, own[1:] != own[:-1]), places, 0))
+    order = order[places - first < k]
+    lists = {"query_row": query_row, "query_id": query_id, "column": np.full(len(row), column), "row": row, "vec_id": vec_id, "score": score}
+    yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in lists.values()], names=list(lists))
+
+
 def top_k(
     vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -85,45 +102,48 @@ def top_k(
         F.ceil(F.count(F.lit(1)) / SHARD).cast("long").alias("shards"),
         F.ceil(F.count(F.when(is_query, True)) / QUERIES).cast("long").alias("parts"),
     )
-    shards = sizes.agg(F.max("shards")).first()[0] or 1
+    # the lists of a block leave a column merged; few shards are columns of their own, so that they are spread
+    sizes = sizes.withColumn("high", F.greatest(F.lit(1), F.least(F.lit(FAN_IN), F.expr(f"shards div {SPREAD}"))).cast("long"))
+    columns = sizes.agg(F.max(F.ceil(F.col("shards") / F.col("high")))).first()[0] or 1
     # n different widths take n * n / 2 components at least, so this table is small at any size
     sized = rows.join(F.broadcast(sizes), "width")
-    shelf = packed(sized.withColumn("shard", share_of(F.col("row"), F.col("shards"))), "width", "shard")
+    placed = sized.withColumn("shard", share_of(F.col("row"), F.col("shards"))).withColumn("column", F.expr("shard div high"))
+    shelf = packed(placed.repartition("width", "column"), "width", "column", "shard")
     asked = sized.filter(is_query).withColumn("part", share_of(F.col("row"), F.col("parts")))
-    asking = packed(asked, "width", "shards", "part").select(
-        "width", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("members").alias("asked")
+    asking = packed(asked, "width", "shards", "high", "part").select(
+        "width", "part", F.explode(F.expr("sequence(0L, (shards - 1) div high)")).alias("column"), F.col("members").alias("asked")
     )
-    tiles = asking.join(shelf, ["width", "shard"]).select("shard", "asked", "members", "width")
+    # blocks repeated for their columns are more than Spark's size check sees, which would have the driver collect them
+    tiles = asking.hint("merge").join(shelf, ["width", "column"]).select("column", "part", "asked", "members", "width")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        at = None
         for batch in batches:
-            for shard, asked, members, width in zip(*(batch.column(i) for i in range(4)), strict=True):
-                query_rows, query_ids, queries = unpack(asked, width.as_py())
-                rows, ids, candidates = unpack(members, width.as_py())
+            for column, part, asked, members, width in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if at != (now := (column.as_py(), part.as_py(), width.as_py())):
+                    if at:
+                        yield from _best_of(held, at[0], k)
+                    held, at = [], now
+                    query_rows, query_ids, queries = unpack(asked, at[2])
+                    wanted = whole(queries, scale)
+                rows, ids, candidates = unpack(members, at[2])
                 if not len(query_rows) or not len(rows):
                     continue
-                scores = products(whole(queries, scale), whole(candidates, scale))
+                scores = products(wanted, whole(candidates, scale))
                 numbers = ids.astype(np.int64)
                 found = list(best(scores, query_rows[:, None] != rows[None, :], numbers, k))
-                q, c = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else ([], [])
-                if len(q):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(query_rows[q]),
-                            pa.array(query_ids[q].astype(np.int64)),
-                            pa.array(np.full(len(q), shard.as_py())),
-                            pa.array(rows[c]),
-                            pa.array(numbers[c]),
-                            pa.array(scores[q, c]),
-                        ],
-                        names=["query_row", "query_id", "shard", "row", "vec_id", "score"],
-                    )
-
-    lists = tiles.mapInArrow(run, "query_row long, query_id long, shard long, row long, vec_id long, score long")
+                if found:
+                    q, c = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True))
+                    held.append((query_rows[q], query_ids[q].astype(np.int64), rows[c], numbers[c], scores[q, c]))
+        if at:
+            yield from _best_of(held, at[0], k)
+
+    lists = tiles.mapInArrow(run, "query_row long, query_id long, column long, row long, vec_id long, score long")
     while True:
-        lists = lists.withColumn("shard", F.expr(f"shard div {FAN_IN}"))
-        order = Window.partitionBy("query_row", "shard").orderBy(F.desc("score"), "vec_id", "row")
+        lists = lists.withColumn("column", F.expr(f"column div {FAN_IN}"))
+        order = Window.partitionBy("query_row", "column").orderBy(F.desc("score"), "vec_id", "row")
         lists = lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        shards = blocks_for(shards, FAN_IN)
-        if shards == 1:
+        columns = blocks_for(columns, FAN_IN)
+        if columns == 1:
             return lists.select("query_id", "rank", "vec_id", "score")

@@ -157,6 +157,22 @@ def test_top_k_over_many_tiles(spark, monkeypatch):
         assert got == [(k, i, scores[i]) for k, i in enumerate(expected, 1)]
 
 
+def test_top_k_ships_query_blocks_once_a_column_and_never_through_the_driver(spark, monkeypatch):
+    for name, value in (("SHARD", 8), ("QUERIES", 16), ("FAN_IN", 4), ("SPREAD", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-2, 3, size=(300, 4)) / 4
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    top = topk.top_k(table, F.col("vec_id") % 10 == 0)
+    rows = top.collect()
+    assert "SortMergeJoin" in top._jdf.queryExecution().executedPlan().toString()  # query blocks are not broadcast
+    whole = np.floor(256 * vectors).astype(int)
+    for q in range(0, 300, 10):
+        scores = whole @ whole[q]
+        expected = sorted((i for i in range(300) if i != q), key=lambda i: (-scores[i], i))[:5]
+        assert sorted((r.rank, r.vec_id, r.score) for r in rows if r.query_id == q) == [(k, i, scores[i]) for k, i in enumerate(expected, 1)]
+
+
 def packed(data):
     member = zlib.compressobj(6, zlib.DEFLATED, 31)
     return member.compress(data) + member.flush()
