@@ -608,6 +608,30 @@ def test_candidates_between_groups_leave_no_task_as_pairs(spark, monkeypatch):
     assert 0 < between <= len(texts) * len(near_copies.chains(len(texts)))
 
 
+@pytest.mark.parametrize("common", [2, 64])
+def test_near_copies_that_fingerprints_tell_apart_are_found(spark, monkeypatch, common):
+    """A word that is said over and over turns the fingerprint and adds five shingles; also where all shingles are frequent."""
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts, line = [], words(30)
+    for _ in range(12):
+        base = words(rng.randrange(60, 200)) + line
+        texts += [" ".join(base), " ".join(base + ["spam"] * 400)]
+    crowd = words(120)
+    texts += [" ".join(crowd + [f"loud{i}"] * 500) for i in range(12)]
+    texts += [" ".join(words(40) + line) for _ in range(12)]
+    links = brute_links(texts)
+    prints = [simhash.fingerprint(t, near_copies.PRINT_WORDS) for t in texts]
+    assert sum((prints[a] ^ prints[b]).bit_count() > near_copies.DISTANCE for a, b in links) > 12
+    group = list(range(len(texts)))
+    for _ in group:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_copies.keep_first(table).collect()) == sorted(set(group))
+
+
 def test_a_round_of_stars_lists_its_edges_once(spark, monkeypatch):
     plans = []
     written = stars.stage
